@@ -100,7 +100,7 @@ def bootstrap_mean_ci(df: DataFrame, key_col: str, value_col: str, bin_col: str,
                        F.col(key_col).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     w = X.poisson1(X.hash_fraction(F.col("k"), F.col("rep"), seed))
     rep_means = reps.select("bin", "rep", w.alias("w"), "v").groupBy("bin", "rep") \
-        .agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+        .agg(F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     # (bins x n_boot) replicate means: a bounded table, so Spark's exact percentile is safe here
     ci = rep_means.groupBy("bin").agg(F.percentile("m", 0.025).alias("ci_low"),
                                       F.percentile("m", 0.975).alias("ci_high"))
