@@ -91,3 +91,12 @@ GRID_BMI_EDGES = (0, 25, 30, float("inf"))
 GRID_BMI_LABELS = ("Normal", "Sobrepeso", "Obeso")
 DECADE_EDGES = (20, 30, 40, 50, 60, 70, 80, 200)
 DECADE_LABELS = ("20s", "30s", "40s", "50s", "60s", "70s", "80s+")
+
+# --- fixed values: columns that make a clinical table worth keeping (triage) ---
+TRIAGE_KEEP_COLUMNS = (
+    "age_years", "age_at_index", "dem_age_at_index", "dem_days_to_birth", "mean_age_at_dx",
+    "age_at_diagnosis", "sex", "gender", "dem_gender", "dem_sex_at_birth", "race", "dem_race",
+    "ethnicity", "dem_ethnicity", "tobacco_smoking_status_any", "tobacco_smoking_status", "smq020",
+    "smq040", "pack_years_smoked", "pack_years_smoked_max", "bmi", "bmi_last", "bmxbmi", "height",
+    "height_last", "bmxht", "weight", "weight_last", "bmxwt",
+)
