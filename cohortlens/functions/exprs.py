@@ -141,13 +141,13 @@ def py_logit(p: float, eps: float = 1e-6) -> float:
 # ------------------------------------------------------------- hashing -----
 
 def hash_u32(*parts) -> Column:
-    """Deterministic 32-bit integer from md5 of the ':'-joined parts.
+    """Deterministic 32-bit integer from md5 of the ':'-joined parts
+    (``Column`` parts are cast to text, anything else is a literal).
 
     Reproducible in any SQL engine with md5:
     ``('0x' || substr(md5(p1 || ':' || p2 ...), 1, 8))::BIGINT``.
     """
-    s = F.concat_ws(":", *[col(p).cast("string") if not isinstance(p, (int, float)) else F.lit(str(p))
-                           for p in parts])
+    s = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
 
 
@@ -264,7 +264,7 @@ def piecewise_linear(x, anchors: Sequence[tuple[float, float]]) -> Column:
         else:
             seg = F.lit(y0) + (v - F.lit(x0)) * F.lit((y1 - y0) / (x1 - x0))
         expr = expr.when(v <= x1, seg)
-    return expr.otherwise(F.lit(ys[-1]))
+    return F.when(v.isNotNull(), expr.otherwise(F.lit(ys[-1])))
 
 
 def apply_prior(p, prior, mode: str = "floor", alpha: float = 0.5) -> Column:
