@@ -260,7 +260,7 @@ def choose_threshold(scan: DataFrame, metric: str = "f1", min_precision: float |
     s = s.withColumn("selection_score", F.when(F.col("_cand"), score))
     order = [F.col("_cand").desc(), F.col("selection_score").desc()]
     if metric == "recall":
-        order.append(F.col("precision").desc())
+        order.append(F.when(F.col("_cand"), F.col("precision")).desc_nulls_last())
     order.append(F.col("threshold").asc())
     # no candidate: the lowest threshold (first scan row) is what is left at the top
     return s.orderBy(*order).limit(1).drop("_in", "_cand")

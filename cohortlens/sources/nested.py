@@ -93,13 +93,12 @@ def flatten_cases(cases: DataFrame) -> dict[str, DataFrame]:
     """
     sch = cases.schema
     k = [F.col("submitter_id").alias("case_submitter_id"), F.col("case_id")]
-    top = [c for c in scalar_fields(T.StructType([f for f in sch.fields
-                                                   if f.name not in ("demographic", "project")]))]
-    out = {"cases": cases.select(*k, *[c for c in top if str(c) not in ("submitter_id", "case_id")],
+    top = scalar_fields(T.StructType([f for f in sch.fields
+                                      if f.name not in ("demographic", "project", "submitter_id", "case_id")]))
+    out = {"cases": cases.select(*k, *top,
                                  *([F.col("project.project_id").alias("project_id")] if "project" in sch.names else []),
                                  *(scalar_fields(sch["demographic"].dataType, "dem_", "demographic")
                                    if "demographic" in sch.names else []))}
-    out["cases"] = out["cases"].drop("submitter_id")
     for arr in ("exposures", "family_histories", "diagnoses", "follow_ups"):
         if arr in sch.names:
             out[arr] = flatten_array(cases, k, arr)
