@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
 from cohortlens.operators.clean import blind_features, snake_columns
+from cohortlens.operators.ordered import collapse_rows
 
 CANONICAL_TYPES = {**{c: "double" for c in TK.CANONICAL_NUMERIC}, **{c: "string" for c in TK.CANONICAL_CATEGORICAL}}
 
@@ -143,7 +144,7 @@ def loss_report(raw: DataFrame, aligned: DataFrame, dataset: str, protected: Seq
     for c in prot:
         complete = complete & F.col(c).isNotNull()
     a = aligned.agg(F.count(F.lit(1)).alias("_a"), F.count(F.when(complete, 1)).alias("_c"))
-    both = r.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k")
+    both = collapse_rows(r, a)
     L = F.lit
     nb = L(None).cast("bigint")
 

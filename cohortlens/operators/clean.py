@@ -351,8 +351,8 @@ def clean_regression_target(df: DataFrame, target: str) -> DataFrame:
 
 def regex_cohort(df: DataFrame, cols: Sequence[str], pattern: str = "colon|colorect") -> DataFrame:
     """keep rows where any listed text column matches (case-insensitive);
-    unfiltered when no row matches.  The guard is a one-row aggregate joined
-    back, so the plan stays lazy."""
+    unfiltered when no row matches (an existence probe that stops at the
+    first matching row)."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
@@ -360,10 +360,8 @@ def regex_cohort(df: DataFrame, cols: Sequence[str], pattern: str = "colon|color
     for c in cols:
         h = F.coalesce(F.lower(F.col(c).cast("string")).rlike(pattern), F.lit(False))
         hit = h if hit is None else (hit | h)
-    marked = df.withColumn("_hit", hit)
-    anyhit = marked.agg(F.max(F.col("_hit").cast("int")).alias("_any")).withColumn("_k", F.lit(1))
-    j = marked.withColumn("_k", F.lit(1)).join(F.broadcast(anyhit), "_k")
-    return j.where(F.col("_hit") | (F.coalesce(F.col("_any"), F.lit(0)) == 0)).drop("_hit", "_any", "_k")
+    any_hit = df.where(hit).limit(1).count() > 0     # stops at the first match
+    return df.where(hit) if any_hit else df
 
 
 def null_count(cols: Sequence[str]) -> Column:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordered import quantiles_wide, running_sums
+from cohortlens.operators.ordered import collapse_rows, quantiles_wide, running_sums
 
 
 def _lab(label_col: str) -> Column:
@@ -37,13 +37,8 @@ def _cumulative(df: DataFrame, label_col: str, score_col: str, group_cols: Seque
     """Per distinct score: totals P, N and TP/FP of the rule ``score >= s``."""
     g = list(group_cols)
     sc = score_counts(df, label_col, score_col, g)
-    cum = running_sums(sc, g, ["score"], ["pos", "neg"])
-    tot = sc.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")) if g else \
-        sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    if g:
-        cum = cum.join(tot, on=g, how="inner")
-    else:
-        cum = cum.withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), on="_k").drop("_k")
+    cum = running_sums(sc, g, ["score"], ["pos", "neg"], totals=True) \
+        .withColumnsRenamed({"tot_pos": "P", "tot_neg": "N"})
     return (cum.withColumn("tp", F.col("P") - F.col("cum_pos") + F.col("pos"))
                .withColumn("fp", F.col("N") - F.col("cum_neg") + F.col("neg")))
 
@@ -220,8 +215,9 @@ def threshold_scan(df: DataFrame, label_col: str = "label", score_col: str = "sc
             cols.append("target_domain_pos_rate")
     out = agg.select(*cols)
     if with_ranking:
-        rk = auroc_ap(df, label_col, score_col).select("auroc", "auprc").withColumn("_k", F.lit(1))
-        out = out.withColumn("_k", F.lit(1)).join(F.broadcast(rk), on="_k").drop("_k")
+        rk = auroc_ap(df, label_col, score_col).first()   # two numbers
+        out = out.withColumn("auroc", F.lit(rk["auroc"]).cast("double")) \
+            .withColumn("auprc", F.lit(rk["auprc"]).cast("double"))
     return out
 
 
@@ -244,7 +240,7 @@ def choose_threshold(scan: DataFrame, metric: str = "f1", min_precision: float |
     if min_recall > 0.0:
         ok = F.col("_in") & (F.col("recall") >= F.lit(float(min_recall)))
         # scan tables hold 101 rows: a global window over them is bounded
-        any_ok = F.max(ok.cast("int")).over(Window.partitionBy(F.lit(0)))
+        any_ok = F.max(ok.cast("int")).over(Window.partitionBy())
         s = s.withColumn("_cand", F.when(any_ok == 1, ok).otherwise(F.col("_in")))
     else:
         s = s.withColumn("_cand", F.col("_in"))
@@ -276,5 +272,4 @@ def score_quantiles(df: DataFrame, score_col: str = "score", group_cols: Sequenc
         clean.agg(F.count(F.lit(1)).alias("n"), F.avg(score_col).alias("mean"))
     if g:
         return basic.join(q, on=g, how="left").select(*g, "n", "mean", "median", "p10", "p25", "p75", "p90")
-    return basic.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), on="_k") \
-        .select("n", "mean", "median", "p10", "p25", "p75", "p90")
+    return collapse_rows(basic, q).select("n", "mean", "median", "p10", "p25", "p75", "p90")

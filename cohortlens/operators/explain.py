@@ -35,7 +35,7 @@ def _loss(metric: str, label: str, score: str):
 def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequence[str], scorer: Scorer,
                            n_repeats: int = 5, seed: int = 42, metric: str = "brier") -> DataFrame:
     """Mean and population std over repeats of loss(permuted) - loss(base)."""
-    base = scorer(rows).agg(_loss(metric, label, "score").alias("base_loss"))
+    base_loss = scorer(rows).agg(_loss(metric, label, "score")).first()[0]    # one number
     combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                        for f in features for r in range(n_repeats)])
     ex = rows.select("*", F.explode(combos).alias("_c")).select("*", "_c.feature", "_c.rep").drop("_c")
@@ -54,8 +54,7 @@ def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequ
                              for f in features}).drop("_ha", "_k", "_dv")
     scored = scorer(perm)
     per = scored.groupBy("feature", "rep").agg(_loss(metric, label, "score").alias("perm_loss"))
-    per = per.withColumn("_j", F.lit(1)).join(F.broadcast(base.withColumn("_j", F.lit(1))), "_j")
-    delta = F.col("perm_loss") - F.col("base_loss")
+    delta = F.col("perm_loss") - F.lit(float(base_loss))
     return per.groupBy("feature").agg(F.avg(delta).alias("importance_mean"),
                                       F.stddev_pop(delta).alias("importance_std"))
 

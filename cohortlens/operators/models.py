@@ -36,12 +36,11 @@ def positive_probability(pred: DataFrame, prob_col: str = "probability", out: st
 def resample_by_weight(df: DataFrame, key: str, weight: str, seed: int = 7) -> DataFrame:
     """Rows repeated about w / mean(w) times (floor + md5 Bernoulli on the
     fraction), for estimators without a weight column."""
-    mean = df.agg(F.avg(weight).alias("_mw")).withColumn("_j", F.lit(1))
-    j = df.withColumn("_j", F.lit(1)).join(F.broadcast(mean), "_j")
-    e = F.col(weight) / F.col("_mw")
+    mean = df.agg(F.avg(weight)).first()[0] or 1.0     # one number
+    e = F.col(weight) / F.lit(float(mean))
     copies = F.floor(e).cast("int") + (X.hash_fraction(F.col(key), "resample", seed) < (e - F.floor(e))).cast("int")
-    return j.withColumn("_c", copies).where(F.col("_c") > 0) \
-        .withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_j", "_mw", "_c", "_r")
+    return df.withColumn("_c", copies).where(F.col("_c") > 0) \
+        .withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_c", "_r")
 
 
 def fit_classifier(train: DataFrame, kind: str, n_features: int, label: str = "label",

@@ -31,9 +31,12 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
-                 value_cols: Sequence[str], prefix: str = "cum_", buckets: int | None = None) -> DataFrame:
+                 value_cols: Sequence[str], prefix: str = "cum_", buckets: int | None = None,
+                 totals: bool = False) -> DataFrame:
     """Add ``cum_<v>``: sum of ``v`` over the rows of the same group up to and
-    including the current one, in ``order_cols`` order.
+    including the current one, in ``order_cols`` order; with ``totals`` also
+    ``tot_<v>``, the group total (taken from the small bucket table, so no
+    join or extra pass is needed).
 
     The order must be total inside a group (pre-aggregate ties, or add a
     unique tiebreak) for the result to be deterministic.
@@ -43,11 +46,13 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     nb = _n_buckets(df, buckets)
     ranged = df.repartitionByRange(nb, *[F.col(g) for g in group_cols], *order_exprs) \
         .withColumn("_bkt", F.spark_partition_id())
-    totals = ranged.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
-    before = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy("_bkt") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group_cols, "_bkt", *[
-        F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
+    bucket_sums = ranged.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
+    # bucket table: at most groups x buckets rows, so windows over it are bounded
+    grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+    before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum(f"_tot_{v}").over(grp).alias(f"tot_{v}") for v in value_cols] if totals else []
+    offsets = bucket_sums.select(*group_cols, "_bkt", *[
+        F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols], *extra)
     inside = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_exprs) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ranged.join(offsets, on=[*group_cols, "_bkt"], how="inner")
@@ -67,38 +72,35 @@ def dense_rank_global(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy 'linear', Spark ``percentile``,
-    DuckDB ``quantile_cont``) for a bounded number of groups, computed without
-    any single task seeing a whole group.
+    DuckDB ``quantile_cont``), computed without any single task seeing a whole
+    group.
 
+    Distinct values are counted, running counts give each value its rank
+    interval [start, cum); every value row knows its group size n, so it can
+    tell by itself whether it holds rank floor((n-1)q) or ceil((n-1)q) for each
+    q — no join, a bounded (#probs x 2) check per distinct value.
     Returns one row per (group, q) with columns ``q`` and ``value``; NULL and
     NaN values are ignored.
     """
-    user_groups = list(group_cols)
-    group_cols = user_groups or ["_g"]
+    group_cols = list(group_cols)
     x = F.col(value_col).cast("double")
-    base = df if user_groups else df.withColumn("_g", F.lit(0))
-    clean = base.select(*group_cols, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    clean = df.select(*group_cols, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     counts = clean.groupBy(*group_cols, "_x").agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = running_sums(counts, group_cols, ["_x"], ["_cnt"], buckets=buckets) \
-        .withColumn("_start", F.col("cum__cnt") - F.col("_cnt"))
-    # targets: per group and q, the two ranks to interpolate between
-    sizes = counts.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
-    qarr = F.array(*[F.lit(float(q)) for q in probs])
-    targets = sizes.select(*group_cols, "_n", F.explode(qarr).alias("q")) \
-        .withColumn("_h", (F.col("_n") - 1) * F.col("q")) \
-        .withColumn("_lo", F.floor("_h").cast("bigint")) \
-        .withColumn("_hi", F.ceil("_h").cast("bigint")) \
-        .withColumn("_frac", F.col("_h") - F.col("_lo")) \
-        .select(*group_cols, "q", "_frac", F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("_lo").alias("r")),
-            F.struct(F.lit(1).alias("side"), F.col("_hi").alias("r")))).alias("_t"), "_lo", "_hi")
-    # each value row meets its group's (#probs x 2) targets: a bounded fan-out
-    hit = cum.join(targets, on=group_cols, how="inner")
-    hit = hit.where((F.col("_start") <= F.col("_t.r")) & (F.col("_t.r") < F.col("cum__cnt")))
-    picked = hit.groupBy(*group_cols, "q", "_frac").agg(
-        F.max(F.when(F.col("_t.side") == 0, F.col("_x"))).alias("_vlo"),
-        F.max(F.when(F.col("_t.side") == 1, F.col("_x"))).alias("_vhi"))
-    return picked.select(*user_groups, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+    cum = running_sums(counts, group_cols, ["_x"], ["_cnt"], buckets=buckets, totals=True)
+    start, end, n = F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt"), F.col("tot__cnt")
+    targets = []
+    for q in probs:
+        h = (n - 1) * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        targets.append(F.struct(F.lit(float(q)).alias("q"), (h - lo).alias("frac"),
+                                ((start <= lo) & (lo < end)).alias("is_lo"), ((start <= hi) & (hi < end)).alias("is_hi")))
+    hits = cum.select(*group_cols, "_x", F.explode(F.array(*targets)).alias("_t")) \
+        .where(F.col("_t.is_lo") | F.col("_t.is_hi"))
+    picked = hits.groupBy(*group_cols, F.col("_t.q").alias("q")).agg(
+        F.max(F.when(F.col("_t.is_lo"), F.col("_x"))).alias("_vlo"),
+        F.max(F.when(F.col("_t.is_hi"), F.col("_x"))).alias("_vhi"),
+        F.max("_t.frac").alias("_frac"))
+    return picked.select(*group_cols, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
                          .alias("value"))
 
 
@@ -110,3 +112,22 @@ def quantiles_wide(df: DataFrame, value_col: str, probs: Sequence[float], names:
     if group_cols:
         return long.groupBy(*group_cols).agg(*aggs)
     return long.agg(*aggs)
+
+
+def collapse_rows(*frames: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Combine aggregates that share the same group keys (one row per group
+    each, disjoint value columns) into one row per group: union by name, then
+    keep each column's single non-NULL value.  Replaces joins of one-row
+    aggregates (which the optimizer turns into nested-loop joins)."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    cols = [c for c in dict.fromkeys(c for f in frames for c in f.columns) if c not in group_cols]
+    aggs = [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    return u.groupBy(*group_cols).agg(*aggs) if group_cols else u.agg(*aggs)
+
+
+def scalar(df: DataFrame, col: str | None = None):
+    """Value of a one-row aggregate on the driver (a single number)."""
+    row = df.first()
+    return None if row is None else (row[col] if col else row[0])

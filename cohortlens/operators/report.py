@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
-from cohortlens.operators.ordered import exact_quantiles, quantiles_wide
-
-
-def _one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast of exactly one row)."""
-    return left.withColumn("_k", F.lit(1)).join(F.broadcast(right.withColumn("_k", F.lit(1))), "_k").drop("_k")
+from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar
 
 
 def bin_dimension(spark, specs: Mapping[str, tuple]) -> DataFrame:
@@ -60,15 +55,13 @@ def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence
                       categorical: Sequence[str]) -> DataFrame:
     """Rows at or above the score's q-quantile: count, means, medians, modes
     (ties -> smallest value).  The cut-off is an exact distributed quantile."""
-    cut = quantiles_wide(df, score_col, [q], ["cutoff"])
-    top = _one_row_join(df, cut).where(F.col(score_col) >= F.col("cutoff"))
-    aggs = [F.first("cutoff").alias("cutoff"), F.count(F.lit(1)).alias("n")]
+    cutoff = scalar(quantiles_wide(df, score_col, [q], ["cutoff"]))   # one number
+    top = df.where(F.col(score_col) >= F.lit(cutoff))
+    aggs = [F.lit(cutoff).cast("double").alias("cutoff"), F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"{c}_mean") for c in numeric]
     aggs += [F.avg(score_col).alias("score_mean")]
     aggs += [F.mode(c, True).alias(f"{c}_mode") for c in categorical]
-    out = top.agg(*aggs)
-    for c in numeric:
-        out = _one_row_join(out, quantiles_wide(top, c, [0.5], [f"{c}_median"]))
+    out = collapse_rows(top.agg(*aggs), *[quantiles_wide(top, c, [0.5], [f"{c}_median"]) for c in numeric])
     order = ["cutoff", "n"] + [x for c in numeric for x in (f"{c}_mean", f"{c}_median")] + ["score_mean"] + \
         [f"{c}_mode" for c in categorical]
     return out.select(*order)

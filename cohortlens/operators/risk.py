@@ -11,13 +11,13 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
-from cohortlens.operators.ordered import exact_quantiles, quantiles_wide
+from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
@@ -86,8 +86,9 @@ def _edge_table(df: DataFrame, edges: Sequence[float], labels: Sequence[str]) ->
 
 def _odds_from_counts(per_key: DataFrame, key: str, factor: float, min_count: int = 0) -> DataFrame:
     """Totals over every row (NULL key included) -> OR / weight per non-empty key."""
-    tot = per_key.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N")).withColumn("_k", F.lit(1))
-    t = per_key.withColumn("_k", F.lit(1)).join(F.broadcast(tot), on="_k").drop("_k")
+    # per-key tables hold one row per bin / category: a window over them is bounded
+    every = Window.partitionBy()
+    t = per_key.withColumn("_P", F.sum("pos").over(every)).withColumn("_N", F.sum("neg").over(every))
     t = t.withColumn("n", F.col("pos") + F.col("neg")).where((F.col("n") > 0) & (F.col("n") >= min_count))
     orv = X.smoothed_odds_ratio("pos", "neg", F.col("_P") - F.col("pos"), F.col("_N") - F.col("neg"))
     return t.select(key, "n", "pos", "neg", (F.col("pos") / F.col("n")).alias("pos_rate"),
@@ -147,7 +148,7 @@ def mode_targets(df: DataFrame, numeric_tables: dict[str, DataFrame], numeric_ed
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    allp = allp.withColumn("_k", F.lit(1)).join(F.broadcast(base.withColumn("_k", F.lit(1))), "_k")
+    allp = allp.withColumn("base_pos_rate", F.lit(scalar(base)).cast("double"))
     k = (F.lit(X.py_logit(target_prob)) - X.clamped_logit(F.col("base_pos_rate"))) / F.log("odds_ratio")
     return allp.select("feature", "mode", F.col("pos_rate").alias("mode_pos_rate"),
                        F.col("odds_ratio").alias("mode_or"),
@@ -321,4 +322,4 @@ def describe_cohort(df: DataFrame, age_col: str, sex_col: str, label_col: str =
                   F.count(F.when(sex == "Female", 1)).alias("n_female"),
                   F.count(F.when(sex == "Unknown", 1)).alias("n_sex_unknown"),
                   F.avg((F.col(label_col).cast("int") == 1).cast("double")).alias("pos_share"))
-    return base.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return collapse_rows(base, med)

@@ -19,6 +19,7 @@ from cohortlens.operators import evaluate as E
 from cohortlens.operators import features as FE
 from cohortlens.operators import models as M
 from cohortlens.operators import weights as W
+from cohortlens.operators.ordered import collapse_rows
 
 
 @dataclass
@@ -168,8 +169,7 @@ def split_metrics(df: DataFrame, res: TrainResult, name: str) -> DataFrame:
         rk = E.auroc_ap(s, res.cfg.label, "score")
         br = E.brier(s, res.cfg.label, "score").select("brier")
         cm = E.classification_metrics(s, res.threshold, res.cfg.label, "score").drop("domain", "n")
-        one = rk.withColumn("_j", F.lit(1)).join(br.withColumn("_j", F.lit(1)), "_j") \
-            .join(cm.withColumn("_j", F.lit(1)), "_j").drop("_j")
+        one = collapse_rows(rk, br, cm)
         rows.append(one.select(F.lit(name).alias("model"), F.lit(sp).alias("split"), "*"))
     return rows[0].unionByName(rows[1])
 
