@@ -5,15 +5,20 @@ A window with no PARTITION BY runs in one task, and Spark's exact
 Both break on a 100 TB table.  The helpers here use the classic two-level
 scheme instead:
 
-1. range-partition the rows by (group, order key) -> ``spark_partition_id``
-   names a contiguous bucket of the order;
+1. each row gets a bucket, a deterministic function of its leading order
+   key: the number of per-group ``percentile_approx`` bounds at or below it
+   (a balanced CASE tree, log2(buckets) comparisons).  Being a pure function
+   of the row, the bucket is the same however often and wherever the plan is
+   recomputed (no dependence on sampled range-partition bounds);
 2. per-(group, bucket) totals form a table of at most groups x buckets rows,
    whose running sums give each bucket's offset;
 3. a window partitioned by (group, bucket) finishes the running sum inside
    each bucket, so no task sees more than one bucket.
 
 Used for exact AUROC / average precision, ROC and PR tables, exact
-quantiles and dense global ranks (permutations, exact splits).
+quantiles and dense global ranks (permutations, exact splits).  Inputs are
+pre-aggregated to distinct order keys (or carry a unique tiebreak), so a hot
+value is one row, not a hot bucket.
 """
 
 from __future__ import annotations
@@ -30,23 +35,59 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+MAX_GROUPS = 4096
+
+
+def _tree(key: Column, bounds: Sequence, lo: int, hi: int) -> Column:
+    """Number of bounds[lo:hi] that are <= key, as a balanced CASE tree."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key < F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
+
+
+def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int) -> Column:
+    """Deterministic bucket of ``key`` inside its group from approximate
+    per-group quantile bounds (one small aggregate: groups x buckets numbers)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    if not probs:
+        return F.lit(0)
+    agg = F.percentile_approx(key, probs, 10000).alias("_b")
+    rows = (df.groupBy(*group_cols).agg(agg) if group_cols else df.agg(agg)).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
+    exprs = []
+    for r in rows:
+        b = sorted(set(x for x in (r["_b"] or []) if x is not None))
+        exprs.append(([r[g] for g in group_cols], _tree(key, b, 0, len(b))))
+    if not group_cols or len(exprs) == 1 and not group_cols:
+        return exprs[0][1] if exprs else F.lit(0)
+    out = None
+    for vals, tree in exprs:
+        cond = None
+        for g, v in zip(group_cols, vals):
+            c = F.col(g).isNull() if v is None else (F.col(g) == F.lit(v))
+            cond = c if cond is None else (cond & c)
+        out = F.when(cond, tree) if out is None else out.when(cond, tree)
+    return out.otherwise(F.lit(0)) if out is not None else F.lit(0)
+
+
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                  value_cols: Sequence[str], prefix: str = "cum_", buckets: int | None = None,
                  totals: bool = False) -> DataFrame:
     """Add ``cum_<v>``: sum of ``v`` over the rows of the same group up to and
-    including the current one, in ``order_cols`` order; with ``totals`` also
-    ``tot_<v>``, the group total (taken from the small bucket table, so no
-    join or extra pass is needed).
+    including the current one, in ascending ``order_cols`` order; with
+    ``totals`` also ``tot_<v>``, the group total (taken from the small bucket
+    table, so no join or extra pass is needed).
 
-    The order must be total inside a group (pre-aggregate ties, or add a
-    unique tiebreak) for the result to be deterministic.
+    The leading order column must be numeric; the order must be total inside
+    a group (pre-aggregate ties, or add a unique tiebreak).
     """
     group_cols = list(group_cols)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     nb = _n_buckets(df, buckets)
-    ranged = df.repartitionByRange(nb, *[F.col(g) for g in group_cols], *order_exprs) \
-        .withColumn("_bkt", F.spark_partition_id())
-    bucket_sums = ranged.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
+    keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], nb))
+    bucket_sums = keyed.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     # bucket table: at most groups x buckets rows, so windows over it are bounded
     grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +96,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
         F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols], *extra)
     inside = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_exprs) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(offsets, on=[*group_cols, "_bkt"], how="inner")
+    out = keyed.join(offsets, on=[*group_cols, "_bkt"], how="inner")
     out = out.select("*", *[(F.col(f"_off_{v}") + F.sum(v).over(inside)).alias(f"{prefix}{v}")
                             for v in value_cols])
     return out.drop("_bkt", *[f"_off_{v}" for v in value_cols])

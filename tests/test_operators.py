@@ -230,6 +230,21 @@ def test_dense_rank_is_a_permutation(spark):
                              F.min("rank0").alias("lo"), F.max("rank0").alias("hi")).collect()
     for a in agg:
         assert a["n"] == a["d"] == a["hi"] + 1 and a["lo"] == 0
+    got = r.select("g", "h", "id", "rank0").toPandas()
+    want = got.sort_values(["g", "h", "id"]).groupby("g").cumcount()
+    assert (got.loc[want.index, "rank0"].values == want.values).all()
+
+
+def test_running_sums_consistent_when_reused(spark):
+    """Buckets are a pure function of the row, so two consumers of one frame agree."""
+    df = spark.range(0, 3000).withColumn("g", (F.col("id") % 2).cast("int")) \
+        .withColumn("h", X.hash_u32(F.col("id"))).withColumn("one", F.lit(1))
+    r = O.running_sums(df, ["g"], [F.col("h"), F.col("id")], ["one"], buckets=7, totals=True)
+    a = r.select("g", "id", "cum_one", "tot_one")
+    b = r.select("g", "id", F.col("cum_one").alias("c2"))
+    j = a.join(b, ["g", "id"])
+    assert j.where(F.col("cum_one") != F.col("c2")).count() == 0
+    assert {x[0] for x in r.select("tot_one").distinct().collect()} == {1500}
 
 
 # -------------------------------------------------------------- invariants --
