@@ -58,7 +58,8 @@ def auroc_ap(df: DataFrame, label_col: str = "label", score_col: str = "score",
         F.first("P").alias("n_pos"),
         F.when(two_class, F.sum(F.col("pos") * (2 * F.col("cum_neg") - F.col("neg"))).cast("double")
                / (F.lit(2.0) * F.first("P") * F.first("N"))).alias("auroc"),
-        F.when(two_class, F.sum((F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))))
+        F.when(two_class, F.sum(F.when(F.col("P") > 0, (F.col("pos") / F.col("P"))
+                                       * (F.col("tp") / (F.col("tp") + F.col("fp"))))))
         .alias("auprc"),
     ]
     return cum.groupBy(*g).agg(*aggs) if g else cum.agg(*aggs)
@@ -87,7 +88,7 @@ def _threshold_metrics(tp, fp, p, n) -> list[Column]:
     tn = n - fp
     pred = tp + fp
     return [
-        ((tp + tn) / (p + n)).alias("accuracy"),
+        F.when(p + n > 0, (tp + tn) / (p + n)).alias("accuracy"),
         F.when(pred > 0, tp / pred).otherwise(F.lit(0.0)).alias("precision"),
         F.when(p > 0, tp / p).otherwise(F.lit(0.0)).alias("recall"),
         F.when(p + pred > 0, (2 * tp) / (p + pred)).otherwise(F.lit(0.0)).alias("f1"),

@@ -46,7 +46,7 @@ def resample_by_weight(df: DataFrame, key: str, weight: str, seed: int = 7) -> D
 def fit_classifier(train: DataFrame, kind: str, n_features: int, label: str = "label",
                    weight: str | None = "sample_weight", features: str = "features", seed: int = 42,
                    key: str | None = None, params: dict | None = None) -> Model:
-    """Logistic regression (L2, C = 1 -> regParam = 1 / sum w), gradient
+    """Logistic regression (L2, C = 1 -> regParam = 1 / sum w, tol 1e-4), gradient
     boosting, random forest or a (32, 16) perceptron."""
     params = dict(params or {})
     train = train.withColumn(label, F.col(label).cast("double"))
@@ -54,7 +54,7 @@ def fit_classifier(train: DataFrame, kind: str, n_features: int, label: str = "l
         wsum = train.agg(F.sum(F.col(weight) if weight else F.lit(1.0))).first()[0] or 1.0
         est = LogisticRegression(featuresCol=features, labelCol=label, maxIter=params.pop("maxIter", 200),
                                  regParam=params.pop("regParam", 1.0 / wsum), elasticNetParam=0.0,
-                                 standardization=False, **params)
+                                 tol=params.pop("tol", 1e-4), standardization=False, **params)
         if weight:
             est.setWeightCol(weight)
     elif kind == "gbt":

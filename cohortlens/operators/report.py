@@ -48,7 +48,7 @@ def age_bmi_grid(df: DataFrame, age_col: str, bmi_col: str, score_col: str) -> D
 def age_contrast(df: DataFrame, age_col: str, score_col: str, hi: float = 70, lo: float = 40) -> DataFrame:
     a, s = F.col(age_col), F.col(score_col)
     out = df.agg(F.avg(F.when(a >= hi, s)).alias("mean_ge70"), F.avg(F.when(a < lo, s)).alias("mean_lt40"))
-    return out.withColumn("ratio", F.col("mean_ge70") / F.col("mean_lt40"))
+    return out.withColumn("ratio", F.try_divide(F.col("mean_ge70"), F.col("mean_lt40")))
 
 
 def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence[str],

@@ -108,7 +108,10 @@ def _weights(train: DataFrame, cfg: TrainConfig) -> DataFrame:
     if cfg.pu_prob > 0:
         w = W.pu_rows(w, cfg.label, cfg.domain, cfg.unlabeled_domain, cfg.pu_prob)
         names.append("pu_weight")
-    elif cfg.class_weight and cfg.model in ("logreg", "rf"):
+    # logistic regression is class-balanced inside the model (computed on the
+    # labels it is fitted on, PU copies included); other models get balanced
+    # sample weights only when PU smoothing is off (M5)
+    if cfg.class_weight and (cfg.model == "logreg" or cfg.pu_prob <= 0):
         w = W.class_weights(w, cfg.label)
         names.append("class_weight")
     return W.combine_weights(w, names)
@@ -179,7 +182,11 @@ def test_by_domain(df: DataFrame, res: TrainResult) -> DataFrame:
     if "split" not in df.columns:
         df = W.hash_split(df, res.cfg.key, res.cfg.seed)
     s = scored_split(df, res, "test")
-    return E.classification_metrics(s, res.threshold, res.cfg.label, "score", res.cfg.domain)
+    cm = E.classification_metrics(s, res.threshold, res.cfg.label, "score", res.cfg.domain)
+    rk = E.auroc_ap(s, res.cfg.label, "score", [res.cfg.domain]).select(
+        F.col(res.cfg.domain).cast("string").alias("domain"), "auroc", "auprc") \
+        .unionByName(E.auroc_ap(s, res.cfg.label, "score").select(F.lit("all").alias("domain"), "auroc", "auprc"))
+    return cm.join(rk, "domain", "left")     # one row per domain on both sides
 
 
 def batch_score(df: DataFrame, res: TrainResult, keep: Sequence[str] | None = None) -> DataFrame:
