@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
-from cohortlens.operators.ordered import dense_rank_global
+from cohortlens.operators.ordered import HASH_RANGE, dense_rank_global
 
 Scorer = Callable[[DataFrame], DataFrame]   # rows -> rows + "score"
 
@@ -41,14 +41,16 @@ def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequ
     ex = rows.select("*", F.explode(combos).alias("_c")).select("*", "_c.feature", "_c.rep").drop("_c")
     ha = X.hash_u32(F.col(key), F.col("feature"), F.col("rep"), seed, "a")
     hb = X.hash_u32(F.col(key), F.col("feature"), F.col("rep"), seed, "b")
-    recv = dense_rank_global(ex.withColumn("_ha", ha), ["feature", "rep"], [F.col("_ha"), F.col(key)], "_k")
+    recv = dense_rank_global(ex.withColumn("_ha", ha), ["feature", "rep"], [F.col("_ha"), F.col(key)], "_k",
+                             key_range=HASH_RANGE)
     types = {f: rows.schema[f].dataType for f in features}
     donor_val = None
     for f in features:
         v = F.col(f).cast("string")
         donor_val = F.when(F.col("feature") == f, v) if donor_val is None else donor_val.when(F.col("feature") == f, v)
     don = dense_rank_global(ex.withColumn("_hb", hb).select(key, "feature", "rep", "_hb", donor_val.alias("_dv")),
-                            ["feature", "rep"], [F.col("_hb"), F.col(key)], "_k").select("feature", "rep", "_k", "_dv")
+                            ["feature", "rep"], [F.col("_hb"), F.col(key)], "_k",
+                            key_range=HASH_RANGE).select("feature", "rep", "_k", "_dv")
     perm = recv.join(don, ["feature", "rep", "_k"], "inner")
     perm = perm.withColumns({f: F.when(F.col("feature") == f, F.col("_dv").cast(types[f])).otherwise(F.col(f))
                              for f in features}).drop("_ha", "_k", "_dv")

@@ -46,13 +46,23 @@ def _tree(key: Column, bounds: Sequence, lo: int, hi: int) -> Column:
     return F.when(key < F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
 
 
-def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int) -> Column:
-    """Deterministic bucket of ``key`` inside its group from approximate
-    per-group quantile bounds (one small aggregate: groups x buckets numbers)."""
+def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int,
+              key_range: tuple[float, float] | None = None) -> Column:
+    """Deterministic bucket of ``key`` inside its group.
+
+    With ``key_range`` (keys known to be uniform on it, e.g. md5-derived
+    32-bit hashes) buckets are equal-width arithmetic, no pass needed.
+    Otherwise bounds come from per-group approximate quantiles (one small
+    aggregate: groups x buckets numbers); a rank error well under 1/buckets
+    is all balance needs, so the sketch is kept small."""
+    if key_range is not None:
+        lo, hi = float(key_range[0]), float(key_range[1])
+        b = F.floor((key.cast("double") - F.lit(lo)) * F.lit(buckets / (hi - lo))).cast("int")
+        return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1))
     probs = [i / buckets for i in range(1, buckets)]
     if not probs:
         return F.lit(0)
-    agg = F.percentile_approx(key, probs, 10000).alias("_b")
+    agg = F.percentile_approx(key, probs, max(200, 25 * buckets)).alias("_b")
     rows = (df.groupBy(*group_cols).agg(agg) if group_cols else df.agg(agg)).collect()
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
@@ -74,7 +84,7 @@ def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: in
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                  value_cols: Sequence[str], prefix: str = "cum_", buckets: int | None = None,
-                 totals: bool = False) -> DataFrame:
+                 totals: bool = False, key_range: tuple[float, float] | None = None) -> DataFrame:
     """Add ``cum_<v>``: sum of ``v`` over the rows of the same group up to and
     including the current one, in ascending ``order_cols`` order; with
     ``totals`` also ``tot_<v>``, the group total (taken from the small bucket
@@ -86,7 +96,7 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     group_cols = list(group_cols)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     nb = _n_buckets(df, buckets)
-    keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], nb))
+    keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], nb, key_range))
     bucket_sums = keyed.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     # bucket table: at most groups x buckets rows, so windows over it are bounded
     grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
@@ -102,11 +112,17 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     return out.drop("_bkt", *[f"_off_{v}" for v in value_cols])
 
 
+HASH_RANGE = (0.0, 4294967296.0)
+
+
 def dense_rank_global(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
-                      name: str = "rank0", buckets: int | None = None) -> DataFrame:
-    """0-based row index inside each group in ``order_cols`` order (order must be unique)."""
+                      name: str = "rank0", buckets: int | None = None,
+                      key_range: tuple[float, float] | None = None) -> DataFrame:
+    """0-based row index inside each group in ``order_cols`` order (order must
+    be unique).  Pass ``key_range=HASH_RANGE`` when the leading key is a
+    32-bit md5 draw."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    out = running_sums(one, group_cols, order_cols, ["_one"], prefix="_cum", buckets=buckets)
+    out = running_sums(one, group_cols, order_cols, ["_one"], prefix="_cum", buckets=buckets, key_range=key_range)
     return out.withColumn(name, F.col("_cum_one") - F.lit(1)).drop("_one", "_cum_one")
 
 

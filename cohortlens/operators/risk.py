@@ -48,50 +48,72 @@ def _label_counts(label_col: str) -> list[Column]:
 
 def positive_quartile_edges(df: DataFrame, feature: str, label_col: str = "label") -> list[float] | None:
     """Unique edges [-inf, q1, q2, q3, inf] from the positives' quartiles (merged
-    when repeated); None when no positive has a value.  Three numbers reach
-    the driver."""
+    when repeated); None when no positive has a value."""
+    return positive_quartile_edges_many(df, [feature], label_col).get(feature)
+
+
+def positive_quartile_edges_many(df: DataFrame, features: Sequence[str], label_col: str = "label") -> dict:
+    """Quartile edges of several features from one distributed quantile job
+    over stacked (feature, value) pairs of the positives; 3 numbers per
+    feature reach the driver."""
     pos = df.where(F.col(label_col).cast("int") == 1)
-    q = quantiles_wide(pos, feature, [0.25, 0.5, 0.75], ["q1", "q2", "q3"]).collect()
-    if not q or q[0]["q1"] is None:
-        return None
-    edges = sorted({float("-inf"), q[0]["q1"], q[0]["q2"], q[0]["q3"], float("inf")})
-    return edges
+    stacked = pos.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _num(df, f).alias("v"))
+                                             for f in features])).alias("e")).select("e.*")
+    rows = quantiles_wide(stacked, "v", [0.25, 0.5, 0.75], ["q1", "q2", "q3"], ["feature"]).collect()
+    out = {}
+    for r in rows:
+        if r["q1"] is not None:
+            out[r["feature"]] = sorted({float("-inf"), r["q1"], r["q2"], r["q3"], float("inf")})
+    return out
+
+
+def _num(df: DataFrame, c: str) -> Column:
+    return F.col(c).cast("double") if _is_numeric(df, c) else X.to_number(c)
 
 
 def numeric_odds_table(df: DataFrame, feature: str, label_col: str = "label", factor: float = 0.5,
                        edges: Sequence[float] | None = None) -> DataFrame:
-    """Quartile-bin odds table: bins right-closed on the positives' quartiles;
-    per bin n, pos, neg, pos_rate, smoothed OR against all other rows
-    (NULL-valued rows included), weight ``1 + f tanh(ln OR)``; empty bins skipped."""
-    edges = list(edges) if edges is not None else positive_quartile_edges(df, feature, label_col)
+    """Quartile-bin odds table of one feature (see :func:`numeric_odds_tables`)."""
+    return numeric_odds_tables(df, [feature], label_col, factor,
+                               {feature: list(edges)} if edges is not None else None)
+
+
+def numeric_odds_tables(df: DataFrame, features: Sequence[str], label_col: str = "label", factor: float = 0.5,
+                        edges: dict | None = None) -> DataFrame:
+    """Quartile-bin odds tables — bins right-closed on the positives'
+    quartiles; per bin n, pos, neg, pos_rate, smoothed OR against all other
+    rows (NULL-valued rows included), weight ``1 + f tanh(ln OR)``; empty bins
+    skipped.  All features are binned in one stacked aggregate."""
+    edges = dict(edges) if edges is not None else positive_quartile_edges_many(df, features, label_col)
+    feats = [f for f in features if f in edges and len(edges[f]) >= 3]
     schema = "feature string, bin string, bin_low double, bin_high double, n bigint, pos bigint, " \
              "neg bigint, pos_rate double, odds_ratio double, weight double"
-    if edges is None or len(edges) < 3:
+    if not feats:
         return df.sparkSession.createDataFrame([], schema)
-    labels = [f"Q{i + 1}" for i in range(len(edges) - 1)]
-    x = X.to_number(feature) if not _is_numeric(df, feature) else F.col(feature).cast("double")
-    binned = df.select(X.bin_expr(x, edges, labels, right=True, include_lowest=True).alias("bin"),
-                       F.col(label_col).alias("_y"))
-    per_bin = binned.groupBy("bin").agg(*_label_counts("_y"))
-    return _odds_from_counts(per_bin, "bin", factor).where(F.col("bin").isNotNull()) \
-        .join(_edge_table(df, edges, labels), on="bin", how="inner") \
-        .select(F.lit(feature).alias("feature"), "bin", "bin_low", "bin_high", "n", "pos", "neg",
-                "pos_rate", "odds_ratio", "weight")
-
-
-def _edge_table(df: DataFrame, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
-    rows = [(lab, float(edges[i]), float(edges[i + 1])) for i, lab in enumerate(labels)]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "bin string, bin_low double, bin_high double"))
-
-
-def _odds_from_counts(per_key: DataFrame, key: str, factor: float, min_count: int = 0) -> DataFrame:
+    labels = {f: [f"Q{i + 1}" for i in range(len(edges[f]) - 1)] for f in feats}
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"),
+                 X.bin_expr(_num(df, f), edges[f], labels[f], right=True, include_lowest=True).alias("bin"))
+        for f in feats])).alias("e"), F.col(label_col).alias("_y")).select("e.*", "_y")
+    per_bin = stacked.groupBy("feature", "bin").agg(*_label_counts("_y"))
+    dim = df.sparkSession.createDataFrame(
+        [(f, lab, float(edges[f][i]), float(edges[f][i + 1])) for f in feats for i, lab in enumerate(labels[f])],
+        "feature string, bin string, bin_low double, bin_high double")
+    odds = _odds_from_counts(per_bin, "bin", factor, group_col="feature").where(F.col("bin").isNotNull())
+    return odds.join(F.broadcast(dim), ["feature", "bin"], "inner") \
+        .select("feature", "bin", "bin_low", "bin_high", "n", "pos", "neg", "pos_rate", "odds_ratio", "weight")
+
+
+def _odds_from_counts(per_key: DataFrame, key: str, factor: float, min_count: int = 0,
+                      group_col: str | None = None) -> DataFrame:
     """Totals over every row (NULL key included) -> OR / weight per non-empty key."""
-    # per-key tables hold one row per bin / category: a window over them is bounded
-    every = Window.partitionBy()
+    # per-key tables hold one row per bin / category (per feature): windows over them are bounded
+    every = Window.partitionBy(group_col) if group_col else Window.partitionBy()
     t = per_key.withColumn("_P", F.sum("pos").over(every)).withColumn("_N", F.sum("neg").over(every))
     t = t.withColumn("n", F.col("pos") + F.col("neg")).where((F.col("n") > 0) & (F.col("n") >= min_count))
     orv = X.smoothed_odds_ratio("pos", "neg", F.col("_P") - F.col("pos"), F.col("_N") - F.col("neg"))
-    return t.select(key, "n", "pos", "neg", (F.col("pos") / F.col("n")).alias("pos_rate"),
+    keep = [group_col] if group_col else []
+    return t.select(*keep, key, "n", "pos", "neg", (F.col("pos") / F.col("n")).alias("pos_rate"),
                     orv.alias("odds_ratio"), X.or_to_weight(orv, factor).alias("weight"))
 
 

@@ -46,8 +46,7 @@ _ODDS_D = ["bin_low", "bin_high", "pos_rate", "odds_ratio", "weight"]
 @register("numeric_odds_table", W_PU + _odds_sql("n_chars") + "\nUNION ALL" + _odds_sql("n_lines"), doubles=_ODDS_D)
 def q_numeric_odds_table(spark, sf):
     """Quartile-bin odds tables (edges from the positives) for n_chars and n_lines."""
-    pu = pu_cohort(spark, sf, with_lines=True).cache()
-    return K.numeric_odds_table(pu, "n_chars").unionByName(K.numeric_odds_table(pu, "n_lines"))
+    return K.numeric_odds_tables(pu_cohort(spark, sf, with_lines=True), ["n_chars", "n_lines"])
 
 
 def _cat_sql(feature: str, min_count: int) -> str:
