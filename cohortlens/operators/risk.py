@@ -287,25 +287,27 @@ def age_sex_pyramid(df: DataFrame, age_col: str, sex_col: str) -> DataFrame:
 
 def numeric_drift(train: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature: n, mean, population std, median, p10, p90 on both sides,
-    mean_diff = input - train and Cohen's d = diff / sqrt((s1^2 + s2^2) / 2)."""
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
-                                                      F.col(f).cast("double").alias("v"))
-                                             for f in features])).alias("e")).select("e.*") \
-            .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        basic = long.groupBy("feature").agg(F.count(F.lit(1)).alias(f"{tag}_n"),
-                                            F.avg("v").alias(f"{tag}_mean"),
-                                            F.stddev_pop("v").alias(f"{tag}_std"))
-        q = quantiles_wide(long, "v", [0.5, 0.1, 0.9], [f"{tag}_median", f"{tag}_p10", f"{tag}_p90"],
-                           ["feature"])
-        return basic.join(q, "feature", "left")
-    tr, cu = side(train, "train"), side(current, "input")
-    j = tr.join(cu, "feature", "full_outer")
+    mean_diff = input - train and Cohen's d = diff / sqrt((s1^2 + s2^2) / 2).
+    Both sides are stacked as (side, feature, value) so one aggregate and one
+    quantile job cover everything."""
+    def stack(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(f).alias("feature"),
+                                                      F.col(f).cast("double").alias("v")) for f in features]))
+                         .alias("e")).select("e.*")
+    long = stack(train, "train").unionByName(stack(current, "input")) \
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
+    basic = long.groupBy("side", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
+                                                F.stddev_pop("v").alias("std"))
+    q = quantiles_wide(long, "v", [0.5, 0.1, 0.9], ["median", "p10", "p90"], ["side", "feature"])
+    per = basic.join(q, ["side", "feature"], "left")
+    stats = ["n", "mean", "std", "median", "p10", "p90"]
+    wide = per.groupBy("feature").pivot("side", ["train", "input"]).agg(*[F.first(c).alias(c) for c in stats])
+    wide = wide.select("feature", *[F.col(f"{sd}_{c}") for sd in ("train", "input") for c in stats])
     diff = F.col("input_mean") - F.col("train_mean")
     pooled = F.sqrt((F.pow("train_std", 2) + F.pow("input_std", 2)) / 2)
-    return j.select("feature", "train_n", "input_n", "train_mean", "input_mean", diff.alias("mean_diff"),
-                    F.when(pooled > 0, diff / pooled).alias("cohen_d"), "train_std", "input_std",
-                    "train_median", "input_median", "train_p10", "input_p10", "train_p90", "input_p90")
+    return wide.select("feature", "train_n", "input_n", "train_mean", "input_mean", diff.alias("mean_diff"),
+                       F.when(pooled > 0, diff / pooled).alias("cohen_d"), "train_std", "input_std",
+                       "train_median", "input_median", "train_p10", "input_p10", "train_p90", "input_p90")
 
 
 def categorical_drift(train: DataFrame, current: DataFrame, features: Sequence[str],

@@ -38,7 +38,8 @@ def pu_cohort(spark: SparkSession, sf_dir: str, with_lines: bool = False) -> Dat
     out = j.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang", "source",
                    F.when(F.col("quality").isNotNull(), F.lit("labelled")).otherwise(F.lit("unlabelled"))
                    .alias("domain"), label.alias("label"), score.alias("score"),
-                   *([F.size(F.split(F.col("text"), "\n")).cast("double").alias("n_lines")] if with_lines else []))
+                   *([(F.regexp_count(F.col("text"), F.lit("\n")) + 1).cast("double").alias("n_lines")]
+                     if with_lines else []))
     return out
 
 
