@@ -197,3 +197,52 @@ def batch_score(df: DataFrame, res: TrainResult, keep: Sequence[str] | None = No
     s = res.finalize(res.score(df, keep=[cfg.key]), raw_age).select(cfg.key, F.col("score").alias("risk_probability"))
     out = df.select(*keep).join(s, cfg.key, "left")
     return out.withColumn("prediction", X.risk_label("risk_probability", res.threshold))
+
+
+# ------------------------------------------------------------ persistence --
+
+_MODEL_CLASSES = {
+    "logreg": "pyspark.ml.classification.LogisticRegressionModel",
+    "gbt": "pyspark.ml.classification.GBTClassificationModel",
+    "rf": "pyspark.ml.classification.RandomForestClassificationModel",
+    "mlp": "pyspark.ml.classification.MultilayerPerceptronClassificationModel",
+}
+
+
+def save_result(res: TrainResult, path: str) -> None:
+    """Spark ML writers for the model (and isotonic calibrator), a
+    JSON sidecar for the encoder, Platt coefficients, anchors, threshold and
+    configuration — all under ``path`` (a shared folder on a cluster)."""
+    import json
+    from dataclasses import asdict
+    spark = res.scan.sparkSession if res.scan is not None else None
+    res.model.write().overwrite().save(f"{path}/model")
+    if res.isotonic is not None:
+        res.isotonic.write().overwrite().save(f"{path}/isotonic")
+    meta = {"encoder": res.encoder.to_json(), "platt": None if res.platt is None else [res.platt.a, res.platt.b],
+            "anchors": [list(a) for a in res.anchors], "threshold": res.threshold,
+            "cfg": {k: (list(v) if isinstance(v, tuple) else v) for k, v in asdict(res.cfg).items()}}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_result(spark, path: str) -> TrainResult:
+    """Inverse of :func:`save_result` (scan and choice tables are not kept)."""
+    import importlib
+    import json
+    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    cfg = TrainConfig(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in meta["cfg"].items()})
+    mod, cls = _MODEL_CLASSES[cfg.model].rsplit(".", 1)
+    model = getattr(importlib.import_module(mod), cls).load(f"{path}/model")
+    iso = None
+    if cfg.calibrate == "isotonic":
+        from pyspark.ml.regression import IsotonicRegressionModel
+        iso = IsotonicRegressionModel.load(f"{path}/isotonic")
+    platt = M.Platt(*meta["platt"]) if meta["platt"] else None
+    return TrainResult(FE.Encoder.from_json(meta["encoder"]), model, platt, iso,
+                       [tuple(a) for a in meta["anchors"]], float(meta["threshold"]), None, None, cfg)
+
+
+def evaluate_saved(spark, path: str, df: DataFrame) -> DataFrame:
+    """Load saved artefacts, score the test split, report per domain."""
+    return test_by_domain(df, load_result(spark, path))

@@ -172,3 +172,29 @@ def test_streaming_scoring_matches_batch(spark, trained, tmp_path):
     diff = got.join(batch.withColumnRenamed("risk_probability", "b"), "doc_id") \
         .where(F.abs(F.col("risk_probability") - F.col("b")) > 1e-12).count()
     assert diff == 0
+
+
+def test_save_load_roundtrip(spark, trained, tmp_path):
+    df, res = trained
+    path = str(tmp_path / "run")
+    TR.save_result(res, path)
+    back = TR.load_result(spark, path)
+    assert back.threshold == res.threshold and back.anchors == res.anchors
+    a = TR.batch_score(df.drop("split"), res, keep=["doc_id"]).withColumnRenamed("risk_probability", "a")
+    b = TR.batch_score(df.drop("split"), back, keep=["doc_id"]).withColumnRenamed("risk_probability", "b")
+    assert a.join(b, "doc_id").where(F.abs(F.col("a") - F.col("b")) > 1e-12).count() == 0
+    rep = TR.evaluate_saved(spark, path, df).collect()
+    assert {r["domain"] for r in rep} >= {"all"}
+
+
+def test_streaming_file_sink_with_checkpoint(spark, trained, tmp_path):
+    df, res = trained
+    from cohortlens.streaming.score import start_scoring
+    src = str(tmp_path / "in2")
+    df.drop("split").select("doc_id", "age_years", "lang", "source", "tobacco_smoking_status_any").write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    q = start_scoring(stream, res, str(tmp_path / "out"), str(tmp_path / "ckpt"), keep=["doc_id"], trigger_once=True)
+    q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == df.count()
+    assert set(out.columns) == {"doc_id", "risk_probability", "prediction"}
