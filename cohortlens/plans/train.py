@@ -20,6 +20,7 @@ from cohortlens.operators import features as FE
 from cohortlens.operators import models as M
 from cohortlens.operators import weights as W
 from cohortlens.operators.ordered import collapse_rows
+from cohortlens.session import cut_lineage
 
 
 @dataclass
@@ -131,6 +132,9 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     enc = FE.fit_encoder(train, list(cfg.numeric), list(cfg.categorical), age_weight=cfg.age_weight)
     n_feat = len(enc.output_columns())
     tr_enc = enc.transform(tr, keep=[cfg.key, cfg.label, "sample_weight"], vector_col="features")
+    # iterative fits read the training rows many times: cut the weighting /
+    # PU / encoding lineage with a reliable checkpoint in the shared folder
+    tr_enc = cut_lineage(tr_enc)
     model = M.fit_classifier(tr_enc, cfg.model, n_feat, cfg.label, "sample_weight", seed=cfg.seed,
                              key=cfg.key, params=dict(cfg.model_params))
     val_enc = enc.transform(val, keep=[cfg.key, cfg.label, cfg.domain], vector_col="features")
