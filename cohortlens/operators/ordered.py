@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +97,10 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     group_cols = list(group_cols)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     nb = _n_buckets(df, buckets)
+    if key_range is None:
+        # the bounds job and the running sums read the same (pre-aggregated)
+        # input: keep it so the source is scanned once
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], nb, key_range))
     bucket_sums = keyed.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     # bucket table: at most groups x buckets rows, so windows over it are bounded
