@@ -30,15 +30,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _n_buckets(df: DataFrame, buckets: int | None) -> int:
+ROWS_PER_BUCKET_CONF = "spark.cohortlens.rowsPerBucket"
+DEFAULT_ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 100_000
+MAX_GROUPS = 4096
+
+
+def _rows_per_bucket(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(ROWS_PER_BUCKET_CONF, str(DEFAULT_ROWS_PER_BUCKET)))
+
+
+def _min_buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return int(buckets)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-MAX_GROUPS = 4096
-
-
 def _tree(key: Column, bounds: Sequence, lo: int, hi: int) -> Column:
     """Number of bounds[lo:hi] that are <= key, as a balanced CASE tree."""
     if lo >= hi:
@@ -47,42 +54,58 @@ def _tree(key: Column, bounds: Sequence, lo: int, hi: int) -> Column:
     return F.when(key < F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
 
 
-def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int,
-              key_range: tuple[float, float] | None = None) -> Column:
-    """Deterministic bucket of ``key`` inside its group.
-
-    With ``key_range`` (keys known to be uniform on it, e.g. md5-derived
-    32-bit hashes) buckets are equal-width arithmetic, no pass needed.
-    Otherwise bounds come from per-group approximate quantiles (one small
-    aggregate: groups x buckets numbers); a rank error well under 1/buckets
-    is all balance needs, so the sketch is kept small."""
-    if key_range is not None:
-        lo, hi = float(key_range[0]), float(key_range[1])
-        b = F.floor((key.cast("double") - F.lit(lo)) * F.lit(buckets / (hi - lo))).cast("int")
-        return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1))
-    probs = [i / buckets for i in range(1, buckets)]
-    if not probs:
-        return F.lit(0)
-    agg = F.percentile_approx(key, probs, max(200, 25 * buckets)).alias("_b")
-    rows = (df.groupBy(*group_cols).agg(agg) if group_cols else df.agg(agg)).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
-    exprs = []
-    for r in rows:
-        b = sorted(set(x for x in (r["_b"] or []) if x is not None))
-        exprs.append(([r[g] for g in group_cols], _tree(key, b, 0, len(b))))
-    if not group_cols or len(exprs) == 1 and not group_cols:
-        return exprs[0][1] if exprs else F.lit(0)
+def _per_group(group_cols: Sequence[str], items: list) -> Column:
+    """CASE over the (bounded) groups: items = [(group values, expression)]."""
+    if not group_cols:
+        return items[0][1] if items else F.lit(0)
     out = None
-    for vals, tree in exprs:
+    for vals, expr in items:
         cond = None
         for g, v in zip(group_cols, vals):
             c = F.col(g).isNull() if v is None else (F.col(g) == F.lit(v))
             cond = c if cond is None else (cond & c)
-        out = F.when(cond, tree) if out is None else out.when(cond, tree)
+        out = F.when(cond, expr) if out is None else out.when(cond, expr)
     return out.otherwise(F.lit(0)) if out is not None else F.lit(0)
 
 
+def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int | None = None,
+              key_range: tuple[float, float] | None = None) -> Column:
+    """Deterministic bucket of ``key`` inside its group, sized from the data.
+
+    One small aggregate per call (rows per group, and for general keys an
+    approximate quantile grid); a group of n rows gets about
+    n / ``spark.cohortlens.rowsPerBucket`` buckets (at least ``buckets``, or
+    the shuffle partition count), so no window partition outgrows a task.
+    With ``key_range`` (keys uniform on it, e.g. md5-derived 32-bit hashes)
+    buckets are equal-width arithmetic; otherwise they are bounded by
+    approximate quantiles (rank error well under one bucket), evaluated as a
+    balanced CASE tree.
+    """
+    group_cols = list(group_cols)
+    min_b, per = _min_buckets(df, buckets), _rows_per_bucket(df)
+    grid = 1000
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if key_range is None:
+        aggs.append(F.percentile_approx(key, [i / grid for i in range(1, grid)], 25 * grid).alias("_b"))
+    rows = (df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
+    items = []
+    for r in rows:
+        nb = max(min_b, min(MAX_BUCKETS, -(-int(r["_n"]) // per)))
+        if key_range is not None:
+            lo, hi = float(key_range[0]), float(key_range[1])
+            b = F.floor((key.cast("double") - F.lit(lo)) * F.lit(nb / (hi - lo))).cast("int")
+            expr = F.least(F.greatest(b, F.lit(0)), F.lit(nb - 1))
+        else:
+            fine = [x for x in (r["_b"] or []) if x is not None]
+            step = max(1, grid // max(nb, 1))
+            bounds = sorted(set(fine[step - 1::step]))
+            expr = _tree(key, bounds, 0, len(bounds))
+        items.append(([r[g] for g in group_cols], expr))
+    return _per_group(group_cols, items)
+
+
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                  value_cols: Sequence[str], prefix: str = "cum_", buckets: int | None = None,
                  totals: bool = False, key_range: tuple[float, float] | None = None) -> DataFrame:
@@ -96,12 +119,11 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     """
     group_cols = list(group_cols)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    nb = _n_buckets(df, buckets)
     if key_range is None:
         # the bounds job and the running sums read the same (pre-aggregated)
         # input: keep it so the source is scanned once
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], nb, key_range))
+    keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], buckets, key_range))
     bucket_sums = keyed.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     # bucket table: at most groups x buckets rows, so windows over it are bounded
     grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()

@@ -341,3 +341,22 @@ def test_merge_on_keys_suffixes(spark):
     assert out.count() == 2
     with pytest.raises(ValueError):
         J.merge_on_keys([a, b.drop("k")], ["k"])
+
+
+def test_data_sized_buckets_stay_exact(spark):
+    """With a tiny row budget per bucket, many buckets are used; results are unchanged."""
+    spark.conf.set("spark.cohortlens.rowsPerBucket", "50")
+    try:
+        df = spark.range(0, 2000).withColumn("g", (F.col("id") % 2).cast("int")) \
+            .withColumn("h", X.hash_u32(F.col("id"))).withColumn("v", (F.col("id") % 97).cast("double"))
+        r = O.dense_rank_global(df, ["g"], [F.col("h"), F.col("id")], key_range=O.HASH_RANGE)
+        got = r.select("g", "h", "id", "rank0").toPandas()
+        want = got.sort_values(["g", "h", "id"]).groupby("g").cumcount()
+        assert (got.loc[want.index, "rank0"].values == want.values).all()
+        q = O.quantiles_wide(df, "v", [0.1, 0.5, 0.93], ["a", "b", "c"], ["g"]).collect()
+        pdf = df.select("g", "v").toPandas()
+        for row in q:
+            x = pdf[pdf.g == row["g"]].v.values
+            assert [row["a"], row["b"], row["c"]] == pytest.approx(list(np.percentile(x, [10, 50, 93])))
+    finally:
+        spark.conf.unset("spark.cohortlens.rowsPerBucket")
