@@ -22,6 +22,7 @@ from cohortlens.functions import exprs as X
 from cohortlens.operators.ordered import quantiles_wide
 
 INFREQUENT = "infrequent_sklearn"
+MAX_CATEGORIES = 100_000
 
 
 @dataclass
@@ -99,8 +100,13 @@ def fit_encoder(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
         long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"),
                                                          F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("v"))
                                                 for c in categorical])).alias("e")).select("e.*")
-        # the category table is bounded by the distinct categories per column
-        counts = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+        # the category table goes to the driver: it must be bounded (P20 drops
+        # columns over 500 categories before encoding); refuse rather than
+        # pull an unbounded list
+        counts = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CATEGORIES + 1).collect()
+        if len(counts) > MAX_CATEGORIES:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories across {list(categorical)}; "
+                             "drop high-cardinality columns first (clean.drop_high_cardinality)")
         total = {}
         for r in counts:
             total[r["col"]] = total.get(r["col"], 0) + r["n"]
