@@ -83,11 +83,10 @@ def fit_encoder(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
     those under ``min_frequency`` of the rows merged as infrequent."""
     enc = Encoder(age_weight=age_weight, age_col=age_col, feature_weights=dict(feature_weights or {}))
     if numeric:
-        meds = quantiles_wide(train, numeric[0], [0.5], ["m"]).first()
-        medians = {numeric[0]: meds["m"] if meds else None}
-        for c in numeric[1:]:
-            r = quantiles_wide(train, c, [0.5], ["m"]).first()
-            medians[c] = r["m"] if r else None
+        stacked = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v"))
+                                                   for c in numeric])).alias("e")).select("e.*")
+        medians = {c: None for c in numeric}
+        medians.update({r["col"]: r["m"] for r in quantiles_wide(stacked, "v", [0.5], ["m"], ["col"]).collect()})
         imp = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c] if medians[c] is not None else 0.0))
                for c in numeric}
         stats = train.agg(*[F.avg(imp[c]).alias(f"m_{i}") for i, c in enumerate(numeric)],

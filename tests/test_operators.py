@@ -360,3 +360,22 @@ def test_data_sized_buckets_stay_exact(spark):
             assert [row["a"], row["b"], row["c"]] == pytest.approx(list(np.percentile(x, [10, 50, 93])))
     finally:
         spark.conf.unset("spark.cohortlens.rowsPerBucket")
+
+
+def test_encoder_infrequent_unseen_and_scaling(spark):
+    from cohortlens.operators import features as FE
+    rows = [(float(i % 10), "a" if i % 2 else "b") for i in range(198)] + [(None, "rare"), (5.0, None)]
+    train = spark.createDataFrame(rows, "x double, c string")
+    enc = FE.fit_encoder(train, ["x"], ["c"], min_frequency=0.01)
+    assert enc.categorical[0]["categories"] == ["a", "b"]
+    assert enc.categorical[0]["infrequent"] == ["rare", "unknown"]
+    x = np.array([r[0] if r[0] is not None else np.nan for r in rows])
+    med = np.nanmedian(x)
+    imp = np.where(np.isnan(x), med, x)
+    assert enc.numeric[0]["median"] == pytest.approx(med)
+    assert enc.numeric[0]["scale"] == pytest.approx(imp.std())
+    test = spark.createDataFrame([(None, "rare"), (1.0, "never-seen"), (2.0, "a")], "x double, c string")
+    out = enc.transform(test).collect()
+    assert [r["c_infrequent_sklearn"] for r in out] == [1.0, 0.0, 0.0]
+    assert [r["c_a"] + r["c_b"] for r in out] == [0.0, 0.0, 1.0]       # unseen -> all zeros
+    assert out[0]["x"] == pytest.approx((med - imp.mean()) / imp.std())
