@@ -100,3 +100,10 @@ TRIAGE_KEEP_COLUMNS = (
     "smq040", "pack_years_smoked", "pack_years_smoked_max", "bmi", "bmi_last", "bmxbmi", "height",
     "height_last", "bmxht", "weight", "weight_last", "bmxwt",
 )
+
+# --- fixed values: flat case-table roll-ups ---
+FAMILY_POSITIVE = ("1", "yes", "true", "si", "sí")
+METASTASIS_POSITIVE = ("metastasis, nos", "yes")
+YES_TOKENS = ("yes", "1")
+TREATMENT_WORDS = {"any_chemo": "chemotherapy", "any_radiation": "radiation", "any_surgery": "surgery",
+                   "any_immuno": "immunotherapy", "any_targeted": "targeted"}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
+from cohortlens.functions import tokens as TK
 
 
 def exposure_rollup(df: DataFrame, key: str = "case_id", status_col: str = "tobacco_smoking_status",
@@ -136,3 +137,93 @@ def build_raw_dataset(cases: DataFrame, exposures: DataFrame | None, other: Data
     for c in ("tobacco_smoking_status_any", "pack_years_smoked_max", "bmi_last", "height_last", "weight_last"):
         cols.append(F.col(c) if c in base.columns else F.lit(None).cast("double").alias(c))
     return base.select(*cols, F.lit(label_value).alias("label"), F.lit(domain_value).alias("domain"))
+
+
+def _flag(col: str, tokens) -> Column:
+    return any_flag(X.norm_text(col).isin(list(tokens)))
+
+
+def _last(val: str, order: Sequence[str]) -> Column:
+    """Last non-NULL value in ``order`` (the relation's record order)."""
+    o = F.struct(*[F.col(c) for c in order])
+    return F.max_by(F.col(val), F.when(F.col(val).isNotNull(), o))
+
+
+def flat_case_table(rel: Mapping[str, DataFrame], key: str = "case_key",
+                    order_cols: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """A5-A9 (+ A4 key): one row per case from the flattened relations.
+
+    exposures   max pack-years, any recorded smoking status
+    family      history count, any positive relative
+    diagnoses   count, any metastasis / prior malignancy, last AJCC stage, mean age
+    treatments  count + five keyword flags
+    follow-ups  any progression (forces label 1), max days to follow-up
+    pathology   three invasion any-flags
+    attributes  last height / weight / bmi
+    molecular   test count
+    Base label: 1 unless vital status is 'alive'; unknown status stays NULL
+    (T5).  Positive answers accept text and numeric forms (T4).  ``order_cols``
+    names each relation's record order for "last" values.
+    """
+    order_cols = dict(order_cols or {})
+    cases = rel["cases"]
+    out_cols = [F.col(key)]
+    if "dem_vital_status" in cases.columns:
+        vs = X.norm_text("dem_vital_status")
+        out_cols.append(F.when(vs.isNull(), F.lit(None)).when(vs == "alive", F.lit(0)).otherwise(F.lit(1))
+                        .cast("int").alias("base_label"))
+    else:
+        out_cols.append(F.lit(0).alias("base_label"))
+    dtb = "dem_days_to_birth" if "dem_days_to_birth" in cases.columns else \
+        ("days_to_birth" if "days_to_birth" in cases.columns else None)
+    if "age_years" in cases.columns:
+        out_cols.append(X.to_number("age_years").alias("age_years"))
+    elif dtb:
+        out_cols.append(X.days_to_years(dtb, negate=True).alias("age_years"))
+    for src, name in (("dem_gender", "sex"), ("dem_ethnicity", "ethnicity"), ("disease_type", "disease_type"),
+                      ("primary_site", "primary_site")):
+        if src in cases.columns:
+            out_cols.append(X.norm_text(src).alias(name))
+    base = cases.select(*out_cols)
+    parts = []
+    if "exposures" in rel:
+        ex = rel["exposures"]
+        parts.append(flag_rollup(ex, key, {
+            "pack_years_smoked_max": F.max(X.to_number("pack_years_smoked")),
+            "tobacco_smoking_status_any": any_flag(F.col("tobacco_smoking_status").isNotNull())}))
+    if "family_histories" in rel:
+        parts.append(flag_rollup(rel["family_histories"], key, {
+            "fam_hist_count": F.count("family_history_id"),
+            "fam_hist_pos_any": _flag("relative_with_cancer_history", TK.FAMILY_POSITIVE)}))
+    if "diagnoses" in rel:
+        dx = rel["diagnoses"].withColumn("_stage", X.norm_text("ajcc_pathologic_stage"))
+        parts.append(flag_rollup(dx, key, {
+            "n_diagnoses": F.count("diagnosis_id"),
+            "any_metastasis": _flag("metastasis_at_diagnosis", TK.METASTASIS_POSITIVE + ("1",)),
+            "any_prior_malignancy": _flag("prior_malignancy", TK.YES_TOKENS),
+            "last_ajcc_stage": _last("_stage", order_cols.get("diagnoses", ["diagnosis_id"])),
+            "mean_age_at_dx": F.avg(X.to_number("age_at_diagnosis"))}))
+    if "treatments" in rel:
+        tx = rel["treatments"].withColumn("_t", F.coalesce(X.norm_text("treatment_type"), F.lit("")))
+        aggs = {"n_treatments": F.count("treatment_id")}
+        aggs.update({n: any_flag(F.col("_t").contains(w)) for n, w in TK.TREATMENT_WORDS.items()})
+        parts.append(flag_rollup(tx, key, aggs))
+    if "follow_ups" in rel:
+        parts.append(flag_rollup(rel["follow_ups"], key, {
+            "any_progression": _flag("progression_or_recurrence", TK.YES_TOKENS),
+            "last_days_to_follow_up": F.max(X.to_number("days_to_follow_up"))}))
+    if "pathology_details" in rel:
+        parts.append(flag_rollup(rel["pathology_details"], key, {
+            f"{c}_any": _flag(f"{c}_present", TK.YES_TOKENS) for c in ("vascular_invasion", "lymphatic_invasion",
+                                                                        "perineural_invasion")}))
+    if "other_clinical_attributes" in rel:
+        oa = rel["other_clinical_attributes"].withColumns({c: X.to_number(c) for c in ("height", "weight", "bmi")})
+        order = order_cols.get("other_clinical_attributes", ["updated_datetime"])
+        parts.append(flag_rollup(oa, key, {f"{c}_last": _last(c, order) for c in ("height", "weight", "bmi")}))
+    if "molecular_tests" in rel:
+        parts.append(flag_rollup(rel["molecular_tests"], key, {"n_molecular_tests": F.count("molecular_test_id")}))
+    out = attach(base, key, *parts)
+    label = F.col("base_label")
+    if "any_progression" in out.columns:
+        label = F.when(F.col("any_progression") == 1, F.lit(1)).otherwise(label)
+    return out.withColumn("label", label.cast("int")).drop("base_label")

@@ -154,3 +154,89 @@ def q_scientific_report(spark, sf):
     rows = held.select("doc_id", "label", *cfg.numeric, *cfg.categorical)
     return PL.scientific_report(rows.join(scored.select("doc_id", "score"), "doc_id"), "doc_id", "label",
                                 list(cfg.numeric) + list(cfg.categorical), scorer, unl, "age_years")
+
+
+def _flat_relations(spark, sf):
+    c = table(spark, sf, "customer")
+    vs = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("Dead")) \
+        .when(F.col("c_mktsegment") == "BUILDING", F.lit(" Alive")) \
+        .when(F.col("c_mktsegment") == "FURNITURE", F.lit(None).cast("string")).otherwise(F.lit("alive"))
+    cases = c.select(F.col("c_custkey").alias("case_key"), vs.alias("dem_vital_status"),
+                     F.when(F.col("c_nationkey") < 12, F.lit("Female")).otherwise(F.lit("MALE ")).alias("dem_gender"))
+    ox = orders_as_exposures(spark, sf)
+    exposures = ox.select(F.col("case_id").alias("case_key"),
+                          F.when(F.col("smoking_text") != "Not Reported", F.col("smoking_text"))
+                          .alias("tobacco_smoking_status"), F.col("value").alias("pack_years_smoked"))
+    o = table(spark, sf, "orders")
+    st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
+    diagnoses = o.select(F.col("o_custkey").alias("case_key"), F.col("o_orderkey").alias("diagnosis_id"),
+                         "o_orderdate", F.col("o_totalprice").alias("age_at_diagnosis"),
+                         F.when(st == "F", F.lit("Metastasis, NOS")).when(st == "O", F.lit("No"))
+                         .alias("metastasis_at_diagnosis"),
+                         F.when(pr == "1-URGENT", F.lit("Yes")).otherwise(F.lit("no")).alias("prior_malignancy"),
+                         F.when(pr == "2-HIGH", F.lit("Stage II")).when(pr == "3-MEDIUM", F.lit("Stage IIIA"))
+                         .when(pr == "4-NOT SPECIFIED", F.lit("Stage IV")).alias("ajcc_pathologic_stage"))
+    li = table(spark, sf, "lineitem")
+    tt = F.when(F.col("l_returnflag") == "R", F.lit("Chemotherapy")) \
+        .when(F.col("l_returnflag") == "A", F.lit("Radiation Therapy, NOS")) \
+        .when(F.col("l_linestatus") == "O", F.lit("Surgery")).otherwise(F.lit("Targeted Molecular therapy"))
+    treatments = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("case_key")),
+                         "l_orderkey").select("case_key", F.col("l_linenumber").alias("treatment_id"),
+                                              tt.alias("treatment_type"))
+    follow_ups = o.select(F.col("o_custkey").alias("case_key"),
+                          F.when(st == "P", F.lit("Yes")).otherwise(F.lit("No")).alias("progression_or_recurrence"),
+                          F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double")
+                          .alias("days_to_follow_up"))
+    return {"cases": cases, "exposures": exposures, "diagnoses": diagnoses, "treatments": treatments,
+            "follow_ups": follow_ups}
+
+
+_FLAT_SQL = """
+WITH cs AS (SELECT c_custkey AS case_key,
+                   CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Dead' WHEN c_mktsegment = 'BUILDING' THEN ' Alive'
+                        WHEN c_mktsegment = 'FURNITURE' THEN NULL ELSE 'alive' END AS vs,
+                   CASE WHEN c_nationkey < 12 THEN 'Female' ELSE 'MALE ' END AS g FROM customer),
+ex AS (SELECT o_custkey AS case_key, max(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END) AS pack_years_smoked_max,
+              max(CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END) AS tobacco_smoking_status_any
+       FROM orders GROUP BY o_custkey),
+dxr AS (SELECT o_custkey AS case_key, o_orderkey, o_orderdate, o_totalprice,
+               CASE WHEN o_orderstatus = 'F' THEN 'Metastasis, NOS' WHEN o_orderstatus = 'O' THEN 'No' END AS met,
+               CASE WHEN o_orderpriority = '1-URGENT' THEN 'Yes' ELSE 'no' END AS prior,
+               CASE WHEN o_orderpriority = '2-HIGH' THEN 'stage ii' WHEN o_orderpriority = '3-MEDIUM' THEN 'stage iiia'
+                    WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'stage iv' END AS stage FROM orders),
+ls AS (SELECT case_key, stage AS last_ajcc_stage FROM (SELECT case_key, stage, row_number() OVER (PARTITION BY case_key
+         ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM dxr WHERE stage IS NOT NULL) t WHERE rn = 1),
+dx AS (SELECT case_key, count(o_orderkey) AS n_diagnoses,
+              max(CASE WHEN lower(trim(met)) IN ('metastasis, nos', 'yes', '1') THEN 1 ELSE 0 END) AS any_metastasis,
+              max(CASE WHEN lower(trim(prior)) IN ('yes', '1') THEN 1 ELSE 0 END) AS any_prior_malignancy,
+              avg(o_totalprice) AS mean_age_at_dx FROM dxr GROUP BY case_key),
+txr AS (SELECT o.o_custkey AS case_key, l.l_linenumber,
+               lower(CASE WHEN l.l_returnflag = 'R' THEN 'Chemotherapy' WHEN l.l_returnflag = 'A' THEN 'Radiation Therapy, NOS'
+                          WHEN l.l_linestatus = 'O' THEN 'Surgery' ELSE 'Targeted Molecular therapy' END) AS t
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+tx AS (SELECT case_key, count(l_linenumber) AS n_treatments,
+              max(CASE WHEN contains(t, 'chemotherapy') THEN 1 ELSE 0 END) AS any_chemo,
+              max(CASE WHEN contains(t, 'radiation') THEN 1 ELSE 0 END) AS any_radiation,
+              max(CASE WHEN contains(t, 'surgery') THEN 1 ELSE 0 END) AS any_surgery,
+              max(CASE WHEN contains(t, 'immunotherapy') THEN 1 ELSE 0 END) AS any_immuno,
+              max(CASE WHEN contains(t, 'targeted') THEN 1 ELSE 0 END) AS any_targeted FROM txr GROUP BY case_key),
+fu AS (SELECT o_custkey AS case_key, max(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS any_progression,
+              max(CAST(datediff('day', DATE '1995-01-01', o_orderdate) AS DOUBLE)) AS last_days_to_follow_up
+       FROM orders GROUP BY o_custkey)
+SELECT cs.case_key, lower(trim(g)) AS sex, ex.pack_years_smoked_max, ex.tobacco_smoking_status_any,
+       dx.n_diagnoses, dx.any_metastasis, dx.any_prior_malignancy, ls.last_ajcc_stage, dx.mean_age_at_dx,
+       tx.n_treatments, tx.any_chemo, tx.any_radiation, tx.any_surgery, tx.any_immuno, tx.any_targeted,
+       fu.any_progression, fu.last_days_to_follow_up,
+       CAST(CASE WHEN fu.any_progression = 1 THEN 1 WHEN lower(trim(vs)) IS NULL THEN NULL
+                 WHEN lower(trim(vs)) = 'alive' THEN 0 ELSE 1 END AS INTEGER) AS label
+FROM cs LEFT JOIN ex ON cs.case_key = ex.case_key LEFT JOIN dx ON cs.case_key = dx.case_key
+LEFT JOIN ls ON cs.case_key = ls.case_key LEFT JOIN tx ON cs.case_key = tx.case_key
+LEFT JOIN fu ON cs.case_key = fu.case_key"""
+
+
+@register("flat_case_table", _FLAT_SQL, doubles=["pack_years_smoked_max", "mean_age_at_dx", "last_days_to_follow_up"])
+def q_flat_case_table(spark, sf):
+    """Flat per-case roll-ups (exposures, diagnoses with last stage, treatment keywords,
+    follow-ups forcing the label) joined onto the cases; unknown vital status stays NULL."""
+    rel = _flat_relations(spark, sf)
+    return RU.flat_case_table(rel, "case_key", {"diagnoses": ["o_orderdate", "diagnosis_id"]})

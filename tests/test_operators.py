@@ -379,3 +379,31 @@ def test_encoder_infrequent_unseen_and_scaling(spark):
     assert [r["c_infrequent_sklearn"] for r in out] == [1.0, 0.0, 0.0]
     assert [r["c_a"] + r["c_b"] for r in out] == [0.0, 0.0, 1.0]       # unseen -> all zeros
     assert out[0]["x"] == pytest.approx((med - imp.mean()) / imp.std())
+
+
+def test_flat_case_table_all_relations(spark):
+    rel = {
+        "cases": spark.createDataFrame([("a", "Alive", -3652.5), ("b", None, None), ("c", "dead", None)],
+                                       "case_key string, dem_vital_status string, dem_days_to_birth double"),
+        "family_histories": spark.createDataFrame([("a", "f1", "Sí"), ("a", "f2", "no"), ("b", "f3", None)],
+                                                  "case_key string, family_history_id string, relative_with_cancer_history string"),
+        "follow_ups": spark.createDataFrame([("a", "yes", 10.0), ("b", "no", 30.0)],
+                                            "case_key string, progression_or_recurrence string, days_to_follow_up double"),
+        "pathology_details": spark.createDataFrame([("c", "1", "no", None)],
+                                                   "case_key string, vascular_invasion_present string, "
+                                                   "lymphatic_invasion_present string, perineural_invasion_present string"),
+        "other_clinical_attributes": spark.createDataFrame(
+            [("a", 1, 170.0, None, 25.0), ("a", 2, None, 80.0, None), ("a", 3, 172.0, None, None)],
+            "case_key string, pos int, height double, weight double, bmi double"),
+        "molecular_tests": spark.createDataFrame([("c", "m1"), ("c", "m2"), ("c", None)],
+                                                 "case_key string, molecular_test_id string"),
+    }
+    out = {r["case_key"]: r for r in RU.flat_case_table(rel, "case_key",
+                                                        {"other_clinical_attributes": ["pos"]}).collect()}
+    assert out["a"]["age_years"] == 10.0
+    assert out["a"]["fam_hist_count"] == 2 and out["a"]["fam_hist_pos_any"] == 1
+    assert out["a"]["label"] == 1            # alive, but progression forces 1
+    assert out["b"]["label"] is None         # unknown vital status stays NULL (T5)
+    assert out["c"]["label"] == 1 and out["c"]["vascular_invasion_any"] == 1 and out["c"]["lymphatic_invasion_any"] == 0
+    assert out["c"]["n_molecular_tests"] == 2
+    assert (out["a"]["height_last"], out["a"]["weight_last"], out["a"]["bmi_last"]) == (172.0, 80.0, 25.0)
