@@ -170,3 +170,15 @@ def loss_report(raw: DataFrame, aligned: DataFrame, dataset: str, protected: Seq
             rows.append(row("null_analysis", name, n, n - m, nb, m,
                             F.when(n > 0, m / n).otherwise(L(0.0)), "missing_or_token", src))
     return both.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def align_short_a(df: DataFrame, domain: str = "hcmi_tcga") -> DataFrame:
+    """Short domain-A variant — no category cleaning."""
+    return align_domain_a(df, domain, clean=False)[0]
+
+
+def align_short_b(df: DataFrame, domain: str = "nhanes", diagnosis_col: str = "mcq220") -> DataFrame:
+    """Short domain-B variant — rows pre-filtered to never diagnosed
+    (F1 on the diagnosis question), no category cleaning."""
+    from cohortlens.operators.clean import filter_never
+    return align_domain_b(filter_never(snake_columns(df), diagnosis_col), domain, clean=False)[0]

@@ -407,3 +407,13 @@ def test_flat_case_table_all_relations(spark):
     assert out["c"]["label"] == 1 and out["c"]["vascular_invasion_any"] == 1 and out["c"]["lymphatic_invasion_any"] == 0
     assert out["c"]["n_molecular_tests"] == 2
     assert (out["a"]["height_last"], out["a"]["weight_last"], out["a"]["bmi_last"]) == (172.0, 80.0, 25.0)
+
+
+def test_short_alignment_variants(spark):
+    b = spark.createDataFrame([(1, 2, 1, "2"), (2, 1, 3, "1"), (3, 2, 6, "No")],
+                              "SEQN int, RIAGENDR int, RIDRETH3 int, MCQ220 string")
+    out = C.align_short_b(b).select("sex", "race").collect()
+    assert [(r["sex"], r["race"]) for r in out] == [("female", None), ("female", "asian")]   # MCQ220=1 row dropped
+    a = spark.createDataFrame([(" Female ", "Not Reported")], "dem_gender string, dem_race string")
+    row = C.align_short_a(a).first()
+    assert row["sex"] == " Female " and row["race"] == "Not Reported"     # no cleaning in the short variant
