@@ -215,3 +215,10 @@ def scalar(df: DataFrame, col: str | None = None):
     """Value of a one-row aggregate on the driver (a single number)."""
     row = df.first()
     return None if row is None else (row[col] if col else row[0])
+
+
+def two_pass(df: DataFrame, cols: Sequence[str | Column]) -> DataFrame:
+    """Narrow projection kept for operators that decide something from the
+    data (edges, a cut-off, medians) and then use it on the same rows: the
+    source is scanned once, and only the needed columns are kept."""
+    return df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)

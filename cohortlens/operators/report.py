@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
-from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar
+from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar, two_pass
 
 
 def bin_dimension(spark, specs: Mapping[str, tuple]) -> DataFrame:
@@ -55,6 +55,7 @@ def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence
                       categorical: Sequence[str]) -> DataFrame:
     """Rows at or above the score's q-quantile: count, means, medians, modes
     (ties -> smallest value).  The cut-off is an exact distributed quantile."""
+    df = two_pass(df, [score_col, *numeric, *categorical])
     cutoff = scalar(quantiles_wide(df, score_col, [q], ["cutoff"]))   # one number
     top = df.where(F.col(score_col) >= F.lit(cutoff))
     aggs = [F.lit(cutoff).cast("double").alias("cutoff"), F.count(F.lit(1)).alias("n")]

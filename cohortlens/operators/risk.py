@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
-from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar
+from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar, two_pass
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
@@ -84,7 +84,10 @@ def numeric_odds_tables(df: DataFrame, features: Sequence[str], label_col: str =
     quartiles; per bin n, pos, neg, pos_rate, smoothed OR against all other
     rows (NULL-valued rows included), weight ``1 + f tanh(ln OR)``; empty bins
     skipped.  All features are binned in one stacked aggregate."""
-    edges = dict(edges) if edges is not None else positive_quartile_edges_many(df, features, label_col)
+    if edges is None:
+        df = two_pass(df, [*features, label_col])
+        edges = positive_quartile_edges_many(df, features, label_col)
+    edges = dict(edges)
     feats = [f for f in features if f in edges and len(edges[f]) >= 3]
     schema = "feature string, bin string, bin_low double, bin_high double, n bigint, pos bigint, " \
              "neg bigint, pos_rate double, odds_ratio double, weight double"
