@@ -43,6 +43,9 @@ def round_sql(inner: str, double_cols: Sequence[str], digits: int = DIGITS) -> s
 def register(name: str, sql: str | None = None, doubles: Sequence[str] = ()):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the benchmark tables hold naive timestamps: read them as UTC wall time
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return rounded(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
