@@ -99,20 +99,6 @@ def bin_expr(c, edges: Sequence[float], labels: Sequence[str], right: bool = Fal
     return expr
 
 
-def bin_index_expr(c, edges: Column, n_edges: int, right: bool = True) -> Column:
-    """Bin ordinal (1-based) against an array column of edges (data-driven edges)."""
-    x = col(c).cast("double")
-    expr = None
-    for i in range(n_edges - 1):
-        lo, hi = edges.getItem(i), edges.getItem(i + 1)
-        if right:
-            cond = (x <= hi) & ((x > lo) | F.lit(i == 0))
-        else:
-            cond = (x >= lo) & (x < hi)
-        expr = F.when(cond, F.lit(i + 1)) if expr is None else expr.when(cond, F.lit(i + 1))
-    return expr
-
-
 # ---------------------------------------------------------------- odds -----
 
 def smoothed_odds_ratio(pos_in, neg_in, pos_out, neg_out, smoothing: float = 0.5) -> Column:

@@ -150,11 +150,6 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                       (F.col("n_timestamp") / F.col("_n")).alias("timestamp_rate"))
 
 
-def _profile_rows(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
-    """Collect the profile: one small row per column."""
-    return {r["column"]: r.asDict() for r in profile(df, cols).collect()}
-
-
 def numeric_cast_columns(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Cast a text column to double only if every non-NULL value parses."""
     cand = [c for c in df.columns if c not in ignore and _is_string(df, c)]
@@ -279,13 +274,14 @@ def drop_high_cardinality(df: DataFrame, target: str | None = None, max_unique:
     return df.drop(*[c for c in near if exact[c] > max_unique])
 
 
-def duplicate_columns(df: DataFrame, key: str) -> DataFrame:
+def duplicate_columns(df: DataFrame, key: str | None = None) -> DataFrame:
     """(column, duplicate_of) for columns whose content and type equal an
-    earlier column.  Candidates come from one aggregate of row-keyed hash
-    fingerprints; candidates are then confirmed exactly, so a hash collision
-    cannot drop a column."""
+    earlier column.  Candidates come from one aggregate of hash fingerprints
+    (row-keyed when a key is given); candidates are then confirmed exactly,
+    row by row, so a hash collision cannot drop a column."""
     cols = [c for c in df.columns if c != key]
-    fp = df.agg(*[F.sum(F.xxhash64(F.col(key), F.col(c)).cast("decimal(20,0)")).alias(c) for c in cols]).first().asDict()
+    salt = [F.col(key)] if key else []
+    fp = df.agg(*[F.sum(F.xxhash64(*salt, F.col(c)).cast("decimal(20,0)")).alias(c) for c in cols]).first().asDict()
     nn = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
     pairs = []
     for j, c in enumerate(cols):
@@ -306,7 +302,7 @@ def duplicate_columns(df: DataFrame, key: str) -> DataFrame:
     return spark.createDataFrame(out, "column string, duplicate_of string")
 
 
-def drop_duplicate_columns(df: DataFrame, key: str) -> DataFrame:
+def drop_duplicate_columns(df: DataFrame, key: str | None = None) -> DataFrame:
     dups = [r["column"] for r in duplicate_columns(df, key).collect()]
     return df.drop(*dups)
 
@@ -415,3 +411,8 @@ def union_by_name(*dfs: DataFrame) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def cast_datetimes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """P10: listed text columns -> timestamps (unparseable -> NULL)."""
+    return df.withColumns({c: F.try_to_timestamp(F.col(c).cast("string")) for c in cols if c in df.columns})

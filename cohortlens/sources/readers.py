@@ -57,18 +57,27 @@ def project_from_path(col: str = "source_file", pattern: str = r"/([^/]+)/[^/]+$
 
 def load_tabular(frames: Sequence[DataFrame], target: str | None = None, merge_on: Sequence[str] | None = None,
                  merge_how: str = "outer", keep_columns: Sequence[str] | None = None,
-                 drop_dup_rows: bool = True, filter_never_col: str | None = None) -> DataFrame:
+                 drop_dup_rows: bool = True, filter_never_col: str | None = None,
+                 date_cols: Sequence[str] = (), drop_const: bool = False, drop_dup_cols: bool = False) -> DataFrame:
     """S3: several inputs -> one table: union by name (default) or an N-way key
-    merge, then snake-case names, optional never-diagnosed filter, column
-    subset, duplicate-row drop, target last."""
+    merge, then snake-case names, all-or-nothing numeric casts, listed date
+    casts, optional never-diagnosed filter, constant / duplicate column drops,
+    column subset, duplicate-row drop, target last."""
     if merge_on:
         from cohortlens.operators.joins import merge_on_keys
         df = merge_on_keys(list(frames), list(merge_on), merge_how)
     else:
         df = CL.union_by_name(*frames)
     df = CL.snake_columns(df)
+    df = CL.numeric_cast_columns(df, ignore=[target] if target else [])
+    if date_cols:
+        df = CL.cast_datetimes(df, date_cols)
     if filter_never_col:
         df = CL.filter_never(df, filter_never_col)
+    if drop_const:
+        df = CL.drop_constant(df, target)
+    if drop_dup_cols:
+        df = CL.drop_duplicate_columns(df)
     if keep_columns:
         df = CL.keep_columns(df, keep_columns, target)
     if drop_dup_rows:

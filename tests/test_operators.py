@@ -417,3 +417,17 @@ def test_short_alignment_variants(spark):
     a = spark.createDataFrame([(" Female ", "Not Reported")], "dem_gender string, dem_race string")
     row = C.align_short_a(a).first()
     assert row["sex"] == " Female " and row["race"] == "Not Reported"     # no cleaning in the short variant
+
+
+def test_a17_rare_categories_lumped_then_dropped(spark):
+    rows = [(1, "x")] * 60 + [(0, "x")] * 60 + [(1, "y")] * 3 + [(0, "z")] * 2 + [(1, "w")] * 40 + [(0, "w")] * 70
+    df = spark.createDataFrame(rows, "label int, c string")
+    r = K.risk_2x2(df, [K.Exposure("c", F.col("c"), "categorical")], min_count=100).collect()
+    assert sorted(x["category"] for x in r) == ["w", "x"]          # y, z -> 'other' (5 rows) -> dropped
+    r2 = K.risk_2x2(df, [K.Exposure("c", F.col("c"), "categorical")], min_count=4).collect()
+    assert sorted(x["category"] for x in r2) == ["other", "w", "x"]   # y (3) + z (2) lumped = 5 >= 4
+
+
+def test_duplicate_columns_without_key(spark):
+    df = spark.createDataFrame([(5, 5, 1), (6, 6, 2), (7, 7, 7)], "x int, y int, z int")
+    assert [tuple(r) for r in CL.duplicate_columns(df).collect()] == [("y", "x")]
