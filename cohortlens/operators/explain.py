@@ -32,10 +32,21 @@ def _loss(metric: str, label: str, score: str):
     raise ValueError("only the Brier loss is available as an aggregate; use evaluate.auroc_ap per group otherwise")
 
 
+def _per_group_score(scored: DataFrame, label: str, metric: str, groups: Sequence[str]) -> DataFrame:
+    """Loss per group: Brier (lower is better) or AUROC / AUPRC (exact, distributed)."""
+    if metric == "brier":
+        return scored.groupBy(*groups).agg(_loss(metric, label, "score").alias("m")) if groups else \
+            scored.agg(_loss(metric, label, "score").alias("m"))
+    from cohortlens.operators.evaluate import auroc_ap
+    col = {"auroc": "auroc", "auprc": "auprc"}[metric]
+    return auroc_ap(scored, label, "score", groups).select(*groups, F.col(col).alias("m"))
+
+
 def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequence[str], scorer: Scorer,
                            n_repeats: int = 5, seed: int = 42, metric: str = "brier") -> DataFrame:
-    """Mean and population std over repeats of loss(permuted) - loss(base)."""
-    base_loss = scorer(rows).agg(_loss(metric, label, "score")).first()[0]    # one number
+    """Mean and population std over repeats of the loss increase when one
+    raw column is permuted: perm - base for Brier, base - perm for AUROC / AUPRC."""
+    base_loss = _per_group_score(scorer(rows), label, metric, []).first()[0]    # one number
     combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
                        for f in features for r in range(n_repeats)])
     ex = rows.select("*", F.explode(combos).alias("_c")).select("*", "_c.feature", "_c.rep").drop("_c")
@@ -55,8 +66,9 @@ def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequ
     perm = perm.withColumns({f: F.when(F.col("feature") == f, F.col("_dv").cast(types[f])).otherwise(F.col(f))
                              for f in features}).drop("_ha", "_k", "_dv")
     scored = scorer(perm)
-    per = scored.groupBy("feature", "rep").agg(_loss(metric, label, "score").alias("perm_loss"))
-    delta = F.col("perm_loss") - F.lit(float(base_loss))
+    per = _per_group_score(scored, label, metric, ["feature", "rep"]).withColumnRenamed("m", "perm_loss")
+    base = F.lit(float(base_loss) if base_loss is not None else None).cast("double")
+    delta = (F.col("perm_loss") - base) if metric == "brier" else (base - F.col("perm_loss"))
     return per.groupBy("feature").agg(F.avg(delta).alias("importance_mean"),
                                       F.stddev_pop(delta).alias("importance_std"))
 

@@ -115,3 +115,25 @@ def q_attribution_compare(spark, sf):
     glob = attr.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs_attribution"))
     pair = XP.compare_pair(attr, "doc_id", 0, 1, k=3)
     return glob.join(pair, "feature", "left")
+
+
+@register("fit_regression")
+def q_fit_regression(spark, sf):
+    """M15/M16 regression + F3 + A27: random-forest regressor of lineitem extended price
+    from quantity, discount, tax and flags; R^2 / MAE / RMSE on validation and test."""
+    from cohortlens.plans.standins import table
+    li = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_key"), "l_extendedprice", "l_quantity",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    _, _, metrics = TR.train_regression(li, "line_key", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"],
+                                        ["l_returnflag", "l_linestatus"], model="rf")
+    return metrics
+
+
+@register("permutation_importance_auprc")
+def q_permutation_importance_auprc(spark, sf):
+    """A36 with the AUPRC metric (drop in average precision), 5 repeats."""
+    df, res = _fit(spark, sf, model="logreg")
+    rows = df.where(F.col("split") != "train").select("doc_id", "label", *res.cfg.numeric, *res.cfg.categorical)
+    return XP.permutation_importance(rows, "doc_id", "label", list(res.cfg.numeric) + list(res.cfg.categorical),
+                                     _scorer(res), n_repeats=5, seed=42, metric="auprc")

@@ -250,3 +250,24 @@ def load_result(spark, path: str) -> TrainResult:
 def evaluate_saved(spark, path: str, df: DataFrame) -> DataFrame:
     """Load saved artefacts, score the test split, report per domain."""
     return test_by_domain(df, load_result(spark, path))
+
+
+
+def train_regression(df: DataFrame, key: str, target: str, numeric: Sequence[str], categorical: Sequence[str],
+                     model: str = "rf", seed: int = 42) -> tuple[FE.Encoder, object, DataFrame]:
+    """Regression run: clean target (F3), plain hash split (M2), encoder on
+    train, GBT / RF / linear regressor (M15/M16), R^2 / MAE / RMSE on
+    validation and test (A27).  Returns (encoder, model, metrics)."""
+    from cohortlens.operators.clean import clean_regression_target
+    data = W.hash_split(clean_regression_target(df, target), key, seed)
+    train = data.where(F.col("split") == "train")
+    enc = FE.fit_encoder(train, list(numeric), list(categorical))
+    tr = cut_lineage(enc.transform(train, keep=[key, target], vector_col="features"))
+    reg = M.fit_regressor(tr, model, target, seed=seed)
+    parts = []
+    for sp in ("val", "test"):
+        part = enc.transform(data.where(F.col("split") == sp), keep=[key, target], vector_col="features")
+        pred = reg.transform(part)
+        parts.append(E.regression_metrics(pred, target, "prediction").select(
+            F.lit(model).alias("model"), F.lit(sp).alias("split"), "*"))
+    return enc, reg, parts[0].unionByName(parts[1])
