@@ -399,9 +399,16 @@ def clean_survey(df: DataFrame, *, col_null_threshold: float = 0.95, row_null_ra
 
 
 def dedupe_rows(df: DataFrame, key: str | None = "case_key", target: str | None = None) -> DataFrame:
-    """De-duplicate on (key, target) when the key exists, else on all columns."""
+    """De-duplicate on (key, target) when the key exists, else on all
+    columns.  With a subset the kept row is the smallest one per key (a
+    deterministic choice, so a recomputed stage keeps the same row)."""
     if key and key in df.columns:
-        return df.dropDuplicates([key] + ([target] if target and target in df.columns else []))
+        subset = [key] + ([target] if target and target in df.columns else [])
+        others = [c for c in df.columns if c not in subset]
+        if not others:
+            return df.dropDuplicates(subset)
+        kept = df.groupBy(*subset).agg(F.min(F.struct(*others)).alias("_row"))
+        return kept.select(*subset, "_row.*").select(*df.columns)
     return df.dropDuplicates()
 
 

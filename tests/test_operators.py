@@ -431,3 +431,36 @@ def test_a17_rare_categories_lumped_then_dropped(spark):
 def test_duplicate_columns_without_key(spark):
     df = spark.createDataFrame([(5, 5, 1), (6, 6, 2), (7, 7, 7)], "x int, y int, z int")
     assert [tuple(r) for r in CL.duplicate_columns(df).collect()] == [("y", "x")]
+
+
+def test_mode_target_scale_published_value(spark):
+    """Published mode target: base rate, target 0.7 and modal-bin OR give scale_k."""
+    base, target, orv = 0.6430878746186517, 0.7, 9.438644241282248
+    k = spark.range(1).select(((F.lit(X.py_logit(target)) - X.clamped_logit(F.lit(base))) / F.log(F.lit(orv)))
+                              .alias("k")).first()["k"]
+    assert k == pytest.approx(0.11515710252622674, rel=1e-12)
+
+
+def test_age_band_parse_published_spec():
+    """The published band report: '>' reads as an inclusive lower bound."""
+    bands = W.parse_age_bands("<30:0.1,30-45:0.6,45-55:2,55-75:6,>75:8")
+    got = [(b.raw, b.lo, b.hi, b.lo_inclusive, b.hi_inclusive, b.weight) for b in bands]
+    assert got == [("<30", None, 30.0, True, False, 0.1), ("30-45", 30.0, 45.0, True, False, 0.6),
+                   ("45-55", 45.0, 55.0, True, False, 2.0), ("55-75", 55.0, 75.0, True, False, 6.0),
+                   (">75", 75.0, None, True, False, 8.0)]
+
+
+def test_categorical_odds_row_published_value(spark):
+    """Published categorical odds row (sex = female) from its counts and the cohort totals."""
+    per = spark.createDataFrame([("female", 12308, 6358), (None, 21501 - 12308, 11933 - 6358)],
+                                "category string, pos bigint, neg bigint")
+    row = K._odds_from_counts(per, "category", 0.5).where("category = 'female'").first()
+    assert row["n"] == 18666
+    assert row["odds_ratio"] == pytest.approx(1.1739602555437891, rel=1e-14)
+    assert row["weight"] == pytest.approx(1.079510856025276, rel=1e-14)
+
+
+def test_dedupe_rows_keeps_smallest_row(spark):
+    df = spark.createDataFrame([("k1", 1, "b"), ("k1", 1, "a"), ("k2", 0, "z")], "case_key string, label int, v string")
+    out = sorted(tuple(r) for r in CL.dedupe_rows(df, "case_key", "label").collect())
+    assert out == [("k1", 1, "a"), ("k2", 0, "z")]
