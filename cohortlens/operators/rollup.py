@@ -31,10 +31,11 @@ def last_known(df: DataFrame, key: str, value_cols: Sequence[str], date_col: str
     """A2: last non-NULL value per case by update time; undated rows sort
     last and so win (T3); equal times resolved by ``tiebreak`` (largest wins)."""
     dt = F.col(date_col).cast("timestamp") if date_col else F.lit(None).cast("timestamp")
-    tb = F.col(tiebreak) if tiebreak else F.lit(0)
     aggs = []
     for v in value_cols:
         val = X.to_number(v) if v in df.columns and df.schema[v].dataType.typeName() == "string" else F.col(v)
+        # without a tiebreak column, equal times are resolved by the value itself (deterministic)
+        tb = F.col(tiebreak) if tiebreak else val
         order = F.when(val.isNotNull(), F.struct(dt.isNull().alias("undated"), dt.alias("dt"), tb.alias("tb")))
         aggs.append(F.max_by(val, order).alias(f"{v}{suffix}"))
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)

@@ -464,3 +464,19 @@ def test_dedupe_rows_keeps_smallest_row(spark):
     df = spark.createDataFrame([("k1", 1, "b"), ("k1", 1, "a"), ("k2", 0, "z")], "case_key string, label int, v string")
     out = sorted(tuple(r) for r in CL.dedupe_rows(df, "case_key", "label").collect())
     assert out == [("k1", 1, "a"), ("k2", 0, "z")]
+
+
+def test_threshold_bucket_property(spark):
+    """Bucket = largest i in 0..100 with i * 0.01 <= p (the reference's grid), over random scores."""
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.lists(st.floats(min_value=-0.5, max_value=1.5, allow_nan=False), min_size=50, max_size=300))
+    def check(values):
+        grid = [i * 0.01 for i in range(101)]
+        probe = values + [g for g in grid] + [0.35, 0.7, 1.0, 0.0]
+        df = spark.createDataFrame([(float(v),) for v in probe], "p double")
+        got = [r[0] for r in df.select(E._threshold_bucket(F.col("p"))).collect()]
+        want = [max([i for i, g in enumerate(grid) if g <= v], default=-1) for v in probe]
+        assert got == want
+    check()
