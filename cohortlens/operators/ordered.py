@@ -46,12 +46,25 @@ def _min_buckets(df: DataFrame, buckets: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _tree(key: Column, bounds: Sequence, lo: int, hi: int) -> Column:
-    """Number of bounds[lo:hi] that are <= key, as a balanced CASE tree."""
-    if lo >= hi:
-        return F.lit(lo)
+def _bucket_count(n: int, min_b: int, per: int) -> int:
+    """Enough buckets that none exceeds ``per`` rows; some parallelism for
+    mid-sized groups; one bucket for small ones."""
+    return max(1, min(MAX_BUCKETS, max(-(-n // per), min(min_b, -(-n // 50_000)))))
+
+
+def _cdf_tree(key: Column, xs: Sequence[float], ys: Sequence[float], lo: int, hi: int) -> Column:
+    """Piecewise-linear interpolation through knots (xs, ys) on segment
+    [lo, hi], as a balanced CASE tree (log2(#knots) comparisons per row)."""
+    if hi - lo <= 1:
+        x0, x1, y0, y1 = xs[lo], xs[hi], ys[lo], ys[hi]
+        if x1 <= x0:
+            return F.lit(y1)
+        v = F.lit(y0) + (key - F.lit(x0)) * F.lit((y1 - y0) / (x1 - x0))
+        # clamped to the segment's own range, so rounding can never make a
+        # smaller key land above a larger one across a knot
+        return F.least(F.greatest(v, F.lit(y0)), F.lit(y1))
     mid = (lo + hi) // 2
-    return F.when(key < F.lit(bounds[mid]), _tree(key, bounds, lo, mid)).otherwise(_tree(key, bounds, mid + 1, hi))
+    return F.when(key < F.lit(xs[mid]), _cdf_tree(key, xs, ys, lo, mid)).otherwise(_cdf_tree(key, xs, ys, mid, hi))
 
 
 def _per_group(group_cols: Sequence[str], items: list) -> Column:
@@ -68,40 +81,53 @@ def _per_group(group_cols: Sequence[str], items: list) -> Column:
     return out.otherwise(F.lit(0)) if out is not None else F.lit(0)
 
 
+KNOTS = 100
+
+
 def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int | None = None,
               key_range: tuple[float, float] | None = None) -> Column:
-    """Deterministic bucket of ``key`` inside its group, sized from the data.
-
-    One small aggregate per call (rows per group, and for general keys an
-    approximate quantile grid); a group of n rows gets about
-    n / ``spark.cohortlens.rowsPerBucket`` buckets (at least ``buckets``, or
-    the shuffle partition count), so no window partition outgrows a task.
-    With ``key_range`` (keys uniform on it, e.g. md5-derived 32-bit hashes)
-    buckets are equal-width arithmetic; otherwise they are bounded by
-    approximate quantiles (rank error well under one bucket), evaluated as a
-    balanced CASE tree.
+    """Deterministic, order-preserving bucket of ``key`` inside its group,
+    sized from the data.
+
+    One small aggregate per call gives each group's row count and, for
+    general keys, a 100-knot approximate CDF (min, percentiles, max).  The
+    bucket is floor(cdf(key) * nb): monotone in the key, so buckets are
+    contiguous ranges, and the expression size does not depend on nb (a
+    balanced tree over the knots).  With ``key_range`` (keys uniform on it,
+    e.g. md5-derived 32-bit hashes) the CDF is the identity on that range.
+    A group of n rows gets about n / ``spark.cohortlens.rowsPerBucket``
+    buckets, so no window partition outgrows a task.
     """
     group_cols = list(group_cols)
     min_b, per = _min_buckets(df, buckets), _rows_per_bucket(df)
-    grid = 1000
+    kd = key.cast("double")
     aggs = [F.count(F.lit(1)).alias("_n")]
     if key_range is None:
-        aggs.append(F.percentile_approx(key, [i / grid for i in range(1, grid)], 25 * grid).alias("_b"))
+        aggs += [F.min(kd).alias("_lo"), F.max(kd).alias("_hi"),
+                 F.percentile_approx(kd, [i / KNOTS for i in range(1, KNOTS)], 50 * KNOTS).alias("_q")]
     rows = (df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)).collect()
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
     items = []
     for r in rows:
-        nb = max(min_b, min(MAX_BUCKETS, -(-int(r["_n"]) // per)))
-        if key_range is not None:
-            lo, hi = float(key_range[0]), float(key_range[1])
-            b = F.floor((key.cast("double") - F.lit(lo)) * F.lit(nb / (hi - lo))).cast("int")
-            expr = F.least(F.greatest(b, F.lit(0)), F.lit(nb - 1))
+        nb = _bucket_count(int(r["_n"]), min_b, per)
+        if nb == 1:
+            expr = F.lit(0)
         else:
-            fine = [x for x in (r["_b"] or []) if x is not None]
-            step = max(1, grid // max(nb, 1))
-            bounds = sorted(set(fine[step - 1::step]))
-            expr = _tree(key, bounds, 0, len(bounds))
+            if key_range is not None:
+                lo, hi = float(key_range[0]), float(key_range[1])
+                cdf = (kd - F.lit(lo)) / F.lit(hi - lo)
+            else:
+                xs = [r["_lo"], *[q for q in (r["_q"] or [])], r["_hi"]]
+                xs = [float(x) for x in xs if x is not None]
+                if len(xs) < 2 or xs[-1] <= xs[0]:
+                    cdf = F.lit(0.0)
+                else:
+                    xs = sorted(xs)
+                    ys = [j / (len(xs) - 1) for j in range(len(xs))]
+                    cdf = _cdf_tree(kd, xs, ys, 0, len(xs) - 1)
+            b = F.floor(cdf * F.lit(float(nb))).cast("int")
+            expr = F.least(F.greatest(b, F.lit(0)), F.lit(nb - 1))
         items.append(([r[g] for g in group_cols], expr))
     return _per_group(group_cols, items)
 

@@ -480,3 +480,16 @@ def test_threshold_bucket_property(spark):
         want = [max([i for i, g in enumerate(grid) if g <= v], default=-1) for v in probe]
         assert got == want
     check()
+
+
+def test_cdf_buckets_skewed_key_exact_ranks(spark):
+    spark.conf.set("spark.cohortlens.rowsPerBucket", "40")
+    try:
+        rng = np.random.default_rng(11)
+        v = np.round(rng.lognormal(0, 2.5, 3000), 3)
+        df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "id long, v double")
+        r = O.dense_rank_global(df, [], [F.col("v"), F.col("id")]).select("id", "v", "rank0").toPandas()
+        want = r.sort_values(["v", "id"]).reset_index(drop=True)
+        assert (want["rank0"].values == np.arange(len(want))).all()
+    finally:
+        spark.conf.unset("spark.cohortlens.rowsPerBucket")
