@@ -85,7 +85,7 @@ KNOTS = 100
 
 
 def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int | None = None,
-              key_range: tuple[float, float] | None = None) -> Column:
+              key_range: tuple[float, float] | None = None) -> Column | None:
     """Deterministic, order-preserving bucket of ``key`` inside its group,
     sized from the data.
 
@@ -96,7 +96,8 @@ def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: in
     balanced tree over the knots).  With ``key_range`` (keys uniform on it,
     e.g. md5-derived 32-bit hashes) the CDF is the identity on that range.
     A group of n rows gets about n / ``spark.cohortlens.rowsPerBucket``
-    buckets, so no window partition outgrows a task.
+    buckets, so no window partition outgrows a task.  Returns None when every
+    group fits a single bucket.
     """
     group_cols = list(group_cols)
     min_b, per = _min_buckets(df, buckets), _rows_per_bucket(df)
@@ -109,6 +110,8 @@ def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: in
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
     items = []
+    if all(_bucket_count(int(r["_n"]), min_b, per) == 1 for r in rows):
+        return None          # every group fits one bucket
     for r in rows:
         nb = _bucket_count(int(r["_n"]), min_b, per)
         if nb == 1:
@@ -149,7 +152,15 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
         # the bounds job and the running sums read the same (pre-aggregated)
         # input: keep it so the source is scanned once
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    keyed = df.withColumn("_bkt", bucket_of(df, group_cols, order_exprs[0], buckets, key_range))
+    bkt = bucket_of(df, group_cols, order_exprs[0], buckets, key_range)
+    if bkt is None:
+        # every group is within one bucket's row budget: a plain window per
+        # group is bounded by that budget, and no offsets or join are needed
+        grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+        run = grp.orderBy(*order_exprs).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        extra = [F.sum(v).over(grp).alias(f"tot_{v}") for v in value_cols] if totals else []
+        return df.select("*", *[F.sum(v).over(run).alias(f"{prefix}{v}") for v in value_cols], *extra)
+    keyed = df.withColumn("_bkt", bkt)
     bucket_sums = keyed.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     # bucket table: at most groups x buckets rows, so windows over it are bounded
     grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
