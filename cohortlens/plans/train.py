@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,8 +151,11 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     res = TrainResult(enc, model, platt, iso, anchors, 0.5, None, None, cfg)
     val_final = res.finalize(res.score(val, keep=[cfg.key, cfg.label, cfg.domain]),
                              val.select(cfg.key, F.col("age_years").alias("_age_raw")) if "age_years" in val.columns else None)
+    # validation scores feed the ranking metrics, the scan and the choice: score once
+    val_final = val_final.select(cfg.key, cfg.label, cfg.domain, "score").persist(StorageLevel.MEMORY_AND_DISK)
     scan = E.threshold_scan(val_final, cfg.label, "score", cfg.domain,
-                            target_domain=cfg.unlabeled_domain if cfg.target_rate is not None else None)
+                            target_domain=cfg.unlabeled_domain if cfg.target_rate is not None else None) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     choice = E.choose_threshold(scan, cfg.metric, cfg.min_precision, cfg.gap_penalty, cfg.min_threshold,
                                 cfg.max_threshold, cfg.min_recall, cfg.target_rate, cfg.target_weight)
     res.scan, res.choice = scan, choice
@@ -172,7 +176,8 @@ def split_metrics(df: DataFrame, res: TrainResult, name: str) -> DataFrame:
         df = W.hash_split(df, res.cfg.key, res.cfg.seed)
     rows = []
     for sp in ("val", "test"):
-        s = scored_split(df, res, sp)
+        s = scored_split(df, res, sp).select(res.cfg.key, res.cfg.label, res.cfg.domain, "score") \
+            .persist(StorageLevel.MEMORY_AND_DISK)      # three aggregates read it
         rk = E.auroc_ap(s, res.cfg.label, "score")
         br = E.brier(s, res.cfg.label, "score").select("brier")
         cm = E.classification_metrics(s, res.threshold, res.cfg.label, "score").drop("domain", "n")
@@ -185,7 +190,8 @@ def test_by_domain(df: DataFrame, res: TrainResult) -> DataFrame:
     """Test metrics per domain and overall at the chosen threshold."""
     if "split" not in df.columns:
         df = W.hash_split(df, res.cfg.key, res.cfg.seed)
-    s = scored_split(df, res, "test")
+    s = scored_split(df, res, "test").select(res.cfg.key, res.cfg.label, res.cfg.domain, "score") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     cm = E.classification_metrics(s, res.threshold, res.cfg.label, "score", res.cfg.domain)
     rk = E.auroc_ap(s, res.cfg.label, "score", [res.cfg.domain]).select(
         F.col(res.cfg.domain).cast("string").alias("domain"), "auroc", "auprc") \
