@@ -3,6 +3,7 @@ import json
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,3 +199,52 @@ def test_streaming_file_sink_with_checkpoint(spark, trained, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == df.count()
     assert set(out.columns) == {"doc_id", "risk_probability", "prediction"}
+
+
+def _newton_logreg(X, y, s, C=1.0, iters=50):
+    """0.5 * ||w||^2 + C * sum s_i * logloss_i, intercept unpenalised (Newton steps)."""
+    n, d = X.shape
+    Xa = np.hstack([X, np.ones((n, 1))])
+    w = np.zeros(d + 1)
+    pen = np.eye(d + 1)
+    pen[-1, -1] = 0.0
+    for _ in range(iters):
+        p = 1 / (1 + np.exp(-Xa @ w))
+        g = pen @ w + C * Xa.T @ (s * (p - y))
+        H = pen + C * (Xa * (s * p * (1 - p))[:, None]).T @ Xa
+        w -= np.linalg.solve(H, g)
+    return w
+
+
+def test_logistic_regression_matches_reference_objective(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from cohortlens.operators import models as M
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(400, 3))
+    y = (X @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=400) > 0).astype(float)
+    s = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))     # balanced class weights
+    rows = [(float(a), float(b), float(c), float(t), float(w)) for (a, b, c), t, w in zip(X, y, s)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label double, sample_weight double")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    model = M.fit_classifier(df, "logreg", 3, params={"tol": 1e-10, "maxIter": 500})
+    want = _newton_logreg(X, y, s)
+    got = np.append(model.coefficients.toArray(), model.intercept)
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_platt_matches_soft_target_fit(spark):
+    from cohortlens.operators import models as M
+    rng = np.random.default_rng(3)
+    p = np.clip(rng.beta(2, 2, 300), 1e-3, 1 - 1e-3)
+    y = (rng.random(300) < p ** 1.5).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p_raw double, label int")
+    platt = M.fit_platt(df, "p_raw", "label")
+    n_pos, n_neg = y.sum(), (1 - y).sum()
+    t = np.where(y == 1, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
+    m = np.log(p / (1 - p))[:, None]
+    # soft targets as two weighted rows, no penalty (huge C)
+    X2 = np.vstack([m, m])
+    y2 = np.concatenate([np.ones(300), np.zeros(300)])
+    s2 = np.concatenate([t, 1 - t])
+    want = _newton_logreg(X2, y2, s2, C=1e9)
+    assert [platt.a, platt.b] == pytest.approx(list(want), abs=1e-4)
