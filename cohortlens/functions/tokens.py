@@ -107,3 +107,10 @@ METASTASIS_POSITIVE = ("metastasis, nos", "yes")
 YES_TOKENS = ("yes", "1")
 TREATMENT_WORDS = {"any_chemo": "chemotherapy", "any_radiation": "radiation", "any_surgery": "surgery",
                    "any_immuno": "immunotherapy", "any_targeted": "targeted"}
+
+# --- fixed values: features that make a regression target trivial ---
+TARGET_RELATED = {
+    "bmi_last": ("weight_last", "height_last"),
+    "weight_last": ("bmi_last",),
+    "mean_age_at_dx_years": ("age_years",),
+}

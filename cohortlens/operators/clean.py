@@ -229,11 +229,9 @@ def drop_leakage(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def drop_target_related(df: DataFrame, target: str) -> DataFrame:
-    """Drop features that trivially give the target (bmi <-> weight/height, age)."""
-    related = {"bmi_last": ("weight_last", "height_last"), "bmi": ("weight", "height"),
-               "age_years": ("age_at_index", "dem_age_at_index", "dem_days_to_birth")}
-    drop = [c for c in related.get(target, ()) if c in df.columns]
-    return df.drop(*drop)
+    """Drop features that trivially give a regression target
+    (bmi <- weight/height, weight <- bmi, diagnosis age <- age)."""
+    return df.drop(*[c for c in TK.TARGET_RELATED.get(target, ()) if c in df.columns])
 
 
 def column_drop_report(df: DataFrame, target: str | None = None, null_threshold: float = 0.95,

@@ -493,3 +493,10 @@ def test_cdf_buckets_skewed_key_exact_ranks(spark):
         assert (want["rank0"].values == np.arange(len(want))).all()
     finally:
         spark.conf.unset("spark.cohortlens.rowsPerBucket")
+
+
+def test_drop_target_related(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "bmi_last double, weight_last double, height_last double, age_years double")
+    assert CL.drop_target_related(df, "bmi_last").columns == ["bmi_last", "age_years"]
+    assert CL.drop_target_related(df, "weight_last").columns == ["weight_last", "height_last", "age_years"]
+    assert CL.drop_target_related(df, "label").columns == df.columns
