@@ -89,6 +89,8 @@ GRID_AGE_EDGES = (0, 40, 50, 60, 70, 80, float("inf"))
 GRID_AGE_LABELS = ("<40", "40-49", "50-59", "60-69", "70-79", "80+")
 GRID_BMI_EDGES = (0, 25, 30, float("inf"))
 GRID_BMI_LABELS = ("Normal", "Sobrepeso", "Obeso")
+CONCORDANCE_BMI_EDGES = (0, 18.5, 25, 30, 35, float("inf"))
+CONCORDANCE_BMI_LABELS = ("<18.5", "18.5-24.9", "25-29.9", "30-34.9", "35+")
 DECADE_EDGES = (20, 30, 40, 50, 60, 70, 80, 200)
 DECADE_LABELS = ("20s", "30s", "40s", "50s", "60s", "70s", "80s+")
 

@@ -53,8 +53,10 @@ def age_contrast(df: DataFrame, age_col: str, score_col: str, hi: float = 70, lo
 
 def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence[str],
                       categorical: Sequence[str]) -> DataFrame:
-    """Rows at or above the score's q-quantile: count, means, medians, modes
-    (ties -> smallest value).  The cut-off is an exact distributed quantile."""
+    """Rows at or above the score's q-quantile: count, score mean and median,
+    means and medians of the numeric columns, modes of the categorical ones
+    (NULLs ignored, ties -> smallest value).  The cut-off is an exact
+    distributed quantile."""
     df = two_pass(df, [score_col, *numeric, *categorical])
     cutoff = scalar(quantiles_wide(df, score_col, [q], ["cutoff"]))   # one number
     top = df.where(F.col(score_col) >= F.lit(cutoff))
@@ -62,9 +64,10 @@ def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence
     aggs += [F.avg(c).alias(f"{c}_mean") for c in numeric]
     aggs += [F.avg(score_col).alias("score_mean")]
     aggs += [F.mode(c, True).alias(f"{c}_mode") for c in categorical]
-    out = collapse_rows(top.agg(*aggs), *[quantiles_wide(top, c, [0.5], [f"{c}_median"]) for c in numeric])
-    order = ["cutoff", "n"] + [x for c in numeric for x in (f"{c}_mean", f"{c}_median")] + ["score_mean"] + \
-        [f"{c}_mode" for c in categorical]
+    meds = [quantiles_wide(top, c, [0.5], [f"{c}_median"]) for c in [*numeric, score_col]]
+    out = collapse_rows(top.agg(*aggs), *meds).withColumnRenamed(f"{score_col}_median", "score_median")
+    order = ["cutoff", "n"] + [x for c in numeric for x in (f"{c}_mean", f"{c}_median")] + \
+        ["score_mean", "score_median"] + [f"{c}_mode" for c in categorical]
     return out.select(*order)
 
 

@@ -288,11 +288,15 @@ def age_sex_pyramid(df: DataFrame, age_col: str, sex_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- drift ----
 
-def numeric_drift(train: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
+def numeric_drift(train: DataFrame, current: DataFrame, features: Sequence[str],
+                  dedupe_train: bool = True) -> DataFrame:
     """Per feature: n, mean, population std, median, p10, p90 on both sides,
     mean_diff = input - train and Cohen's d = diff / sqrt((s1^2 + s2^2) / 2).
-    Both sides are stacked as (side, feature, value) so one aggregate and one
-    quantile job cover everything."""
+    The training side is de-duplicated (whole rows) first.  Both sides are
+    stacked as (side, feature, value) so one aggregate and one quantile job
+    cover everything."""
+    if dedupe_train:
+        train = train.dropDuplicates()
     def stack(df: DataFrame, side: str) -> DataFrame:
         return df.select(F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(f).alias("feature"),
                                                       F.col(f).cast("double").alias("v")) for f in features]))

@@ -195,8 +195,8 @@ agg AS (SELECT feature, bin, count(*) AS n, avg(score) AS mean_score, quantile_c
 SELECT dim.feature, dim.bin_order, dim.bin, CAST(COALESCE(agg.n, 0) AS BIGINT) AS n, agg.mean_score, agg.median_score
 FROM dim LEFT JOIN agg ON dim.feature = agg.feature AND dim.bin = agg.bin"""
 
-SBB_AGE = ((0, 20, 40, 60, 80, 100, float("inf")), ("<20", "20-39", "40-59", "60-79", "80-99", "100+"))
-SBB_BMI = ((0, 18.5, 25, 30, 35, float("inf")), ("<18.5", "18.5-24.9", "25-29.9", "30-34.9", "35+"))
+SBB_AGE = (TK.GRID_AGE_EDGES, TK.GRID_AGE_LABELS)
+SBB_BMI = (TK.CONCORDANCE_BMI_EDGES, TK.CONCORDANCE_BMI_LABELS)
 
 
 def _dims_sql():
@@ -240,19 +240,27 @@ def q_age_contrast(spark, sf):
 
 
 @register("high_risk_profile", W_PU + """
-, u AS (SELECT *, """ + AGE_EXPR_SQL + """ AS age_years FROM pu WHERE domain = 'unlabelled'),
+, u AS (SELECT *, """ + AGE_EXPR_SQL + """ AS age_years, """ + BMI_EXPR_SQL + """ AS bmi_last FROM pu WHERE domain = 'unlabelled'),
 cut AS (SELECT quantile_cont(score, 0.9) AS c FROM u),
-h AS (SELECT u.* FROM u, cut WHERE u.score >= cut.c),
-ml AS (SELECT lang FROM h GROUP BY lang ORDER BY count(*) DESC, lang ASC LIMIT 1),
-ms AS (SELECT source FROM h GROUP BY source ORDER BY count(*) DESC, source ASC LIMIT 1)
+h AS (SELECT u.*, """ + _bins_case("bmi_last", TK.GRID_BMI_EDGES, TK.GRID_BMI_LABELS) + """ AS bmi_cat
+      FROM u, cut WHERE u.score >= cut.c),
+mb AS (SELECT bmi_cat FROM h WHERE bmi_cat IS NOT NULL GROUP BY bmi_cat ORDER BY count(*) DESC, bmi_cat ASC LIMIT 1),
+ml AS (SELECT lang FROM h WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang ASC LIMIT 1),
+ms AS (SELECT source FROM h WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source ASC LIMIT 1)
 SELECT (SELECT c FROM cut) AS cutoff, count(*) AS n, avg(age_years) AS age_years_mean,
-       quantile_cont(age_years, 0.5) AS age_years_median, avg(score) AS score_mean,
+       quantile_cont(age_years, 0.5) AS age_years_median, avg(bmi_last) AS bmi_last_mean,
+       quantile_cont(bmi_last, 0.5) AS bmi_last_median, avg(score) AS score_mean,
+       quantile_cont(score, 0.5) AS score_median, (SELECT bmi_cat FROM mb) AS bmi_cat_mode,
        (SELECT lang FROM ml) AS lang_mode, (SELECT source FROM ms) AS source_mode
-FROM h""", doubles=["cutoff", "age_years_mean", "age_years_median", "score_mean"])
+FROM h""", doubles=["cutoff", "age_years_mean", "age_years_median", "bmi_last_mean", "bmi_last_median",
+                    "score_mean", "score_median"])
 def q_high_risk_profile(spark, sf):
-    """Profile of the top 10% unlabelled scores (means, medians, modes)."""
-    u = _pu_report(spark, sf).where(F.col("domain") == "unlabelled")
-    return R.high_risk_profile(u, "score", 0.9, numeric=["age_years"], categorical=["lang", "source"])
+    """Profile of the top 10% unlabelled scores: n, cut-off, score mean / median,
+    age and BMI means / medians, modes of BMI category, lang and source."""
+    u = _pu_report(spark, sf).where(F.col("domain") == "unlabelled") \
+        .withColumn("bmi_cat", X.bin_expr(F.col("bmi_last"), TK.GRID_BMI_EDGES, TK.GRID_BMI_LABELS))
+    return R.high_risk_profile(u, "score", 0.9, numeric=["age_years", "bmi_last"],
+                               categorical=["bmi_cat", "lang", "source"])
 
 
 @register("prediction_vs_truth", W_PU + """
