@@ -59,6 +59,7 @@ class TrainConfig:
     age_weight: float = 1.0
     seed: int = 42
     model_params: dict = field(default_factory=dict)
+    mlp_max_iters: Sequence[int] = (50, 100, 200)
 
 
 @dataclass
@@ -136,9 +137,20 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     # iterative fits read the training rows many times: cut the weighting /
     # PU / encoding lineage with a reliable checkpoint in the shared folder
     tr_enc = cut_lineage(tr_enc)
-    model = M.fit_classifier(tr_enc, cfg.model, n_feat, cfg.label, "sample_weight", seed=cfg.seed,
-                             key=cfg.key, params=dict(cfg.model_params))
     val_enc = enc.transform(val, keep=[cfg.key, cfg.label, cfg.domain], vector_col="features")
+    if cfg.model == "mlp" and "maxIter" not in cfg.model_params and cfg.mlp_max_iters:
+        # M17 early stopping: a few training lengths, keep the best validation AUROC
+        best = None
+        for it in cfg.mlp_max_iters:
+            cand = M.fit_classifier(tr_enc, "mlp", n_feat, cfg.label, "sample_weight", seed=cfg.seed,
+                                    key=cfg.key, params={**cfg.model_params, "maxIter": int(it)})
+            auc = E.auroc_ap(M.score(cand, val_enc), cfg.label, "p_raw").first()["auroc"]
+            if best is None or (auc is not None and (best[0] is None or auc > best[0])):
+                best = (auc, cand)
+        model = best[1]
+    else:
+        model = M.fit_classifier(tr_enc, cfg.model, n_feat, cfg.label, "sample_weight", seed=cfg.seed,
+                                 key=cfg.key, params=dict(cfg.model_params))
     val_scored = M.score(model, val_enc)
     platt = iso = None
     if cfg.calibrate == "sigmoid":
@@ -199,12 +211,28 @@ def test_by_domain(df: DataFrame, res: TrainResult) -> DataFrame:
     return cm.join(rk, "domain", "left")     # one row per domain on both sides
 
 
+def prepare_inputs(df: DataFrame, res: TrainResult) -> DataFrame:
+    """M21 input side (P24, P23, P25): gender -> sex and synonyms, numeric
+    features parsed, absent features added as NULL, missing smoker flag -> 0."""
+    from cohortlens.operators import clean as CL
+    cfg = res.cfg
+    types = {**{c: "double" for c in cfg.numeric}, **{c: "string" for c in cfg.categorical}}
+    out = CL.enforce_schema(CL.normalize_inputs(df), [*cfg.numeric, *cfg.categorical],
+                            drop=(cfg.label, cfg.domain), types=types)
+    return CL.assume_non_smoker(out)
+
+
 def batch_score(df: DataFrame, res: TrainResult, keep: Sequence[str] | None = None) -> DataFrame:
-    """Input columns kept, ``risk_probability`` and the High/Low label added."""
+    """Inputs normalised and completed, encoded, scored, calibrated,
+    prior then cap; input columns kept, ``risk_probability`` and the
+    High/Low label added."""
     cfg = res.cfg
     keep = list(keep or df.columns)
-    raw_age = df.select(cfg.key, F.col("age_years").alias("_age_raw")) if "age_years" in df.columns else None
-    s = res.finalize(res.score(df, keep=[cfg.key]), raw_age).select(cfg.key, F.col("score").alias("risk_probability"))
+    prepared = prepare_inputs(df, res)
+    raw_age = prepared.select(cfg.key, F.col("age_years").alias("_age_raw")) if "age_years" in prepared.columns \
+        else None
+    s = res.finalize(res.score(prepared, keep=[cfg.key]), raw_age) \
+        .select(cfg.key, F.col("score").alias("risk_probability"))
     out = df.select(*keep).join(s, cfg.key, "left")
     return out.withColumn("prediction", X.risk_label("risk_probability", res.threshold))
 

@@ -248,3 +248,12 @@ def test_platt_matches_soft_target_fit(spark):
     s2 = np.concatenate([t, 1 - t])
     want = _newton_logreg(X2, y2, s2, C=1e9)
     assert [platt.a, platt.b] == pytest.approx(list(want), abs=1e-4)
+
+
+def test_batch_score_completes_missing_inputs(spark, trained):
+    """Scoring input lacking a feature (and with gender instead of sex) still scores every row."""
+    df, res = trained
+    inp = df.select("doc_id", "age_years", "lang", "source")          # no smoker column
+    out = TR.batch_score(inp, res, keep=["doc_id"])
+    assert out.where(F.col("risk_probability").isNull()).count() == 0
+    assert out.count() == inp.count()
