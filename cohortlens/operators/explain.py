@@ -16,7 +16,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X

@@ -9,8 +9,8 @@ from cohortlens.functions import tokens as TK
 from cohortlens.operators import canonical as C
 from cohortlens.operators import clean as CL
 from cohortlens.plans.catalog import register
-from cohortlens.plans.standins import (CUSTOMER_SQL, EVENTS_SQL, ORDERS_SQL, SUPPLIER_SQL, customer_domain,
-                                       event_cohort, orders_as_exposures, supplier_domain, table, with_sql)
+from cohortlens.plans.standins import (CUSTOMER_SQL, ORDERS_SQL, SUPPLIER_SQL, customer_domain, orders_as_exposures,
+                                       supplier_domain, table, with_sql)
 
 _TOKENS_SQL = "(" + ", ".join(f"'{t}'" for t in TK.MISSING_TOKENS) + ")"
 _TRUE_SQL = "(" + ", ".join(f"'{t}'" for t in TK.TRUE_TOKENS) + ")"

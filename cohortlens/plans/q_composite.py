@@ -6,11 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
 from cohortlens.operators import risk as K
 from cohortlens.operators import rollup as RU
-from cohortlens.operators import weights as W
 from cohortlens.plans import pipelines as PL
 from cohortlens.plans.catalog import register
 from cohortlens.plans.q_columns import _UNION_SQL, _two_schemas
