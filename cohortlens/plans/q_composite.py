@@ -238,3 +238,64 @@ def q_flat_case_table(spark, sf):
     follow-ups forcing the label) joined onto the cases; unknown vital status stays NULL."""
     rel = _flat_relations(spark, sf)
     return RU.flat_case_table(rel, "case_key", {"diagnoses": ["o_orderdate", "diagnosis_id"]})
+
+
+def _coded_survey(spark, sf):
+    """customer as a coded survey: sex 1/2, race/ethnicity code = nation key,
+    smoking questions from segment and nation, heights/weights from balances."""
+    c = table(spark, sf, "customer")
+    seg, nk = F.col("c_mktsegment"), F.col("c_nationkey")
+    return c.select(F.col("c_custkey").alias("SEQN"), (F.col("c_acctbal") / 100 + 40).alias("RIDAGEYR"),
+                    F.when(nk < 12, F.lit(1)).otherwise(F.lit(2)).alias("RIAGENDR"), nk.alias("RIDRETH3"),
+                    (F.col("c_acctbal") / 50 + 150).alias("BMXHT"), (F.col("c_acctbal") / 100 + 70).alias("BMXWT"),
+                    F.when(seg == "AUTOMOBILE", F.lit(1)).when(seg == "BUILDING", F.lit(2)).alias("SMQ020"),
+                    F.when(nk < 5, F.lit(1)).when(nk < 10, F.lit(3)).alias("SMQ040"))
+
+
+@register("coded_survey_canonical", """
+WITH s AS (SELECT c_custkey AS seqn, c_acctbal / 100 + 40 AS age, CASE WHEN c_nationkey < 12 THEN 1 ELSE 2 END AS sx,
+                  c_nationkey AS eth, c_acctbal / 50 + 150 AS ht, c_acctbal / 100 + 70 AS wt,
+                  CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 WHEN c_mktsegment = 'BUILDING' THEN 2 END AS q1,
+                  CASE WHEN c_nationkey < 5 THEN 1 WHEN c_nationkey < 10 THEN 3 END AS q2 FROM customer)
+SELECT age AS age_years, ht AS height_last, wt AS weight_last, CAST(NULL AS DOUBLE) AS bmi_last,
+       CASE WHEN q1 = 1 THEN 1.0 WHEN q1 = 2 THEN 0.0 WHEN q2 IN (1, 2) THEN 1.0 WHEN q2 = 3 THEN 0.0 END
+         AS tobacco_smoking_status_any,
+       CAST(NULL AS DOUBLE) AS pack_years_smoked_max,
+       CASE WHEN sx = 1 THEN 'male' WHEN sx = 2 THEN 'female' END AS sex,
+       CASE WHEN eth IN (1, 2) THEN 'hispanic or latino' ELSE 'not hispanic or latino' END AS ethnicity,
+       CASE WHEN eth = 3 THEN 'white' WHEN eth = 4 THEN 'black or african american' WHEN eth = 6 THEN 'asian'
+            WHEN eth = 7 THEN 'other' END AS race,
+       0 AS label, 'nhanes' AS domain
+FROM s""", doubles=["age_years", "height_last", "weight_last", "bmi_last", "tobacco_smoking_status_any",
+                    "pack_years_smoked_max"])
+def q_coded_survey_canonical(spark, sf):
+    """P5 + C5-C8: a coded survey (upper-case names snake-cased) mapped to the canonical row:
+    coded sex, ethnicity (everything else -> not hispanic), race, two-question smoker."""
+    from cohortlens.operators import canonical as C
+    return C.align_domain_b(_coded_survey(spark, sf))[0]
+
+
+_W_LANGS = ("de", "en", "es", "fr")
+
+
+@register("encode_weighted", """
+WITH d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / 100.0 AS age_years, lang FROM documents),
+tr AS (SELECT * FROM d WHERE (CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8))::BIGINT AS DOUBLE)
+                              / 4294967296.0) < 0.7),
+med AS (SELECT quantile_cont(age_years, 0.5) AS m FROM tr),
+st AS (SELECT avg(COALESCE(age_years, m)) AS mu, stddev_pop(COALESCE(age_years, m)) AS sd FROM tr, med),
+z AS (SELECT doc_id, (COALESCE(age_years, m) - mu) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END AS age_years, lang
+      FROM d, med, st)
+SELECT doc_id, age_years, """ + ", ".join(f"CAST(COALESCE(lang, 'unknown') = '{v}' AS DOUBLE) * 0.5 AS lang_{v}"
+                                          for v in _W_LANGS) + """, age_years * 3.0 AS age_years_weighted
+FROM z""", doubles=["age_years", "age_years_weighted"] + [f"lang_{v}" for v in _W_LANGS])
+def q_encode_weighted(spark, sf):
+    """M12 + M13: encoder with a weighted copy of scaled age (x3) and a feature weight of 0.5
+    on every lang one-hot column."""
+    from cohortlens.operators import features as FE
+    from cohortlens.operators import weights as W
+    d = table(spark, sf, "documents").select("doc_id", (F.col("n_chars").cast("double") / 100.0).alias("age_years"),
+                                             "lang")
+    train = W.hash_split(d, "doc_id", seed=42).where(F.col("split") == "train")
+    enc = FE.fit_encoder(train, ["age_years"], ["lang"], age_weight=3.0, feature_weights={"lang_": 0.5})
+    return enc.transform(d, keep=["doc_id"])
