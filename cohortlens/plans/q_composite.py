@@ -299,3 +299,33 @@ def q_encode_weighted(spark, sf):
     train = W.hash_split(d, "doc_id", seed=42).where(F.col("split") == "train")
     enc = FE.fit_encoder(train, ["age_years"], ["lang"], age_weight=3.0, feature_weights={"lang_": 0.5})
     return enc.transform(d, keep=["doc_id"])
+
+
+@register("case_domain_canonical", f"""
+WITH c AS (SELECT c_custkey AS case_id,
+                  CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE -(c_acctbal + 20000.0) END AS dtb,
+                  (c_acctbal + 10000.0) * 2 AS dx,
+                  CASE WHEN c_nationkey < 12 THEN ' Female' WHEN c_nationkey < 20 THEN 'MALE' ELSE 'Not Reported' END AS g,
+                  CASE WHEN c_nationkey < 6 THEN 'white' ELSE 'unknown' END AS r FROM customer)
+SELECT COALESCE(round_even(-dtb / 365.25 * 10, 0) / 10, round_even(dx / 365.25 * 10, 0) / 10) AS age_years,
+       CAST(NULL AS DOUBLE) AS height_last, CAST(NULL AS DOUBLE) AS weight_last, CAST(NULL AS DOUBLE) AS bmi_last,
+       CAST(NULL AS DOUBLE) AS tobacco_smoking_status_any, CAST(NULL AS DOUBLE) AS pack_years_smoked_max,
+       CASE WHEN lower(trim(g)) IN {_TOKENS_SQL} THEN NULL ELSE lower(trim(g)) END AS sex,
+       CAST(NULL AS VARCHAR) AS ethnicity,
+       CASE WHEN lower(trim(r)) IN {_TOKENS_SQL} THEN NULL ELSE lower(trim(r)) END AS race,
+       1 AS label, 'hcmi_tcga' AS domain
+FROM c""", doubles=["age_years", "height_last", "weight_last", "bmi_last", "tobacco_smoking_status_any",
+                    "pack_years_smoked_max"])
+def q_case_domain_canonical(spark, sf):
+    """P4 + C1 + C3: case-domain canonical row — age from days to birth, else mean diagnosis
+    days (1 dp, half-even), demographics cleaned of missing tokens, label NULL -> 1."""
+    from cohortlens.operators import canonical as C
+    c = table(spark, sf, "customer")
+    nk = F.col("c_nationkey")
+    raw = c.select(F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(None).cast("double"))
+                   .otherwise(-(F.col("c_acctbal") + 20000.0)).alias("dem_days_to_birth"),
+                   ((F.col("c_acctbal") + 10000.0) * 2).alias("mean_age_at_dx"),
+                   F.when(nk < 12, F.lit(" Female")).when(nk < 20, F.lit("MALE")).otherwise(F.lit("Not Reported"))
+                   .alias("dem_gender"),
+                   F.when(nk < 6, F.lit("white")).otherwise(F.lit("unknown")).alias("dem_race"))
+    return C.align_domain_a(raw)[0]
