@@ -271,3 +271,20 @@ def q_dedupe_rows(spark, sf):
     o = orders_as_exposures(spark, sf).select(F.col("case_id").alias("case_key"),
                                                F.col("smoking_text").alias("target"), "row_key")
     return CL.dedupe_rows(o, "case_key", "target").select("case_key", "target")
+
+
+@register("column_drops", """
+SELECT o_totalprice, o_orderstatus, label FROM (
+  SELECT o_totalprice, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders) t""",
+          doubles=["o_totalprice"])
+def q_column_drops(spark, sf):
+    """P15 + P16: id-like columns (*_id, submitter ids, case key) and the outcome-leakage
+    columns dropped; the target is never dropped."""
+    o = table(spark, sf, "orders")
+    st = F.col("o_orderstatus")
+    frame = o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").cast("string").alias("submitter_id"),
+                     F.col("o_orderkey").alias("case_key"), "o_totalprice", "o_orderstatus",
+                     F.when(st == "F", F.lit("Dead")).otherwise(F.lit("Alive")).alias("dem_vital_status"),
+                     (st == "P").cast("int").alias("any_progression"),
+                     F.when(st == "F", F.lit(1)).otherwise(F.lit(0)).alias("label"))
+    return CL.drop_leakage(CL.drop_id_like(frame, target="label"), target="label")
