@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import quality, sharding
+from cohortlens.llm import quality, sharding, substring
 
 QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op9_quality": quality.op9_quality,
+    "op10_substring": substring.op10_substring,
 }
 
 ORACLE = {
     "op5_sharding": sharding.OP5_SQL,
+    "op10_substring": substring.OP10_SQL,
 }
