@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import quality, sharding, substring
+from cohortlens.llm import quality, sharding, simple8b, substring
 
 QUERIES = {
+    "op4_simple8b": simple8b.op4_simple8b,
     "op5_sharding": sharding.op5_sharding,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
