@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import quality, sharding, simple8b, substring
+from cohortlens.llm import jaccard, quality, sharding, simple8b, substring
 
 QUERIES = {
     "op4_simple8b": simple8b.op4_simple8b,
     "op5_sharding": sharding.op5_sharding,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
 }
 
 ORACLE = {
     "op5_sharding": sharding.OP5_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
     "op10_substring": substring.OP10_SQL,
 }
