@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import jaccard, quality, sharding, simple8b, substring
+from cohortlens.llm import decontam, jaccard, quality, sharding, simple8b, substring, toxicity
 
 QUERIES = {
     "op4_simple8b": simple8b.op4_simple8b,
     "op5_sharding": sharding.op5_sharding,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_decontam": decontam.op7_decontam,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
@@ -14,6 +16,7 @@ QUERIES = {
 
 ORACLE = {
     "op5_sharding": sharding.OP5_SQL,
+    "op7_decontam": decontam.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
     "op10_substring": substring.OP10_SQL,
 }

@@ -20,6 +20,8 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARK = _SPACE.copy()
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -46,12 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a batch: ``hash`` per word, ``first`` (per text, index of its first word; one more at the end)."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, lower: bool, marks: bool = False):
         # ends: for each text, the index of its separator byte in data
         if lower:
             data = _LOWER[data]
         self.data = data
-        word = ~_SPACE[data]
+        word = ~(_MARK if marks else _SPACE)[data]
         word[ends] = False
         edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
         self.start, self.stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -73,8 +75,12 @@ class Words:
         return np.repeat(np.arange(len(self)), np.diff(self.first))
 
 
-def batches(texts: pa.Array, lower: bool = False, max_bytes: int = MAX_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, words) of consecutive rows; nulls count as empty texts."""
+def batches(texts: pa.Array, lower: bool = False, max_bytes: int = MAX_BYTES,
+            marks: bool = False) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, words) of consecutive rows; nulls count as empty texts.
+
+    With ``marks``, ASCII punctuation parts words as white space does.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_binary())
@@ -91,7 +97,7 @@ def batches(texts: pa.Array, lower: bool = False, max_bytes: int = MAX_BYTES) ->
         inside = np.ones(len(data), dtype=bool)
         inside[ends] = False
         data[inside] = raw[offsets[i]:offsets[j]]
-        yield i, j, Words(data, ends, lower)
+        yield i, j, Words(data, ends, lower, marks)
         i = j
 
 
