@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import decontam, jaccard, quality, sharding, simple8b, substring, toxicity
+from cohortlens.llm import decontam, jaccard, lm, quality, sharding, simple8b, substring, toxicity
 
 QUERIES = {
+    "op2_lm": lm.op2_lm,
     "op4_simple8b": simple8b.op4_simple8b,
     "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
