@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import decontam, jaccard, lm, quality, sharding, simple8b, substring, toxicity
+from cohortlens.llm import decontam, jaccard, licenses, lm, mixing, quality, sharding, simple8b, substring, toxicity
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_lm": lm.op2_lm,
+    "op3_mixing": mixing.op3_mixing,
     "op4_simple8b": simple8b.op4_simple8b,
     "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -16,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_licenses": licenses.OP1_SQL,
+    "op3_mixing": mixing.OP3_SQL,
     "op5_sharding": sharding.OP5_SQL,
     "op7_decontam": decontam.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
