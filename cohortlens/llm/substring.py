@@ -9,7 +9,8 @@
    number of buckets follows the number of shuffle partitions, so a bucket's
    share of the corpus is bounded.
 3. Repeats go back to their documents, where overlapping windows merge into
-   maximal intervals of words, which are cut out of the whole text.
+   maximal intervals of words, which are cut out of the whole text.  Documents
+   are dealt into ``shares`` for this, again by the number of shuffle partitions.
 
 A window's fingerprint has 64 bits (8 to 10 of them in its bucket number): two
 different windows among n are taken for equal with a chance of about
@@ -42,9 +43,9 @@ CHUNK_WINDOWS = 2_000_000
 NO_ID = -(2 ** 63)
 
 
-def _send_repeats(where: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+def _send_repeats(where: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, shares: int) -> list[tuple]:
     """Packed (bucket, kind, hash, doc, tie, pos) rows for repeats, dealt out by their document."""
-    to = packed.spark_xxhash64(doc[where]) % buckets
+    to = packed.spark_xxhash64(doc[where]) % shares
     order = np.lexsort((pos[where], tie[where], doc[where], to))
     where, to = where[order], to[order]
     cuts = np.flatnonzero(np.diff(to, prepend=-1))
@@ -66,7 +67,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 SENT = "bucket long, repeat boolean, hash binary, doc binary, tie binary, pos binary"
 
 
-def _chunk(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+def _chunk(parts: list[tuple], buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
     """Combine a chunk: the earliest window of each hash by bucket, the others as repeats by document."""
     hashes, doc, tie, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     rank = np.lexsort((pos, tie, doc)) if (np.diff(doc) < 0).any() or tie.any() else None
@@ -80,7 +81,7 @@ def _chunk(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     # the same place in a repeated row is not a repeat
     late = (doc[order] != doc[lead]) | (tie[order] != tie[lead]) | (pos[order] != pos[lead])
     if late.any():
-        yield _batch(_send_repeats(order[late], doc, tie, pos, buckets))
+        yield _batch(_send_repeats(order[late], doc, tie, pos, shares))
     keys = sorted_hash[run]
     shift = np.uint64(64 - buckets.bit_length() + 1)
     at = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
@@ -89,7 +90,7 @@ def _chunk(parts: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     yield _batch(rows)
 
 
-def _hash_windows(width: int, buckets: int):
+def _hash_windows(width: int, buckets: int, shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
@@ -105,14 +106,14 @@ def _hash_windows(width: int, buckets: int):
                 parts.append((h[inside], ids[i + owner], ties[i + owner], start))
                 size += len(owner)
                 if size >= CHUNK_WINDOWS:
-                    yield from _chunk(parts, buckets)
+                    yield from _chunk(parts, buckets, shares)
                     parts, size = [], 0
         if parts:
-            yield from _chunk(parts, buckets)
+            yield from _chunk(parts, buckets, shares)
     return run
 
 
-def _count_bucket(buckets: int):
+def _count_bucket(shares: int):
     def run(table: pa.Table) -> pa.Table:
         seen = table.filter(table.column("repeat"))     # known repeats of these documents pass through
         table = table.filter(pc.invert(table.column("repeat")))
@@ -136,7 +137,7 @@ def _count_bucket(buckets: int):
         run_at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         lead = np.repeat(run_at, np.diff(np.append(run_at, len(h))))
         late = np.flatnonzero((doc != doc[lead]) | (tie != tie[lead]) | (pos != pos[lead]))
-        made = pa.Table.from_batches([_batch(_send_repeats(late, doc, tie, pos, buckets))])
+        made = pa.Table.from_batches([_batch(_send_repeats(late, doc, tie, pos, shares))])
         return pa.concat_tables([made, seen.cast(made.schema)])
     return run
 
@@ -184,13 +185,14 @@ def _cut(width: int):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, removed (array of word intervals [start, end)), kept_text."""
     spark = docs.sparkSession
-    buckets = max(256, 1 << (4 * C.partitions(spark) - 1).bit_length())
+    wide = 1 << (C.partitions(spark) - 1).bit_length()
+    buckets, shares = max(256, 2 * wide), max(64, wide // 2)
     again = docs.groupBy(doc_id).count().filter("count > 1").limit(1).count()
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
                        (F.xxhash64(text) if again else F.lit(0).cast("long")).alias("tie"), F.col(text).alias("text"))
-    sent = rows.mapInArrow(_hash_windows(width, buckets), SENT)
-    repeats = sent.groupBy("bucket").applyInArrow(_count_bucket(buckets), SENT)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("long"))
+    sent = rows.mapInArrow(_hash_windows(width, buckets, shares), SENT)
+    repeats = sent.groupBy("bucket").applyInArrow(_count_bucket(shares), SENT)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("long"))
     cut = repeats.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(
         _cut(width), "id long, n_words long, starts array<long>, ends array<long>, kept_text string")
     return cut.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words",
