@@ -3,8 +3,8 @@
 Temperature mixing: a source with a share ``p`` of all tokens gets the weight
 ``p ** a / sum(p ** a)``.  The exponent is bisected to meet a target: the
 largest one whose weights reach a wanted entropy (as a fraction of that of
-equal weights), or the smallest whose most repeated source stays within a limit
-of passes.  Weights become budgets of tokens, and budgets become block
+equal weights), or the smallest one up to 1 whose most repeated source stays
+within a limit of passes.  Weights become budgets of tokens, and budgets become block
 permutations: a source whose budget is 2.3 times its tokens gives two whole
 blocks, each all its documents once, and a third block cut to what is left, each
 block in an order of its own (md5 of seed, block and doc_id).
@@ -33,18 +33,18 @@ STEPS = 40      # bisection steps
 WAYS = 5        # of them in one job
 ENTROPY = 0.99
 LIMIT = 4.0
-TOP = 4.0       # largest exponent
+TOP = 4.0       # largest exponent tried for an entropy
 SMALL_PLAN = 20_000     # sources up to which their plan is broadcast; more are joined by shuffle
 
 
-def _solve(shares: DataFrame, good, largest: bool) -> float:
-    """Bisect the exponent in [0, TOP] by ``STEPS`` halvings, ``WAYS`` of them per job.
+def _solve(shares: DataFrame, good, top: float, largest: bool) -> float:
+    """Bisect the exponent in [0, top] by ``STEPS`` halvings, ``WAYS`` of them per job.
 
     ``shares``: (p); ``good(grid)``: from (a, p, w) rows per exponent a, a table (a, good).
     With ``largest`` the good exponents are the small ones, else the large ones.
     The result is on the good side if there is one.
     """
-    lo, hi, parts = 0.0, TOP, 1 << WAYS
+    lo, hi, parts = 0.0, top, 1 << WAYS
     for _ in range(STEPS // WAYS):
         width = (hi - lo) / parts
         grid = shares.select("p", F.explode(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)),
@@ -59,20 +59,26 @@ def _solve(shares: DataFrame, good, largest: bool) -> float:
     return lo if largest else hi
 
 
-def exponent(shares: DataFrame, total: int, budget: int, entropy: float | None, limit: float | None) -> float:
-    """The exponent for shares (p): by entropy (fraction of log of the number of sources) or by a limit of passes."""
+def exponent(shares: DataFrame, passes: float, cover: bool, entropy: float | None, limit: float | None) -> float:
+    """The exponent for shares (p): by entropy (fraction of log of the number of sources) or by a limit of passes.
+
+    ``passes``: the budget in passes through all tokens; with ``cover`` it is that of one pass through the
+    least favoured source.
+    """
     if entropy is not None:
         n = shares.count()
 
         def good(grid: DataFrame) -> DataFrame:
             s = grid.groupBy("a").agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p") * F.col("a")).alias("e"))
             return s.select("a", F.log("z") - F.col("e") / F.col("z") >= F.lit(entropy) * F.log(F.lit(float(n))))
-        return _solve(shares, good, True)
+        return _solve(shares, good, TOP, True)
 
     def good(grid: DataFrame) -> DataFrame:
-        s = grid.groupBy("a").agg(F.sum(F.pow("p", "a")).alias("z"), F.max(F.pow("p", F.col("a") - 1)).alias("m"))
-        return s.select("a", F.col("m") / F.col("z") * F.lit(budget / total) <= F.lit(limit))
-    return _solve(shares, good, False)
+        s = grid.groupBy("a").agg(F.sum(F.pow("p", "a")).alias("z"), F.max(F.pow("p", F.col("a") - 1)).alias("m"),
+                                   F.min(F.pow("p", F.col("a") - 1)).alias("least"))
+        most = F.col("m") / F.col("least") if cover else F.col("m") / F.col("z") * F.lit(passes)
+        return s.select("a", most <= F.lit(limit))
+    return _solve(shares, good, 1.0, False)
 
 
 def weights(sized: DataFrame, source: Column, tokens: Column, budget: int | None = None, cover: bool = False,
@@ -88,7 +94,7 @@ def weights(sized: DataFrame, source: Column, tokens: Column, budget: int | None
     if not total:
         return per.withColumns({"weight": F.lit(0.0), "budget": F.lit(0).cast("long")})
     shares = per.select((F.col("tokens") / F.lit(total)).alias("p"))
-    a = exponent(shares, total, budget or total, entropy, limit if limit is not None else LIMIT)
+    a = exponent(shares, (budget or total) / total, cover, entropy, LIMIT if limit is None else limit)
     raw = F.pow(F.col("tokens") / F.lit(total), F.lit(a))
     z = per.agg(F.sum(raw)).first()[0]
     per = per.withColumn("weight", raw / F.lit(z))
