@@ -4,8 +4,8 @@ Records are ordered by the key (crc32 of the text, doc_id), so equal texts lie
 side by side.  Keys are drawn with a chance proportional to their size, the
 weighted quantiles of the draws become range boundaries, and records are
 range-partitioned by them.  A range that holds over twice its share is drawn
-from again and subdivided, until every range is within its share or holds a
-single key.  Exact totals per range then give every record its place in the
+from again and subdivided, until every range is within its share, but for one
+record that may be larger, or holds a single key.  Exact totals per range then give every record its place in the
 whole order by one window per range (no window spans the data), and a shard is
 the sixteenth of all bytes in which the middle of the record falls.  Law
 ``bytes``: shard sizes differ by less than the two records at their ends.
@@ -65,18 +65,20 @@ def ranged(rows: DataFrame, shards: int = SHARDS, fanout: int = FANOUT,
            max_range_rows: int = MAX_RANGE_ROWS) -> DataFrame:
     """``rows`` with a range number that grows with the key."""
     rows = rows.withColumn("range", F.lit(0).cast("long"))
-    level, share = 0, None
+    level, share, before = 0, None, 0
     while True:
         totals = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"),
-                                           F.min(_key()).alias("lo"), F.max(_key()).alias("hi"))
+                                           F.max("size").alias("largest"), F.min(_key()).alias("lo"), F.max(_key()).alias("hi"))
         if share is None:
             head = totals.agg(F.sum("bytes")).first()[0]
             share = max(1, (head or 0) // (fanout if shards <= fanout else shards))
-        over = ((F.col("bytes") > 2 * share) | (F.col("n") > max_range_rows)) & (F.col("lo") < F.col("hi"))
-        totals = C.cut_lineage(totals.filter(over))
+        over = ((F.col("bytes") - F.col("largest") > 2 * share) | (F.col("n") > max_range_rows)) & (F.col("lo") < F.col("hi"))
+        totals = C.cut_lineage(totals.withColumn("over", over))
+        n_ranges, totals = totals.count(), C.cut_lineage(totals.filter("over"))
         n = totals.count()
-        if not n:
+        if not n or n_ranges == before:     # a range beside one huge record may not divide further
             return rows
+        before = n_ranges
         inner = F.size(F.filter(F.coalesce(F.col("splitters"), F.array().cast("array<struct<c:bigint,d:bigint>>")),
                                 lambda b: b <= _key()))
         cuts = C.cut_lineage(_splitters(rows, _sized(totals.select("range", "bytes"), n), fanout, level))
