@@ -35,7 +35,8 @@ EQUIVALENT = (
     (r"\bwhilst\b", "while"),
     (r",? ?\bversion ([0-9])|,? ?\bv\.? ?([0-9])", " v$1$2"),
 )
-COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\b|©|\(c\)|c\) |all rights reserved)"
+# a line that names a holder or a year, not one that goes on about copyright holders
+COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\s*(\(c\)|©|[0-9]|by\b)|©|\(c\)\s*[0-9a-z]|all rights reserved)"
 
 # Texts of known licenses, as published (copyright lines left out).
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated

@@ -57,7 +57,7 @@ def test_passes_of_bounded_size_find_the_same(spark):
 
 
 def test_removal_keeps_rows_and_columns(messy, nothing, spark):
-    items = spark.createDataFrame([(1, "Ein Wort été \U0001F600"), (2, "a b c d e f g h")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "Ein\u00a0Wort été \U0001F600"), (2, "a b c d e f g h")], "item_id long, text string")
     left = D.remove_contaminated(messy, items)
     assert left.columns == messy.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["2", "3", "4", "None", "5", "6", "9"])
