@@ -5,6 +5,8 @@ Everything here returns a ``Column``; nothing touches data.
 
 from __future__ import annotations
 
+import re
+
 import math
 from collections.abc import Sequence
 
@@ -187,8 +189,9 @@ def smoking_status(c, legacy: bool = False) -> Column:
     """Free-text smoking status -> 1 / 0 / NULL.
 
     ``legacy=True`` tests positive words first, so 'never' (contains 'ever')
-    and 'non-smoker' (contains 'smok') map to 1.  The default tests the
-    negative words first.
+    and 'non-smoker' (contains 'smok') map to 1.  The default first tests for
+    the whole words 'never' and 'no' (alone) and for 'non-smok...', so 'not
+    specified' or 'diagnosis' beside a positive word change nothing.
     """
     raw = col(c)
     s = norm_text(raw)
@@ -204,7 +207,8 @@ def smoking_status(c, legacy: bool = False) -> Column:
     if legacy:
         expr = expr.when(pos, F.lit(1.0)).when(neg, F.lit(0.0))
     else:
-        expr = expr.when(neg, F.lit(0.0)).when(pos, F.lit(1.0))
+        denied = s.rlike(r"\bnever\b|\bnon[- ]?smok|^no$|\bno smok|\bnot (a )?(current |former |ever )?smok")
+        expr = expr.when(denied, F.lit(0.0)).when(pos, F.lit(1.0)).when(neg, F.lit(0.0))
     return (expr.when(s.isin(list(T.SMOKING_TRUE_TEXT)), F.lit(1.0))
             .when(s.isin(list(T.SMOKING_FALSE_TEXT)), F.lit(0.0)))
 
@@ -273,12 +277,11 @@ def cap_probability(p, cap: float | None) -> Column:
 
 
 def risk_label(p, threshold: float) -> Column:
-    return F.when(col(p) >= F.lit(float(threshold)), F.lit(T.HIGH_RISK_LABEL)).otherwise(F.lit(T.LOW_RISK_LABEL))
+    """High or low risk; NULL for a missing score."""
+    v = F.nanvl(col(p).cast("double"), F.lit(None).cast("double"))
+    return F.when(v >= F.lit(float(threshold)), F.lit(T.HIGH_RISK_LABEL)).when(v.isNotNull(), F.lit(T.LOW_RISK_LABEL))
 
 
 def snake(name: str) -> str:
-    """strip; / \\ - space . -> _; one pass of __ -> _; lower."""
-    s = str(name).strip()
-    for ch in ("/", "\\", "-", " ", "."):
-        s = s.replace(ch, "_")
-    return s.replace("__", "_").lower()
+    """Lower case without outer space; each separator becomes ``_``, and pairs of ``_`` one (a single pass)."""
+    return re.sub("__", "_", re.sub(r"[-/\\ .]", "_", str(name).strip())).lower()

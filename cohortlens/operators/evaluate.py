@@ -184,7 +184,9 @@ def threshold_scan(df: DataFrame, label_col: str = "label", score_col: str = "sc
     counts = base.groupBy("b", "d", "y").agg(F.count(F.lit(1)).alias("c"))
     cells = counts.select("d", "y").distinct()
     grid = cells.select("d", "y", F.explode(F.sequence(F.lit(-1), F.lit(100))).alias("b"))
-    full = grid.join(counts, on=["b", "d", "y"], how="left").fillna(0, subset=["c"])
+    marked = counts.withColumnsRenamed({"b": "_b", "d": "_d", "y": "_y"})
+    full = grid.join(marked, (F.col("b") == F.col("_b")) & F.col("d").eqNullSafe(F.col("_d")) & (F.col("y") == F.col("_y")),
+                     "left").drop("_b", "_d", "_y").fillna(0, subset=["c"])
     suffix = Window.partitionBy("d", "y").orderBy(F.col("b").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = full.withColumn("ge", F.sum("c").over(suffix))          # rows with bucket >= b

@@ -5,11 +5,11 @@ A window with no PARTITION BY runs in one task, and Spark's exact
 Both break on a 100 TB table.  The helpers here use the classic two-level
 scheme instead:
 
-1. each row gets a bucket, a deterministic function of its leading order
-   key: the number of per-group ``percentile_approx`` bounds at or below it
-   (a balanced CASE tree, log2(buckets) comparisons).  Being a pure function
-   of the row, the bucket is the same however often and wherever the plan is
-   recomputed (no dependence on sampled range-partition bounds);
+1. each row gets a bucket, a range of its leading order key: buckets above the
+   row budget are cut at approximate quantiles of their own keys, again and
+   again until every bucket is within budget or holds one key.  The cut points
+   are tables fixed by a checkpoint, so a bucket is the same however often and
+   wherever the plan is recomputed;
 2. per-(group, bucket) totals form a table of at most groups x buckets rows,
    whose running sums give each bucket's offset;
 3. a window partitioned by (group, bucket) finishes the running sum inside
@@ -25,119 +25,75 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import cut_lineage
+
 
 ROWS_PER_BUCKET_CONF = "spark.cohortlens.rowsPerBucket"
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 100_000
-MAX_GROUPS = 4096
+#: parts into which one bucket is cut at a time, and cut tables up to so many rows are broadcast
+FANOUT = 100
+SMALL_TABLE = 2_000
 
 
 def _rows_per_bucket(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_PER_BUCKET_CONF, str(DEFAULT_ROWS_PER_BUCKET)))
 
 
-def _min_buckets(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return int(buckets)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
-def _bucket_count(n: int, min_b: int, per: int) -> int:
-    """Enough buckets that none exceeds ``per`` rows; some parallelism for
-    mid-sized groups; one bucket for small ones."""
-    return max(1, min(MAX_BUCKETS, max(-(-n // per), min(min_b, -(-n // 50_000)))))
-
-
-def _cdf_tree(key: Column, xs: Sequence[float], ys: Sequence[float], lo: int, hi: int) -> Column:
-    """Piecewise-linear interpolation through knots (xs, ys) on segment
-    [lo, hi], as a balanced CASE tree (log2(#knots) comparisons per row)."""
-    if hi - lo <= 1:
-        x0, x1, y0, y1 = xs[lo], xs[hi], ys[lo], ys[hi]
-        if x1 <= x0:
-            return F.lit(y1)
-        v = F.lit(y0) + (key - F.lit(x0)) * F.lit((y1 - y0) / (x1 - x0))
-        # clamped to the segment's own range, so rounding can never make a
-        # smaller key land above a larger one across a knot
-        return F.least(F.greatest(v, F.lit(y0)), F.lit(y1))
-    mid = (lo + hi) // 2
-    return F.when(key < F.lit(xs[mid]), _cdf_tree(key, xs, ys, lo, mid)).otherwise(_cdf_tree(key, xs, ys, mid, hi))
-
-
-def _per_group(group_cols: Sequence[str], items: list) -> Column:
-    """CASE over the (bounded) groups: items = [(group values, expression)]."""
-    if not group_cols:
-        return items[0][1] if items else F.lit(0)
-    out = None
-    for vals, expr in items:
-        cond = None
-        for g, v in zip(group_cols, vals):
-            c = F.col(g).isNull() if v is None else (F.col(g) == F.lit(v))
-            cond = c if cond is None else (cond & c)
-        out = F.when(cond, expr) if out is None else out.when(cond, expr)
-    return out.otherwise(F.lit(0)) if out is not None else F.lit(0)
-
-
-KNOTS = 100
-
-
-def bucket_of(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int | None = None,
-              key_range: tuple[float, float] | None = None) -> Column | None:
-    """Deterministic, order-preserving bucket of ``key`` inside its group,
-    sized from the data.
-
-    One small aggregate per call gives each group's row count and, for
-    general keys, a 100-knot approximate CDF (min, percentiles, max).  The
-    bucket is floor(cdf(key) * nb): monotone in the key, so buckets are
-    contiguous ranges, and the expression size does not depend on nb (a
-    balanced tree over the knots).  With ``key_range`` (keys uniform on it,
-    e.g. md5-derived 32-bit hashes) the CDF is the identity on that range.
-    A group of n rows gets about n / ``spark.cohortlens.rowsPerBucket``
-    buckets, so no window partition outgrows a task.  Returns None when every
-    group fits a single bucket.
+def _same(cols: Sequence[str], mark: str) -> Column:
+    """Null-safe equality of ``cols`` with their marked copies."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(mark + c))
+    return cond
+
+
+def join_small(df: DataFrame, table: DataFrame, cols: Sequence[str], n: int, how: str = "inner") -> DataFrame:
+    """``df`` with the columns of a table keyed by ``cols`` (NULL keys match); broadcast if it has few rows."""
+    marked = table.withColumnsRenamed({c: f"_j_{c}" for c in cols})
+    marked = F.broadcast(marked) if n <= SMALL_TABLE else marked
+    return df.join(marked, _same(cols, "_j_"), how).drop(*[f"_j_{c}" for c in cols])
+
+
+def with_buckets(df: DataFrame, group_cols: Sequence[str], key: Column, buckets: int | None = None) -> DataFrame | None:
+    """``df`` with ``_bkt``: bucket numbers that grow with ``key`` inside a group.
+
+    A bucket has at most ``spark.cohortlens.rowsPerBucket`` rows or a single
+    key, for any distribution and any number of groups (a NULL group is one).
+    Returns None when every group fits one bucket.
     """
-    group_cols = list(group_cols)
-    min_b, per = _min_buckets(df, buckets), _rows_per_bucket(df)
-    kd = key.cast("double")
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if key_range is None:
-        aggs += [F.min(kd).alias("_lo"), F.max(kd).alias("_hi"),
-                 F.percentile_approx(kd, [i / KNOTS for i in range(1, KNOTS)], 50 * KNOTS).alias("_q")]
-    rows = (df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{len(rows)} groups: ordered aggregates are meant for a bounded number of groups")
-    items = []
-    if all(_bucket_count(int(r["_n"]), min_b, per) == 1 for r in rows):
-        return None          # every group fits one bucket
-    for r in rows:
-        nb = _bucket_count(int(r["_n"]), min_b, per)
-        if nb == 1:
-            expr = F.lit(0)
-        else:
-            if key_range is not None:
-                lo, hi = float(key_range[0]), float(key_range[1])
-                cdf = (kd - F.lit(lo)) / F.lit(hi - lo)
-            else:
-                xs = [r["_lo"], *[q for q in (r["_q"] or [])], r["_hi"]]
-                xs = [float(x) for x in xs if x is not None]
-                if len(xs) < 2 or xs[-1] <= xs[0]:
-                    cdf = F.lit(0.0)
-                else:
-                    xs = sorted(xs)
-                    ys = [j / (len(xs) - 1) for j in range(len(xs))]
-                    cdf = _cdf_tree(kd, xs, ys, 0, len(xs) - 1)
-            b = F.floor(cdf * F.lit(float(nb))).cast("int")
-            expr = F.least(F.greatest(b, F.lit(0)), F.lit(nb - 1))
-        items.append(([r[g] for g in group_cols], expr))
-    return _per_group(group_cols, items)
+    per = _rows_per_bucket(df)
+    if buckets:
+        per = min(per, max(1, df.count() // int(buckets)))
+    keys = [*group_cols, "_bkt"]
+    df = df.withColumn("_bkt", F.lit(0).cast("bigint")).withColumn("_key", key.cast("double"))
+    split = False
+    while True:
+        over = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")) \
+            .where((F.col("_n") > per) & (F.col("_lo") < F.col("_hi")))
+        over = cut_lineage(over)
+        n = over.count()
+        if n == 0:
+            return df.drop("_key") if split else None
+        inside = join_small(df.select(*keys, "_key"), over.select(*keys, "_n", "_hi"), keys, n)
+        # every m-th of FANOUT quantiles, as many as the bucket needs, and the largest key
+        step = F.greatest(F.lit(1), F.floor(F.lit(FANOUT * per / 2) / F.col("_n"))).cast("int")
+        cuts = inside.groupBy(*keys).agg(
+            F.percentile_approx("_key", [i / FANOUT for i in range(1, FANOUT)], 50 * FANOUT).alias("_q"),
+            F.max(step).alias("_s"), F.max("_hi").alias("_hi"))
+        cuts = cut_lineage(cuts.select(*keys, F.array_append(
+            F.filter("_q", lambda x, i: (i + 1) % F.col("_s") == 0), F.col("_hi")).alias("_cuts")))
+        part = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda x: x <= F.col("_key")))
+        df = join_small(df, cuts, keys, n, "left").withColumn("_bkt", F.col("_bkt") * (FANOUT + 1) + part).drop("_cuts")
+        df = cut_lineage(df)
+        split = True
 
 
 def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
                  value_cols: Sequence[str], prefix: str = "cum_", buckets: int | None = None,
-                 totals: bool = False, key_range: tuple[float, float] | None = None) -> DataFrame:
+                 totals: bool = False) -> DataFrame:
     """Add ``cum_<v>``: sum of ``v`` over the rows of the same group up to and
     including the current one, in ascending ``order_cols`` order; with
     ``totals`` also ``tot_<v>``, the group total (taken from the small bucket
@@ -148,45 +104,37 @@ def running_sums(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[
     """
     group_cols = list(group_cols)
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    if key_range is None:
-        # the bounds job and the running sums read the same (pre-aggregated)
-        # input: keep it so the source is scanned once
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    bkt = bucket_of(df, group_cols, order_exprs[0], buckets, key_range)
-    if bkt is None:
+    # sizes, cuts and sums read the same (pre-aggregated) input: the source is scanned once
+    df = cut_lineage(df)
+    keyed = with_buckets(df, group_cols, order_exprs[0], buckets)
+    if keyed is None:
         # every group is within one bucket's row budget: a plain window per
         # group is bounded by that budget, and no offsets or join are needed
         grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
         run = grp.orderBy(*order_exprs).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         extra = [F.sum(v).over(grp).alias(f"tot_{v}") for v in value_cols] if totals else []
         return df.select("*", *[F.sum(v).over(run).alias(f"{prefix}{v}") for v in value_cols], *extra)
-    keyed = df.withColumn("_bkt", bkt)
     bucket_sums = keyed.groupBy(*group_cols, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     # bucket table: at most groups x buckets rows, so windows over it are bounded
     grp = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum(f"_tot_{v}").over(grp).alias(f"tot_{v}") for v in value_cols] if totals else []
+    bucket_sums = cut_lineage(bucket_sums)
     offsets = bucket_sums.select(*group_cols, "_bkt", *[
         F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols], *extra)
     inside = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_exprs) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.join(offsets, on=[*group_cols, "_bkt"], how="inner")
+    out = join_small(keyed, offsets, [*group_cols, "_bkt"], bucket_sums.count())
     out = out.select("*", *[(F.col(f"_off_{v}") + F.sum(v).over(inside)).alias(f"{prefix}{v}")
                             for v in value_cols])
     return out.drop("_bkt", *[f"_off_{v}" for v in value_cols])
 
 
-HASH_RANGE = (0.0, 4294967296.0)
-
-
 def dense_rank_global(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
-                      name: str = "rank0", buckets: int | None = None,
-                      key_range: tuple[float, float] | None = None) -> DataFrame:
-    """0-based row index inside each group in ``order_cols`` order (order must
-    be unique).  Pass ``key_range=HASH_RANGE`` when the leading key is a
-    32-bit md5 draw."""
+                      name: str = "rank0", buckets: int | None = None) -> DataFrame:
+    """0-based row index inside each group in ``order_cols`` order (order must be unique)."""
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    out = running_sums(one, group_cols, order_cols, ["_one"], prefix="_cum", buckets=buckets, key_range=key_range)
+    out = running_sums(one, group_cols, order_cols, ["_one"], prefix="_cum", buckets=buckets)
     return out.withColumn(name, F.col("_cum_one") - F.lit(1)).drop("_one", "_cum_one")
 
 
@@ -258,4 +206,4 @@ def two_pass(df: DataFrame, cols: Sequence[str | Column]) -> DataFrame:
     """Narrow projection kept for operators that decide something from the
     data (edges, a cut-off, medians) and then use it on the same rows: the
     source is scanned once, and only the needed columns are kept."""
-    return df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(df.select(*cols))

@@ -63,9 +63,12 @@ def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence
     aggs = [F.lit(cutoff).cast("double").alias("cutoff"), F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"{c}_mean") for c in numeric]
     aggs += [F.avg(score_col).alias("score_mean")]
-    aggs += [F.mode(c, True).alias(f"{c}_mode") for c in categorical]
     meds = [quantiles_wide(top, c, [0.5], [f"{c}_median"]) for c in [*numeric, score_col]]
-    out = collapse_rows(top.agg(*aggs), *meds).withColumnRenamed(f"{score_col}_median", "score_median")
+    # value counts are combined before the shuffle; no buffer holds a column's values
+    modes = [top.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
+             .agg(F.min(F.struct((-F.col("_c")).alias("_c"), F.col(c).alias("v"))).getField("v").alias(f"{c}_mode"))
+             for c in categorical]
+    out = collapse_rows(top.agg(*aggs), *meds, *modes).withColumnRenamed(f"{score_col}_median", "score_median")
     order = ["cutoff", "n"] + [x for c in numeric for x in (f"{c}_mean", f"{c}_median")] + \
         ["score_mean", "score_median"] + [f"{c}_mode" for c in categorical]
     return out.select(*order)

@@ -110,9 +110,12 @@ def numeric_odds_tables(df: DataFrame, features: Sequence[str], label_col: str =
 def _odds_from_counts(per_key: DataFrame, key: str, factor: float, min_count: int = 0,
                       group_col: str | None = None) -> DataFrame:
     """Totals over every row (NULL key included) -> OR / weight per non-empty key."""
-    # per-key tables hold one row per bin / category (per feature): windows over them are bounded
-    every = Window.partitionBy(group_col) if group_col else Window.partitionBy()
-    t = per_key.withColumn("_P", F.sum("pos").over(every)).withColumn("_N", F.sum("neg").over(every))
+    if group_col:       # a few bins per feature
+        every = Window.partitionBy(group_col)
+        t = per_key.withColumn("_P", F.sum("pos").over(every)).withColumn("_N", F.sum("neg").over(every))
+    else:               # any number of categories: two numbers
+        total = per_key.agg(F.sum("pos"), F.sum("neg")).first()
+        t = per_key.withColumn("_P", F.lit(total[0])).withColumn("_N", F.lit(total[1]))
     t = t.withColumn("n", F.col("pos") + F.col("neg")).where((F.col("n") > 0) & (F.col("n") >= min_count))
     orv = X.smoothed_odds_ratio("pos", "neg", F.col("_P") - F.col("pos"), F.col("_N") - F.col("neg"))
     keep = [group_col] if group_col else []

@@ -76,19 +76,13 @@ def q_batch_score(spark, sf):
 
 
 def _scorer(res):
+    """The model as it scores: encoder, either calibration, age prior, cap."""
     cfg = res.cfg
 
     def run(rows):
-        keep = [c for c in rows.columns if c not in ("features",)]
-        enc = res.encoder.transform(rows, keep=[c for c in keep if c not in (*cfg.numeric, *cfg.categorical)],
-                                    vector_col="features")
-        from cohortlens.operators import models as M
-        s = M.score(res.model, enc)
-        if res.platt is not None:
-            s = s.withColumn("p_cal", res.platt.apply(F.col("p_raw")))
-        else:
-            s = s.withColumn("p_cal", F.col("p_raw"))
-        return W.apply_age_prior(s, "p_cal", "p_cal", [], cap=cfg.cap, out_col="score")
+        keep = [c for c in rows.columns if c not in ("features", *cfg.numeric, *cfg.categorical)]
+        aged = rows.withColumn("_age_raw", F.col("age_years").cast("double")) if "age_years" in rows.columns else rows
+        return res.finalize(res.score(aged, keep=[*keep, *(["_age_raw"] if aged is not rows else [])]))
     return run
 
 

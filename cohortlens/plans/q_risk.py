@@ -212,7 +212,9 @@ FROM train FULL OUTER JOIN input ON train.feature = input.feature""",
 def q_numeric_drift(spark, sf):
     """Drift of value and props.k, early (training) vs late (input) half of events."""
     early, late = _drift_sides(spark, sf)
-    return K.numeric_drift(early, late, ["value", "k"])
+    # with the key, de-duplicating needs no other column of the events
+    cols = ["event_id", "value", "k"]
+    return K.numeric_drift(early.select(*cols), late.select(*cols), ["value", "k"])
 
 
 def _cat_drift_side(tag: str, src: str) -> str:

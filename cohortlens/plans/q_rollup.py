@@ -21,10 +21,12 @@ _TOKENS_SQL = "(" + ", ".join(f"'{t}'" for t in TK.MISSING_TOKENS) + ")"
 
 def _smoking_sql(c: str) -> str:
     s = f"lower(trim({c}))"
-    neg = " OR ".join(f"contains({s}, '{w}')" for w in TK.SMOKING_NEGATIVE_WORDS)
-    pos = " OR ".join(f"contains({s}, '{w}')" for w in TK.SMOKING_POSITIVE_WORDS)
+    # literal rules, not the tested module's lists
+    denied = f"regexp_matches({s}, '\\bnever\\b|\\bnon[- ]?smok|^no$|\\bno smok|\\bnot (a )?(current |former |ever )?smok')"
+    pos = f"contains({s}, 'current') OR contains({s}, 'former') OR contains({s}, 'ever') OR contains({s}, 'smok')"
+    neg = f"contains({s}, 'no')"
     return (f"CASE WHEN {c} IS NULL THEN NULL WHEN {s} IN {_TOKENS_SQL} THEN NULL "
-            f"WHEN {neg} THEN 0.0 WHEN {pos} THEN 1.0 END")
+            f"WHEN {denied} THEN 0.0 WHEN {pos} THEN 1.0 WHEN {neg} THEN 0.0 END")
 
 
 _ROLLUP_SQL = with_sql(ORDERS_SQL) + f"""

@@ -225,15 +225,18 @@ def prepare_inputs(df: DataFrame, res: TrainResult) -> DataFrame:
 def batch_score(df: DataFrame, res: TrainResult, keep: Sequence[str] | None = None) -> DataFrame:
     """Inputs normalised and completed, encoded, scored, calibrated,
     prior then cap; input columns kept, ``risk_probability`` and the
-    High/Low label added."""
-    cfg = res.cfg
+    High/Low label added.
+
+    Row by row, for tables and streams alike: the kept columns travel with
+    their row as one struct, so nothing is joined back, repeated or NULL keys
+    neither multiply nor lose rows, and raw and encoded names cannot clash.
+    """
     keep = list(keep or df.columns)
-    prepared = prepare_inputs(df, res)
-    raw_age = prepared.select(cfg.key, F.col("age_years").alias("_age_raw")) if "age_years" in prepared.columns \
-        else None
-    s = res.finalize(res.score(prepared, keep=[cfg.key]), raw_age) \
-        .select(cfg.key, F.col("score").alias("risk_probability"))
-    out = df.select(*keep).join(s, cfg.key, "left")
+    prepared = prepare_inputs(df.withColumn("_raw", F.struct(*keep)), res)
+    age = F.col("age_years") if "age_years" in prepared.columns else F.lit(None)
+    prepared = prepared.withColumn("_age_raw", age.cast("double"))
+    out = res.finalize(res.score(prepared, keep=["_raw", "_age_raw"]))
+    out = out.select("_raw.*", F.col("score").alias("risk_probability"))
     return out.withColumn("prediction", X.risk_label("risk_probability", res.threshold))
 
 

@@ -14,24 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortlens.functions import exprs as X
-from cohortlens.operators import clean as CL
-from cohortlens.operators import weights as W
+from cohortlens.plans.train import batch_score
 
 
 def score_stream(stream: DataFrame, res, keep: Sequence[str] | None = None) -> DataFrame:
-    """Row-wise scoring of a streaming (or batch) DataFrame: input
-    normalisation -> encoder -> model -> calibration -> age prior -> cap -> label."""
-    cfg = res.cfg
-    keep = list(keep or stream.columns)
-    df = CL.normalize_inputs(stream)
-    scored = res.score(df.withColumn("_age_raw", F.col("age_years") if "age_years" in df.columns else F.lit(None)),
-                       keep=[*keep, "_age_raw"])
-    anchors = res.anchors if "_age_raw" in scored.columns else []
-    out = W.apply_age_prior(scored, "p_cal", "_age_raw", anchors, cfg.prior_mode, cfg.prior_alpha, cfg.cap,
-                            out_col="risk_probability")
-    out = out.withColumn("prediction", X.risk_label("risk_probability", res.threshold))
-    return out.select(*keep, "risk_probability", "prediction")
+    """Scoring of a streaming (or batch) DataFrame: the batch function itself, which is row-wise."""
+    return batch_score(stream, res, keep)
 
 
 def start_scoring(stream: DataFrame, res, sink_path: str, checkpoint: str, keep: Sequence[str] | None = None,

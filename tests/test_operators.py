@@ -349,7 +349,7 @@ def test_data_sized_buckets_stay_exact(spark):
     try:
         df = spark.range(0, 2000).withColumn("g", (F.col("id") % 2).cast("int")) \
             .withColumn("h", X.hash_u32(F.col("id"))).withColumn("v", (F.col("id") % 97).cast("double"))
-        r = O.dense_rank_global(df, ["g"], [F.col("h"), F.col("id")], key_range=O.HASH_RANGE)
+        r = O.dense_rank_global(df, ["g"], [F.col("h"), F.col("id")])
         got = r.select("g", "h", "id", "rank0").toPandas()
         want = got.sort_values(["g", "h", "id"]).groupby("g").cumcount()
         assert (got.loc[want.index, "rank0"].values == want.values).all()
@@ -500,3 +500,89 @@ def test_drop_target_related(spark):
     assert CL.drop_target_related(df, "bmi_last").columns == ["bmi_last", "age_years"]
     assert CL.drop_target_related(df, "weight_last").columns == ["weight_last", "height_last", "age_years"]
     assert CL.drop_target_related(df, "label").columns == df.columns
+
+
+# ------------------------------------------------ NULL groups, any distribution ----
+
+def _ranked_rows(spark):
+    return spark.createDataFrame([(i, None if i % 10 == 0 else ("a" if i % 3 else "b"), i % 2, (i * 37 % 1000) / 1000)
+                                  for i in range(1000)], "id long, domain string, label int, score double")
+
+
+@pytest.mark.parametrize("rows_per_bucket", ["20", "2000000"])
+def test_null_groups_keep_their_rows(spark, rows_per_bucket):
+    from cohortlens.operators import evaluate as E
+    from cohortlens.operators import ordered as O
+    from cohortlens.operators import weights as W
+    df = _ranked_rows(spark)
+    spark.conf.set(O.ROWS_PER_BUCKET_CONF, rows_per_bucket)
+    try:
+        ranks = O.dense_rank_global(df, ["domain"], ["score", "id"])
+        got = {}
+        for r in ranks.collect():
+            got.setdefault(r.domain, []).append(r.rank0)
+        assert {k: len(v) for k, v in got.items()} == {None: 100, "a": 600, "b": 300}
+        assert all(sorted(v) == list(range(len(v))) for v in got.values())
+        assert {r.domain for r in E.auroc_ap(df, group_cols=["domain"]).collect()} == {None, "a", "b"}
+        split = W.stratified_split(df.withColumn("label", F.when(F.col("id") % 10 != 1, F.col("label"))), "id")
+        assert split.count() == 1000 and split.where("label IS NULL AND split = 'train'").count() == 70
+    finally:
+        spark.conf.unset(O.ROWS_PER_BUCKET_CONF)
+
+
+def test_threshold_scan_counts_every_row(spark):
+    from cohortlens.operators import evaluate as E
+    df = _ranked_rows(spark)
+    for domain in (None, "domain"):
+        first = E.threshold_scan(df, domain_col=domain).orderBy("threshold").first()
+        assert first["pred_pos"] == 1000 and first["recall"] == 1.0
+
+
+@pytest.mark.parametrize("shape", ["exp", "reciprocal"])
+def test_buckets_stay_within_budget(spark, shape):
+    from cohortlens.operators import ordered as O
+    x = F.exp((F.col("id") % 5000 - 2500) / 200.0) if shape == "exp" else 1.0 / (F.col("id") + 1)
+    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), (x + F.col("id") * 1e-12).alias("x"))
+    spark.conf.set(O.ROWS_PER_BUCKET_CONF, "200")
+    try:
+        got = O.with_buckets(df, ["g"], F.col("x")).groupBy("g", "_bkt").agg(
+            F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("g", "_bkt").collect()
+    finally:
+        spark.conf.unset(O.ROWS_PER_BUCKET_CONF)
+    assert max(r.n for r in got) <= 200 and sum(r.n for r in got) == 30_000
+    assert all(a.hi < b.lo for a, b in zip(got, got[1:]) if a.g == b.g)
+
+
+def test_many_groups(spark):
+    from cohortlens.operators import ordered as O
+    df = spark.range(30_000).select((F.col("id") % 5000).alias("g"), F.col("id").cast("double").alias("x"))
+    spark.conf.set(O.ROWS_PER_BUCKET_CONF, "2")
+    try:
+        assert O.dense_rank_global(df, ["g"], ["x"]).agg(F.max("rank0")).first()[0] == 5
+    finally:
+        spark.conf.unset(O.ROWS_PER_BUCKET_CONF)
+
+
+def test_missing_score_has_no_label(spark):
+    from cohortlens.functions import exprs as X
+    df = spark.createDataFrame([(0.9,), (0.1,), (None,), (float("nan"),)], "p double")
+    assert [r[0] is None for r in df.select(X.risk_label("p", 0.5)).collect()] == [False, False, True, True]
+
+
+def test_smoking_status_reads_whole_words(spark):
+    from cohortlens.functions import exprs as X
+    want = {"Current Reformed Smoker, Duration Not Specified": 1.0, "Smoker at Diagnosis": 1.0,
+            "Former smoker, amount unknown": 1.0, "Never Smoker": 0.0, "Lifelong Non-Smoker": 0.0, "No": 0.0,
+            "non smoker": 0.0, "Current smoker": 1.0, "not a current smoker": 0.0, None: None, "yes": 1.0}
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    assert {r.s: r.v for r in df.select("s", X.smoking_status("s").alias("v")).collect()} == want
+
+
+def test_band_and_anchor_grammar():
+    from cohortlens.operators import weights as W
+    got = [(b.raw, b.lo, b.hi, b.lo_inclusive, b.hi_inclusive, b.weight) for b in
+           W.parse_age_bands(" <30:0.1, 30-45:0.6,<=50:1,>75:8,>=80:9,bad,40:2,x-y:1,5-:1,1-2:z")]
+    assert got == [("<30", None, 30.0, True, False, 0.1), ("30-45", 30.0, 45.0, True, False, 0.6),
+                   ("<=50", None, 50.0, True, True, 1.0), (">75", 75.0, None, True, False, 8.0),
+                   (">=80", 80.0, None, True, False, 9.0)]
+    assert W.parse_anchors("60:0.5, 40:0.1,,x") == [(40.0, 0.1), (60.0, 0.5)]

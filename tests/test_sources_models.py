@@ -257,3 +257,25 @@ def test_batch_score_completes_missing_inputs(spark, trained):
     out = TR.batch_score(inp, res, keep=["doc_id"])
     assert out.where(F.col("risk_probability").isNull()).count() == 0
     assert out.count() == inp.count()
+
+
+def test_batch_score_keeps_every_row(spark, trained, tmp_path):
+    """Repeated and NULL keys, a missing smoker flag and an absent feature: as many rows out as in, stream = batch."""
+    from cohortlens.plans.train import batch_score
+    from cohortlens.streaming.score import score_stream
+    df, res = trained
+    rows = df.drop("split").limit(40)
+    rows = rows.unionByName(rows).unionByName(rows.withColumn("doc_id", F.lit(None).cast("long")))
+    rows = rows.withColumn("tobacco_smoking_status_any", F.lit(None).cast("double"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for table in (rows, rows.drop("source")):
+        out = batch_score(table, res)
+        got = out.collect()
+        assert len(got) == rows.count() and out.columns[:len(table.columns)] == table.columns
+        assert all(r.risk_probability is not None and r.prediction is not None for r in got)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        again = score_stream(table, res, keep=["doc_id", "age_years"])
+        key = lambda r: (str(r.doc_id), str(r.age_years), round(r.risk_probability, 12), r.prediction)
+        assert sorted(map(key, again.collect())) == sorted(map(key, got))
