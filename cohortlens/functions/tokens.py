@@ -28,6 +28,12 @@ SMOKING_NEGATIVE_WORDS = ("never", "no", "non")
 SMOKING_TRUE_TEXT = ("true", "t", "yes", "y", "1")
 SMOKING_FALSE_TEXT = ("false", "f", "0")
 
+# --- fixed values: clinical columns that stay however many of their values are missing ---
+PROTECTED_COLUMNS = (
+    "age_years", "age_at_index", "height_last", "weight_last", "bmi_last", "tobacco_smoking_status_any",
+    "pack_years_smoked_max", "sex", "gender", "race", "ethnicity", "domain",
+)
+
 # --- fixed values: outcome-leakage columns ---
 LEAKAGE_COLUMNS = (
     "dem_vital_status", "dem_cause_of_death", "dem_days_to_death",

@@ -47,22 +47,18 @@ def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequ
     """Mean and population std over repeats of the loss increase when one
     raw column is permuted: perm - base for Brier, base - perm for AUROC / AUPRC."""
     base_loss = _per_group_score(scorer(rows), label, metric, []).first()[0]    # one number
-    combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                       for f in features for r in range(n_repeats)])
-    ex = rows.select("*", F.explode(combos).alias("_c")).select("*", "_c.feature", "_c.rep").drop("_c")
-    ha = X.hash_u32(F.col(key), F.col("feature"), F.col("rep"), seed, "a")
-    hb = X.hash_u32(F.col(key), F.col("feature"), F.col("rep"), seed, "b")
-    recv = dense_rank_global(ex.withColumn("_ha", ha), ["feature", "rep"], [F.col("_ha"), F.col(key)], "_k")
-    types = {f: rows.schema[f].dataType for f in features}
-    donor_val = None
-    for f in features:
-        v = F.col(f).cast("string")
-        donor_val = F.when(F.col("feature") == f, v) if donor_val is None else donor_val.when(F.col("feature") == f, v)
-    don = dense_rank_global(ex.withColumn("_hb", hb).select(key, "feature", "rep", "_hb", donor_val.alias("_dv")),
-                            ["feature", "rep"], [F.col("_hb"), F.col(key)], "_k").select("feature", "rep", "_k", "_dv")
-    perm = recv.join(don, ["feature", "rep", "_k"], "inner")
-    perm = perm.withColumns({f: F.when(F.col("feature") == f, F.col("_dv").cast(types[f])).otherwise(F.col(f))
-                             for f in features}).drop("_ha", "_k", "_dv")
+    # one permutation per repeat serves every feature: rows are ranked twice per repeat, and only
+    # the ranked rows are joined; features are exploded after the join
+    reps = F.explode(F.array(*[F.lit(r) for r in range(n_repeats)])).alias("rep")
+    recv = rows.select("*", reps)
+    recv = recv.withColumn("_ha", X.hash_u32(F.col(key), F.col("rep"), seed, "a"))
+    recv = dense_rank_global(recv, ["rep"], [F.col("_ha"), F.col(key)], "_k").drop("_ha")
+    don = rows.select(key, F.struct(*features).alias("_d"), reps)
+    don = don.withColumn("_hb", X.hash_u32(F.col(key), F.col("rep"), seed, "b"))
+    don = dense_rank_global(don, ["rep"], [F.col("_hb"), F.col(key)], "_k").select("rep", "_k", "_d")
+    perm = recv.join(don, ["rep", "_k"], "inner").select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    perm = perm.withColumns({f: F.when(F.col("feature") == f, F.col("_d")[f]).otherwise(F.col(f))
+                             for f in features}).drop("_k", "_d")
     scored = scorer(perm)
     per = _per_group_score(scored, label, metric, ["feature", "rep"]).withColumnRenamed("m", "perm_loss")
     base = F.lit(float(base_loss) if base_loss is not None else None).cast("double")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import tokens as TK
 from cohortlens.operators import canonical as C
 from cohortlens.operators import clean as CL
 from cohortlens.operators import explain as XP
@@ -34,11 +35,16 @@ class Preprocessed:
 def preprocess(df: DataFrame, target: str, key: str, task: str = "classification",
                cohort_cols: Sequence[str] = (), cohort_pattern: str = "colon|colorect",
                date_cols: Sequence[str] = (), null_threshold: float = 0.95, max_unique: int = 500,
-               drop_constants: bool = True, seed: int = 42) -> Preprocessed:
+               drop_constants: bool = True, seed: int = 42, protected: Sequence[str] = TK.PROTECTED_COLUMNS,
+               numeric: Sequence[str] = (), categorical: Sequence[str] = (),
+               train: float = 0.70, val: float = 0.15) -> Preprocessed:
     """M22 (§3 path 2): clean target -> dedupe rows -> cohort filter ->
     booleans -> dates -> missing tokens -> leakage -> ages -> target-related
     -> stage ordinal -> ids / nulls / cardinality / constants -> kinds ->
-    split -> encoder fitted on train, applied to all rows."""
+    split -> encoder fitted on train, applied to all rows.
+
+    ``protected`` columns stay however many NULLs they have; ``numeric`` and
+    ``categorical`` are hints that win over the schema."""
     out = CL.clean_binary_target(df, target) if task == "classification" else CL.clean_regression_target(df, target)
     out = CL.dedupe_rows(out, "case_key", target)
     if cohort_cols:
@@ -56,15 +62,18 @@ def preprocess(df: DataFrame, target: str, key: str, task: str = "classification
     rep = CL.column_drop_report(out.drop(key), target, null_threshold, max_unique).collect()
     dropped = {}
     for r in rep:
-        if r["column"] in protect or (r["reason"] == "constant" and not drop_constants):
+        if r["column"] in protect or (r["reason"] == "constant" and not drop_constants) \
+                or (r["reason"] == "high_null" and r["column"] in protected):
             continue
         dropped.setdefault(r["column"], r["reason"])
     out = out.drop(*dropped)
-    id_like = [c for c in out.columns if c != key and c != target and (c.endswith("_id") or c in ("submitter_id",))]
+    kept = CL.drop_id_like(out, target).columns
+    id_like = [c for c in out.columns if c not in kept and c != key]
     out = out.drop(*id_like)
     dropped.update({c: "id_like" for c in id_like})
-    numeric, categorical = CL.infer_columns(out.drop(key), target)
-    split = W.stratified_split(out, key, target, seed) if task == "classification" else W.hash_split(out, key, seed)
+    numeric, categorical = CL.infer_columns(out.drop(key), target, numeric, categorical)
+    split = W.stratified_split(out, key, target, seed, train, val) if task == "classification" \
+        else W.hash_split(out, key, seed, train, val)
     enc = FE.fit_encoder(split.where(F.col("split") == "train"), numeric, categorical)
     frame = enc.transform(split, keep=[key, target, "split"])
     return Preprocessed(frame, enc, numeric, categorical, dropped)

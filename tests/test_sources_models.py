@@ -279,3 +279,15 @@ def test_batch_score_keeps_every_row(spark, trained, tmp_path):
         again = score_stream(table, res, keep=["doc_id", "age_years"])
         key = lambda r: (str(r.doc_id), str(r.age_years), round(r.risk_probability, 12), r.prediction)
         assert sorted(map(key, again.collect())) == sorted(map(key, got))
+
+
+def test_preprocess_keeps_protected_columns(spark):
+    """A clinical column that is 97% NULL stays, another such column goes; ids and hints are respected."""
+    from cohortlens.plans.pipelines import preprocess
+    rows = [(f"c{i}", f"s{i}", i % 2, float(i) if i % 33 == 0 else None, float(i) if i % 33 == 0 else None, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "case_key string, submitter_id string, target int, weight_last double, other double, grade int")
+    pp = preprocess(df, "target", "case_key", categorical=["grade"], train=0.5, val=0.25)
+    assert "weight_last" in pp.numeric and "other" in pp.dropped and "submitter_id" in pp.dropped
+    assert pp.categorical == ["grade"]
+    n = {r["split"]: r["count"] for r in pp.frame.groupBy("split").count().collect()}
+    assert n == {"train": 200, "val": 100, "test": 100}
