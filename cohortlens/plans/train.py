@@ -57,6 +57,9 @@ class TrainConfig:
     target_rate: float | None = None
     target_weight: float = 0.0
     age_weight: float = 1.0
+    feature_weights: dict = field(default_factory=dict)     # M13: pattern -> factor on encoded columns
+    hard_missing: Sequence[str] = ("height_last", "weight_last", "bmi_last")   # doubled missingness rate
+    assume_non_smoker: bool = True
     seed: int = 42
     model_params: dict = field(default_factory=dict)
     mlp_max_iters: Sequence[int] = (50, 100, 200)
@@ -87,16 +90,24 @@ class TrainResult:
             s = s.withColumn("p_cal", p)
         return s
 
-    def finalize(self, scored: DataFrame, raw_age: DataFrame | None = None, age_col: str = "age_years") -> DataFrame:
-        out = scored
-        if self.anchors and raw_age is not None:
-            out = out.join(raw_age, self.cfg.key, "left")
-        anchors = self.anchors if (self.anchors and "_age_raw" in out.columns) else []
-        return W.apply_age_prior(out, "p_cal", "_age_raw", anchors, self.cfg.prior_mode, self.cfg.prior_alpha,
+    def finalize(self, scored: DataFrame) -> DataFrame:
+        """Age prior (where the raw age was kept as ``_age_raw``), then cap: no join, the age is a column of the row."""
+        anchors = self.anchors if (self.anchors and "_age_raw" in scored.columns) else []
+        return W.apply_age_prior(scored, "p_cal", "_age_raw", anchors, self.cfg.prior_mode, self.cfg.prior_alpha,
                                  self.cfg.cap, out_col="score")
 
 
-def _weights(train: DataFrame, cfg: TrainConfig) -> DataFrame:
+def with_raw_age(df: DataFrame, age_col: str = "age_years") -> DataFrame:
+    """The age before encoding, kept beside the features for the prior."""
+    return df.withColumn("_age_raw", F.col(age_col).cast("double")) if age_col in df.columns else df
+
+
+def _kept(df: DataFrame, *cols: str) -> list[str]:
+    return [*cols, *(["_age_raw"] if "_age_raw" in df.columns else [])]
+
+
+def _training_rows(train: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """Weights from the raw rows -> missingness on every feature -> PU copies -> class weights -> one weight."""
     w = train
     names = []
     if cfg.risk_factor > 0:
@@ -108,6 +119,9 @@ def _weights(train: DataFrame, cfg: TrainConfig) -> DataFrame:
     if cfg.age_bands:
         w = W.band_weights(w, cfg.age_bands, cfg.normalize_bands)
         names.append("band_weight")
+    if cfg.row_missing > 0 and cfg.col_missing > 0:
+        cols = [c for c in (*cfg.numeric, *cfg.categorical) if c in w.columns]
+        w = W.inject_missingness(w, cfg.key, cols, cfg.row_missing, cfg.col_missing, cfg.seed, hard_cols=cfg.hard_missing)
     if cfg.pu_prob > 0:
         w = W.pu_rows(w, cfg.label, cfg.domain, cfg.unlabeled_domain, cfg.pu_prob)
         names.append("pu_weight")
@@ -121,17 +135,19 @@ def _weights(train: DataFrame, cfg: TrainConfig) -> DataFrame:
 
 
 def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
-    """Split (hash) -> weights -> PU -> missingness -> encode -> fit ->
-    calibrate on validation -> prior/cap -> 101-threshold scan -> choice."""
+    """Split (hash) -> weights -> missingness -> PU -> encoder fitted on the
+    rows that are trained on -> fit -> calibrate on validation -> prior/cap ->
+    101-threshold scan -> choice."""
+    from cohortlens.operators import clean as CL
+    if cfg.assume_non_smoker:
+        df = CL.assume_non_smoker(df)
     if "split" not in df.columns:
         df = W.hash_split(df, cfg.key, cfg.seed)
     train = df.where(F.col("split") == "train")
     val = df.where(F.col("split") == "val")
-    tr = _weights(train, cfg)
-    if cfg.row_missing > 0 and cfg.col_missing > 0:
-        tr = W.inject_missingness(tr, cfg.key, [c for c in cfg.numeric if c in tr.columns], cfg.row_missing,
-                                  cfg.col_missing, cfg.seed)
-    enc = FE.fit_encoder(train, list(cfg.numeric), list(cfg.categorical), age_weight=cfg.age_weight)
+    tr = _training_rows(train, cfg)
+    enc = FE.fit_encoder(tr, list(cfg.numeric), list(cfg.categorical), age_weight=cfg.age_weight,
+                         feature_weights=cfg.feature_weights)
     n_feat = len(enc.output_columns())
     tr_enc = enc.transform(tr, keep=[cfg.key, cfg.label, "sample_weight"], vector_col="features")
     # iterative fits read the training rows many times: cut the weighting /
@@ -161,8 +177,8 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     if cfg.prior_percentiles:
         anchors = W.anchors_from_percentiles(train, "age_years", cfg.prior_percentiles, cfg.prior_probs, cfg.label)
     res = TrainResult(enc, model, platt, iso, anchors, 0.5, None, None, cfg)
-    val_final = res.finalize(res.score(val, keep=[cfg.key, cfg.label, cfg.domain]),
-                             val.select(cfg.key, F.col("age_years").alias("_age_raw")) if "age_years" in val.columns else None)
+    val = with_raw_age(val)
+    val_final = res.finalize(res.score(val, keep=_kept(val, cfg.key, cfg.label, cfg.domain)))
     # validation scores feed the ranking metrics, the scan and the choice: score once
     val_final = val_final.select(cfg.key, cfg.label, cfg.domain, "score").persist(StorageLevel.MEMORY_AND_DISK)
     scan = E.threshold_scan(val_final, cfg.label, "score", cfg.domain,
@@ -176,10 +192,12 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
 
 
 def scored_split(df: DataFrame, res: TrainResult, split: str) -> DataFrame:
+    from cohortlens.operators import clean as CL
     cfg = res.cfg
     part = df.where(F.col("split") == split) if split else df
-    raw_age = part.select(cfg.key, F.col("age_years").alias("_age_raw")) if "age_years" in part.columns else None
-    return res.finalize(res.score(part, keep=[cfg.key, cfg.label, cfg.domain]), raw_age)
+    part = CL.assume_non_smoker(part) if cfg.assume_non_smoker else part
+    part = with_raw_age(part)
+    return res.finalize(res.score(part, keep=_kept(part, cfg.key, cfg.label, cfg.domain)))
 
 
 def split_metrics(df: DataFrame, res: TrainResult, name: str) -> DataFrame:
