@@ -165,6 +165,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -
 
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the items and shared shingles."""
     return contaminated(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
 
 

@@ -403,8 +403,9 @@ def score_documents(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id"
     spark = docs.sparkSession
     counts = C.stored(token_counts(training, text), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()     # a bounded table
-    vocab = Vocabulary(list(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True)), n, v, size)
+    top = C.most_frequent(counts, "c", head).toArrow()     # a bounded table
+    known = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    vocab = Vocabulary(known, n, v, size)
     p = train(training, vocab, text, rounds)
     model = spark.sparkContext.broadcast((vocab, p))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -423,6 +424,7 @@ def score_documents(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id"
 
 
 def op2_lm(spark, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from those outside the held-out fold."""
     docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
     out = C.held_out(F.col("doc_id"), FOLDS, FOLD)
     scored = score_documents(docs, docs.filter(~out))

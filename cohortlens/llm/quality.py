@@ -30,6 +30,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MIN_GROUP = 200
 SPREAD = 4
+SMALL_TABLE = 20_000    # groups up to which the fences are broadcast; more are joined by shuffle
 #: rule -> least distance (in the rule's units) that counts as the middle half's width
 SLACK = {"symbol_rate": 10, "upper_rate": 20, "mark_rate": 15, "dup_line_rate": 125, "repeat_rate": 80, "word_len": 60}
 LOWER = ("word_len",)   # rules that also have a lower fence
@@ -86,15 +87,9 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
-def bucket(v: Column) -> Column:
-    """Lower edge of a value's log-linear bucket (six leading bits are kept)."""
-    shift = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
-
-
 def sketch(judged: DataFrame, group: tuple[str, ...], rule_cols: dict[str, Column]) -> DataFrame:
     """Mergeable sketches: (group..., rule, edge, n) over rows that have the rule's value."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket(v).alias("edge"))
+    stacked = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), C.leading_bits(v).alias("edge"))
                                   for r, v in rule_cols.items()])).alias("e")
     return (judged.select(*group, stacked).select(*group, "e.rule", "e.edge").filter("edge IS NOT NULL")
             .groupBy(*group, "rule", "edge").agg(F.count("*").alias("n")))
@@ -169,7 +164,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     passing = {r: F.when(~base_failed(F.col(st)), v) for r, v in rule_cols.items()}
     fence = fences(rows, passing, (gl, gs), min_group, spread)
     fv = C.own("fences", docs.columns)
-    fence = fence.select(gl, gs, F.struct(*rule_cols).alias(fv))
+    fence = C.cut_lineage(fence.select(gl, gs, F.struct(*rule_cols).alias(fv)))
+    # a hot source is not shuffled to one task, and texts are not shuffled at all, while the groups are few
+    fence = F.broadcast(fence) if fence.count() <= SMALL_TABLE else fence
     out = rows.join(fence, [gl, gs], "left")
     failed = base_failed(F.col(st))
     q = C.own("quality", docs.columns)

@@ -119,6 +119,7 @@ def order() -> list[Column]:
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
+    """All documents in sixteen shards of near equal bytes."""
     return shard_by_bytes(C.read(spark, sf_dir, "documents"))
 
 

@@ -150,4 +150,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
     return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))

@@ -59,7 +59,7 @@ def test_labelled_rows_and_partitioning(spark, sf):
 
 def test_buckets_keep_six_leading_bits(spark):
     values = [0, 1, 63, 64, 65, 127, 128, 1000, 123456]
-    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", Q.bucket(F.col("v")).alias("b"))
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", C.leading_bits(F.col("v")).alias("b"))
     for v, b in df.collect():
         shift = max(0, v.bit_length() - 6)
         assert b == (v >> shift) << shift and v - b <= v / 32
