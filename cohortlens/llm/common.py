@@ -94,6 +94,16 @@ def most_frequent(table: DataFrame, count: str, limit: int) -> DataFrame:
     return table.filter(F.col(count) >= least) if least is not None else table.limit(0)
 
 
+#: ids up to which a set of them is broadcast
+SMALL_SET = 1_000_000
+
+
+def small_set(ids: DataFrame) -> DataFrame:
+    """A one-column set of ids, broadcast if it is counted to be small, so that texts are not shuffled to meet it."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= SMALL_SET else ids
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back: cuts the lineage and keeps wide rows compressed."""
     path = shared_path(df.sparkSession, name)
@@ -102,4 +112,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["WHITE", "SPLIT", "read", "bind", "words", "n_words", "crc", "held_out", "key", "own", "partitions",
-           "shared_path", "leading_bits", "most_frequent", "stored", "cut_lineage", "checkpoint_dir"]
+           "shared_path", "leading_bits", "most_frequent", "small_set", "stored", "cut_lineage", "checkpoint_dir"]

@@ -15,12 +15,15 @@ are never expanded into all pairs.
 3. Tasks hash these leading shingles; a chunk is combined before the shuffle (one
    entry per shingle), and hash buckets find the shingles of two or more
    documents.  Only these *lists* go on.
-4. Every document of a list is compared with the list's leader in its own size
-   class, and leaders of neighbouring size classes with each other: linear in
-   the lists.  The links found contract documents into components.
-5. Documents of one list in different components are compared in full: those
-   outside the list's largest component with the others.  So no link that would
-   join two components is missed, and no pair inside one is enumerated.
+4. Every list has a few leaders, drawn by a hash.  A document is compared with the
+   two leaders it shares most lists with: linear in the documents.  The links found
+   contract documents into components, and lists of one component are done with.
+5. Documents of one list in different components are candidates, the one in the
+   smaller component as the query.  A query's lists meet in a task, as blocks of
+   postings, and documents that occur in too few of them for the overlap drop out;
+   the others are compared, the likeliest first, as long as they are not connected
+   yet.  So no link that would join two components is missed, and pairs inside
+   one are not enumerated.
 
 A comparison is a T-occurrence search: of the query's shingles, each with the
 list of candidates that hold it, the ``L`` longest lists are set aside; the
@@ -46,11 +49,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortlens.llm import common as C
 from cohortlens.llm import packed
 from cohortlens.llm import wordhash as W
-from cohortlens.llm.components import components
+from cohortlens.llm.components import extend
 
 SIZE = 5
 #: similarity as a fraction
@@ -58,8 +62,11 @@ NUM, DEN = 4, 5
 NO_ID = -(2 ** 63)
 CHUNK = 1_000_000       # shingles combined before a shuffle
 OFTEN = 8               # documents of a chunk that make a shingle frequent there
-MAX_FREQUENT = 400_000  # entries of the broadcast order of frequent shingles
+MAX_FREQUENT = 200_000  # entries of the broadcast order of frequent shingles
 GROUP = 128             # candidates searched at a time
+LEADERS, BEST = 12, 2    # leaders per list, and those a document is compared with
+LIKELIEST = 4           # candidates per document compared before all others
+BLOCK, POSTINGS = 2048, 2_000_000   # documents in a block of a list; postings counted together in a task
 
 
 # ---- sets ---------------------------------------------------------------------------------
@@ -259,7 +266,6 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that link: a is the query, b its candidate; texts: (doc, text)."""
     spark = texts.sparkSession
-    pairs = C.cut_lineage(pairs)
     load = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (8 * GROUP))).cast("long").alias("parts"))
     given = (pairs.join(texts.withColumnRenamed("doc", "b"), "b").join(load, "a")
              .select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "text"))
@@ -271,6 +277,102 @@ def search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return C.cut_lineage(rows.mapInArrow(_search, "a long, b long, overlap long"))
 
 
+def _sizes_fit():
+    return (F.col("na") * NUM <= F.col("nb") * DEN) & (F.col("nb") * NUM <= F.col("na") * DEN) & (F.col("a") != F.col("b"))
+
+
+def _may_link():
+    """Whether sets of na and nb shingles that share c of their leading ones can reach the overlap.
+
+    What they share beyond the leading ones of the set whose leading ones end
+    first lies in that set's rest, which has ``ceil(0.8 n) - 1`` shingles.
+    """
+    need = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))
+    rest = F.ceil(F.greatest("na", "nb") * NUM / DEN) - 1
+    return _sizes_fit() & (F.col("c") >= need - rest)
+
+
+def _placed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Lists that hold documents of two or more components: (token, doc, n, comp, size, top, m).
+
+    ``size`` is that of the document's component, ``top`` the largest (size, comp)
+    in the list and ``m`` the list's length.
+    """
+    if found is None:
+        placed = lists.withColumns({"comp": F.col("doc"), "size": F.lit(1).cast("long")})
+    else:
+        sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+        known = found.join(sizes, "root").select(F.col("node").alias("doc"), "root", "size")
+        placed = lists.join(known, "doc", "left").select(
+            "token", "doc", "n", F.coalesce("root", "doc").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = (placed.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("m"),
+                                         F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("lo < hi").drop("lo", "hi"))
+    return C.cut_lineage(placed.join(mixed, "token"))
+
+
+def _with_leaders(placed: DataFrame) -> DataFrame:
+    """Candidates (a, b): for every document b the few leaders, of other components, that it shares most lists with."""
+    lead = [F.min_by(F.struct("doc", "n", "comp"), F.xxhash64("doc", F.lit(k))) for k in range(LEADERS)]
+    leaders = placed.groupBy("token").agg(F.array_distinct(F.array(*lead)).alias("leaders"))
+    star = placed.join(leaders, "token").select(
+        F.col("doc").alias("b"), F.col("n").alias("nb"), "comp",
+        F.explode(F.filter("leaders", lambda x: x["comp"] != F.col("comp"))).alias("lead"))
+    star = (star.groupBy(F.col("lead.doc").alias("a"), F.col("lead.n").alias("na"), "b", "nb")
+            .agg(F.count("*").alias("c")).filter(_may_link()))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))
+    return star.select("a", "b", rank.alias("rank")).filter(F.col("rank") <= BEST).select("a", "b")
+
+
+def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, na, ca, sa, part, parts, postings) sorted by (a, part): candidates of larger components, lists shared."""
+    key, held = None, []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if key is None:
+            return
+        a, part, na, ca, sa, parts = key
+        docs, n, comps, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        mine = ((sizes > sa) | ((sizes == sa) & (comps > ca))) & (packed.spark_xxhash64(docs) % parts == part)
+        both, c = np.unique(np.stack([docs[mine], n[mine]]), axis=1, return_counts=True)
+        docs, nb = both
+        need = -(-NUM * (na + nb) // (NUM + DEN))
+        rest = -(-NUM * np.maximum(na, nb) // DEN) - 1
+        ok = (na * NUM <= nb * DEN) & (nb * NUM <= na * DEN) & (c >= need - rest)
+        yield pa.record_batch([np.full(int(ok.sum()), a, np.int64), docs[ok], c[ok].astype(np.int64)], names=["a", "b", "c"])
+
+    for batch in batches:
+        a, na, ca, sa, part, parts = (batch.column(k).to_pylist() for k in range(6))
+        for k in range(len(batch)):
+            here = (a[k], part[k], na[k], ca[k], sa[k], parts[k])
+            if here != key:
+                yield from found()
+                key, held = here, []
+            held.append(tuple(batch.column(c)[k].values.to_numpy() for c in (6, 7, 8, 9)))
+    yield from found()
+
+
+def _across(placed: DataFrame, spark) -> DataFrame:
+    """All candidates (a, b, c lists shared) of different components: a in the smaller one, b in the larger.
+
+    In every list that two such documents share, the first is outside the
+    largest component, so its postings count all of them.  Lists travel as blocks
+    of postings, and a document's postings are counted together in a task, in as
+    many parts as their number asks for.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK)
+    postings = placed.groupBy("token", F.pmod(F.xxhash64("doc"), blocks).alias("block")).agg(
+        F.collect_list(F.struct("doc", "n", "comp", "size")).alias("held"))
+    postings = postings.select("token", *[F.col(f"held.{c}").alias(f"{c}s") for c in ("doc", "n", "comp", "size")])
+    few = placed.filter((F.col("size") != F.col("top.size")) | (F.col("comp") != F.col("top.comp"))).select(
+        "token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("size").alias("sa"), "m")
+    load = few.groupBy("a").agg(F.ceil(F.sum("m") / POSTINGS).cast("long").alias("parts"))
+    asked = few.join(load, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = (asked.join(postings, "token").select("a", "na", "ca", "sa", "part", "parts", "docs", "ns", "comps", "sizes")
+            .repartition(C.partitions(spark), "a", "part").sortWithinPartitions("a", "part", "na", "ca"))
+    return rows.mapInArrow(_count_lists, "a long, b long, c long")
+
+
 # ---- the join --------------------------------------------------------------------------------
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,12 +381,11 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     scanned = C.stored(rows.mapInArrow(_digests, "doc long, n long, d1 long, d2 long"), "digests")
     sets = scanned.filter("n IS NOT NULL")
-    frequent = (scanned.filter("n IS NULL").groupBy(F.col("doc").alias("hash")).agg(F.sum("d1").alias("count"))
-                .orderBy(F.desc("count"), "hash").limit(MAX_FREQUENT))
-    table = frequent.toPandas()
-    by = np.argsort(table["hash"].to_numpy(np.int64).view(np.uint64))
-    order = spark.sparkContext.broadcast((table["hash"].to_numpy(np.int64).view(np.uint64)[by],
-                                          table["count"].to_numpy(np.int64)[by]))
+    frequent = (scanned.filter("n IS NULL").groupBy(F.col("doc").alias("hash")).agg(F.sum("d1").alias("count")))
+    table = C.most_frequent(C.cut_lineage(frequent), "count", MAX_FREQUENT).toArrow()
+    known = table.column("hash").to_numpy().view(np.uint64)
+    by = np.argsort(known)
+    order = spark.sparkContext.broadcast((known[by], table.column("count").to_numpy()[by]))
 
     alike = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc").alias("rep"))
     named = C.cut_lineage(sets.join(alike, ["d1", "d2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
@@ -295,57 +396,53 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
              .applyInArrow(_shared, "token long, doc long, n long"))
     lists = C.stored(lists.join(reps, "doc", "left_semi"), "lists")
     members = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
-    step = float(np.log(DEN / NUM))
-    lists = C.stored(lists.join(members, "token").withColumn("class", F.floor(F.log("n") / step)), "lists")
-    texts = C.stored(rows.join(lists.select("doc").distinct(), "doc", "left_semi"), "texts")
-
-    leaders = lists.groupBy("token", "class").agg(F.min_by(F.struct("doc", "n"), F.xxhash64("doc")).alias("lead"))
-    leaders = leaders.select("token", "class", F.col("lead.doc").alias("a"), F.col("lead.n").alias("na"))
-    star = lists.join(leaders, ["token", "class"]).select("a", "na", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    after = leaders.select("token", (F.col("class") - 1).alias("class"), F.col("a").alias("b"), F.col("na").alias("nb"))
-    star = star.unionByName(leaders.join(after, ["token", "class"]).select("a", "na", "b", "nb"))
-    fits = (F.col("na") * NUM <= F.col("nb") * DEN) & (F.col("nb") * NUM <= F.col("na") * DEN) & (F.col("a") != F.col("b"))
-    first = C.cut_lineage(star.filter(fits).select("a", "b").distinct())
-    links = search(first, texts)
-    found = components(links)
-
-    placed = (lists.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-              .select("token", "doc", "n", F.coalesce("root", "doc").alias("comp")))
-    mixed = (placed.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token")
-             .agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
-             .select("token", F.col("top.comp").alias("top")))
-    placed = C.cut_lineage(placed.join(mixed, "token"))
-    few = placed.filter("comp <> top").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    other = placed.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "top")
-    second = (few.join(other, "token").filter(fits & (F.col("ca") != F.col("cb"))
-                                              & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-              .select("a", "b").distinct())
-    both = first.unionByName(first.selectExpr("b AS a", "a AS b"))
-    second = second.join(both, ["a", "b"], "left_anti")
-    links = links.unionByName(search(second, texts)).select("a", "b")
-    # a document listed under several representatives holds them together
-    versions = named.select(F.col("doc").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    found = components(links.unionByName(versions))
-    out = (named.join(found.withColumnRenamed("node", "doc"), "doc", "left")
-           .select("doc", "n", F.coalesce("root", "doc").alias("component")))
+    lists = C.stored(lists.join(members, "token"), "lists")
+    texts = C.stored(rows.join(C.small_set(lists.select("doc").distinct()), "doc", "left_semi"), "texts")
+
+    # representatives that are texts of one document are held together
+    found = None
+    several = named.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
+    if several.take(1):
+        found = extend(None, named.join(several, "doc").select("a", F.col("rep").alias("b")))
+    pairs = C.cut_lineage(_with_leaders(_placed(lists, found)))
+    found = extend(found, search(pairs, texts))
+    tried = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+    rest = C.cut_lineage(_across(_placed(lists, found), spark).groupBy("a", "b").agg(F.max("c").alias("c"))
+                         .join(tried, ["a", "b"], "left_anti").withColumn("rank", rank))
+    # the likeliest candidates first: they join most of what there is to join
+    found = extend(found, search(rest.filter(F.col("rank") <= LIKELIEST).select("a", "b"), texts))
+    ends = [found.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b")]
+    rest = (rest.filter(F.col("rank") > LIKELIEST).join(ends[0], "a", "left").join(ends[1], "b", "left")
+            .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    found = extend(found, search(C.cut_lineage(rest), texts))
+    out = (named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+           .select("doc", "n", F.coalesce("root", "rep").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
     return link_components(C.read(spark, sf_dir, "documents"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their component: the smallest doc_id of each, once.
 
-    Rows that share the doc_id kept are told apart by their text and then the
-    other columns; documents without words are linked with nothing and stay,
-    and so do rows without a doc_id, which have no name to be kept by.
+    Of rows that share the doc_id kept, the smallest by its columns stays.
+    Documents without words are linked with nothing and stay, and so do rows
+    without a doc_id, which have no name to be kept by.
     """
-    gone = link_components(docs.filter(F.col(doc_id).isNotNull()), doc_id, text)
-    gone = gone.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns).dropDuplicates()
+    named = docs.filter(F.col(doc_id).isNotNull())
+    again = C.cut_lineage(named.groupBy(doc_id).count().filter("count > 1").select(doc_id))
+    gone = (link_components(named, doc_id, text).filter("doc_id <> component_id")
+            .select(F.col("doc_id").alias(doc_id)).distinct())
+    kept = docs.join(C.small_set(gone), doc_id, "left_anti").select(*docs.columns)
+    if not again.take(1):
+        return kept
+    one = kept.join(again, doc_id, "left_semi").groupBy(doc_id).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
 
 
 OP8_SQL = rf"""

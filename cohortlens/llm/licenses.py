@@ -35,6 +35,11 @@ EQUIVALENT = (
     (r"\bwhilst\b", "while"),
     (r",? ?\bversion ([0-9])|,? ?\bv\.? ?([0-9])", " v$1$2"),
 )
+# A line can only match one of the patterns above if it holds one of these.
+HINTS = ("licenc", "isation", "https://", "sub-license", "sub license", "non-commercial", "non commercial", "copyright owner",
+         "acknowledgement", "whilst", "version ", *(f"{w}is" for w in "author organ recogn util real maxim optim initial categor "
+         "capital".split()), *(f"{w}our" for w in "fav lab hon behavi".split()))
+HINT_PATTERN = r"\bv\.? ?[0-9]"
 # a line that names a holder or a year, not one that goes on about copyright holders
 COPYRIGHT_LINE = r"^[^a-z0-9©]*(copyright\s*(\(c\)|©|[0-9]|by\b)|©|\(c\)\s*[0-9a-z]|all rights reserved)"
 
@@ -119,9 +124,13 @@ def _lines(text: Column) -> Column:
 
 
 def _canonical(line: Column) -> Column:
+    hinted = line.rlike(HINT_PATTERN)
+    for hint in HINTS:
+        hinted = line.contains(hint) | hinted
+    spelt = line
     for pattern, to in EQUIVALENT:
-        line = F.regexp_replace(line, pattern, to)
-    return F.btrim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "))
+        spelt = F.regexp_replace(spelt, pattern, to)
+    return F.btrim(F.regexp_replace(F.when(hinted, spelt).otherwise(line), r"[^\p{L}\p{N}]+", " "))
 
 
 def canonical_lines(text: Column) -> Column:
@@ -161,6 +170,7 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
+    """Every document's whole text and lines against the known licenses; one row per match."""
     return scan(C.read(spark, sf_dir, "documents"), known_digests(spark))
 
 

@@ -35,13 +35,15 @@ from cohortlens.llm import common as C
 
 END_ID = 2
 BLOCK = 1024
-FRAME = 1 << 16
-CACHE_WORDS = 300_000
+FRAME = 1 << 18
+CACHE_WORDS = 800_000
 #: values per word, by selector
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 BITS = 60 // COUNTS
 ESCAPE = 15
 _U = np.uint64
+_LIMITS = (_U(1) << BITS.astype(_U))
+_WIDTH = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=_U), side="right").astype(np.int8)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,24 +52,36 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(v)
     if not n:
         return np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, _U)
-    width = np.zeros(n, np.int64)
-    for b in BITS:
-        width += v >> _U(b) > 0
-    # width: how many of the slot sizes are too narrow; the rest of the block bounds a word too
-    left = BLOCK - np.arange(n) % BLOCK
-    left = np.minimum(left, n - np.arange(n))
-    take, sel = np.ones(n, np.int64), np.where(width == len(BITS), ESCAPE, len(BITS) - 1)
+    # width: how many of the slot sizes are too narrow for a value
+    if v.max() < len(_WIDTH):
+        width = _WIDTH[v.astype(np.intp)]
+    else:
+        width = np.searchsorted(_LIMITS, v, side="right").astype(np.int8)
+    left = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))    # the rest of the block bounds a word too
+    take, sel = np.ones(n, np.int8), np.where(width == len(BITS), ESCAPE, len(BITS) - 1).astype(np.int8)
     for s in range(len(BITS) - 2, -1, -1):
-        wide = np.where(width > s, np.arange(n), n)
-        room = np.minimum.accumulate(wide[::-1])[::-1] - np.arange(n)   # values that fit from here on
-        fits = (room >= COUNTS[s]) & (left >= COUNTS[s])
-        take[fits], sel[fits] = COUNTS[s], s
-    at, step, i = [], take.tolist(), 0
-    while i < n:
-        at.append(i)
-        i += step[i]
-    at = np.array(at)
-    sel = sel[at]
+        wide = np.flatnonzero(width > s)
+        if n - len(wide) < COUNTS[s]:
+            continue
+        edge = np.concatenate(([-1], wide, [n]))
+        spare = np.diff(edge) - COUNTS[s]       # starts that have COUNTS[s] narrow values, in each run
+        run = np.flatnonzero(spare > 0)
+        if len(run):
+            spare = spare[run]
+            first = np.cumsum(spare) - spare
+            fits = np.repeat(edge[run] + 1 - first, spare) + np.arange(int(spare.sum()))
+            fits = fits[left[fits] >= COUNTS[s]]
+            take[fits], sel[fits] = COUNTS[s], s
+    # all blocks are walked side by side, a word at a time
+    at, here = [], np.arange(0, n, BLOCK)
+    stop = np.minimum(here + BLOCK, n)
+    while len(here):
+        at.append(here)
+        here = here + take[here]
+        live = here < stop
+        here, stop = here[live], stop[live]
+    at = np.sort(np.concatenate(at))
+    sel = sel[at].astype(np.int64)
     words = sel.astype(_U) << _U(60)
     for s in range(len(COUNTS)):
         mine = np.flatnonzero(sel == s)
@@ -96,46 +110,109 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """Word -> number; a new word gets the next number and is remembered for ``learn``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+_MARK, _SPECIAL = b"<|endoftext|>", b"<|"
+_JOIN = 200
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins what ASCII white space parts.
+    """Ids of whole texts by a tokenizer that lowers case and never joins what ASCII white space parts.
 
-    Every distinct word goes through the tokenizers library once; its ids are then looked up.
+    Words are looked up; new ones go through the tokenizers library, many at a
+    time, joined by a special token, which parts them for the tokenizer (words that may
+    hold one go alone).  The table is bounded: past ``limit`` words the later
+    half is forgotten (the frequent words are met early).
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.offset = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def learn(self, new: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        n = len(self.known)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-        ends = np.cumsum([len(x) for x in ids]) + self.offset[-1]
-        self.flat = np.concatenate([self.flat, *[np.array(x, np.int64) for x in ids]])
-        self.offset = np.concatenate([self.offset, ends])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.limit = Tokenizer.from_str(json.dumps(spec)), limit
+        # to words of lower-case ASCII letters the normaliser and the pattern do nothing
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None}))
+        self.mark_id = self.tokenizer.token_to_id(_MARK.decode())
+        self.known = _Known()
+        self.flat, self.offset = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        if len(self.known) > self.limit:
+            kept = list(self.known)[:self.limit // 2]
+            self.known = _Known()
+            self.known.update(zip(kept, range(len(kept)), strict=True))
+            self.offset = self.offset[:len(kept) + 1]
+            self.flat = self.flat[:self.offset[-1]]
+
+    def learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        kinds: tuple[list, list, list] = ([], [], [])
+        for k, w in enumerate(new):
+            kinds[0 if w.isalpha() and w.islower() else 2 if _SPECIAL in w else 1].append(k)
+        flat, lens = [], []
+        for words, tokenizer, size in zip(kinds, (self.plain, self.tokenizer, self.tokenizer), (_JOIN, _JOIN, 1), strict=True):
+            texts = [_MARK.join([new[k] for k in words[a:a + size]]).decode() for a in range(0, len(words), size)]
+            for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(e.ids, np.int32)
+                if size == 1:
+                    lens.append(np.array([len(ids)]))
+                else:
+                    part = np.concatenate(([-1], np.flatnonzero(ids == self.mark_id), [len(ids)]))
+                    lens.append(np.diff(part) - 1)
+                    ids = ids[ids != self.mark_id]
+                flat.append(ids)
+        # back to the order in which the words were numbered
+        flat, lens = np.concatenate(flat), np.concatenate(lens)
+        order = np.argsort(np.concatenate(kinds).astype(np.int64))
+        start, lens = (np.cumsum(lens) - lens)[order], lens[order]
+        ends = np.cumsum(lens)
+        flat = flat[np.repeat(start - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        self.offset = np.concatenate([self.offset, self.offset[-1] + ends])
+        self.flat = np.concatenate([self.flat, flat])
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); without end ids."""
-        split = [t.encode().split() if t else [] for t in texts]
-        all_words = [w for ws in split for w in ws]
-        if len(self.known) > self.limit:
-            self.clear()
-        if new := list(set(all_words).difference(self.known)):
-            self.learn(new)
-        index = np.fromiter(map(self.known.__getitem__, all_words), np.int64, len(all_words))
-        lens = self.offset[index + 1] - self.offset[index]
-        total = np.concatenate(([0], np.cumsum(lens)))
-        ids = self.flat[np.repeat(self.offset[index] - total[:-1], lens) + np.arange(total[-1])]
-        ends = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(total[ends])
+        self.forget()
+        get, index, n_words = self.known.__getitem__, [], []
+        for t in texts:
+            if t and _SPECIAL.decode() in t:    # the case of a special token counts
+                ws = [w if _SPECIAL in w else w.lower() for w in t.encode().split()]
+            else:
+                ws = t.encode().lower().split() if t else []
+            index.append(np.fromiter(map(get, ws), np.int64, len(ws)))
+            n_words.append(len(ws))
+        if self.known.new:
+            self.learn()
+        at = np.concatenate([np.zeros(0, np.int64), *index])
+        start = self.offset[at]
+        lens = self.offset[at + 1] - start
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
+        ids = self.flat[np.repeat(start - total[:-1], lens) + np.arange(total[-1])]
+        return ids, np.diff(total[np.concatenate(([0], np.cumsum(n_words))).astype(np.int64)])
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker process's tokenizer: what it has learned serves its later tasks too."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 _FRAME = "part int, start long, doc_id array<long>, n_tokens array<long>, words binary, blocks binary, escapes binary"
@@ -152,13 +229,13 @@ def _frames(tokenizer: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
-        to_ids = WordTokenizer(tokenizer)
+        to_ids = tokenizer_of(tokenizer)
         ids, docs, counts, size = [], [], [], 0
         for batch in batches:
             doc_ids, lens = batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(1)).to_pylist()
             i = 0
             while i < len(doc_ids):
-                j, room = i, 1 << 20
+                j, room = i, 1 << 22
                 while j < len(doc_ids) and (j == i or room > 0):
                     room -= (lens[j] or 0)
                     j += 1
@@ -241,4 +318,5 @@ def default_tokenizer() -> str:
 
 
 def op4_simple8b(spark, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back: place, length and digest of each one's ids."""
     return token_table(C.read(spark, sf_dir, "documents"), default_tokenizer())
