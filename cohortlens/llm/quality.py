@@ -175,11 +175,21 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         (~failed & verdict(rule_cols, lambda r: F.col(fv)[r])).alias("kept")).alias(q))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass every rule, with their own columns only."""
-    judged = judge(docs, **options)
-    q = judged.columns[-1]
-    return judged.filter(F.col(q)["kept"]).drop(q)
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
+              **options) -> DataFrame:
+    """The documents that pass every rule, with their own columns only.
+
+    Verdicts are made on narrow rows; a rejected row is known by 128 bits of its
+    id, text, language and source.  While the rejected ones are few (counted), they
+    are broadcast, and texts are neither stored nor shuffled.
+    """
+    marks = [C.own(k, docs.columns) for k in ("mark_one", "mark_two")]
+    parts = [C.key(F.col(doc_id)), C.key(F.col(lang)), C.key(F.col(source)), C.key(F.col(text))]
+    marked = docs.withColumns({m: F.xxhash64(F.lit(k), *parts) for k, m in enumerate(marks)})
+    judged = judge(marked, text, lang, source, keep=marks, **options)
+    q = F.col(judged.columns[-1])
+    rejected = judged.filter(~q["kept"]).select(*marks).distinct()
+    return marked.join(C.small_set(rejected), marks, "left_anti").select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
