@@ -10,10 +10,10 @@ Words are lower-cased (A-Z); a document is its words and one end token.
   equal total count, ``p(w) = p(class | h) p(w | class, h)``, so a step costs two
   small softmaxes.  Output biases start at the log counts over all documents.
 * **Training**: every training document is cut into segments of ``SEGMENT``
-  windows of ``STEPS`` tokens; one segment in ``STRIDE`` per round (by a hash of
-  the text, so in proportion to the corpus at every size) is learned from by
-  truncated backpropagation in numpy: the state goes on from window to window,
-  gradients stop at a window's start.  Tasks train copies of the model on their shares
+  windows of ``STEPS`` tokens.  Each segment is learned from once, in one of the
+  ``ROUNDS`` (dealt out in turn, from a hash of the text on), by truncated
+  backpropagation in numpy: the state goes on from window to window, gradients
+  stop at a window's start.  Tasks train copies of the model on their shares
   from the same start; the copies' average, weighted by tokens, starts the next round.
 * **Scoring**: the state is carried from window to window through the whole text,
   many documents side by side; the longest come first, so lanes end close together.
@@ -50,9 +50,8 @@ HEAD = 250_000      # tokens whose counts are broadcast; the others are joined
 HIDDEN = 16
 STEPS = 16          # tokens per window of truncated backpropagation
 SEGMENT = 4         # windows through which training carries the state
-STRIDE = 8          # one training segment in so many per round
 BATCH = 512         # segments or documents side by side
-ROUNDS = 2
+ROUNDS = 2          # each learns from its share of the segments, together from all
 RATE = 0.01
 END = b"\n"         # no word contains it
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -256,7 +255,7 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def _train(model, round_no: int, rate: float):
+def _train(model, round_no: int, rounds: int, rate: float):
     """A task's copy of the model after its share of the training segments: (tokens, loss, weights)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = model.value
@@ -284,7 +283,7 @@ def _train(model, round_no: int, rate: float):
         for batch in batches:
             for text, shift in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ws = words_of(text.as_py())
-                for a in range((shift + round_no) % STRIDE * length, len(ws), length * STRIDE):
+                for a in range((shift + round_no) % rounds * length, len(ws), length * rounds):
                     s = vocab.symbol[vocab.numbers(ws[max(a - 1, 0):a + length])]
                     held.append((s[:-1], s[1:]) if a else (np.concatenate(([vocab.end], s[:-1])), s))
                     if len(held) == BATCH:
@@ -312,14 +311,14 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> dict:
-    """Weights after ``rounds`` of local training and averaging over all training documents' windows."""
+    """Weights after ``rounds`` of local training and averaging, which together learn from every segment once."""
     spark = docs.sparkSession
     p = initial(vocab)
     schema = "n long, loss double, weights binary"
-    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(STRIDE)).cast("int").alias("shift"))
+    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int").alias("shift"))
     for k in range(rounds):
         model = spark.sparkContext.broadcast((vocab, p))
-        copies = rows.mapInArrow(_train(model, k, rate / (k + 1)), schema)
+        copies = rows.mapInArrow(_train(model, k, rounds, rate / (k + 1)), schema)
         few = copies.repartition(8).mapInArrow(_average, schema).collect()    # at most eight averaged copies
         model.unpersist()
         if not few:

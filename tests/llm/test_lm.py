@@ -53,6 +53,18 @@ def test_words_outside_the_head_are_joined(spark):
     assert sorted(map(key, few)) == sorted(map(key, all_))
 
 
+def test_every_segment_is_learned_from(spark):
+    # a word's input weights move only if its segment is learned from; past a first window gradients reach them
+    texts = ["a " * 20 + f"w{k}" for k in range(40)] + [" ".join("a " * 40 + f"x{k}" + " a" * 23 for k in range(17))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    counts = Counter(w for t in texts for w in L.words_of(t))
+    vocab = L.Vocabulary(sorted(counts.items(), key=lambda x: (-x[1], x[0])), sum(counts.values()), len(counts))
+    before, own = L.initial(vocab), vocab.symbol[vocab.numbers(sorted(counts.keys() - {L.END}))]
+    for rounds in (1, L.ROUNDS, 3):
+        moved = (L.train(docs, vocab, rounds=rounds)["in"] != before["in"]).any(1)
+        assert moved[own].all()
+
+
 def model(n=30, size=20):
     rng = np.random.default_rng(0)
     head = [(f"w{k}".encode(), int(100 / (k + 1)) + 1) for k in range(n - 1)] + [(L.END, 9)]
