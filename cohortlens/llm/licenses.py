@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import common as C
+from cohortlens.llm.license_digests import DIGESTS
 
 SMALL_CATALOGUE = 100_000
 
@@ -118,6 +119,20 @@ def catalogue() -> list[tuple[str, str]]:
     return [*TEXTS.items(), *((k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES)]
 
 
+# SPDX identifiers beside those in NAMES.
+SPDX = {
+    f"{short}-{v}": tuple(f"{short}-{v if '.' in v else v + '.0'}{end}" for end in ("", "-only", "-or-later"))
+    for short, versions in (("GPL", ("2", "3")), ("LGPL", ("2", "2.1", "3")), ("AGPL", ("3",))) for v in versions
+} | {"BSD-2-Clause": ("BSD-2-Clause",), "CC0-1.0": ("CC0-1.0",)}
+
+
+def more_texts() -> list[tuple[str, str]]:
+    """(license_id, text) beside the catalogue: whole texts under a title line, and SPDX lines."""
+    titled = [(k, f"{the}{n}{short}\n{TEXTS[k]}") for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause") for n in NAMES[k]
+              for the in ("", "The ") for short in ("", f" ({k})")]
+    return [*titled, *((k, f"SPDX-License-Identifier: {n}") for k, names in SPDX.items() for n in names)]
+
+
 def _lines(text: Column) -> Column:
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.split(lowered, r"\n", -1)
@@ -149,10 +164,14 @@ def _whole(lines: Column) -> Column:
 
 
 def known_digests(spark, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id) of a catalogue; equal digests keep the first id."""
-    rows = spark.createDataFrame(catalogue() if texts is None else texts, "license_id string, text string")
+    """(digest, license_id) of ``texts``, or of all that is known; equal digests keep the first id."""
+    rows = spark.createDataFrame([*catalogue(), *more_texts()] if texts is None else texts, "license_id string, text string")
     rows = rows.select("license_id", C.bind(canonical_lines(F.col("text")), _whole).alias("c")).filter("c <> ''")
-    return rows.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = rows.select(digest(F.col("c")).alias("digest"), "license_id")
+    if texts is None:
+        published = [(d, k) for k, ds in DIGESTS.items() for d in ds]
+        rows = rows.unionByName(spark.createDataFrame(published, "digest string, license_id string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
