@@ -10,7 +10,10 @@ before the shuffle) and is the same for every partitioning.  Fences are far
 outliers of the group, ``q75 + spread * max(q75 - q25, slack)`` (and the lower
 counterpart for word length), not a share of the rows: a group without
 outliers loses nothing.  Groups with under ``min_group`` documents use the
-sketch merged over their language, and those the one over everything.
+sketch merged over their language, and those the one over everything.  A source
+with much junk has wide quartiles: its fence is held to its language's (and that to
+the one over everything), or, where the source's better quarter lies
+beyond, to that quarter and the language's reach.
 
 Edge cases: null, empty and blank texts have no words and fail the base rule;
 null languages and sources are groups of their own; repeated rows are judged
@@ -125,15 +128,26 @@ def fences(judged: DataFrame, rule_cols: dict[str, Column], group: tuple[str, st
              .withColumnsRenamed({"total": "wt", "q25": "w25", "q75": "w75"}))
     t = quartiles(fine, group).join(wide, [lang, "rule"], "left").join(world, "rule", "left")
 
-    def pick(g: str, l: str, w: str) -> Column:
-        return (F.when(F.col("total") >= min_group, F.col(g)).when(F.col("lt") >= min_group, F.col(l))
-                .otherwise(F.col(w)))
-    q25, q75 = pick("q25", "l25", "w25"), pick("q75", "l75", "w75")
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("rule"))
-    reach = spread * F.greatest(q75 - q25, slack.cast("long"))
-    # a bucket stands for values up to 1/32 above its edge
-    high = (q75 + F.call_function("shiftright", q75, F.lit(5)) + reach)
-    t = t.select(lang, source, "rule", (q25 - reach).alias("low"), high.alias("high"))
+    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("rule")).cast("long")
+
+    def top(q: Column) -> Column:
+        # a bucket stands for values up to 1/32 above its edge
+        return q + F.call_function("shiftright", q, F.lit(5))
+
+    def bounds(a: str, b: str, wider: tuple[str, str] | None) -> Column:
+        q25, q75 = F.col(a), F.col(b)
+        reach = spread * F.greatest(q75 - q25, slack)
+        low, high = q25 - reach, top(q75) + reach
+        if wider:
+            total, name = wider
+            w = F.col(name)
+            low = F.greatest(low, F.least(w["low"], q75 - w["reach"]))
+            high = F.least(high, F.greatest(w["high"], top(q25) + w["reach"]))
+            reach = F.least(reach, w["reach"])
+        own = F.struct(low.alias("low"), high.alias("high"), reach.alias("reach"))
+        return F.when(F.col(total) >= min_group, own).otherwise(w) if wider else own
+    t = t.withColumn("wf", bounds("w25", "w75", None)).withColumn("lf", bounds("l25", "l75", ("lt", "wf")))
+    t = t.withColumn("f", bounds("q25", "q75", ("total", "lf"))).select(lang, source, "rule", "f.low", "f.high")
     cols = [F.max(F.when(F.col("rule") == r, F.struct("low", "high"))).alias(r) for r in rule_cols]
     return t.groupBy(lang, source).agg(*cols)
 

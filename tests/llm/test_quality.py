@@ -63,3 +63,15 @@ def test_buckets_keep_six_leading_bits(spark):
     for v, b in df.collect():
         shift = max(0, v.bit_length() - 6)
         assert b == (v >> shift) << shift and v - b <= v / 32
+
+
+def test_a_source_that_is_a_third_junk(spark):
+    plain_words = " ".join(f"word{k}" for k in range(60))
+    some = " ".join(f"wo#d{k}" if k % 2 else f"wo##{k}" for k in range(60))     # a source of its own kind, all alike
+    junk = " ".join(f"###w{k}##" for k in range(60))
+    rows = [(k, plain_words, "en", f"clean{k % 3}") for k in range(1200)]
+    rows += [(2000 + k, junk if k % 3 == 0 else plain_words, "en", "mixed") for k in range(300)]
+    rows += [(3000 + k, some, "en", "own") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r[0] for r in got(Q.judge(docs)) if r[7]}
+    assert kept == {d for d, t, _, _ in rows if t != junk}
