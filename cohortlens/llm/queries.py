@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlens.llm import decontam, jaccard, licenses, lm, mixing, quality, sharding, simple8b, substring, toxicity
+from cohortlens.llm import (
+    decontam, jaccard, licenses, lm, merkle, mixing, quality, sharding, simple8b, substring, toxicity,
+)
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLE = {
@@ -24,4 +27,5 @@ ORACLE = {
     "op7_decontam": decontam.OP7_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
     "op10_substring": substring.OP10_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }
