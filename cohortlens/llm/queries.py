@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortlens.llm import (
-    decontam, jaccard, licenses, lm, merkle, mixing, quality, sharding, simple8b, substring, toxicity,
+    ann, decontam, jaccard, licenses, lm, merkle, mixing, periodic, quality, sharding, simple8b, substring, toxicity,
 )
 
 QUERIES = {
@@ -17,7 +17,9 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
+    "op11_periodic": periodic.op11_periodic,
     "op12_merkle": merkle.op12_merkle,
+    "op13_ann": ann.op13_ann,
 }
 
 ORACLE = {
