@@ -32,8 +32,8 @@ that recall; on clustered ones few.
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, neither do rows with a null id; among lengths, the most
 frequent one (ties: the shortest) is indexed and others take no part; a row
-repeated with the same id counts once, and all rows with the query's id are its
-own; with fewer candidates than k all are returned; ties go to the smaller id; an
+repeated with the same id counts once, all rows with the query's id are its own,
+and an id with several vectors asks with the smallest of them; with fewer candidates than k all are returned; ties go to the smaller id; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -391,7 +391,7 @@ def search(vectors: DataFrame, queries: Column, k: int, vec_id: str = "vec_id",
     if lengths is None:
         return empty
     rows = rows.filter(F.size("vec") == lengths["d"])
-    asking = rows.filter("asks").select("id", "vec").distinct()
+    asking = rows.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
     fitted = fit(rows.select("id", "vec"), asking, k, tables, hashes, cells, sample, recall)
     if fitted is None:
         return empty
