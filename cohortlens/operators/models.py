@@ -3,7 +3,7 @@
 Estimators take the encoded ``features`` vector and a ``weightCol``; the
 multilayer perceptron has no weight column, so rows are resampled by weight
 (deterministic md5 draws).  Calibration is a second stage on the
-validation rows: Platt scaling with smoothed targets, or isotonic regression.
+validation rows: Platt scaling with smoothed targets, or isotonic regression (isotonic.py).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,15 +129,3 @@ def fit_platt(val: DataFrame, score_col: str = "p_raw", label: str = "label") ->
     lr = LogisticRegression(featuresCol="f", labelCol="y", weightCol="w", regParam=0.0, maxIter=100,
                             standardization=False).fit(two)
     return Platt(float(lr.coefficients[0]), float(lr.intercept))
-
-
-def fit_isotonic(val: DataFrame, score_col: str = "p_raw", label: str = "label"):
-    """M18 isotonic: monotone step function of the score (Spark ML, pool-adjacent-violators)."""
-    v = val.select(F.col(score_col).alias("s"), F.col(label).cast("double").alias("y"))
-    return IsotonicRegression(featuresCol="s", labelCol="y", predictionCol="p_cal", isotonic=True).fit(v)
-
-
-def apply_isotonic(model, df: DataFrame, score_col: str = "p_raw", out: str = "p_cal") -> DataFrame:
-    tmp = df.withColumn("s", F.col(score_col))
-    return model.transform(tmp).withColumnRenamed("p_cal", out).drop("s") if out != "p_cal" else \
-        model.transform(tmp).drop("s")

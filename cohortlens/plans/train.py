@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import exprs as X
 from cohortlens.operators import evaluate as E
 from cohortlens.operators import features as FE
+from cohortlens.operators import isotonic as I
 from cohortlens.operators import models as M
 from cohortlens.operators import weights as W
 from cohortlens.operators.ordered import collapse_rows
@@ -70,7 +71,7 @@ class TrainResult:
     encoder: FE.Encoder
     model: object
     platt: M.Platt | None
-    isotonic: object
+    isotonic: I.Isotonic | None
     anchors: list
     threshold: float
     scan: DataFrame
@@ -85,7 +86,7 @@ class TrainResult:
         if self.platt is not None:
             s = s.withColumn("p_cal", self.platt.apply(p))
         elif self.isotonic is not None:
-            s = M.apply_isotonic(self.isotonic, s)
+            s = s.withColumn("p_cal", self.isotonic.apply(p))
         else:
             s = s.withColumn("p_cal", p)
         return s
@@ -172,7 +173,7 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     if cfg.calibrate == "sigmoid":
         platt = M.fit_platt(val_scored, "p_raw", cfg.label)
     elif cfg.calibrate == "isotonic":
-        iso = M.fit_isotonic(val_scored, "p_raw", cfg.label)
+        iso = I.fit_isotonic(val_scored, "p_raw", cfg.label)
     anchors = []
     if cfg.prior_percentiles:
         anchors = W.anchors_from_percentiles(train, "age_years", cfg.prior_percentiles, cfg.prior_probs, cfg.label)
@@ -269,16 +270,14 @@ _MODEL_CLASSES = {
 
 
 def save_result(res: TrainResult, path: str) -> None:
-    """Spark ML writers for the model (and isotonic calibrator), a
-    JSON sidecar for the encoder, Platt coefficients, anchors, threshold and
-    configuration — all under ``path`` (a shared folder on a cluster)."""
+    """Spark ML writers for the model, a JSON sidecar for the encoder,
+    Platt coefficients or isotonic steps, anchors, threshold and configuration — all under ``path`` (a shared folder on a cluster)."""
     import json
     from dataclasses import asdict
     spark = res.scan.sparkSession if res.scan is not None else None
     res.model.write().overwrite().save(f"{path}/model")
-    if res.isotonic is not None:
-        res.isotonic.write().overwrite().save(f"{path}/isotonic")
     meta = {"encoder": res.encoder.to_json(), "platt": None if res.platt is None else [res.platt.a, res.platt.b],
+            "isotonic": None if res.isotonic is None else res.isotonic.to_json(),
             "anchors": [list(a) for a in res.anchors], "threshold": res.threshold,
             "cfg": {k: (list(v) if isinstance(v, tuple) else v) for k, v in asdict(res.cfg).items()}}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
@@ -293,10 +292,7 @@ def load_result(spark, path: str) -> TrainResult:
     cfg = TrainConfig(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in meta["cfg"].items()})
     mod, cls = _MODEL_CLASSES[cfg.model].rsplit(".", 1)
     model = getattr(importlib.import_module(mod), cls).load(f"{path}/model")
-    iso = None
-    if cfg.calibrate == "isotonic":
-        from pyspark.ml.regression import IsotonicRegressionModel
-        iso = IsotonicRegressionModel.load(f"{path}/isotonic")
+    iso = I.Isotonic.from_json(meta["isotonic"]) if meta.get("isotonic") else None
     platt = M.Platt(*meta["platt"]) if meta["platt"] else None
     return TrainResult(FE.Encoder.from_json(meta["encoder"]), model, platt, iso,
                        [tuple(a) for a in meta["anchors"]], float(meta["threshold"]), None, None, cfg)
