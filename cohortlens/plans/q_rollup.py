@@ -207,6 +207,29 @@ def q_flatten_nested(spark, sf):
     return N.flatten_array(recs, ["conv_id", "turn", F.col("meta.role").alias("role")], "lines")
 
 
+_TURN_SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
+                             T.StructField("meta", T.StructType([T.StructField("role", T.StringType())])),
+                             T.StructField("text", T.StringType())])
+
+
+@register("concatenated_records", """
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role,
+       md5(text || '} {"\\"' || role) AS text_md5 FROM conversations""")
+def q_concatenated_records(spark, sf):
+    """A file of objects back to back, with braces and quotes in their strings, split over tasks and parsed."""
+    import uuid
+
+    from cohortlens.session import checkpoint_dir
+    from cohortlens.sources import nested as N
+    conv = table(spark, sf, "conversations")
+    tricky = F.concat("text", F.lit('} {"\\"'), "role")
+    js = conv.select(F.to_json(F.struct("conv_id", "turn", F.struct("role").alias("meta"), tricky.alias("text"))).alias("value"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/concatenated-{uuid.uuid4().hex}"
+    js.write.option("lineSep", " ").text(path)      # one line a file
+    recs = N.read_nested_json(spark, path, _TURN_SCHEMA, "concatenated")
+    return recs.select("conv_id", "turn", F.col("meta.role").alias("role"), F.md5("text").alias("text_md5"))
+
+
 _TRIAGE_KEEP = ("c_acctbal", "O_TOTALPRICE", "l_quantity", "value", "quality", "n_chars", "age_years")
 _ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
                "benchmark labels conversations").split()

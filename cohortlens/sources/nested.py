@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions import exprs as X
+from cohortlens.sources.concatenated import read_concatenated
 
 
 def read_nested_json(spark: SparkSession, path: str, schema: T.StructType, layout: str = "lines") -> DataFrame:
@@ -21,17 +22,15 @@ def read_nested_json(spark: SparkSession, path: str, schema: T.StructType, layou
 
     lines        one object per line (splittable; the scale path)
     array/object a JSON array or single object per file (``multiLine``)
-    concatenated objects back to back without separators: each file is read
-    whole, ``}{`` boundaries get commas, and the text is parsed as an array
-    (one task per file; meant for the small exports that come this way)
+    concatenated objects back to back, with or without separators, split over
+    tasks like lines; a truncated or unparsable record fails the query
+    (``concatenated.read_concatenated`` can report such records instead)
     """
     if layout == "lines":
         return spark.read.schema(schema).json(path)
     if layout in ("array", "object"):
         return spark.read.schema(schema).option("multiLine", True).json(path)
-    raw = spark.read.text(path, wholetext=True)
-    repaired = F.concat(F.lit("["), F.regexp_replace(F.trim("value"), r"\}\s*\{", "},{"), F.lit("]"))
-    return raw.select(F.explode(F.from_json(repaired, T.ArrayType(schema))).alias("r")).select("r.*")
+    return read_concatenated(spark, path, schema)
 
 
 def parse_json_column(df: DataFrame, col: str, schema: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
