@@ -1,8 +1,7 @@
 """Model fitting, calibration and scoring on Spark ML.
 
 Estimators take the encoded ``features`` vector and a ``weightCol``; the
-multilayer perceptron has no weight column, so rows are resampled by weight
-(deterministic md5 draws).  Calibration is a second stage on the
+network (neural.py) weights its gradients.  Calibration is a second stage on the
 validation rows: Platt scaling with smoothed targets, or isotonic regression (isotonic.py).
 """
 
@@ -11,8 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.feature import VectorAssembler
@@ -20,32 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
+from cohortlens.operators.neural import NeuralNet, fit_neural
 from cohortlens.session import checkpoint_dir
 
 
 # reference model settings (fixed values)
 GBT_PARAMS = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.9)
 RF_PARAMS = dict(numTrees=300, maxDepth=5, minInstancesPerNode=5)
-MLP_HIDDEN = (32, 16)
 
 
 def positive_probability(pred: DataFrame, prob_col: str = "probability", out: str = "p_raw") -> DataFrame:
     return pred.withColumn(out, vector_to_array(F.col(prob_col)).getItem(1))
 
 
-def resample_by_weight(df: DataFrame, key: str, weight: str, seed: int = 7) -> DataFrame:
-    """Rows repeated about w / mean(w) times (floor + md5 Bernoulli on the
-    fraction), for estimators without a weight column."""
-    mean = df.agg(F.avg(weight)).first()[0] or 1.0     # one number
-    e = F.col(weight) / F.lit(float(mean))
-    copies = F.floor(e).cast("int") + (X.hash_fraction(F.col(key), "resample", seed) < (e - F.floor(e))).cast("int")
-    return df.withColumn("_c", copies).where(F.col("_c") > 0) \
-        .withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_c")))).drop("_c", "_r")
-
-
 def fit_classifier(train: DataFrame, kind: str, n_features: int, label: str = "label",
                    weight: str | None = "sample_weight", features: str = "features", seed: int = 42,
-                   key: str | None = None, params: dict | None = None) -> Model:
+                   key: str | None = None, params: dict | None = None) -> Model | NeuralNet:
     """Logistic regression (L2, C = 1 -> regParam = 1 / sum w, tol 1e-4), gradient
     boosting, random forest or a (32, 16) perceptron."""
     params = dict(params or {})
@@ -68,11 +56,7 @@ def fit_classifier(train: DataFrame, kind: str, n_features: int, label: str = "l
         if weight:
             est.setWeightCol(weight)
     elif kind == "mlp":
-        if weight and key:
-            train = resample_by_weight(train, key, weight, seed)
-        est = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, seed=seed,
-                                             layers=[n_features, *MLP_HIDDEN, 2],
-                                             maxIter=params.pop("maxIter", 200), **params)
+        return fit_neural(train, n_features, label, weight, features, key, seed=seed, **params)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     return est.fit(train)
@@ -92,8 +76,10 @@ def fit_regressor(train: DataFrame, kind: str, label: str, weight: str | None =
     return est.fit(train)
 
 
-def score(model: Model, df: DataFrame, out: str = "p_raw") -> DataFrame:
+def score(model: Model | NeuralNet, df: DataFrame, out: str = "p_raw") -> DataFrame:
     """Model -> positive-class probability column; Spark's helper columns dropped."""
+    if isinstance(model, NeuralNet):
+        return df.withColumn(out, model.probability(F.col("features")))
     pred = positive_probability(model.transform(df), out=out)
     return pred.drop("rawPrediction", "probability", "prediction")
 

@@ -46,8 +46,7 @@ def q_fit_rf(spark, sf):
 
 @register("fit_mlp")
 def q_fit_mlp(spark, sf):
-    """(32, 16) perceptron on weight-resampled rows; training length (50 / 100 / 200
-    iterations) chosen by validation AUROC."""
+    """(32, 16) network, weighted mini-batch gradients, one training stopped by the validation AUROC."""
     df, res = _fit(spark, sf, model="mlp", calibrate=None)
     return TR.split_metrics(df, res, "mlp")
 

@@ -20,6 +20,7 @@ from cohortlens.operators import evaluate as E
 from cohortlens.operators import features as FE
 from cohortlens.operators import isotonic as I
 from cohortlens.operators import models as M
+from cohortlens.operators import neural as NN
 from cohortlens.operators import weights as W
 from cohortlens.operators.ordered import collapse_rows
 from cohortlens.session import cut_lineage
@@ -63,7 +64,8 @@ class TrainConfig:
     assume_non_smoker: bool = True
     seed: int = 42
     model_params: dict = field(default_factory=dict)
-    mlp_max_iters: Sequence[int] = (50, 100, 200)
+    max_epochs: int = 100       # of the network
+    patience: int = 10
 
 
 @dataclass
@@ -135,6 +137,12 @@ def _training_rows(train: DataFrame, cfg: TrainConfig) -> DataFrame:
     return W.combine_weights(w, names)
 
 
+def _anchors(train: DataFrame, cfg: TrainConfig) -> list:
+    if not cfg.prior_percentiles:
+        return []
+    return W.anchors_from_percentiles(train, "age_years", cfg.prior_percentiles, cfg.prior_probs, cfg.label)
+
+
 def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     """Split (hash) -> weights -> missingness -> PU -> encoder fitted on the
     rows that are trained on -> fit -> calibrate on validation -> prior/cap ->
@@ -155,16 +163,13 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     # PU / encoding lineage with a reliable checkpoint in the shared folder
     tr_enc = cut_lineage(tr_enc)
     val_enc = enc.transform(val, keep=[cfg.key, cfg.label, cfg.domain], vector_col="features")
-    if cfg.model == "mlp" and "maxIter" not in cfg.model_params and cfg.mlp_max_iters:
-        # M17 early stopping: a few training lengths, keep the best validation AUROC
-        best = None
-        for it in cfg.mlp_max_iters:
-            cand = M.fit_classifier(tr_enc, "mlp", n_feat, cfg.label, "sample_weight", seed=cfg.seed,
-                                    key=cfg.key, params={**cfg.model_params, "maxIter": int(it)})
-            auc = E.auroc_ap(M.score(cand, val_enc), cfg.label, "p_raw").first()["auroc"]
-            if best is None or (auc is not None and (best[0] is None or auc > best[0])):
-                best = (auc, cand)
-        model = best[1]
+    if cfg.model == "mlp":
+        # the score that stops the training is the one reported: prior, then cap
+        draft = TrainResult(enc, None, None, None, _anchors(train, cfg), 0.5, None, None, cfg)
+        held = cut_lineage(enc.transform(with_raw_age(val), keep=_kept(with_raw_age(val), cfg.label), vector_col="features"))
+        model = NN.fit_neural(tr_enc, n_feat, cfg.label, "sample_weight", key=cfg.key, val=held, seed=cfg.seed,
+                              judge=lambda s: draft.finalize(s.withColumn("p_cal", F.col("p_raw"))),
+                              **{"max_epochs": cfg.max_epochs, "patience": cfg.patience, **cfg.model_params})
     else:
         model = M.fit_classifier(tr_enc, cfg.model, n_feat, cfg.label, "sample_weight", seed=cfg.seed,
                                  key=cfg.key, params=dict(cfg.model_params))
@@ -174,10 +179,7 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
         platt = M.fit_platt(val_scored, "p_raw", cfg.label)
     elif cfg.calibrate == "isotonic":
         iso = I.fit_isotonic(val_scored, "p_raw", cfg.label)
-    anchors = []
-    if cfg.prior_percentiles:
-        anchors = W.anchors_from_percentiles(train, "age_years", cfg.prior_percentiles, cfg.prior_probs, cfg.label)
-    res = TrainResult(enc, model, platt, iso, anchors, 0.5, None, None, cfg)
+    res = TrainResult(enc, model, platt, iso, _anchors(train, cfg), 0.5, None, None, cfg)
     val = with_raw_age(val)
     val_final = res.finalize(res.score(val, keep=_kept(val, cfg.key, cfg.label, cfg.domain)))
     # validation scores feed the ranking metrics, the scan and the choice: score once
@@ -265,7 +267,6 @@ _MODEL_CLASSES = {
     "logreg": "pyspark.ml.classification.LogisticRegressionModel",
     "gbt": "pyspark.ml.classification.GBTClassificationModel",
     "rf": "pyspark.ml.classification.RandomForestClassificationModel",
-    "mlp": "pyspark.ml.classification.MultilayerPerceptronClassificationModel",
 }
 
 
@@ -275,10 +276,12 @@ def save_result(res: TrainResult, path: str) -> None:
     import json
     from dataclasses import asdict
     spark = res.scan.sparkSession if res.scan is not None else None
-    res.model.write().overwrite().save(f"{path}/model")
+    neural = res.model.to_json() if isinstance(res.model, NN.NeuralNet) else None
+    if neural is None:
+        res.model.write().overwrite().save(f"{path}/model")
     meta = {"encoder": res.encoder.to_json(), "platt": None if res.platt is None else [res.platt.a, res.platt.b],
             "isotonic": None if res.isotonic is None else res.isotonic.to_json(),
-            "anchors": [list(a) for a in res.anchors], "threshold": res.threshold,
+            "neural": neural, "anchors": [list(a) for a in res.anchors], "threshold": res.threshold,
             "cfg": {k: (list(v) if isinstance(v, tuple) else v) for k, v in asdict(res.cfg).items()}}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
@@ -290,8 +293,11 @@ def load_result(spark, path: str) -> TrainResult:
     import json
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     cfg = TrainConfig(**{k: (tuple(v) if isinstance(v, list) else v) for k, v in meta["cfg"].items()})
-    mod, cls = _MODEL_CLASSES[cfg.model].rsplit(".", 1)
-    model = getattr(importlib.import_module(mod), cls).load(f"{path}/model")
+    if meta.get("neural"):
+        model = NN.NeuralNet.from_json(meta["neural"])
+    else:
+        mod, cls = _MODEL_CLASSES[cfg.model].rsplit(".", 1)
+        model = getattr(importlib.import_module(mod), cls).load(f"{path}/model")
     iso = I.Isotonic.from_json(meta["isotonic"]) if meta.get("isotonic") else None
     platt = M.Platt(*meta["platt"]) if meta["platt"] else None
     return TrainResult(FE.Encoder.from_json(meta["encoder"]), model, platt, iso,
