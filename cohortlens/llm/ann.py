@@ -391,7 +391,8 @@ def search(vectors: DataFrame, queries: Column, k: int, vec_id: str = "vec_id",
     if lengths is None:
         return empty
     rows = rows.filter(F.size("vec") == lengths["d"])
-    asking = rows.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
+    # a query is much work for few bytes: its task count is not left to the size of the table
+    asking = rows.filter("asks").repartition(C.partitions(spark), "id").groupBy("id").agg(F.min("vec").alias("vec"))
     fitted = fit(rows.select("id", "vec"), asking, k, tables, hashes, cells, sample, recall)
     if fitted is None:
         return empty
