@@ -4,17 +4,16 @@
   bijection between two md5 orders of the rows, built with distributed
   global ranks and an equi-join on the rank — no row ever leaves its
   partition for the driver and no group is gathered into one task.
-* Per-row attribution (M24, re-aimed): baseline Shapley values by feature
-  group.  Each row is expanded into its 2^g coalitions (absent features
-  replaced by the training baseline), scored once, and folded back with the
-  Shapley weights in one aggregate.  Exact for the model, not TreeSHAP.
+* Per-row attribution (M24) of tree ensembles and linear models is in
+  attribution.py; ``baseline_shapley`` here takes any scorer: each row is
+  expanded into its 2^g coalitions (absent features replaced by the training
+  baseline), scored once, and folded back in one aggregate.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,33 +78,22 @@ def shapley_weights(g: int) -> dict[int, float]:
 
 def baseline_shapley(rows: DataFrame, key: str, groups: Mapping[str, Sequence[str]],
                      baseline: Mapping[str, object], scorer: Scorer) -> DataFrame:
-    """Per row and feature group, the exact Shapley value of the model
-    score against a fixed baseline (medians / modes).  Output long:
-    (key, feature, attribution)."""
+    """M24 for a scorer that is neither linear nor made of trees: per row and feature group, the exact Shapley
+    value of the score against a fixed baseline (medians / modes), at 2^g scored rows per row.  Trees and
+    linear models have ``attribution.tree_attribution`` / ``linear_attribution``, which list no coalition.
+    Output long: (key, feature, attribution)."""
     names = list(groups)
     g = len(names)
-    if g > 12:
-        raise ValueError("coalition expansion is 2^g rows per entity; keep feature groups <= 12")
-    w = shapley_weights(g)
-    masks = list(product([0, 1], repeat=g))
-    coal = F.array(*[F.lit(i) for i in range(len(masks))])
-    ex = rows.select("*", F.explode(coal).alias("_s"))
-    mask_of = {i: m for i, m in enumerate(masks)}
-    repl = {}
-    for j, name in enumerate(names):
-        present_ids = [i for i, m in mask_of.items() if m[j] == 1]
-        present = F.col("_s").isin(present_ids)
-        for c in groups[name]:
-            repl[c] = F.when(present, F.col(c)).otherwise(F.lit(baseline[c]).cast(rows.schema[c].dataType))
+    ex = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 ** g - 1).cast("long"))).alias("_s"))
+    present = {name: F.call_function("getbit", F.col("_s"), F.lit(j)) == 1 for j, name in enumerate(names)}
+    repl = {c: F.when(present[name], F.col(c)).otherwise(F.lit(baseline[c]).cast(rows.schema[c].dataType))
+            for name in names for c in groups[name]}
     scored = scorer(ex.withColumns(repl))
-    aggs = []
-    for j, name in enumerate(names):
-        coef = None
-        for i, m in mask_of.items():
-            s = sum(m)
-            c = w[s - 1] if m[j] == 1 else -w[s] if s < g else 0.0
-            coef = F.when(F.col("_s") == i, F.lit(c)) if coef is None else coef.when(F.col("_s") == i, F.lit(c))
-        aggs.append(F.sum(coef * F.col("score")).alias(name))
+    # a coalition of s features counts with w(s - 1) for those it holds and with -w(s) for the others
+    weights = F.array(*[F.lit(x) for x in shapley_weights(g).values()])
+    size = F.bit_count("_s")
+    aggs = [F.sum(F.when(present[name], F.get(weights, size - 1)).otherwise(-F.get(weights, size)) * F.col("score")).alias(name)
+            for name in names]
     per_row = scored.groupBy(key).agg(*aggs)
     return per_row.unpivot([key], names, "feature", "attribution")
 

@@ -44,6 +44,13 @@ class Encoder:
             cols.append(f"{self.age_col}_weighted")
         return cols
 
+    def raw_columns(self) -> list[str]:
+        """The raw column behind every output column."""
+        cols = [n["col"] for n in self.numeric]
+        for c in self.categorical:
+            cols += [c["col"]] * (len(c["categories"]) + bool(c["infrequent"]))
+        return cols + [self.age_col] * (len(self.output_columns()) - len(cols))
+
     def transform(self, df: DataFrame, keep: Sequence[str] = (), vector_col: str | None = None) -> DataFrame:
         """Encoded columns (plus ``keep`` pass-through columns), optionally assembled into a vector."""
         exprs = []

@@ -1,15 +1,17 @@
-"""Model queries on the PU cohort (no SQL oracle: the driver checks rows only;
-our tests check invariants)."""
+"""Model queries on the PU cohort (fits have no SQL oracle: tests check invariants)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cohortlens.operators import attribution as AT
 from cohortlens.operators import explain as XP
 from cohortlens.plans import train as TR
 from cohortlens.plans.catalog import register
-from cohortlens.plans.q_weights import pu_features
+from cohortlens.plans.q_weights import FEAT_SQL, pu_features
 from cohortlens.operators import weights as W
+from cohortlens.session import cut_lineage
 
 
 def _cohort(spark, sf):
@@ -96,21 +98,51 @@ def q_permutation_importance(spark, sf):
 
 @register("attribution_compare")
 def q_attribution_compare(spark, sf):
-    """M24 + J6 + K3: baseline-Shapley attributions for every row; mean |attribution|
+    """M24 + J6 + K3: tree attributions of a boosted model (log odds) for every row; mean |attribution|
     per feature, and the comparison of documents 0 and 1 with top-3 and break point."""
-    df, res = _fit(spark, sf, model="logreg")
-    cfg = res.cfg
-    rows = df.select("doc_id", *cfg.numeric, *cfg.categorical)
-    baseline = {n["col"]: n["median"] for n in res.encoder.numeric}
-    for c in res.encoder.categorical:
-        baseline[c["col"]] = c["categories"][0] if c["categories"] else "unknown"
-    groups = {c: [c] for c in (*cfg.numeric, *cfg.categorical)}
-    attr = XP.baseline_shapley(rows, "doc_id", groups, baseline, _scorer(res)).cache()
+    df, res = _fit(spark, sf, model="gbt", model_params={"maxIter": 30})
+    forest = AT.Forest.of_model(spark, res.model)
+    rows = res.encoder.transform(df, keep=["doc_id"], vector_col="features").select("doc_id", "features")
+    attr = cut_lineage(AT.tree_attribution(rows, "doc_id", forest, res.encoder.raw_columns()))
     glob = attr.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs_attribution"))
     pair = XP.compare_pair(attr, "doc_id", 0, 1, k=3)
     return glob.join(pair, "feature", "left")
 
 
+def _node(i, cover, value=0.0, feature=-1, threshold=None, left=-1, right=-1):
+    return {"id": i, "value": value, "cover": cover, "left": left, "right": right, "feature": feature,
+            "threshold": threshold, "categories": None}
+
+
+# two fixed trees over (age_years, smoker): nodes (id, training weight, value, feature, threshold, children)
+_TREES = [(1.0, [_node(0, 10.0, feature=0, threshold=15.0, left=1, right=2), _node(1, 6.0, feature=1, threshold=0.5, left=3, right=4),
+                 _node(2, 4.0, 0.8), _node(3, 4.0, -0.5), _node(4, 2.0, 0.3)]),
+          (0.5, [_node(0, 8.0, feature=1, threshold=0.5, left=1, right=2), _node(1, 5.0, -1.0),
+                 _node(2, 3.0, feature=0, threshold=30.0, left=3, right=4), _node(3, 1.0, 0.4), _node(4, 2.0, 1.2)])]
+
+_TREE_SQL = FEAT_SQL + """
+, f AS (SELECT doc_id, age_years AS a, coalesce(tobacco_smoking_status_any, 0.0) AS s FROM pf),
+-- the trees' value with both features known, with one, with none (branches weighted by training weight)
+g AS (SELECT doc_id,
+  (CASE WHEN a <= 15 THEN CASE WHEN s <= 0.5 THEN -0.5 ELSE 0.3 END ELSE 0.8 END)
+    + 0.5 * (CASE WHEN s <= 0.5 THEN -1.0 WHEN a <= 30 THEN 0.4 ELSE 1.2 END) AS v_as,
+  (CASE WHEN a <= 15 THEN (4 * -0.5 + 2 * 0.3) / 6 ELSE 0.8 END)
+    + 0.5 * (5 * -1.0 + 3 * (CASE WHEN a <= 30 THEN 0.4 ELSE 1.2 END)) / 8 AS v_a,
+  (6 * (CASE WHEN s <= 0.5 THEN -0.5 ELSE 0.3 END) + 4 * 0.8) / 10
+    + 0.5 * (CASE WHEN s <= 0.5 THEN -1.0 ELSE (1 * 0.4 + 2 * 1.2) / 3 END) AS v_s,
+  (4 * -0.5 + 2 * 0.3 + 4 * 0.8) / 10 + 0.5 * (5 * -1.0 + 1 * 0.4 + 2 * 1.2) / 8 AS v FROM f)
+SELECT doc_id, 'age_years' AS feature, ((v_a - v) + (v_as - v_s)) / 2 AS attribution FROM g
+UNION ALL SELECT doc_id, 'tobacco_smoking_status_any', ((v_s - v) + (v_as - v_a)) / 2 FROM g"""
+
+
+@register("tree_attribution", _TREE_SQL, doubles=["attribution"])
+def q_tree_attribution(spark, sf):
+    """Attributions of a fixed ensemble of two trees for every row (path-dependent Shapley values)."""
+    names = ["age_years", "tobacco_smoking_status_any"]
+    rows = pu_features(spark, sf).select("doc_id", array_to_vector(F.array(*[F.coalesce(n, F.lit(0.0)) for n in names])).alias("features"))
+    return AT.tree_attribution(rows, "doc_id", AT.Forest.of_nodes(_TREES), names)
+
+
 @register("fit_regression")
 def q_fit_regression(spark, sf):
     """M15/M16 regression + F3 + A27: random-forest regressor of lineitem extended price
