@@ -6,11 +6,11 @@
    passage held by a third of all documents sends one row per chunk.
 2. Hash ranges ("buckets") are shuffled as packed columns and counted: in a
    bucket, every occurrence but the smallest (doc_id, start) is a repeat.  The
-   number of buckets follows the number of shuffle partitions, so a bucket's
-   share of the corpus is bounded.
+   number of buckets follows the size of all texts, so a bucket's windows are
+   bounded whatever the partitions: copies have been combined before.
 3. Repeats go back to their documents, where overlapping windows merge into
    maximal intervals of words, which are cut out of the whole text.  Documents
-   are dealt into ``shares`` for this, again by the number of shuffle partitions.
+   are dealt into ``shares`` for this, again by the size of all texts.
 
 A window's fingerprint has 64 bits (8 to 10 of them in its bucket number): two
 different windows among n are taken for equal with a chance of about
@@ -39,7 +39,9 @@ from cohortlens.llm import packed
 from cohortlens.llm import wordhash as W
 
 WIDTH = 20
-CHUNK_WINDOWS = 2_000_000
+CHUNK_WINDOWS = 400_000         # windows combined at a time before the shuffle
+BUCKET_WINDOWS = 400_000        # windows counted at a time, about
+SHARE_BYTES = 8 << 20           # text cut at a time, about, unless one text is longer
 NO_ID = -(2 ** 63)
 
 
@@ -184,9 +186,10 @@ def _cut(width: int):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, removed (array of word intervals [start, end)), kept_text."""
-    spark = docs.sparkSession
-    wide = 1 << (C.partitions(spark) - 1).bit_length()
-    buckets, shares = max(256, 2 * wide), max(64, wide // 2)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # a window is a word; words and the white space after them have some six bytes
+    buckets = max(256, 1 << (size // (6 * BUCKET_WINDOWS)).bit_length())
+    shares = max(64, size // SHARE_BYTES)
     again = docs.groupBy(doc_id).count().filter("count > 1").limit(1).count()
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
                        (F.xxhash64(text) if again else F.lit(0).cast("long")).alias("tie"), F.col(text).alias("text"))

@@ -1,10 +1,11 @@
 """Vectorised words and word hashes of a batch of texts (numpy, inside tasks).
 
 A batch is the concatenation of its UTF-8 texts, one separator byte after each.
-A word's hash is a polynomial over its bytes modulo 2^64, taken from one prefix
-sum over the whole batch and mixed with its length; no Python work is done per
-word.  Batches are cut so that the buffer stays within ``MAX_BYTES`` unless a
-single text is longer.
+A word's hash is a polynomial over its bytes modulo 2^64, taken from prefix sums
+and mixed with its length; no Python work is done per word.  Batches are cut so
+that the buffer stays within ``MAX_BYTES`` unless a single text is longer, and
+the prefix sums are taken over slices of whole words of about ``SLICE`` bytes, so
+a very long text takes some ten times its size, a word longer than a slice more.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 MAX_BYTES = 4 << 20
+SLICE = 1 << 19
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
@@ -45,6 +47,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words; where the slice begins makes no difference."""
+    a, n = start[0], int(stop[-1] - start[0])
+    total = np.zeros(n + 1, dtype=U)
+    np.cumsum((data[a:a + n].astype(U) + U(1)) * powers(_BASE, n), out=total[1:])
+    raw = (total[stop - a] - total[start - a]) * powers(_INVERSE, n + 1)[start - a]
+    return mix(raw + (stop - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Words of a batch: ``hash`` per word, ``first`` (per text, index of its first word; one more at the end)."""
 
@@ -58,11 +69,12 @@ class Words:
         edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
         self.start, self.stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.first = np.concatenate(([0], np.searchsorted(self.start, ends))).astype(np.int64)
-        n = len(data)
-        total = np.zeros(n + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * powers(_BASE, n), out=total[1:])
-        raw = (total[self.stop] - total[self.start]) * powers(_INVERSE, n + 1)[self.start]
-        self.hash = mix(raw + (self.stop - self.start).astype(U) * U(0xD6E8FEB86659FD93))
+        self.hash = np.empty(len(self.start), dtype=U)
+        i = 0
+        while i < len(self.start):      # a slice: words i to j
+            j = max(i + 1, int(np.searchsorted(self.stop, self.start[i] + SLICE, side="right")))
+            self.hash[i:j] = _hashes(data, self.start[i:j], self.stop[i:j])
+            i = j
 
     def __len__(self) -> int:
         return len(self.first) - 1

@@ -82,3 +82,29 @@ def test_intervals_are_maximal(spark):
     r = {x.doc_id: x for x in got.collect()}
     assert [(x.starts, x.ends) for x in r[2].removed] == [(1, 51)] and r[2].kept_text == "a b" and r[1].removed == []
     assert hashlib.sha256(r[1].kept_text.encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    """Slices of a few bytes, words longer than a slice, very long texts in little memory."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cohortlens.llm import wordhash as W
+    texts = pa.array(["a bb ccc " * 50, "", None, "x" * 300 + " y", "é \U0001F600 z" * 20])
+
+    def hashes():
+        return np.concatenate([w.hash for *_, w in W.batches(texts)])
+    whole = hashes()
+    for n in (1, 7, 64):
+        monkeypatch.setattr(W, "SLICE", n)
+        assert (hashes() == whole).all()
+    monkeypatch.undo()
+    long = pa.array(["word" + " word" * 2_000_000])
+    tracemalloc.start()
+    for _ in W.batches(long):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * long.nbytes
