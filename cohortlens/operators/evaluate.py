@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordered import collapse_rows, quantiles_wide, running_sums
+from cohortlens.operators.ordered import collapse_rows, running_sums
+from cohortlens.operators.selection import quantiles_wide
 
 
 def _lab(label_col: str) -> Column:
@@ -274,5 +275,7 @@ def score_quantiles(df: DataFrame, score_col: str = "score", group_cols: Sequenc
     basic = clean.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg(score_col).alias("mean")) if g else \
         clean.agg(F.count(F.lit(1)).alias("n"), F.avg(score_col).alias("mean"))
     if g:
-        return basic.join(q, on=g, how="left").select(*g, "n", "mean", "median", "p10", "p25", "p75", "p90")
+        # each group once on either side, a NULL group too
+        return collapse_rows(basic, q, group_cols=g).where("n IS NOT NULL").select(
+            *g, "n", "mean", "median", "p10", "p25", "p75", "p90")
     return collapse_rows(basic, q).select("n", "mean", "median", "p10", "p25", "p75", "p90")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
-from cohortlens.operators.ordered import quantiles_wide
+from cohortlens.operators.selection import quantiles_wide
 
 INFREQUENT = "infrequent_sklearn"
 MAX_CATEGORIES = 100_000

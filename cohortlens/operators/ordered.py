@@ -15,8 +15,9 @@ scheme instead:
 3. a window partitioned by (group, bucket) finishes the running sum inside
    each bucket, so no task sees more than one bucket.
 
-Used for exact AUROC / average precision, ROC and PR tables, exact
-quantiles and dense global ranks (permutations, exact splits).  Inputs are
+Used for exact AUROC / average precision, ROC and PR tables and dense global
+ranks (permutations); single ranks and quantiles need no order of all rows
+(selection.py).  Inputs are
 pre-aggregated to distinct order keys (or carry a unique tiebreak), so a hot
 value is one row, not a hot bucket.
 """
@@ -138,51 +139,6 @@ def dense_rank_global(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     return out.withColumn(name, F.col("_cum_one") - F.lit(1)).drop("_one", "_cum_one")
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (numpy 'linear', Spark ``percentile``,
-    DuckDB ``quantile_cont``), computed without any single task seeing a whole
-    group.
-
-    Distinct values are counted, running counts give each value its rank
-    interval [start, cum); every value row knows its group size n, so it can
-    tell by itself whether it holds rank floor((n-1)q) or ceil((n-1)q) for each
-    q — no join, a bounded (#probs x 2) check per distinct value.
-    Returns one row per (group, q) with columns ``q`` and ``value``; NULL and
-    NaN values are ignored.
-    """
-    group_cols = list(group_cols)
-    x = F.col(value_col).cast("double")
-    clean = df.select(*group_cols, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    counts = clean.groupBy(*group_cols, "_x").agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = running_sums(counts, group_cols, ["_x"], ["_cnt"], buckets=buckets, totals=True)
-    start, end, n = F.col("cum__cnt") - F.col("_cnt"), F.col("cum__cnt"), F.col("tot__cnt")
-    targets = []
-    for q in probs:
-        h = (n - 1) * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        targets.append(F.struct(F.lit(float(q)).alias("q"), (h - lo).alias("frac"),
-                                ((start <= lo) & (lo < end)).alias("is_lo"), ((start <= hi) & (hi < end)).alias("is_hi")))
-    hits = cum.select(*group_cols, "_x", F.explode(F.array(*targets)).alias("_t")) \
-        .where(F.col("_t.is_lo") | F.col("_t.is_hi"))
-    picked = hits.groupBy(*group_cols, F.col("_t.q").alias("q")).agg(
-        F.max(F.when(F.col("_t.is_lo"), F.col("_x"))).alias("_vlo"),
-        F.max(F.when(F.col("_t.is_hi"), F.col("_x"))).alias("_vhi"),
-        F.max("_t.frac").alias("_frac"))
-    return picked.select(*group_cols, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-                         .alias("value"))
-
-
-def quantiles_wide(df: DataFrame, value_col: str, probs: Sequence[float], names: Sequence[str],
-                   group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """:func:`exact_quantiles` pivoted to one column per probability."""
-    long = exact_quantiles(df, value_col, probs, group_cols, buckets)
-    aggs = [F.max(F.when(F.col("q") == F.lit(float(q)), F.col("value"))).alias(n) for q, n in zip(probs, names)]
-    if group_cols:
-        return long.groupBy(*group_cols).agg(*aggs)
-    return long.agg(*aggs)
-
-
 def collapse_rows(*frames: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Combine aggregates that share the same group keys (one row per group
     each, disjoint value columns) into one row per group: union by name, then

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
-from cohortlens.operators.ordered import collapse_rows, exact_quantiles, quantiles_wide, scalar, two_pass
+from cohortlens.operators.ordered import collapse_rows, scalar, two_pass
+from cohortlens.operators.selection import exact_quantiles, quantiles_wide
 
 
 def bin_dimension(spark, specs: Mapping[str, tuple]) -> DataFrame:
@@ -63,7 +64,12 @@ def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence
     aggs = [F.lit(cutoff).cast("double").alias("cutoff"), F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"{c}_mean") for c in numeric]
     aggs += [F.avg(score_col).alias("score_mean")]
-    meds = [quantiles_wide(top, c, [0.5], [f"{c}_median"]) for c in [*numeric, score_col]]
+    # all medians by one selection over stacked (column, value) pairs
+    cols = [*numeric, score_col]
+    stacked = top.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                             for c in cols])).alias("e")).select("e.*")
+    med = exact_quantiles(stacked, "v", [0.5], ["column"])
+    meds = [med.agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"{c}_median") for c in cols])]
     # value counts are combined before the shuffle; no buffer holds a column's values
     modes = [top.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
              .agg(F.min(F.struct((-F.col("_c")).alias("_c"), F.col(c).alias("v"))).getField("v").alias(f"{c}_mode"))

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
-from cohortlens.operators.ordered import collapse_rows, quantiles_wide, scalar, two_pass
+from cohortlens.operators.ordered import collapse_rows, scalar, two_pass
+from cohortlens.operators.selection import quantiles_wide
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:

@@ -227,9 +227,10 @@ def test_by_domain(df: DataFrame, res: TrainResult) -> DataFrame:
         .persist(StorageLevel.MEMORY_AND_DISK)
     cm = E.classification_metrics(s, res.threshold, res.cfg.label, "score", res.cfg.domain)
     rk = E.auroc_ap(s, res.cfg.label, "score", [res.cfg.domain]).select(
-        F.col(res.cfg.domain).cast("string").alias("domain"), "auroc", "auprc") \
-        .unionByName(E.auroc_ap(s, res.cfg.label, "score").select(F.lit("all").alias("domain"), "auroc", "auprc"))
-    return cm.join(rk, "domain", "left")     # one row per domain on both sides
+        F.col(res.cfg.domain).cast("string").alias("_d"), "auroc", "auprc") \
+        .unionByName(E.auroc_ap(s, res.cfg.label, "score").select(F.lit("all").alias("_d"), "auroc", "auprc"))
+    # one row per domain on both sides, a NULL domain too
+    return cm.join(rk, F.col("domain").eqNullSafe(F.col("_d")), "left").drop("_d")
 
 
 def prepare_inputs(df: DataFrame, res: TrainResult) -> DataFrame:

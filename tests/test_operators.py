@@ -13,6 +13,7 @@ from cohortlens.operators import evaluate as E
 from cohortlens.operators import ordered as O
 from cohortlens.operators import risk as K
 from cohortlens.operators import rollup as RU
+from cohortlens.operators import selection as S
 from cohortlens.operators import weights as W
 
 
@@ -217,7 +218,7 @@ def test_exact_quantiles_match_numpy(spark):
     vals = rng.normal(size=500).round(2)
     grp = rng.integers(0, 3, 500)
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, v double")
-    q = O.quantiles_wide(df, "v", [0.1, 0.5, 0.9], ["a", "b", "c"], ["g"], buckets=4).collect()
+    q = S.quantiles_wide(df, "v", [0.1, 0.5, 0.9], ["a", "b", "c"], ["g"], finish=4).collect()
     for r in q:
         x = vals[grp == r["g"]]
         assert [r["a"], r["b"], r["c"]] == pytest.approx(list(np.percentile(x, [10, 50, 90])), abs=1e-12)
@@ -353,7 +354,7 @@ def test_data_sized_buckets_stay_exact(spark):
         got = r.select("g", "h", "id", "rank0").toPandas()
         want = got.sort_values(["g", "h", "id"]).groupby("g").cumcount()
         assert (got.loc[want.index, "rank0"].values == want.values).all()
-        q = O.quantiles_wide(df, "v", [0.1, 0.5, 0.93], ["a", "b", "c"], ["g"]).collect()
+        q = S.quantiles_wide(df, "v", [0.1, 0.5, 0.93], ["a", "b", "c"], ["g"]).collect()
         pdf = df.select("g", "v").toPandas()
         for row in q:
             x = pdf[pdf.g == row["g"]].v.values
