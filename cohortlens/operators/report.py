@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
+from cohortlens.operators.evaluate import score_quantiles
 from cohortlens.operators.ordered import collapse_rows, scalar, two_pass
 from cohortlens.operators.selection import exact_quantiles, quantiles_wide
 
@@ -37,6 +38,33 @@ def score_by_bins(df: DataFrame, score_col: str, specs: Mapping[str, tuple]) ->
         "mean_score", "median_score")
 
 
+def risk_concordance(df: DataFrame, score_col: str = "score", domain_col: str = "domain", unlabeled_domain: str = "unlabelled",
+                     age_col: str = "age_years", bmi_col: str = "bmi_last") -> DataFrame:
+    """M20 concordance tables, long: (section, bin_order, bin, n, mean, median, p10, p25, p75, p90).
+
+    Section ``domain``: the score in every domain (a NULL domain is one; order NULL).  Sections
+    ``unlabeled_age_bin`` and ``unlabeled_bmi_bin``: the unlabelled domain's scores by age and BMI bin, every
+    bin reported; without such rows, or without the column, the section is left out.
+    """
+    names = ["n", "mean", "median", "p10", "p25", "p75", "p90"]
+    out = score_quantiles(df, score_col, [domain_col]).select(
+        F.lit("domain").alias("section"), F.lit(None).cast("int").alias("bin_order"),
+        F.col(domain_col).cast("string").alias("bin"), *names)
+    specs = {c: s for c, s in ((age_col, ("unlabeled_age_bin", TK.GRID_AGE_EDGES, TK.GRID_AGE_LABELS)),
+                               (bmi_col, ("unlabeled_bmi_bin", TK.CONCORDANCE_BMI_EDGES, TK.CONCORDANCE_BMI_LABELS)))
+             if c in df.columns}
+    sub = df.where(F.col(domain_col).cast("string") == unlabeled_domain)
+    if not specs or not sub.take(1):
+        return out
+    numeric = sub.select(F.col(score_col).cast("double").alias(score_col),
+                         *[X.to_number(F.col(c).cast("string")).alias(c) for c in specs])
+    bins = score_by_bins(numeric, score_col, {c: (edges, labels) for c, (_, edges, labels) in specs.items()})
+    section = F.element_at(F.create_map(*[F.lit(x) for c, s in specs.items() for x in (c, s[0])]), F.col("feature"))
+    bins = bins.select(section.alias("section"), F.col("bin_order").cast("int"), "bin", "n", F.col("mean_score").alias("mean"),
+                       F.col("median_score").alias("median"), *[F.lit(None).cast("double").alias(p) for p in names[3:]])
+    return out.unionByName(bins)
+
+
 def age_bmi_grid(df: DataFrame, age_col: str, bmi_col: str, score_col: str) -> DataFrame:
     """Observed (age bin, BMI category) cells: n and mean score."""
     a = X.bin_expr(F.col(age_col), TK.GRID_AGE_EDGES, TK.GRID_AGE_LABELS)
@@ -80,6 +108,25 @@ def high_risk_profile(df: DataFrame, score_col: str, q: float, numeric: Sequence
     return out.select(*order)
 
 
+def high_risk_group(df: DataFrame, score_col: str = "score", q: float = 0.9, age_col: str = "age_years",
+                    bmi_col: str = "bmi_last", ethnicity_col: str = "ethnicity", race_col: str = "race",
+                    sex_col: str = "sex") -> DataFrame:
+    """The twelve fields of the high-risk group (one row): n, score cut-off, mean and median, age and BMI
+    mean and median, and the modes of BMI category, ethnicity, race and sex.  An absent column gives NULLs."""
+    def text(c: str):
+        return F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+
+    def number(c: str):
+        return X.to_number(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("double")
+    rows = df.select(F.col(score_col).cast("double").alias("proba"), number(age_col).alias("age"), number(bmi_col).alias("bmi"),
+                     text(ethnicity_col).alias("ethnicity"), text(race_col).alias("race"), text(sex_col).alias("sex"))
+    rows = rows.withColumn("bmi_cat", X.bin_expr(F.col("bmi"), TK.GRID_BMI_EDGES, TK.GRID_BMI_LABELS))
+    p = high_risk_profile(rows, "proba", q, ["age", "bmi"], ["bmi_cat", "ethnicity", "race", "sex"])
+    return p.select("n", F.col("cutoff").alias("proba_threshold"), F.col("score_mean").alias("proba_mean"),
+                    F.col("score_median").alias("proba_median"), "age_mean", "age_median", "bmi_mean", "bmi_median",
+                    "bmi_cat_mode", "ethnicity_mode", "race_mode", "sex_mode")
+
+
 def prediction_vs_truth(pred: DataFrame, truth: DataFrame, key: str, pred_col: str = "prediction",
                         truth_col: str = "true_label") -> DataFrame:
     """Scored rows joined to external labels on the id: TP / FP / TN / FN (High = positive)."""

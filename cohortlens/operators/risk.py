@@ -347,14 +347,27 @@ def categorical_drift(train: DataFrame, current: DataFrame, features: Sequence[s
 
 
 def describe_cohort(df: DataFrame, age_col: str, sex_col: str, label_col: str = "label") -> DataFrame:
-    """n, mean/median/min/max age, sex counts, positive share (one row)."""
-    age = F.col(age_col).cast("double")
+    """n, mean/median/min/max age in years, sex counts, positive share (one row).
+
+    Ages are days, and ``age_was_days`` true, where the column is called mean_age_at_dx or its median is above 200.
+    """
+    median = scalar(quantiles_wide(df, age_col, [0.5], ["m"]))      # one number
+    days = age_col.lower() == "mean_age_at_dx" or (median is not None and median > 200)
+    years = F.lit(365.25 if days else 1.0)
+    age = F.col(age_col).cast("double") / years
     sex = X.sex_display(F.col(sex_col))
-    med = quantiles_wide(df, age_col, [0.5], ["age_median"])
-    base = df.agg(F.count(F.lit(1)).alias("n"), F.avg(age).alias("age_mean"), F.min(age).alias("age_min"),
+    return df.agg(F.count(F.lit(1)).alias("n"), F.avg(age).alias("age_mean"), F.min(age).alias("age_min"),
                   F.max(age).alias("age_max"),
                   F.count(F.when(sex == "Male", 1)).alias("n_male"),
                   F.count(F.when(sex == "Female", 1)).alias("n_female"),
                   F.count(F.when(sex == "Unknown", 1)).alias("n_sex_unknown"),
-                  F.avg((F.col(label_col).cast("int") == 1).cast("double")).alias("pos_share"))
-    return collapse_rows(base, med)
+                  F.avg((F.col(label_col).cast("int") == 1).cast("double")).alias("pos_share")) \
+        .withColumns({"age_median": F.lit(median).cast("double") / years, "age_was_days": F.lit(days)})
+
+
+def label_shares(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """Rows and share of every label among the rows that have one."""
+    counts = df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()        # one row per label
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(every))

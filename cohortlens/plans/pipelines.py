@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import exprs as X
 from cohortlens.functions import tokens as TK
 from cohortlens.operators import canonical as C
 from cohortlens.operators import clean as CL
@@ -90,15 +91,27 @@ def align_datasets(a: DataFrame, b: DataFrame, key: str, seed: int = 42, drop_fe
 
 def scientific_report(scored: DataFrame, key: str, label: str, features: Sequence[str], scorer,
                       unlabeled: DataFrame, age_col: str, score_col: str = "score", n_repeats: int = 5,
-                      top_k: int = 3, seed: int = 42) -> DataFrame:
-    """One row — Brier, the top-k permutation importances, the age
-    contrast and the high-risk group (top 10%) of the unlabelled domain."""
+                      top_k: int = 3, seed: int = 42, metric: str = "auprc", quantile: float = 0.9,
+                      **columns: str) -> DataFrame:
+    """One row — Brier, the top-k permutation importances by ``metric`` (auprc, auroc or brier), the age
+    contrast and the twelve fields of the high-risk group of the unlabelled domain (``high_risk_`` before
+    each; ``columns`` names bmi_col, ethnicity_col, race_col and sex_col)."""
     brier = scored.agg(F.avg(F.pow(F.col(score_col) - F.col(label).cast("double"), 2)).alias("brier"))
     imp = XP.permutation_importance(scored.select(key, label, *features), key, label, features, scorer,
-                                    n_repeats, seed)
-    top = XP.top_features(imp, top_k).agg(F.collect_list(F.struct("feature", "importance_mean"))
+                                    n_repeats, seed, metric)
+    top = XP.top_features(imp, top_k).agg(F.sort_array(F.collect_list(F.struct("importance_mean", "feature")), False)
                                           .alias("top_importance"))   # k rows
     contrast = R.age_contrast(unlabeled, age_col, score_col)
-    high = R.high_risk_profile(unlabeled, score_col, 0.9, [age_col], []) \
-        .select(F.col("n").alias("high_risk_n"), F.col("cutoff").alias("high_risk_cutoff"))
-    return collapse_rows(brier, top, contrast, high)
+    high = R.high_risk_group(unlabeled, score_col, quantile, age_col, **columns)
+    high = high.select(*[F.col(c).alias(f"high_risk_{c}") for c in high.columns])
+    return collapse_rows(brier, top, contrast, high).withColumn("metric", F.lit(metric))
+
+
+def scientific_tables(unlabeled: DataFrame, key: str, age_col: str, bmi_col: str, score_col: str = "score",
+                      n_boot: int = 300, seed: int = 42) -> dict[str, DataFrame]:
+    """M23 tables beside the one row: the age x BMI grid, and mean risk with its interval by decade of age (20 to 120)."""
+    a = F.col(age_col)
+    decades = unlabeled.where((a >= 20) & (a <= 120)).withColumn(
+        "age_decade", X.bin_expr(a, TK.DECADE_EDGES, TK.DECADE_LABELS))
+    return {"age_bmi_grid": R.age_bmi_grid(unlabeled, age_col, bmi_col, score_col),
+            "age_decades": R.bootstrap_mean_ci(decades, key, score_col, "age_decade", TK.DECADE_LABELS, n_boot, seed)}

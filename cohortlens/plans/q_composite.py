@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import tokens as TK
+from cohortlens.operators import report as R
 from cohortlens.operators import risk as K
 from cohortlens.operators import rollup as RU
 from cohortlens.plans import pipelines as PL
@@ -14,7 +15,8 @@ from cohortlens.plans.catalog import register
 from cohortlens.plans.q_columns import _UNION_SQL, _two_schemas
 from cohortlens.plans.q_risk import _SEX_SQL, _event_sex
 from cohortlens.plans.q_rollup import _smoking_sql
-from cohortlens.plans.standins import EVENTS_SQL, ORDERS_SQL, event_cohort, orders_as_exposures, table, with_sql
+from cohortlens.plans.standins import (EVENTS_SQL, ORDERS_SQL, PU_SQL, event_cohort, orders_as_exposures, pu_cohort,
+                                       table, with_sql)
 
 _TOKENS_SQL = "(" + ", ".join(f"'{t}'" for t in TK.MISSING_TOKENS) + ")"
 
@@ -82,14 +84,84 @@ e AS (SELECT value, label, CASE WHEN s IN ('m', 'male', 'masculino', 'man') THEN
 SELECT count(*) AS n, avg(value) AS age_mean, min(value) AS age_min, max(value) AS age_max,
        count(CASE WHEN sex = 'Male' THEN 1 END) AS n_male, count(CASE WHEN sex = 'Female' THEN 1 END) AS n_female,
        count(CASE WHEN sex = 'Unknown' THEN 1 END) AS n_sex_unknown,
-       avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS pos_share, quantile_cont(value, 0.5) AS age_median
-FROM e""", doubles=["age_mean", "age_min", "age_max", "pos_share", "age_median"])
+       avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS pos_share, quantile_cont(value, 0.5) AS age_median,
+       quantile_cont(value, 0.5) > 200 AS age_was_days
+FROM (SELECT sex, label, value / CASE WHEN (SELECT quantile_cont(value, 0.5) FROM e) > 200 THEN 365.25 ELSE 1 END AS value FROM e)""",
+          doubles=["age_mean", "age_min", "age_max", "pos_share", "age_median"])
 def q_describe_cohort(spark, sf):
     """N, age mean / median / min / max, sex counts and positive share."""
     ev = event_cohort(spark, sf).withColumn("sex", _event_sex())
     return K.describe_cohort(ev, "value", "sex")
 
 
+@register("describe_days_cohort", with_sql(PU_SQL) + """
+SELECT count(*) AS n, avg(n_chars / 365.25) AS age_mean, min(n_chars / 365.25) AS age_min, max(n_chars / 365.25) AS age_max,
+       count(CASE WHEN lang = 'en' THEN 1 END) AS n_male, count(CASE WHEN lang = 'de' THEN 1 END) AS n_female,
+       count(CASE WHEN lang NOT IN ('en', 'de') THEN 1 END) AS n_sex_unknown,
+       avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS pos_share, quantile_cont(n_chars / 365.25, 0.5) AS age_median,
+       TRUE AS age_was_days FROM pu""", doubles=["age_mean", "age_min", "age_max", "pos_share", "age_median"])
+def q_describe_days_cohort(spark, sf):
+    """Ages named as days at diagnosis are described in years."""
+    pu = pu_cohort(spark, sf).select(F.col("n_chars").alias("mean_age_at_dx"), "label", F.when(F.col("lang") == "en", "male")
+                                     .when(F.col("lang") == "de", "F").alias("sex"))
+    return K.describe_cohort(pu, "mean_age_at_dx", "sex")
+
+
+@register("label_shares", with_sql(PU_SQL) + """
+SELECT CAST(label AS VARCHAR) AS label, count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM pu) AS share
+FROM pu GROUP BY label""", doubles=["share"])
+def q_label_shares(spark, sf):
+    """Rows and share of every label."""
+    return K.label_shares(pu_cohort(spark, sf))
+
+
+_BMI = "16 + (doc_id * 7) % 25"
+
+
+@register("risk_concordance", with_sql(PU_SQL) + f"""
+, c AS (SELECT CASE WHEN lang = 'fr' THEN NULL ELSE domain END AS domain, score, n_chars / 100.0 AS age, {_BMI} AS bmi FROM pu),
+d AS (SELECT 'domain' AS section, CAST(NULL AS INTEGER) AS bin_order, domain AS bin, count(*) AS n, avg(score) AS mean,
+        quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.1) AS p10, quantile_cont(score, 0.25) AS p25,
+        quantile_cont(score, 0.75) AS p75, quantile_cont(score, 0.9) AS p90 FROM c GROUP BY domain),
+bins(section, bin_order, bin, lo, hi) AS (VALUES
+  ('unlabeled_age_bin', 0, '<40', 0, 40), ('unlabeled_age_bin', 1, '40-49', 40, 50), ('unlabeled_age_bin', 2, '50-59', 50, 60),
+  ('unlabeled_age_bin', 3, '60-69', 60, 70), ('unlabeled_age_bin', 4, '70-79', 70, 80), ('unlabeled_age_bin', 5, '80+', 80, 1e300),
+  ('unlabeled_bmi_bin', 0, '<18.5', 0, 18.5), ('unlabeled_bmi_bin', 1, '18.5-24.9', 18.5, 25),
+  ('unlabeled_bmi_bin', 2, '25-29.9', 25, 30), ('unlabeled_bmi_bin', 3, '30-34.9', 30, 35), ('unlabeled_bmi_bin', 4, '35+', 35, 1e300)),
+b AS (SELECT section, bin_order, bin, count(score) AS n, avg(score) AS mean, quantile_cont(score, 0.5) AS median
+      FROM bins LEFT JOIN (SELECT * FROM c WHERE domain = 'unlabelled') c
+        ON CASE WHEN section = 'unlabeled_age_bin' THEN age ELSE bmi END >= lo
+       AND CASE WHEN section = 'unlabeled_age_bin' THEN age ELSE bmi END < hi GROUP BY ALL)
+SELECT * FROM d UNION ALL SELECT *, NULL, NULL, NULL, NULL FROM b""", doubles=["mean", "median", "p10", "p25", "p75", "p90"])
+def q_risk_concordance(spark, sf):
+    """Score by domain (a NULL one too) and, in the unlabelled domain, by age and BMI bin."""
+    return R.risk_concordance(_risk_rows(spark, sf).withColumn("domain", F.when(F.col("lang") != "fr", F.col("domain"))))
+
+
+def _risk_rows(spark, sf):
+    return pu_cohort(spark, sf).withColumns({"age_years": F.col("n_chars") / 100.0, "bmi_last": F.expr(_BMI).cast("double"),
+                                             "sex": F.when(F.col("label") == 1, "female").otherwise("male")})
+
+
+@register("high_risk_group", with_sql(PU_SQL) + f"""
+, u AS (SELECT score, n_chars / 100.0 AS age, {_BMI} AS bmi, lang, source, CASE WHEN label = 1 THEN 'female' ELSE 'male' END AS sex
+        FROM pu WHERE domain = 'unlabelled'),
+h AS (SELECT *, CASE WHEN bmi < 25 THEN 'Normal' WHEN bmi < 30 THEN 'Sobrepeso' ELSE 'Obeso' END AS cat
+      FROM u WHERE score >= (SELECT quantile_cont(score, 0.9) FROM u))
+SELECT count(*) AS n, (SELECT quantile_cont(score, 0.9) FROM u) AS proba_threshold, avg(score) AS proba_mean,
+       quantile_cont(score, 0.5) AS proba_median, avg(age) AS age_mean, quantile_cont(age, 0.5) AS age_median, avg(bmi) AS bmi_mean,
+       quantile_cont(bmi, 0.5) AS bmi_median,
+       (SELECT cat FROM h GROUP BY cat ORDER BY count(*) DESC, cat LIMIT 1) AS bmi_cat_mode,
+       (SELECT lang FROM h GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS ethnicity_mode,
+       (SELECT source FROM h GROUP BY source ORDER BY count(*) DESC, source LIMIT 1) AS race_mode,
+       (SELECT sex FROM h GROUP BY sex ORDER BY count(*) DESC, sex LIMIT 1) AS sex_mode FROM h""",
+          doubles=["proba_threshold", "proba_mean", "proba_median", "age_mean", "age_median", "bmi_mean", "bmi_median"])
+def q_high_risk_group(spark, sf):
+    """The twelve fields of the unlabelled domain's top tenth."""
+    rows = _risk_rows(spark, sf).where("domain = 'unlabelled'")
+    return R.high_risk_group(rows, ethnicity_col="lang", race_col="source")
+
+
 @register("group_missing_report", _UNION_SQL + """
 SELECT domain, count(*) AS "rows", avg(CASE WHEN acctbal IS NULL THEN 1.0 ELSE 0.0 END) AS missing_acctbal,
        avg(CASE WHEN nationkey IS NULL THEN 1.0 ELSE 0.0 END) AS missing_nationkey,
@@ -139,7 +211,7 @@ def q_preprocess_raw(spark, sf):
 
 @register("scientific_report")
 def q_scientific_report(spark, sf):
-    """Brier, top-3 permutation importances, age contrast and high-risk group in one row."""
+    """Brier, top-3 permutation importances (AUPRC), age contrast and the high-risk group's twelve fields in one row."""
     from cohortlens.plans import train as TR
     from cohortlens.plans.q_models import _cohort, _scorer
     df = _cohort(spark, sf).cache()
@@ -151,7 +223,8 @@ def q_scientific_report(spark, sf):
     unl = scored.where(F.col("domain") == cfg.unlabeled_domain)
     rows = held.select("doc_id", "label", *cfg.numeric, *cfg.categorical)
     return PL.scientific_report(rows.join(scored.select("doc_id", "score"), "doc_id"), "doc_id", "label",
-                                list(cfg.numeric) + list(cfg.categorical), scorer, unl, "age_years")
+                                list(cfg.numeric) + list(cfg.categorical), scorer, unl, "age_years",
+                                ethnicity_col="lang", race_col="source")
 
 
 def _flat_relations(spark, sf):

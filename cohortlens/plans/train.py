@@ -233,6 +233,22 @@ def test_by_domain(df: DataFrame, res: TrainResult) -> DataFrame:
     return cm.join(rk, F.col("domain").eqNullSafe(F.col("_d")), "left").drop("_d")
 
 
+def test_concordance(df: DataFrame, res: TrainResult, bmi_col: str = "bmi_last") -> DataFrame:
+    """Risk-concordance tables of the test split's final scores."""
+    from cohortlens.operators.report import risk_concordance
+    if "split" not in df.columns:
+        df = W.hash_split(df, res.cfg.key, res.cfg.seed)
+    cfg = res.cfg
+    part = with_raw_age(df.where(F.col("split") == "test"))
+    keep = [cfg.key, cfg.domain, *(c for c in (bmi_col,) if c in part.columns)]
+    if cfg.assume_non_smoker:
+        from cohortlens.operators import clean as CL
+        part = CL.assume_non_smoker(part)
+    s = res.finalize(res.score(part, keep=_kept(part, *keep))).withColumnRenamed("age_years", "_encoded_age")
+    s = s.withColumnRenamed("_age_raw", "age_years")
+    return risk_concordance(s, "score", cfg.domain, cfg.unlabeled_domain, bmi_col=bmi_col)
+
+
 def prepare_inputs(df: DataFrame, res: TrainResult) -> DataFrame:
     """M21 input side (P24, P23, P25): gender -> sex and synonyms, numeric
     features parsed, absent features added as NULL, missing smoker flag -> 0."""
