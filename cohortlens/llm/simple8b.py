@@ -124,15 +124,24 @@ class _Known(dict):
 
 
 _MARK, _SPECIAL = b"<|endoftext|>", b"<|"
+#: ASCII punctuation but for the apostrophe, which may begin a piece with the letters after it
+_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _JOIN = 200
 
 
+def _spread(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every stretch, one stretch after the other."""
+    ends = np.cumsum(lens)
+    return np.repeat(start - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lowers case and never joins what ASCII white space parts.
 
     Words are looked up; new ones go through the tokenizers library, many at a
     time, joined by a special token, which parts them for the tokenizer (words that may
-    hold one go alone).  The table is bounded: past ``limit`` words the later
+    hold one go alone).  Punctuation after an ASCII letter is a piece of its own for the
+    tokenizer, so it is parted from a new word before, which leaves fewer and plainer words.  The table is bounded: past ``limit`` words the later
     half is forgotten (the frequent words are met early).
     """
 
@@ -160,12 +169,43 @@ class WordTokenizer:
 
     def learn(self) -> None:
         new, self.known.new = self.known.new, []
+        learned, pieces, first, second = len(self.offset) - 1, {}, [], []
+        for w in new:
+            base = w.rstrip(_TAIL)
+            tail = w[len(base):]
+            if tail and base and 97 <= base[-1] <= 122 and _SPECIAL not in w:
+                first.append(pieces.setdefault(base, len(pieces)))
+                second.append(pieces.setdefault(tail, len(pieces)))
+            else:
+                first.append(pieces.setdefault(w, len(pieces)))
+                second.append(-1)
+        names, place = list(pieces), np.array([self.known.get(w, learned) for w in pieces])
+        old, fresh = np.flatnonzero(place < learned), np.flatnonzero(place >= learned)
+        flat, lens = self.encode([names[k] for k in fresh])
+        # the pieces that the table has already, behind the fresh ones
+        have = self.offset[place[old]]
+        n_old = self.offset[place[old] + 1] - have
+        flat = np.concatenate([flat, self.flat[_spread(have, n_old)]])
+        start = np.empty(len(names), np.int64)
+        size = np.empty(len(names), np.int64)
+        size[fresh], size[old] = lens, n_old
+        lens = np.concatenate([lens, n_old])
+        start[np.concatenate([fresh, old])] = np.cumsum(lens) - lens
+        first, second = np.array(first), np.array(second)
+        both = np.stack([first, second], axis=1).ravel()
+        both = both[both >= 0]
+        ends = np.cumsum(size[first] + np.where(second >= 0, size[second], 0))
+        self.offset = np.concatenate([self.offset, self.offset[-1] + ends])
+        self.flat = np.concatenate([self.flat, flat[_spread(start[both], size[both])]])
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each) by the library."""
         kinds: tuple[list, list, list] = ([], [], [])
-        for k, w in enumerate(new):
+        for k, w in enumerate(words):
             kinds[0 if w.isalpha() and w.islower() else 2 if _SPECIAL in w else 1].append(k)
-        flat, lens = [], []
-        for words, tokenizer, size in zip(kinds, (self.plain, self.tokenizer, self.tokenizer), (_JOIN, _JOIN, 1), strict=True):
-            texts = [_MARK.join([new[k] for k in words[a:a + size]]).decode() for a in range(0, len(words), size)]
+        flat, lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for mine, tokenizer, size in zip(kinds, (self.plain, self.tokenizer, self.tokenizer), (_JOIN, _JOIN, 1), strict=True):
+            texts = [_MARK.join([words[k] for k in mine[a:a + size]]).decode() for a in range(0, len(mine), size)]
             for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 ids = np.array(e.ids, np.int32)
                 if size == 1:
@@ -175,14 +215,11 @@ class WordTokenizer:
                     lens.append(np.diff(part) - 1)
                     ids = ids[ids != self.mark_id]
                 flat.append(ids)
-        # back to the order in which the words were numbered
+        # back to the order of the words
         flat, lens = np.concatenate(flat), np.concatenate(lens)
         order = np.argsort(np.concatenate(kinds).astype(np.int64))
         start, lens = (np.cumsum(lens) - lens)[order], lens[order]
-        ends = np.cumsum(lens)
-        flat = flat[np.repeat(start - (ends - lens), lens) + np.arange(int(ends[-1]))]
-        self.offset = np.concatenate([self.offset, self.offset[-1] + ends])
-        self.flat = np.concatenate([self.flat, flat])
+        return flat[_spread(start, lens)], lens
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); without end ids."""
@@ -201,7 +238,7 @@ class WordTokenizer:
         start = self.offset[at]
         lens = self.offset[at + 1] - start
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
-        ids = self.flat[np.repeat(start - total[:-1], lens) + np.arange(total[-1])]
+        ids = self.flat[_spread(start, lens)]
         return ids, np.diff(total[np.concatenate(([0], np.cumsum(n_words))).astype(np.int64)])
 
 

@@ -23,7 +23,8 @@ def test_words_round_trip(ids):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=60), st.text(alphabet="aB'.,<|>! é5s", max_size=40)), max_size=5))
+@given(st.lists(st.one_of(st.text(max_size=60), st.text(alphabet="aB'.,<|>! é5s", max_size=40),
+                          st.text(alphabet="abz'.,-_$ \u0301é5&~^`\\\"", max_size=40)), max_size=5))
 def test_ids_equal_the_whole_text_s(texts):
     t = Tokenizer.from_file(S.default_tokenizer())
     texts = texts + ["(Hello,) 'tis. don't!?; x's, €5, -- ...a.b... 5%! é. (é) <|ENDOFTEXT|> <| a<|endoftext|>, A'S 'S", "It's <|endoftext|>x <|startoftext|> don 't", "á ́b c\x1cd ΣΣ Å"]
@@ -32,6 +33,14 @@ def test_ids_equal_the_whole_text_s(texts):
     assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
 
 
+def test_words_and_their_punctuation_met_before():
+    """A word, its base and its tail in the table already, or new in the same batch."""
+    t = Tokenizer.from_file(S.default_tokenizer())
+    w = S.WordTokenizer(S.default_tokenizer())
+    for x in ("word ,,, word,,, other.", "word. other ... word,,, . word...", "new new; ;; new;; , wo'rd's, 's, a's.'t, é, zé."):
+        assert w([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_files_hold_all_documents_in_order(spark, tmp_path):
     rows = [(5, "one two three", "x"), (None, "none", "x"), (3, None, "y"), (3, "", "y"), (9, "a b " * 40_000, None),
             (5, "one two three", "x"), (7, "été !", "z")]
