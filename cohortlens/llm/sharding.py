@@ -45,14 +45,13 @@ def _sized(table: DataFrame, n: int) -> DataFrame:
     return F.broadcast(table) if n <= SMALL_TABLE else table
 
 
-def _splitters(rows: DataFrame, totals: DataFrame, fanout: int, level: int) -> DataFrame:
-    """(range, splitters): sorted boundary keys of every range in ``totals``.
+def _splitters(rows: DataFrame, fanout: int, level: int) -> DataFrame:
+    """(range, splitters): sorted boundary keys of every range; ``bytes`` of each row is its range's total.
 
     At most about ``fanout * DRAWS`` keys are drawn per range, whatever its rows.
     """
     u = (F.xxhash64("text_crc32", "doc_id", F.lit(level)) % 1_000_000 + 1_000_000) / 2_000_000
-    drawn = (rows.join(totals, "range")
-             .withColumn("draws", F.floor(F.col("size") * (fanout * DRAWS) / F.col("bytes") + u).cast("long"))
+    drawn = (rows.withColumn("draws", F.floor(F.col("size") * (fanout * DRAWS) / F.col("bytes") + u).cast("long"))
              .filter("draws > 0").groupBy("range", _key().alias("k")).agg(F.sum("draws").alias("draws")))
     w = Window.partitionBy("range")
     run = (drawn.withColumn("upto", F.sum("draws").over(w.orderBy("k")))
@@ -61,17 +60,33 @@ def _splitters(rows: DataFrame, totals: DataFrame, fanout: int, level: int) -> D
     return first.groupBy("range").agg(F.sort_array(F.collect_list("k")).alias("splitters"))
 
 
+def _place(splitters: Column) -> Column:
+    """How many of the boundary keys lie at or before the row's key."""
+    return F.size(F.filter(splitters, lambda b: b <= _key()))
+
+
+def _first_ranges(rows: DataFrame, fanout: int) -> tuple[DataFrame, int]:
+    """The ranges of the first level and the bytes of all rows.
+
+    All rows are one range here, so its total and its (fewer than ``fanout``) boundary keys are literals: no join.
+    """
+    whole = rows.agg(F.sum("size")).first()[0] or 0
+    one = rows.withColumns({"range": F.lit(0).cast("long"), "bytes": F.lit(whole).cast("long")})
+    cuts = _splitters(one, fanout, 0).select(F.explode("splitters").alias("k")).select("k.*").collect() if whole else []
+    keys = F.array(*[F.struct(F.lit(c).cast("long").alias("c"), F.lit(d).cast("long").alias("d")) for c, d in sorted(map(tuple, cuts))])
+    inner = _place(keys) if cuts else F.lit(0)
+    return C.cut_lineage(rows.withColumn("range", inner.cast("long"))), whole
+
+
 def ranged(rows: DataFrame, shards: int = SHARDS, fanout: int = FANOUT,
            max_range_rows: int = MAX_RANGE_ROWS) -> DataFrame:
     """``rows`` with a range number that grows with the key."""
-    rows = rows.withColumn("range", F.lit(0).cast("long"))
-    level, share, before = 0, None, 0
+    rows, whole = _first_ranges(rows, fanout)
+    level, before = 1, 0
+    share = max(1, whole // (fanout if shards <= fanout else shards))
     while True:
         totals = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"),
                                            F.max("size").alias("largest"), F.min(_key()).alias("lo"), F.max(_key()).alias("hi"))
-        if share is None:
-            head = totals.agg(F.sum("bytes")).first()[0]
-            share = max(1, (head or 0) // (fanout if shards <= fanout else shards))
         over = ((F.col("bytes") - F.col("largest") > 2 * share) | (F.col("n") > max_range_rows)) & (F.col("lo") < F.col("hi"))
         totals = C.cut_lineage(totals.withColumn("over", over))
         n_ranges, totals = totals.count(), C.cut_lineage(totals.filter("over"))
@@ -79,11 +94,10 @@ def ranged(rows: DataFrame, shards: int = SHARDS, fanout: int = FANOUT,
         if not n or n_ranges == before:     # a range beside one huge record may not divide further
             return rows
         before = n_ranges
-        inner = F.size(F.filter(F.coalesce(F.col("splitters"), F.array().cast("array<struct<c:bigint,d:bigint>>")),
-                                lambda b: b <= _key()))
-        cuts = C.cut_lineage(_splitters(rows, _sized(totals.select("range", "bytes"), n), fanout, level))
+        cuts = C.cut_lineage(_splitters(rows.join(_sized(totals.select("range", "bytes"), n), "range"), fanout, level))
         rows = (rows.join(_sized(cuts, n), "range", "left")
-                .withColumn("range", F.col("range") * fanout + inner).drop("splitters"))
+                .withColumn("range", F.col("range") * fanout + _place(F.coalesce(
+                    "splitters", F.array().cast("array<struct<c:bigint,d:bigint>>")))).drop("splitters"))
         rows = C.cut_lineage(rows)
         level += 1
 

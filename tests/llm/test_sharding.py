@@ -40,3 +40,18 @@ def test_ranges_are_subdivided_within_their_share(spark):
 def test_messy_rows(messy, nothing):
     check([(r.doc_id, r.text) for r in messy.collect()], S.shard_by_bytes(messy).collect(), S.SHARDS)
     assert S.shard_by_bytes(nothing).collect() == []
+
+
+def test_no_nested_loops_behind_checkpoints(spark, monkeypatch):
+    """Every plan that is run, those of the checkpoints included."""
+    plans = []
+    cut = S.C.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+    monkeypatch.setattr(S.C, "cut_lineage", seen)
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(600)], "doc_id long, text string")
+    out = S.shard_by_bytes(docs, fanout=4)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not [p for p in plans if "NestedLoop" in p or "Cartesian" in p]
