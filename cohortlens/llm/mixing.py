@@ -124,7 +124,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     used = rows.join(F.broadcast(plan) if n_sources <= SMALL_PLAN else plan, F.col(m)["source_key"] == F.col(pk))
     b, o = C.own("block", names), C.own("order", names)
     used = used.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.col(po)["whole"] - F.when(F.col(po)["rest"] > 0, 0).otherwise(1))))
-    used = used.filter((F.col(b) < F.col(po)["whole"]) | (F.col(po)["rest"] > 0))
+    # a document longer than all that is left of a cut block has no place in its order
+    used = used.filter((F.col(b) < F.col(po)["whole"]) | ((F.col(po)["rest"] > 0) & (F.col(m)["tokens"] <= F.col(po)["rest"])))
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     used = used.withColumn(o, F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.col(b).cast("string"), F.lit(":"), ident), "UTF-8")))
     k = C.own("bucket", names)
@@ -177,6 +178,7 @@ u AS (SELECT d.*, tokens, budget // tokens AS whole, budget % tokens AS rest,
       FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
 o AS (SELECT *, (coalesce(sum(n_tokens) OVER (PARTITION BY source, block
               ORDER BY md5('{SEED}:' || block || ':' || coalesce(doc_id::VARCHAR, '')), n_tokens
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS block_start FROM u)
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS block_start
+      FROM u WHERE block < whole OR n_tokens <= rest)
 SELECT doc_id, source, n_tokens, block, block_start FROM o WHERE block < whole OR block_start + n_tokens <= rest
 """

@@ -53,6 +53,22 @@ def test_entropy_target_and_blocks(spark):
                 place += r.tokens
 
 
+def test_an_overlong_document_does_not_end_a_cut_block(spark):
+    """Wherever it stands in the order: the source falls short by less than one of its short documents."""
+    rows = [(i, "w " * 5, "long") for i in range(100)] + [(1000 + i, "v " * 900, "long") for i in range(3)]
+    rows += [(2000 + i, "u " * 9, "big") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget in (3000, 5000, 9000):
+        plan = {r.source_key: r for r in M.weights(docs, F.col("source"), C.n_words(F.col("text")), entropy=0.99, budget=budget).collect()}
+        got = used(M.mix(docs, entropy=0.99, budget=budget))
+        for s, short in (("long", 5), ("big", 9)):
+            p, mine = plan["=" + s], [r for r in got if r.source == s]
+            left = p.budget - sum(r.tokens for r in mine)
+            rest = p.budget % p.tokens
+            if s == "big" or rest < 900:
+                assert 0 <= left < short or len(mine) == p.rows * (p.budget // p.tokens) + (100 if s == "long" else p.rows)
+
+
 def test_limit_of_passes_and_cover(spark):
     rows, docs = corpus(spark)
     size = shares(rows)
