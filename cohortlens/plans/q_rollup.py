@@ -230,6 +230,26 @@ def q_concatenated_records(spark, sf):
     return recs.select("conv_id", "turn", F.col("meta.role").alias("role"), F.md5("text").alias("text_md5"))
 
 
+@register("append_rows", """
+SELECT DISTINCT o_orderkey, o_custkey, o_totalprice, priority FROM (
+  SELECT o_orderkey, o_custkey, o_totalprice, NULL AS priority FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderpriority, '5-LOW') FROM orders) x""",
+          doubles=["o_totalprice"])
+def q_append_rows(spark, sf):
+    """Finished orders, then all orders with one more column, appended to a table; repeated rows are added once."""
+    import uuid
+
+    from cohortlens.session import checkpoint_dir
+    from cohortlens.sources import rowstore as RS
+    root = f"{checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders")
+    cols = ["o_orderkey", "o_custkey", "o_totalprice"]
+    RS.append_rows(spark, root, o.where("o_orderstatus = 'F'").select(*cols), parts=16)
+    RS.append_rows(spark, root, o.select(*cols, F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("priority")))
+    RS.append_rows(spark, root, o.select(*reversed(cols)).where("o_orderstatus = 'F'"))
+    return RS.read_rows(spark, root)
+
+
 _TRIAGE_KEEP = ("c_acctbal", "O_TOTALPRICE", "l_quantity", "value", "quality", "n_chars", "age_years")
 _ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
                "benchmark labels conversations").split()

@@ -24,8 +24,8 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[
 
 
 def append_dedupe(spark: SparkSession, existing_path: str | None, new: DataFrame, out_path: str) -> DataFrame:
-    """Align columns with what exists, union, drop duplicates, write to a
-    new path (never overwrite the input being read)."""
+    """S10 for a one-off copy: align columns with what exists, union, drop duplicates, write all to a
+    new path (never overwrite the input being read).  ``rowstore.append_rows`` adds to a table in place."""
     if existing_path:
         old = spark.read.parquet(existing_path)
         merged = old.unionByName(new, allowMissingColumns=True).dropDuplicates()
