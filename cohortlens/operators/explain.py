@@ -1,8 +1,8 @@
 """Model explanations as Spark jobs.
 
-* Permutation importance (A36): every (feature, repeat) permutation is a
-  bijection between two md5 orders of the rows, built with distributed
-  global ranks and an equi-join on the rank — no row ever leaves its
+* Permutation importance (A36): rows are numbered once; in every repeat a
+  keyed Feistel permutation of the numbers names each row's donor, and rows
+  meet their donors by an equi-join on the number — no row ever leaves its
   partition for the driver and no group is gathered into one task.
 * Per-row attribution (M24) of tree ensembles and linear models is in
   attribution.py; ``baseline_shapley`` here takes any scorer: each row is
@@ -12,14 +12,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
 from cohortlens.operators.ordered import dense_rank_global
+from cohortlens.session import cut_lineage
 
 Scorer = Callable[[DataFrame], DataFrame]   # rows -> rows + "score"
 
@@ -41,23 +43,74 @@ def _per_group_score(scored: DataFrame, label: str, metric: str, groups: Sequenc
     return auroc_ap(scored, label, "score", groups).select(*groups, F.col(col).alias("m"))
 
 
+ROUNDS = 6
+WALK = 16       # more than the numbers outside for n up to 256; beyond, a step ends outside with a chance under 1 / 16
+
+
+def round_keys(seed: int) -> list[int]:
+    """One 30-bit key per Feistel round: the first eight hex digits of md5('feistel:seed:round')."""
+    return [int(hashlib.md5(f"feistel:{seed}:{j}".encode()).hexdigest()[:8], 16) % 2 ** 30 for j in range(ROUNDS)]
+
+
+def _scramble(x: Column) -> Column:
+    """32 well-mixed bits of a number below 2^31, in exact 64-bit arithmetic."""
+    t = F.pmod(x * F.lit(1640531527), F.lit(2 ** 32))
+    t = t.bitwiseXOR(F.shiftright(t, 15))
+    t = F.pmod(t * F.lit(1103515245), F.lit(2 ** 32))
+    return t.bitwiseXOR(F.shiftright(t, 13))
+
+
+def _round(salt: Column, a: int, b: int, right_half: bool):
+    """One round over a pair (l, r) of an a x b grid."""
+    def turned(h: Column) -> Column:
+        left, right = h["l"], h["r"]
+        if right_half:
+            right = F.pmod(right + _scramble(left + salt), F.lit(b))
+        else:
+            left = F.pmod(left + _scramble(right + salt), F.lit(a))
+        return F.struct(left.alias("l"), right.alias("r"))
+    return turned
+
+
+def permuted(k: Column, n: int, rep: Column, seed: int = 42) -> Column:
+    """The place of ``k`` in a permutation of 0 .. n - 1, one per ``rep`` and ``seed``; no row needs another to know it.
+
+    A Feistel network over pairs (l, r) of a grid of a x b >= n cells (a the root of n, rounded up): each
+    round adds a keyed hash of one half to the other, modulo its side, so it can be undone.  Numbers that
+    leave 0 .. n - 1, at most one in the root of n, walk on along their cycle until they are back.
+    """
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = max(1, -(-n // a))
+
+    def once(v: Column) -> Column:
+        cells = F.array(F.struct(F.call_function("div", v, F.lit(b)).alias("l"), F.pmod(v, F.lit(b)).alias("r")))
+        for j, c in enumerate(round_keys(seed)):
+            # both halves are below 2^30: with the key and the repeat the sum stays below 2^31
+            salt = F.pmod(rep.cast("long") * F.lit(7919) + F.lit(c), F.lit(2 ** 30))
+
+            cells = F.transform(cells, _round(salt, a, b, j % 2 == 1))
+        return F.transform(cells, lambda h: h["l"] * F.lit(b) + h["r"])[0]
+    first = once(k.cast("long"))
+    if a * b == n:
+        return first
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+
+
 def permutation_importance(rows: DataFrame, key: str, label: str, features: Sequence[str], scorer: Scorer,
                            n_repeats: int = 5, seed: int = 42, metric: str = "brier") -> DataFrame:
     """Mean and population std over repeats of the loss increase when one
     raw column is permuted: perm - base for Brier, base - perm for AUROC / AUPRC."""
     base_loss = _per_group_score(scorer(rows), label, metric, []).first()[0]    # one number
-    # one permutation per repeat serves every feature: rows are ranked twice per repeat, and only
-    # the ranked rows are joined; features are exploded after the join
+    # rows are numbered once; the permutation of a repeat serves every feature
     reps = F.explode(F.array(*[F.lit(r) for r in range(n_repeats)])).alias("rep")
-    recv = rows.select("*", reps)
-    recv = recv.withColumn("_ha", X.hash_u32(F.col(key), F.col("rep"), seed, "a"))
-    recv = dense_rank_global(recv, ["rep"], [F.col("_ha"), F.col(key)], "_k").drop("_ha")
-    don = rows.select(key, F.struct(*features).alias("_d"), reps)
-    don = don.withColumn("_hb", X.hash_u32(F.col(key), F.col("rep"), seed, "b"))
-    don = dense_rank_global(don, ["rep"], [F.col("_hb"), F.col(key)], "_k").select("rep", "_k", "_d")
-    perm = recv.join(don, ["rep", "_k"], "inner").select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    numbered = rows.withColumn("_h", X.hash_u32(F.col(key), seed))
+    numbered = cut_lineage(dense_rank_global(numbered, [], [F.col("_h"), F.col(key)], "_k").drop("_h"))
+    n = numbered.count()
+    don = numbered.select(F.col("_k").alias("_dk"), F.struct(*features).alias("_d"))
+    recv = numbered.select("*", reps).withColumn("_dk", permuted(F.col("_k"), n, F.col("rep"), seed))
+    perm = recv.join(don, "_dk").select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
     perm = perm.withColumns({f: F.when(F.col("feature") == f, F.col("_d")[f]).otherwise(F.col(f))
-                             for f in features}).drop("_k", "_d")
+                             for f in features}).drop("_k", "_dk", "_d")
     scored = scorer(perm)
     per = _per_group_score(scored, label, metric, ["feature", "rep"]).withColumnRenamed("m", "perm_loss")
     base = F.lit(float(base_loss) if base_loss is not None else None).cast("double")

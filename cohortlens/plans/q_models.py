@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from cohortlens.functions import exprs as X
 from cohortlens.operators import attribution as AT
 from cohortlens.operators import explain as XP
 from cohortlens.plans import train as TR
 from cohortlens.plans.catalog import register
 from cohortlens.plans.q_weights import FEAT_SQL, pu_features
 from cohortlens.operators import weights as W
+from cohortlens.operators.ordered import dense_rank_global
 from cohortlens.session import cut_lineage
 
 
@@ -143,6 +145,41 @@ def q_tree_attribution(spark, sf):
     return AT.tree_attribution(rows, "doc_id", AT.Forest.of_nodes(_TREES), names)
 
 
+def _feistel_sql(k: str, seed: int) -> str:
+    """The permutation as nested DuckDB lists: a pair is turned round by round, then walked back into 0 .. n - 1."""
+    def scramble(x):
+        one = f"list_transform([({x}) * 1640531527 % 4294967296], lambda t: xor(t, t >> 15))"
+        return f"list_transform({one}, lambda t: xor(t * 1103515245 % 4294967296, (t * 1103515245 % 4294967296) >> 13))[1]"
+
+    def once(v):
+        cells = f"[{{'l': ({v}) // b, 'r': ({v}) % b}}]"
+        for j in range(6):
+            c = f"(('0x' || substr(md5('feistel:{seed}:{j}'), 1, 8))::BIGINT % 1073741824)"
+            salt = f"((rep * 7919 + {c}) % 1073741824)"
+            left, right = ("h.l", f"(h.r + {scramble('h.l + ' + salt)}) % b") if j % 2 else (
+                f"(h.l + {scramble('h.r + ' + salt)}) % a", "h.r")
+            cells = f"list_transform({cells}, lambda h: {{'l': {left}, 'r': {right}}})"
+        return f"list_transform({cells}, lambda h: h.l * b + h.r)[1]"
+    return f"list_reduce(list_prepend({once(k)}, range(1, 17)), lambda v, i: CASE WHEN v < n THEN v ELSE {once('v')} END)"
+
+
+@register("permuted_donors", FEAT_SQL + f"""
+, k AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id || ':42'), 1, 8))::BIGINT, doc_id) - 1 AS k,
+               count(*) OVER () AS n FROM pf),
+g AS (SELECT *, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n)) - 1) // ceil(sqrt(n)))::BIGINT AS b FROM k),
+p AS (SELECT doc_id, rep, {_feistel_sql('k', 42)} AS d FROM g, (SELECT unnest(range(3)) AS rep) r)
+SELECT p.doc_id, p.rep::INTEGER AS rep, k.doc_id AS donor FROM p JOIN k ON k.k = p.d""")
+def q_permuted_donors(spark, sf):
+    """In each of three repeats, the row whose values every row gets: one numbering, a permutation by arithmetic."""
+    rows = pu_features(spark, sf).select("doc_id").withColumn("_h", X.hash_u32(F.col("doc_id"), 42))
+    numbered = cut_lineage(dense_rank_global(rows, [], [F.col("_h"), F.col("doc_id")], "_k").drop("_h"))
+    n = numbered.count()
+    recv = numbered.select("doc_id", F.explode(F.array(*[F.lit(r) for r in range(3)])).alias("rep"), "_k")
+    recv = recv.withColumn("_d", XP.permuted(F.col("_k"), n, F.col("rep"), 42))
+    donors = numbered.select(F.col("_k").alias("_d"), F.col("doc_id").alias("donor"))
+    return recv.join(donors, "_d").select("doc_id", "rep", "donor")
+
+
 @register("fit_regression")
 def q_fit_regression(spark, sf):
     """M15/M16 regression + F3 + A27: random-forest regressor of lineitem extended price
