@@ -261,15 +261,14 @@ def drop_high_null(df: DataFrame, threshold: float = 0.95, protected: Sequence[s
 
 
 def drop_high_cardinality(df: DataFrame, target: str | None = None, max_unique: int = 500) -> DataFrame:
-    """P20: drop text columns with more than ``max_unique`` distinct values
-    (approximate screen, exact count only for columns near the limit)."""
+    """P20: drop text columns with more than ``max_unique`` distinct values, counted exactly: distinct
+    (column, value) pairs are combined before the shuffle, and one count per column reaches the driver."""
     text = [c for c in df.columns if c != target and _is_string(df, c)]
     if not text:
         return df
-    approx = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in text]).first().asDict()
-    near = [c for c in text if approx[c] > max_unique * 0.9]
-    exact = df.agg(*[F.countDistinct(c).alias(c) for c in near]).first().asDict() if near else {}
-    return df.drop(*[c for c in near if exact[c] > max_unique])
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in text])).alias("e"))
+    counts = pairs.select("e.*").where(F.col("v").isNotNull()).distinct().groupBy("c").count()
+    return df.drop(*[r["c"] for r in counts.where(F.col("count") > max_unique).collect()])
 
 
 def duplicate_columns(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ is Spark ML, and every report is an aggregate over the scored rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -296,7 +296,14 @@ def save_result(res: TrainResult, path: str) -> None:
     neural = res.model.to_json() if isinstance(res.model, NN.NeuralNet) else None
     if neural is None:
         res.model.write().overwrite().save(f"{path}/model")
-    meta = {"encoder": res.encoder.to_json(), "platt": None if res.platt is None else [res.platt.a, res.platt.b],
+    # tables of infrequent categories lie in a scratch folder: they are kept beside the model
+    entries = []
+    for i, c in enumerate(res.encoder.categorical):
+        if c.get("table"):
+            spark.read.parquet(c["table"]).write.mode("overwrite").parquet(f"{path}/categories-{i}")
+            c = {**c, "table": f"{path}/categories-{i}"}
+        entries.append(c)
+    meta = {"encoder": replace(res.encoder, categorical=entries).to_json(), "platt": None if res.platt is None else [res.platt.a, res.platt.b],
             "isotonic": None if res.isotonic is None else res.isotonic.to_json(),
             "neural": neural, "anchors": [list(a) for a in res.anchors], "threshold": res.threshold,
             "cfg": {k: (list(v) if isinstance(v, tuple) else v) for k, v in asdict(res.cfg).items()}}
