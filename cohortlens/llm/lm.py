@@ -9,11 +9,13 @@ Words are lower-cased (A-Z); a document is its words and one end token.
 * **Model**: a GRU whose output is factored into classes of words of about
   equal total count, ``p(w) = p(class | h) p(w | class, h)``, so a step costs two
   small softmaxes.  Output biases start at the log counts over all documents.
-* **Training**: every training document is cut into segments of ``SEGMENT``
-  windows of ``STEPS`` tokens.  Each segment is learned from once, in one of the
-  ``ROUNDS`` (dealt out in turn, from a hash of the text on), by truncated
-  backpropagation in numpy: the state goes on from window to window, gradients
-  stop at a window's start.  Tasks train copies of the model on their shares
+* **Training**: texts become symbols once; documents are dealt by a hash of doc_id
+  and text into shares of about ``SHARE_TOKENS`` tokens and sorted by it, so shares
+  and their order are the same for every file layout, partition count and retry.
+  A document is cut into segments of ``SEGMENT`` windows of ``STEPS`` tokens.  Each
+  segment is learned from once, in one of the ``ROUNDS`` (dealt out in turn, from the
+  hash on), by truncated backpropagation in numpy: the state goes on from window to
+  window, gradients stop at a window's start.  Every share trains a copy of the model
   from the same start; the copies' average, weighted by tokens, starts the next round.
 * **Scoring**: the state is carried from window to window through the whole text,
   many documents side by side; the longest come first, so lanes end close together.
@@ -53,6 +55,7 @@ SEGMENT = 4         # windows through which training carries the state
 BATCH = 512         # segments or documents side by side
 ROUNDS = 2          # each learns from its share of the segments, together from all
 RATE = 0.01
+SHARE_TOKENS = 2_000_000
 END = b"\n"         # no word contains it
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 COUNT_FLUSH = 200_000
@@ -255,44 +258,81 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def _train(model, round_no: int, rounds: int, rate: float):
-    """A task's copy of the model after its share of the training segments: (tokens, loss, weights)."""
+def _symbols(model):
+    """Rows (share, order, text) with the text as symbols of two bytes (four in a large vocabulary)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, start = model.value
-        p = {k: v.copy() for k, v in start.items()}
-        adam, loss, seen = Adam(p, rate), 0.0, 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        vocab = model.value
+        kind = _kind(vocab)
+        for batch in batches:
+            out = [vocab.symbol[vocab.numbers(words_of(t.as_py()))].astype(kind).tobytes() for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["share", "order", "symbols"])
+    return run
+
+
+def _kind(vocab: Vocabulary) -> str:
+    return "<u2" if len(vocab) < 1 << 16 else "<i4"
+
+
+class _Copy:
+    """One share's copy of the model while it learns."""
+
+    def __init__(self, vocab: Vocabulary, start: dict, rate: float):
+        self.vocab, self.p = vocab, {k: v.copy() for k, v in start.items()}
+        self.adam, self.loss, self.seen = Adam(self.p, rate), 0.0, 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, symbols: np.ndarray, first: int, rounds: int) -> None:
+        """Learn from every ``rounds``-th segment of a document, from segment ``first`` on."""
+        length = STEPS * SEGMENT
+        for a in range(first * length, len(symbols), length * rounds):
+            y = symbols[a:a + length]
+            before = symbols[a - 1:a + len(y) - 1] if a else np.concatenate(([self.vocab.end], y[:-1]))
+            self.held.append((before, y))
+            if len(self.held) == BATCH:
+                self.learn()
+
+    def learn(self) -> None:
+        if not self.held:
+            return
         length = STEPS * SEGMENT
+        x = np.zeros((len(self.held), length), np.int32)
+        y, live = np.zeros_like(x), np.zeros(x.shape, bool)
+        for k, (sx, sy) in enumerate(self.held):
+            x[k, :len(sx)], y[k, :len(sy)], live[k, :len(sy)] = sx, sy, True
+        h = np.zeros((len(self.held), self.p["h"].shape[0]), np.float32)
+        for a in range(0, length, STEPS):
+            w = slice(a, a + STEPS)
+            if not live[:, a].any():
+                break
+            grad, lost, n, h = backpropagate(self.p, self.vocab, x[:, w], y[:, w], live[:, w], h)
+            self.adam.update(self.p, grad, n)
+            self.loss, self.seen = self.loss + lost, self.seen + n
+        self.held = []
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        self.learn()
+        if self.seen:
+            yield pa.record_batch([pa.array([self.seen], pa.int64()), pa.array([self.loss]), pa.array([_flat(self.p)], pa.binary())],
+                                  names=["n", "loss", "weights"])
 
-        def learn() -> None:
-            nonlocal loss, seen
-            x = np.zeros((len(held), length), np.int32)
-            y, live = np.zeros_like(x), np.zeros(x.shape, bool)
-            for k, (sx, sy) in enumerate(held):
-                x[k, :len(sx)], y[k, :len(sy)], live[k, :len(sy)] = sx, sy, True
-            h = np.zeros((len(held), p["h"].shape[0]), np.float32)
-            for a in range(0, length, STEPS):
-                w = slice(a, a + STEPS)
-                if not live[:, a].any():
-                    break
-                grad, lost, n, h = backpropagate(p, vocab, x[:, w], y[:, w], live[:, w], h)
-                adam.update(p, grad, n)
-                loss, seen = loss + lost, seen + n
-            held.clear()
 
+def _train(model, round_no: int, rounds: int, rate: float):
+    """Copies of the model after their shares of the training segments: (tokens, loss, weights).
+
+    A task may hold several whole shares, one after the other.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, start = model.value
+        share, copy, kind = None, None, _kind(vocab)
         for batch in batches:
-            for text, shift in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ws = words_of(text.as_py())
-                for a in range((shift + round_no) % rounds * length, len(ws), length * rounds):
-                    s = vocab.symbol[vocab.numbers(ws[max(a - 1, 0):a + length])]
-                    held.append((s[:-1], s[1:]) if a else (np.concatenate(([vocab.end], s[:-1])), s))
-                    if len(held) == BATCH:
-                        learn()
-        if held:
-            learn()
-        if seen:
-            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([loss]), pa.array([_flat(p)], pa.binary())],
-                                  names=["n", "loss", "weights"])
+            for s, order, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if s != share:
+                    if copy is not None:
+                        yield from copy.done()
+                    share, copy = s, _Copy(vocab, start, rate)
+                copy.add(np.frombuffer(symbols.as_py(), kind).astype(np.int32), ((order >> 32) + round_no) % rounds, rounds)
+        if copy is not None:
+            yield from copy.done()
     return run
 
 
@@ -305,26 +345,33 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = w if total is None else total + w
             n, loss = n + row["n"], loss + row["loss"]
     if n:
-        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([loss]),
-                               pa.array([(total / n).astype("<f4").tobytes()], pa.binary())],
+        # double precision: the sum of the sums is the same whatever copies met here, to float error
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([loss]), pa.array([total.tobytes()], pa.binary())],
                               names=["n", "loss", "weights"])
 
 
-def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> dict:
+def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS, rate: float = RATE,
+          doc_id: str = "doc_id", share_tokens: int = SHARE_TOKENS) -> dict:
     """Weights after ``rounds`` of local training and averaging, which together learn from every segment once."""
     spark = docs.sparkSession
     p = initial(vocab)
     schema = "n long, loss double, weights binary"
-    rows = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int").alias("shift"))
+    shares = max(1, -(-vocab.n // share_tokens))
+    words = spark.sparkContext.broadcast(vocab)
+    order = F.xxhash64(doc_id, text)
+    rows = docs.select(F.pmod(order, F.lit(shares)).cast("int").alias("share"), order.alias("order"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(_symbols(words), "share int, order long, symbols binary")
+    rows = C.cut_lineage(rows.repartition(shares, "share").sortWithinPartitions("share", "order", "symbols"))
     for k in range(rounds):
         model = spark.sparkContext.broadcast((vocab, p))
         copies = rows.mapInArrow(_train(model, k, rounds, rate / (k + 1)), schema)
-        few = copies.repartition(8).mapInArrow(_average, schema).collect()    # at most eight averaged copies
+        few = copies.repartition(8).mapInArrow(_average, schema).collect()    # at most eight sums of copies
         model.unpersist()
         if not few:
             break
         n = sum(r["n"] for r in few)
-        p = _shaped(sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["n"] / n) for r in few), p)
+        p = _shaped(sum(np.frombuffer(r["weights"], "<f8") for r in few) / n, p)
+    words.unpersist()
     return p
 
 
@@ -405,7 +452,7 @@ def score_documents(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id"
     top = C.most_frequent(counts, "c", head).toArrow()     # a bounded table
     known = sorted(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     vocab = Vocabulary(known, n, v, size)
-    p = train(training, vocab, text, rounds)
+    p = train(training, vocab, text, rounds, doc_id=doc_id)
     model = spark.sparkContext.broadcast((vocab, p))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scored = C.stored(rows.mapInArrow(_score(model), _SCORED), "scored")

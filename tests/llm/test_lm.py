@@ -7,8 +7,11 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from cohortlens.llm import common as C
 from cohortlens.llm import lm as L
+from tests.conftest import SF_MID
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -125,3 +128,16 @@ def test_messy_rows(messy, nothing, spark):
     same(got, rows)
     assert L.score_documents(nothing, nothing).collect() == []
     assert all(r.score == 0 and r.base_score == 0 for r in L.score_documents(messy, nothing).collect())
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """One file or many: the same shares, order and model; and the model gains on held-out text with each."""
+    docs = C.read(spark, SF_MID, "documents").select("doc_id", "text").cache()
+    counts = L.C.cut_lineage(L.token_counts(docs, "text"))
+    n, v = counts.agg(F.sum("c"), F.count("*")).first()
+    vocab = L.Vocabulary(sorted(((bytes(r.word), r.c) for r in counts.collect()), key=lambda x: (-x[1], x[0])), n, v, 1000)
+    for share in (20_000, 10 ** 9):
+        p = [L.train(docs.repartition(k), vocab, share_tokens=share) for k in (1, 16, 211)]
+        for q in p[1:]:
+            assert all(np.allclose(p[0][w], q[w], atol=1e-6) for w in p[0])
+    docs.unpersist()
