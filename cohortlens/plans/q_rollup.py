@@ -230,6 +230,75 @@ def q_concatenated_records(spark, sf):
     return recs.select("conv_id", "turn", F.col("meta.role").alias("role"), F.md5("text").alias("text_md5"))
 
 
+@register("coerce_yes_no", """
+SELECT o_orderkey, CASE WHEN lower(trim(t)) IN ('yes', 'true') THEN '1' WHEN lower(trim(t)) IN ('no', 'false') THEN '0'
+                        ELSE t END AS value
+FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN ' Yes' WHEN o_orderstatus = 'P' THEN NULL
+                              WHEN o_orderpriority = '5-LOW' THEN 'FALSE' ELSE o_orderpriority END AS t FROM orders) x""")
+def q_coerce_yes_no(spark, sf):
+    """Yes / true and no / false become 1 and 0, other text stays."""
+    from cohortlens.sources import nested as N
+    t = F.when(F.col("o_orderstatus") == "F", " Yes").when(F.col("o_orderstatus") != "P", F.when(
+        F.col("o_orderpriority") == "5-LOW", "FALSE").otherwise(F.col("o_orderpriority")))
+    return table(spark, sf, "orders").select("o_orderkey", N.coerce_yes_no(t).alias("value"))
+
+
+_CASE_SCHEMA = """submitter_id string, case_id long, acctbal double,
+  demographic struct<gender:string, segment:string>, project struct<project_id:string>,
+  exposures array<struct<exposure_id:long, price:double>>,
+  family_histories array<struct<relative:string>>,
+  diagnoses array<struct<diagnosis_id:long, priority:string, treatments:array<struct<kind:string>>,
+                         pathology_details:array<struct<flag:string>>>>,
+  follow_ups array<struct<follow_up_id:long, status:string, molecular_tests:array<struct<quantity:double>>,
+                          other_clinical_attributes:array<struct<day:string>>>>"""
+
+
+@register("flatten_cases", """
+WITH o AS (SELECT * FROM orders), l AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey)
+SELECT 'cases' AS relation, count(*) AS n, count(DISTINCT c_custkey) AS n_cases, round(sum(c_acctbal), 2) AS total FROM customer
+UNION ALL SELECT 'exposures', count(*), count(DISTINCT o_custkey), round(sum(o_totalprice), 2) FROM o
+UNION ALL SELECT 'family_histories', count(*), count(*), NULL FROM customer
+UNION ALL SELECT 'diagnoses', count(*), count(DISTINCT o_custkey), sum(o_orderkey) FROM o
+UNION ALL SELECT 'treatments', sum(n), count(DISTINCT o_custkey), sum(o_orderkey * n) FROM o JOIN l ON l_orderkey = o_orderkey
+UNION ALL SELECT 'pathology_details', count(*), count(DISTINCT o_custkey), sum(o_orderkey) FROM o
+UNION ALL SELECT 'follow_ups', count(*), count(DISTINCT o_custkey), sum(o_orderkey) FROM o
+UNION ALL SELECT 'molecular_tests', sum(n), count(DISTINCT o_custkey), sum(q) FROM o JOIN l ON l_orderkey = o_orderkey
+UNION ALL SELECT 'other_clinical_attributes', count(*), count(DISTINCT o_custkey), sum(o_orderkey) FROM o""", doubles=["total"])
+def q_flatten_cases(spark, sf):
+    """Nested case records (customers, orders, line items) flattened into all nine relations: rows, cases and a sum of each."""
+    from functools import reduce
+
+    from cohortlens.sources import nested as N
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_quantity")).alias("items"))
+    o = table(spark, sf, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    per = o.groupBy("o_custkey").agg(F.collect_list(F.struct(
+        "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate", "items")).alias("os"))
+    c = table(spark, sf, "customer").join(per, F.col("o_custkey") == F.col("c_custkey"), "left")
+    case = F.struct(
+        F.col("c_name").alias("submitter_id"), F.col("c_custkey").alias("case_id"), F.col("c_acctbal").alias("acctbal"),
+        F.struct(F.lit("x").alias("gender"), F.col("c_mktsegment").alias("segment")).alias("demographic"),
+        F.struct(F.lit("p").alias("project_id")).alias("project"),
+        F.transform("os", lambda x: F.struct(x["o_orderkey"].alias("exposure_id"), x["o_totalprice"].alias("price"))).alias("exposures"),
+        F.array(F.struct(F.lit("parent").alias("relative"))).alias("family_histories"),
+        F.transform("os", lambda x: F.struct(
+            x["o_orderkey"].alias("diagnosis_id"), x["o_orderpriority"].alias("priority"),
+            F.transform(x["items"], lambda i: F.struct(i["l_returnflag"].alias("kind"))).alias("treatments"),
+            F.array(F.struct(x["o_orderstatus"].alias("flag"))).alias("pathology_details"))).alias("diagnoses"),
+        F.transform("os", lambda x: F.struct(
+            x["o_orderkey"].alias("follow_up_id"), x["o_orderstatus"].alias("status"),
+            F.transform(x["items"], lambda i: F.struct(i["l_quantity"].alias("quantity"))).alias("molecular_tests"),
+            F.array(F.struct(x["o_orderdate"].cast("string").alias("day"))).alias("other_clinical_attributes"))).alias("follow_ups"))
+    records = N.parse_json_column(c.select(F.to_json(case).alias("value")), "value", T._parse_datatype_string(_CASE_SCHEMA))
+    relations = N.flatten_cases(records)
+    totals = {"cases": "acctbal", "exposures": "price", "family_histories": None, "diagnoses": "diagnosis_id",
+              "treatments": "diagnosis_id", "pathology_details": "diagnosis_id", "follow_ups": "follow_up_id",
+              "molecular_tests": "quantity", "other_clinical_attributes": "follow_up_id"}
+    parts = [relations[name].agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("n_cases"),
+                                 (F.round(F.sum(F.col(t).cast("double")), 2) if t else F.lit(None).cast("double")).alias("total"))
+             for name, t in totals.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @register("append_rows", """
 SELECT DISTINCT o_orderkey, o_custkey, o_totalprice, priority FROM (
   SELECT o_orderkey, o_custkey, o_totalprice, NULL AS priority FROM orders WHERE o_orderstatus = 'F'

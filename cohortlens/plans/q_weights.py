@@ -51,6 +51,19 @@ def q_risk_weights(spark, sf):
     return W.risk_weights(df, min_age=60, factor=1.5).select("doc_id", "risk_weight")
 
 
+@register("combined_weights", FEAT_SQL + """
+, c AS (SELECT label, count(*) AS nc FROM pf GROUP BY label), t AS (SELECT sum(nc) AS n, count(*) AS k FROM c)
+SELECT doc_id, (1.0 + 1.5 * ((CASE WHEN age_years >= 60 THEN 1.0 ELSE 0.0 END)
+                + (CASE WHEN tobacco_smoking_status_any = 1 THEN 1.0 ELSE 0.0 END)) / 2.0)
+       * CASE WHEN t.k >= 2 THEN CAST(t.n AS DOUBLE) / (t.k * c.nc) ELSE 1.0 END AS sample_weight
+FROM pf JOIN c ON pf.label = c.label, t""", doubles=["sample_weight"])
+def q_combined_weights(spark, sf):
+    """M9: risk and class weights as one; a weight column that is absent or NULL counts as 1."""
+    df = pu_features(spark, sf).select("doc_id", "label", "age_years", "tobacco_smoking_status_any")
+    df = W.class_weights(W.risk_weights(df, min_age=60, factor=1.5), "label").withColumn("empty", F.lit(None).cast("double"))
+    return W.combine_weights(df, ["risk_weight", "class_weight", "empty", "absent"]).select("doc_id", "sample_weight")
+
+
 _BANDS = "<10:0.5,10-30:1.5,>=50:3,>70:4"
 
 
