@@ -8,7 +8,7 @@ Rows are dealt by a hash of their key into shares of about ``share_rows`` rows a
 sorted by hash inside a share, once.  In an epoch every share takes Adam steps
 from the epoch's common parameters over its mini-batches, and the shares'
 parameters are averaged by their weight: one table of parameters per epoch, whose
-sums Spark adds up before they reach the driver.  Shares, order and mini-batches
+sums are added up in tasks before a few of them reach the driver.  Shares, order and mini-batches
 follow from keys alone, so partitions, executors and retries change nothing but
 the order of a float sum.  One share is plain sequential training.
 
@@ -38,6 +38,7 @@ BUFFER = 100 * BATCH        # rows shuffled at a time
 SHARE_ROWS = 100_000
 RATE, BETA1, BETA2, EPSILON, L2 = 1e-3, 0.9, 0.999, 1e-8, 1e-4
 BINS = 1 << 14
+FEW = 8
 
 
 @dataclass
@@ -168,13 +169,24 @@ def _epoch(net: NeuralNet, seed: int, epoch: int):
     return run
 
 
+def _sum(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tasks' sums added up, so that the driver receives ``FEW`` whatever the number of tasks."""
+    weight, total = 0.0, None
+    for f in frames:
+        for w, p in zip(f["weight"], f["params"], strict=True):
+            weight, total = weight + w, p if total is None else total + p
+    if total is not None:
+        yield pd.DataFrame({"weight": [weight], "params": [total]})
+
+
 def binned_auroc(scored: DataFrame, label: str, score: str = "score") -> float | None:
     """AUROC over ``BINS`` equal score bins; None if a class is missing."""
     bin_ = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * (BINS - 1)).cast("int")
     rows = scored.where(F.col(score).isNotNull()).groupBy(bin_.alias("b")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"),
-        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n")).orderBy("b").collect()     # at most BINS rows
-    pos, neg = np.array([r["p"] for r in rows], float), np.array([r["n"] for r in rows], float)
+        F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n")).collect()      # at most BINS rows
+    rows = sorted((r["b"], r["p"], r["n"]) for r in rows)
+    pos, neg = np.array([p for _, p, _ in rows], float), np.array([n for *_, n in rows], float)
     if not pos.sum() or not neg.sum():
         return None
     return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
@@ -205,9 +217,10 @@ def fit_neural(train: DataFrame, n_features: int, label: str = "label", weight:
     best, stale = None, 0
     for epoch in range(1, max_epochs + 1):
         parts = dealt.mapInPandas(_epoch(net, seed, epoch), "weight double, params array<double>")
-        sums = parts.select("weight", F.posexplode("params").alias("i", "p")).groupBy("i").agg(
-            F.sum("p").alias("p"), F.sum("weight").alias("w")).orderBy("i").collect()      # one row per parameter
-        net.params = np.array([r["p"] / r["w"] for r in sums])
+        if shares > FEW:
+            parts = parts.repartition(FEW).mapInPandas(_sum, "weight double, params array<double>")
+        sums = parts.collect()      # at most FEW rows of parameters
+        net.params = sum(np.array(r["params"]) for r in sums) / sum(r["weight"] for r in sums)
         if val is None:
             net.best_epoch = epoch
             continue
