@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exprs as X
+from cohortlens.operators.forest import ForestRegressor, fit_forest
 from cohortlens.operators.neural import NeuralNet, fit_neural
 from cohortlens.session import checkpoint_dir
 
@@ -63,8 +64,10 @@ def fit_classifier(train: DataFrame, kind: str, n_features: int, label: str = "l
 
 
 def fit_regressor(train: DataFrame, kind: str, label: str, weight: str | None = None,
-                  features: str = "features", seed: int = 42) -> Model:
-    """Regression variants of M14-M16."""
+                  features: str = "features", seed: int = 42, key: str | None = None) -> Model | ForestRegressor:
+    """Regression variants of M14-M16; a forest of unweighted rows is grown from histograms (forest.py)."""
+    if kind == "rf" and not weight:
+        return fit_forest(train, label, features, key, seed, **RF_PARAMS)
     if kind == "gbt":
         est = GBTRegressor(featuresCol=features, labelCol=label, seed=seed, **GBT_PARAMS)
     elif kind == "rf":

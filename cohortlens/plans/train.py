@@ -344,7 +344,7 @@ def train_regression(df: DataFrame, key: str, target: str, numeric: Sequence[str
     train = data.where(F.col("split") == "train")
     enc = FE.fit_encoder(train, list(numeric), list(categorical))
     tr = cut_lineage(enc.transform(train, keep=[key, target], vector_col="features"))
-    reg = M.fit_regressor(tr, model, target, seed=seed)
+    reg = M.fit_regressor(tr, model, target, seed=seed, key=key)
     parts = []
     for sp in ("val", "test"):
         part = enc.transform(data.where(F.col("split") == sp), keep=[key, target], vector_col="features")
