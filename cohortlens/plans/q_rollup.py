@@ -266,8 +266,10 @@ UNION ALL SELECT 'molecular_tests', sum(n), count(DISTINCT o_custkey), sum(q) FR
 UNION ALL SELECT 'other_clinical_attributes', count(*), count(DISTINCT o_custkey), sum(o_orderkey) FROM o""", doubles=["total"])
 def q_flatten_cases(spark, sf):
     """Nested case records (customers, orders, line items) flattened into all nine relations: rows, cases and a sum of each."""
+    import uuid
     from functools import reduce
 
+    from cohortlens.session import checkpoint_dir
     from cohortlens.sources import nested as N
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_quantity")).alias("items"))
     o = table(spark, sf, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
@@ -289,7 +291,10 @@ def q_flatten_cases(spark, sf):
             F.transform(x["items"], lambda i: F.struct(i["l_quantity"].alias("quantity"))).alias("molecular_tests"),
             F.array(F.struct(x["o_orderdate"].cast("string").alias("day"))).alias("other_clinical_attributes"))).alias("follow_ups"))
     records = N.parse_json_column(c.select(F.to_json(case).alias("value")), "value", T._parse_datatype_string(_CASE_SCHEMA))
-    relations = N.flatten_cases(records)
+    # nine relations read the records: joined, written and parsed once
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cases-{uuid.uuid4().hex}"
+    records.write.parquet(path)
+    relations = N.flatten_cases(spark.read.schema(records.schema).parquet(path))
     totals = {"cases": "acctbal", "exposures": "price", "family_histories": None, "diagnoses": "diagnosis_id",
               "treatments": "diagnosis_id", "pathology_details": "diagnosis_id", "follow_ups": "follow_up_id",
               "molecular_tests": "quantity", "other_clinical_attributes": "follow_up_id"}
