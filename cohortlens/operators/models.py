@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import exprs as X
 from cohortlens.operators.forest import ForestRegressor, fit_forest
 from cohortlens.operators.neural import NeuralNet, fit_neural
-from cohortlens.session import checkpoint_dir
+from cohortlens.session import checkpoint_dir, cut_lineage
 
 
 # reference model settings (fixed values)
@@ -28,6 +28,19 @@ GBT_PARAMS = dict(maxIter=200, stepSize=0.05, maxDepth=3, subsamplingRate=0.9)
 RF_PARAMS = dict(numTrees=300, maxDepth=5, minInstancesPerNode=5)
 
 
+#: training rows of an iterative fit that are worth a task of their own, and those that are too many for one
+TASK_ROWS, MOST_ROWS = 50_000, 2_000_000
+
+
+def dealt(train: DataFrame) -> DataFrame:
+    """Rows of an iterative fit, in partitions that keep the cores busy: encoded rows are narrow, and
+    what is coalesced by bytes leaves every tree or epoch to a few tasks.  Tables with enough
+    partitions stay as they are."""
+    n, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    parts = max(min(-(-n // TASK_ROWS), cores), -(-n // MOST_ROWS))
+    return train if train.rdd.getNumPartitions() >= parts else cut_lineage(train.repartition(parts))
+
+
 def positive_probability(pred: DataFrame, prob_col: str = "probability", out: str = "p_raw") -> DataFrame:
     return pred.withColumn(out, vector_to_array(F.col(prob_col)).getItem(1))
 

@@ -161,7 +161,7 @@ def train_and_validate(df: DataFrame, cfg: TrainConfig) -> TrainResult:
     tr_enc = enc.transform(tr, keep=[cfg.key, cfg.label, "sample_weight"], vector_col="features")
     # iterative fits read the training rows many times: cut the weighting /
     # PU / encoding lineage with a reliable checkpoint in the shared folder
-    tr_enc = cut_lineage(tr_enc)
+    tr_enc = M.dealt(cut_lineage(tr_enc))
     val_enc = enc.transform(val, keep=[cfg.key, cfg.label, cfg.domain], vector_col="features")
     if cfg.model == "mlp":
         # the score that stops the training is the one reported: prior, then cap
