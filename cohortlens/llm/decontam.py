@@ -37,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlens.llm import common as C
 from cohortlens.llm import wordhash as W
+from cohortlens.llm.worker import lean
 
 SIZE = 5
 NUM, DEN = 4, 5
@@ -94,7 +95,7 @@ def passes(spark, items: DataFrame, item_id: str = "item_id", text: str = "text"
     """Broadcasts of the items, each of bounded size."""
     kind = items.schema[item_id].dataType.simpleString()
     sets = C.cut_lineage(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-                         .mapInArrow(_item_sets, f"item_id {kind}, hashes array<long>").filter("size(hashes) > 0")
+                         .mapInArrow(lean(_item_sets), f"item_id {kind}, hashes array<long>").filter("size(hashes) > 0")
                          .withColumn("partition", F.length(F.bin(F.size("hashes")))))
     load = {r["partition"]: r["n"] for r in sets.groupBy("partition").agg(F.sum(F.size("hashes")).alias("n")).collect()}
     groups, room = [], 0
@@ -140,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         return run
 
     for held in passes(spark, items):
-        part = rows.mapInArrow(search(held), schema)
+        part = rows.mapInArrow(lean(search(held)), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -160,7 +161,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -
         return run
 
     for held in passes(docs.sparkSession, items):
-        docs = docs.mapInArrow(clean(held), docs.schema)
+        docs = docs.mapInArrow(lean(clean(held)), docs.schema)
     return docs
 
 

@@ -55,6 +55,7 @@ from cohortlens.llm import common as C
 from cohortlens.llm import packed
 from cohortlens.llm import wordhash as W
 from cohortlens.llm.components import extend
+from cohortlens.llm.worker import lean, lean_group
 
 SIZE = 5
 #: similarity as a fraction
@@ -274,7 +275,7 @@ def search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "text"))
     rows = (asked.unionByName(given).repartition(C.partitions(spark), "a", "part")
             .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()))
-    return C.cut_lineage(rows.mapInArrow(_search, "a long, b long, overlap long"))
+    return C.cut_lineage(rows.mapInArrow(lean(_search), "a long, b long, overlap long"))
 
 
 def _sizes_fit():
@@ -370,7 +371,7 @@ def _across(placed: DataFrame, spark) -> DataFrame:
     asked = few.join(load, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = (asked.join(postings, "token").select("a", "na", "ca", "sa", "part", "parts", "docs", "ns", "comps", "sizes")
             .repartition(C.partitions(spark), "a", "part").sortWithinPartitions("a", "part", "na", "ca"))
-    return rows.mapInArrow(_count_lists, "a long, b long, c long")
+    return rows.mapInArrow(lean(_count_lists), "a long, b long, c long")
 
 
 # ---- the join --------------------------------------------------------------------------------
@@ -379,7 +380,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
-    scanned = C.stored(rows.mapInArrow(_digests, "doc long, n long, d1 long, d2 long"), "digests")
+    scanned = C.stored(rows.mapInArrow(lean(_digests), "doc long, n long, d1 long, d2 long"), "digests")
     sets = scanned.filter("n IS NOT NULL")
     frequent = (scanned.filter("n IS NULL").groupBy(F.col("doc").alias("hash")).agg(F.sum("d1").alias("count")))
     table = C.most_frequent(C.cut_lineage(frequent), "count", MAX_FREQUENT).toArrow()
@@ -392,8 +393,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     reps = named.filter("doc = rep").select("doc").distinct()
 
     buckets = max(64, 1 << (C.partitions(spark) - 1).bit_length())
-    lists = (rows.mapInArrow(_leading(order, buckets), _LISTS).groupBy("bucket")
-             .applyInArrow(_shared, "token long, doc long, n long"))
+    lists = (rows.mapInArrow(lean(_leading(order, buckets)), _LISTS).groupBy("bucket")
+             .applyInArrow(lean_group(_shared), "token long, doc long, n long"))
     lists = C.stored(lists.join(reps, "doc", "left_semi"), "lists")
     members = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     lists = C.stored(lists.join(members, "token"), "lists")

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlens.llm import common as C
+from cohortlens.llm import worker
+from cohortlens.llm.worker import lean
 
 END_ID = 2
 BLOCK = 1024
@@ -242,14 +244,15 @@ class WordTokenizer:
         return ids, np.diff(total[np.concatenate(([0], np.cumsum(n_words))).astype(np.int64)])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+TOKENS = "tokens"     # kind of task
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
-    """The worker process's tokenizer: what it has learned serves its later tasks too."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    """The worker process's tokenizer: what it has learned serves its later tasks of this kind too."""
+    held = worker.kept.setdefault(TOKENS, {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 _FRAME = "part int, start long, doc_id array<long>, n_tokens array<long>, words binary, blocks binary, escapes binary"
@@ -301,7 +304,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     tie = F.xxhash64("text")
     rows = (rows.withColumn("tie", tie).repartitionByRange(C.partitions(docs.sparkSession), "doc_id", "tie")
             .sortWithinPartitions("doc_id", "tie").drop("tie"))
-    rows.mapInArrow(_frames(tokenizer, end_id), _FRAME).write.parquet(path)
+    rows.mapInArrow(lean(_frames(tokenizer, end_id), TOKENS), _FRAME).write.parquet(path)
 
 
 def _unpack(value: Callable[[np.ndarray], object], kind: pa.DataType):
@@ -330,7 +333,7 @@ def read_tokens(spark: SparkSession, path: str, value: Callable[[np.ndarray], ob
     parts = frames.groupBy("part").agg(F.sum(n).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    got = frames.mapInArrow(_unpack(value, kind or pa.list_(pa.int64())),
+    got = frames.mapInArrow(lean(_unpack(value, kind or pa.list_(pa.int64())), TOKENS),
                             f"part int, doc_id long, start long, n_tokens long, value {sql_type}")
     return got.join(parts, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"),
                                           "n_tokens", "value")
