@@ -36,6 +36,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +95,6 @@ def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 # ---- model -----------------------------------------------------------------------------------
 
-class _Head(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 class Vocabulary:
     """Symbols in classes, by falling count, and the known counts.
 
@@ -119,21 +115,21 @@ class Vocabulary:
         self.prior = count
         symbol = {k: at for at, (_, k) in enumerate(entries)}
         self.rest = symbol[-1]
-        self.index = _Head((w, k) for k, (w, _) in enumerate(head))
+        self.index = {w: k for k, (w, _) in enumerate(head)}
         # by number of a head word; the last entry is for all words outside
         self.symbol = np.array([symbol.get(k, self.rest) for k in range(len(head))] + [self.rest], np.int32)
         known = np.array([c for _, c in head] + [0], float)
         self.base = np.log10((known + 1) / (n + v + 1))
         self.inner = np.where(self.symbol == self.rest, np.log10((known + 1) / (self.rest_n + self.rest_v + 1)), 0)
         self.base[-1] = self.inner[-1] = 0      # added from the joined counts
-        self.end = int(self.symbol[self.index[END]])
+        self.end = int(self.symbol[self.index.get(END, -1)])
 
     def __len__(self) -> int:
         return len(self.group)
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         """Head numbers of words, -1 for those outside."""
-        return np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
+        return np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
 
 
 def initial(vocab: Vocabulary, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
@@ -148,88 +144,206 @@ def initial(vocab: Vocabulary, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
+def _gates(p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs of both gates (2, symbols, hidden) and of the new state, biases included, and the gates' weights.
 
-def _softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    Those of the gates are halved: a sigmoid is 0.5 + 0.5 tanh(x / 2).
+    """
+    m = p["h"].shape[0]
+    inputs = p["in"] + p["b"]
+    gates = np.stack([inputs[:, :m], inputs[:, m:2 * m]])
+    gates *= 0.5
+    return gates, np.ascontiguousarray(inputs[:, 2 * m:]), 0.5 * np.stack([p["zr"][:, :m], p["zr"][:, m:]])
+
+
+def _fed(weights: tuple, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What symbols (steps, batch) give to the gates (2, steps, batch, hidden) and to the new state."""
+    xs = xs.astype(np.intp)
+    return np.take(weights[0], xs, axis=1), np.take(weights[1], xs, axis=0)
+
+
+def _step(weights: tuple, state: np.ndarray, gates: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    zr = np.matmul(h, weights[2])
+    zr += gates
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    z, r = zr
+    rh = r * h
+    c = rh @ state
+    c += new
+    np.tanh(c, out=c)
+    out = c - h
+    out *= z
+    out += h
+    return out, (h, z, r, rh, c)
 
 
 def step(p: dict, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One GRU step: input symbols x (batch), state h (batch, hidden)."""
-    m = h.shape[1]
-    a = p["in"][x] + p["b"]
-    zr = _sigmoid(a[:, :2 * m] + h @ p["zr"])
-    z, r = zr[:, :m], zr[:, m:]
-    rh = r * h
-    c = np.tanh(a[:, 2 * m:] + rh @ p["h"])
-    return h + z * (c - h), (x, h, z, r, rh, c)
+    weights = _gates(p)
+    return _step(weights, p["h"], *_fed(weights, x), h)
+
 
+class _Softmaxes:
+    """The softmaxes of classes and of the words in each class, for one state of the weights.
+
+    A state's entries lie within -1 and 1 or, where a caller gives others, within
+    ``most``: no logit exceeds its bias plus ``most`` times its weights' sizes.  The
+    largest such bound of a softmax is taken off its biases, so no exponential overflows;
+    a row whose sum is too small for that is done again with its own largest logit.
+    """
 
-def output(p: dict, vocab: Vocabulary, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
+    def __init__(self, p: dict, vocab: Vocabulary, most: float = 1.0):
+        self.start = vocab.start
+        self.classes = self.made(p["class"].T, p["class_b"], most, np.zeros(1, int))
+        self.words = self.made(p["word"], p["word_b"], most, vocab.start[:-1])
+
+    @staticmethod
+    def made(w: np.ndarray, b: np.ndarray, most: float, first: np.ndarray) -> np.ndarray:
+        """Rows (weights, bias less the softmax's bound) of the softmaxes that begin at ``first``."""
+        bound = np.maximum.reduceat(b + most * np.abs(w).sum(1), first)
+        shifted = b - np.repeat(bound, np.diff(np.append(first, len(b))))
+        return np.concatenate([w, shifted[:, None].astype(w.dtype)], 1)
+
+
+def _exponentials(h1: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exponentials of the logits, their sums, logarithms of the sums) by row; h1: states and a last column of ones."""
+    e = h1 @ w1.T
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if total.min() >= 1e-25:
+        return e, total, np.log(total)
+    low = np.flatnonzero(total < 1e-25)
+    again = h1[low] @ w1.T
+    top = again.max(1)
+    e[low] = np.exp(again - top[:, None])
+    total[low] = e[low].sum(1)
+    log = np.log(total)
+    log[low] += top
+    return e, total, log
+
+
+def output(p: dict, vocab: Vocabulary, h: np.ndarray, y: np.ndarray, grad: dict | None = None, soft: _Softmaxes | None = None):
     """Log probabilities of symbols y after states h; with ``grad``, also adds gradients of -sum and returns that of h."""
-    group = vocab.group[y]
-    lc = _softmax_log(h @ p["class"] + p["class_b"])
-    logp = lc[np.arange(len(y)), group].copy()
-    dh = None
+    if not len(y):
+        return np.zeros(0, h.dtype), np.zeros_like(h)
+    if soft is None:
+        soft = _Softmaxes(p, vocab, max(1.0, float(np.abs(h).max())))
+    m = h.shape[1]
+    order = _sorted(y, vocab)       # symbols ascend by class
+    ys = np.take(y, order)
+    cuts = np.searchsorted(ys, soft.start)
+    group, row = np.take(vocab.group, ys), np.arange(len(y))
+    h1 = np.empty((len(y), m + 1), h.dtype)
+    h1[:, :m], h1[:, m] = np.take(h, order, axis=0), 1
+
+    def add(e: np.ndarray, total: np.ndarray, at: slice, mine: np.ndarray, w1: np.ndarray, into: np.ndarray, bias: np.ndarray):
+        """Gradients of a softmax's weights; that of the states."""
+        e[row[:len(e)], mine] -= total      # of the logits, times the sums: exponentials, less the sum at y
+        one = 1 / total[:, None]
+        each = e.T @ (h1[at] * one)
+        into += each[:, :m]
+        bias += each[:, m]
+        back = e @ w1[:, :m]
+        back *= one
+        return back
+
+    e, total, log = _exponentials(h1, soft.classes)
+    found = np.einsum("ij,ij->i", h1, np.take(soft.classes, group, axis=0)) - log
     if grad is not None:
-        d = np.exp(lc)
-        d[np.arange(len(y)), group] -= 1
-        grad["class"] += h.T @ d
-        grad["class_b"] += d.sum(0)
-        dh = d @ p["class"].T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(len(vocab.start)))
-    for g in range(len(vocab.start) - 1):
-        at = order[cuts[g]:cuts[g + 1]]
-        a, b = vocab.start[g], vocab.start[g + 1]
-        if not len(at) or b - a == 1:
+        dh = add(e, total, slice(None), group, soft.classes, grad["class"].T, grad["class_b"])
+    own = np.einsum("ij,ij->i", h1, np.take(soft.words, ys, axis=0))
+    for g in range(len(soft.start) - 1):
+        at = slice(cuts[g], cuts[g + 1])
+        a, b = soft.start[g], soft.start[g + 1]
+        if at.start == at.stop or b - a == 1:
             continue
-        hg = h[at]
-        lw = _softmax_log(hg @ p["word"][a:b].T + p["word_b"][a:b])
-        logp[at] += lw[np.arange(len(at)), y[at] - a]
+        e, total, log = _exponentials(h1[at], soft.words[a:b])
+        found[at] += own[at] - log
         if grad is not None:
-            d = np.exp(lw)
-            d[np.arange(len(at)), y[at] - a] -= 1
-            grad["word"][a:b] += d.T @ hg
-            grad["word_b"][a:b] += d.sum(0)
-            dh[at] += d @ p["word"][a:b]
-    return logp, dh
-
-
-def backpropagate(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray):
-    """Gradients of the summed loss of one window: x, y, live (batch, steps); the state before it is a constant."""
-    grad = {k: np.zeros_like(v) for k, v in p.items()}
-    m, states, caches = h.shape[1], [], []
-    for t in range(x.shape[1]):
-        h, cache = step(p, x[:, t], h)
-        states.append(h)
+            dh[at] += add(e, total, at, ys[at] - a, soft.words[a:b], grad["word"][a:b], grad["word_b"][a:b])
+    logp = np.empty_like(found)
+    logp[order] = found
+    if grad is None:
+        return logp, None
+    back = np.empty_like(h)
+    back[order] = dh
+    return logp, back
+
+
+def _sorted(symbols: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    return np.argsort(symbols.astype(np.uint16) if len(vocab) < 1 << 16 else symbols, kind="stable")
+
+
+def backpropagate(p: dict, vocab: Vocabulary, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray,
+                  grad: dict | None = None):
+    """Gradients of the summed loss of one window: x, y, live (batch, steps); the state before it is a constant.
+
+    ``grad``: arrays of zeros to use.
+    """
+    grad = {k: np.zeros_like(v) for k, v in p.items()} if grad is None else grad
+    n, steps, m = len(x), x.shape[1], h.shape[1]
+    most = max(1.0, float(np.abs(h).max(initial=0)))
+    weights, caches = _gates(p), []
+    xs, ys, on = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.ascontiguousarray(live.T)
+    hs = np.empty((steps, n, m), h.dtype)
+    gates, new = _fed(weights, xs)
+    for t in range(steps):
+        h, cache = _step(weights, p["h"], gates[:, t], new[t], h)
+        hs[t] = h
         caches.append(cache)
-    hs = np.stack(states, 1)
+    soft = _Softmaxes(p, vocab, most)
+    at = np.flatnonzero(on)
     dhs = np.zeros_like(hs)
-    logp, dhs[live] = output(p, vocab, hs[live], y[live], grad)
+    logp, dhs.reshape(-1, m)[at] = output(p, vocab, np.take(hs.reshape(-1, m), at, axis=0), np.take(ys, at), grad, soft)
     carry = np.zeros_like(h)
-    inputs = np.empty((*x.shape, 3 * m), np.float32)
-    for t in range(x.shape[1] - 1, -1, -1):
-        sym, prev, z, r, rh, c = caches[t]
-        dh = dhs[:, t] + carry
-        dc = dh * z * (1 - c * c)
-        drh = dc @ p["h"].T
-        da = np.concatenate([dh * (c - prev) * z * (1 - z), drh * prev * r * (1 - r), dc], 1)
-        grad["h"] += rh.T @ dc
-        grad["zr"] += prev.T @ da[:, :2 * m]
-        grad["b"] += da.sum(0)
-        inputs[:, t] = da
-        carry = dh * (1 - z) + drh * r + da[:, :2 * m] @ p["zr"].T
-    by = np.argsort(x, axis=None, kind="stable")
-    sym, first = np.unique(x.ravel()[by], return_index=True)
-    grad["in"][sym] = np.add.reduceat(inputs.reshape(-1, 3 * m)[by], first)
+    inputs = np.empty((3, steps, n, m), h.dtype)
+    back_h = np.ascontiguousarray(p["h"].T)
+    back_z, back_r = (np.ascontiguousarray(w.T) for w in (p["zr"][:, :m], p["zr"][:, m:]))
+    for t in range(steps - 1, -1, -1):
+        prev, z, r, rh, c = caches[t]
+        dz, dr, dc = inputs[:, t]
+        carry += dhs[t]
+        change = c - prev
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= z
+        dc *= carry
+        drh = dc @ back_h
+        np.subtract(1, z, out=dz)
+        rest = carry * dz
+        dz *= z
+        dz *= change
+        dz *= carry
+        np.subtract(1, r, out=dr)
+        dr *= drh
+        dr *= rh
+        drh *= r
+        rest += drh
+        rest += dz @ back_z
+        rest += dr @ back_r
+        carry = rest
+    prevs = np.concatenate([cache[0] for cache in caches])
+    rhs = np.concatenate([cache[3] for cache in caches])
+    flat_x = xs.ravel()
+    by = _sorted(flat_x, vocab)
+    sym = flat_x[by]
+    first = np.flatnonzero(np.concatenate(([True], sym[1:] != sym[:-1])))
+    for k, before in enumerate((prevs, prevs, rhs)):
+        part, cols = inputs[k].reshape(-1, m), slice(k * m, (k + 1) * m)
+        weight = grad["zr"][:, cols] if k < 2 else grad["h"]
+        weight += before.T @ part
+        grad["b"][cols] += np.ones(len(part), part.dtype) @ part
+        grad["in"][sym[first], cols] = np.add.reduceat(np.take(part, by, axis=0), first)
     return grad, float(-logp.sum()), int(live.sum()), h
 
 
 class Adam:
+    """Steps in place, over stretches that stay in the processor's cache."""
+
+    STRETCH = 1 << 14
+
     def __init__(self, p: dict, rate: float):
         self.m, self.v, self.t, self.rate = ({k: np.zeros_like(x) for k, x in p.items()},
                                              {k: np.zeros_like(x) for k, x in p.items()}, 0, rate)
@@ -237,11 +351,23 @@ class Adam:
     def update(self, p: dict, grad: dict, n: int) -> None:
         self.t += 1
         size = self.rate * np.sqrt(1 - 0.99 ** self.t) / (1 - 0.9 ** self.t)
-        for k, g in grad.items():
-            g = g / n
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            p[k] -= size * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
+        for k in grad:
+            arrays = [a[k].reshape(-1) for a in (p, grad, self.m, self.v)]
+            for i in range(0, len(arrays[0]), self.STRETCH):
+                x, g, m, v = (a[i:i + self.STRETCH] for a in arrays)
+                g = g / n
+                d = g - m
+                d *= 0.1
+                m += d
+                np.multiply(g, g, out=d)
+                d -= v
+                d *= 0.01
+                v += d
+                np.sqrt(v, out=d)
+                d += 1e-6
+                np.divide(m, d, out=d)
+                d *= float(size)
+                x -= d
 
 
 # ---- training --------------------------------------------------------------------------------
@@ -279,6 +405,7 @@ class _Copy:
     def __init__(self, vocab: Vocabulary, start: dict, rate: float):
         self.vocab, self.p = vocab, {k: v.copy() for k, v in start.items()}
         self.adam, self.loss, self.seen = Adam(self.p, rate), 0.0, 0
+        self.grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, symbols: np.ndarray, first: int, rounds: int) -> None:
@@ -304,7 +431,9 @@ class _Copy:
             w = slice(a, a + STEPS)
             if not live[:, a].any():
                 break
-            grad, lost, n, h = backpropagate(self.p, self.vocab, x[:, w], y[:, w], live[:, w], h)
+            for g in self.grad.values():
+                g.fill(0)
+            grad, lost, n, h = backpropagate(self.p, self.vocab, x[:, w], y[:, w], live[:, w], h, self.grad)
             self.adam.update(self.p, grad, n)
             self.loss, self.seen = self.loss + lost, self.seen + n
         self.held = []
@@ -380,28 +509,30 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int =
 def log_likelihood(p: dict, vocab: Vocabulary, docs: list[np.ndarray], batch: int = BATCH) -> np.ndarray:
     """Log probability (natural) of each sequence of symbols, the state carried through all of it."""
     total = np.zeros(len(docs))
+    weights, soft = _gates(p), _Softmaxes(p, vocab)
     order = np.argsort([-len(d) for d in docs], kind="stable")    # long ones first: lanes end close together
     for a in range(0, len(docs), batch):
         lane = order[a:a + batch]
         lens = np.array([len(docs[k]) for k in lane])
+        start, flat = np.cumsum(lens) - lens, np.concatenate([docs[k] for k in lane])
         h = np.zeros((len(lane), p["h"].shape[0]), np.float32)
         last = np.full(len(lane), vocab.end, np.int32)
         for t0 in range(0, int(lens[0]) if len(lane) else 0, STEPS):
             n = int((lens > t0).sum())                            # lanes are sorted, the live ones come first
             h, last = h[:n], last[:n]
             size = min(STEPS, int(lens[0]) - t0)
-            y = np.zeros((n, size), np.int32)
-            for k in range(n):
-                part = docs[lane[k]][t0:t0 + size]
-                y[k, :len(part)] = part
-            live = np.arange(size) < (lens[:n] - t0)[:, None]
-            states = np.empty((n, size, h.shape[1]), np.float32)
+            steps = t0 + np.arange(size)[:, None]
+            live = steps < lens[:n]
+            ys = np.take(flat, np.minimum(steps, lens[:n] - 1) + start[:n])    # past its end a lane repeats its last symbol
+            states = np.empty((size, n, h.shape[1]), h.dtype)
+            gates, new = _fed(weights, np.concatenate([last[None], ys[:-1]]))
+            last = ys[-1]
             for t in range(size):
-                h, _ = step(p, last, h)
-                states[:, t] = h
-                last = y[:, t]
-            logp, _ = output(p, vocab, states[live], y[live])
-            total[lane[:n]] += np.bincount(np.nonzero(live)[0], logp.astype(float), n)
+                h, _ = _step(weights, p["h"], gates[:, t], new[t], h)
+                states[t] = h
+            at = np.flatnonzero(live)
+            logp, _ = output(p, vocab, np.take(states.reshape(-1, h.shape[1]), at, axis=0), np.take(ys, at), soft=soft)
+            total[lane[:n]] += np.bincount(at % n, logp.astype(float), n)
     return total
 
 
@@ -416,13 +547,16 @@ def _score(model):
         for batch in batches:
             ids, texts, i = batch.column(0), batch.column(1), 0
             while i < len(ids):
-                j, size, found, outside = i, 0, [], []
+                j, size, found = i, 0, []
+                outside, times, of = [], [], []     # words outside the head, by document
                 while j < len(ids) and (j == i or size < 2_000_000):
                     ws = words_of(texts[j].as_py())
                     at = vocab.numbers(ws)
-                    out = np.flatnonzero(at < 0)
-                    outside += [(row + j - i, w, n) for w, n in Counter([ws[k] for k in out]).items()]
-                    found.append((vocab.symbol[at], len(ws), len(ws) - len(out), vocab.base[at].sum(), vocab.inner[at].sum()))
+                    out = Counter([ws[k] for k in np.flatnonzero(at < 0).tolist()])
+                    outside += out
+                    times += out.values()
+                    of.append(len(out))
+                    found.append((vocab.symbol[at], len(ws), len(ws) - out.total(), vocab.base[at].sum(), vocab.inner[at].sum()))
                     size += len(ws)
                     j += 1
                 symbols, n, known, base, inner = zip(*found, strict=True)
@@ -431,10 +565,9 @@ def _score(model):
                     row + np.arange(j - i), ids.slice(i, j - i), pa.nulls(j - i, pa.binary()), pa.array(n, pa.int64()),
                     pa.array(known, pa.int64()), pa.array(base, pa.float64()), score], names=_NAMES)
                 if outside:
-                    r, w, n = zip(*outside, strict=True)
-                    empty = pa.nulls(len(r), pa.float64())
-                    yield pa.record_batch([pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(w, pa.binary()),
-                                           pa.array(n, pa.int64()), pa.nulls(len(r), pa.int64()), empty, empty], names=_NAMES)
+                    r, empty = np.repeat(row + np.arange(j - i), of), pa.nulls(len(outside), pa.float64())
+                    yield pa.record_batch([pa.array(r, pa.int64()), pa.nulls(len(r), pa.int64()), pa.array(outside, pa.binary()),
+                                           pa.array(times, pa.int64()), pa.nulls(len(r), pa.int64()), empty, empty], names=_NAMES)
                 row += j - i
                 i = j
     return run

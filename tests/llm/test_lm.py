@@ -141,3 +141,27 @@ def test_scores_do_not_depend_on_the_layout(spark):
         for q in p[1:]:
             assert all(np.allclose(p[0][w], q[w], atol=1e-6) for w in p[0])
     docs.unpersist()
+
+
+def test_one_exponential_per_logit(monkeypatch):
+    """Training takes a softmax's exponentials once, for its sum and its gradients."""
+    vocab, p, rng = model()
+    x, y = rng.integers(0, len(vocab), (2, 8, 16))
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda e, **k: taken.append(e.size) or exp(e, **k))
+    L.backpropagate(p, vocab, x, y, np.ones(x.shape, bool), np.zeros((8, 6)))
+    size = np.diff(vocab.start)
+    assert sum(taken) <= y.size * len(size) + size[vocab.group[y]].sum()
+
+
+def test_probabilities_far_below_the_bound():
+    """Logits all much smaller than the weights' sizes allow: the exponentials' sum vanishes and is taken anew."""
+    vocab, p, rng = model()
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    p["class"][:], p["word"][:] = 100, 100
+    h = np.full((len(vocab), 6), -0.9, np.float32)
+    y = np.arange(len(vocab))
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    logp, dh = L.output(p, vocab, h, y, grad)
+    assert abs(np.exp(logp.astype(float)).sum() - 1) < 1e-3
+    assert all(np.isfinite(g).all() for g in grad.values()) and np.isfinite(dh).all()
