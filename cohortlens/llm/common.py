@@ -104,6 +104,15 @@ def small_set(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL_SET else ids
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts of finished steps are removed from the executors now.
+
+    Spark removes them once the driver's JVM finds that no plan refers to them any more, and
+    a driver with memory to spare looks seldom: they would add up over the steps of a query.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back: cuts the lineage and keeps wide rows compressed."""
     path = shared_path(df.sparkSession, name)
@@ -112,4 +121,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["WHITE", "SPLIT", "read", "bind", "words", "n_words", "crc", "held_out", "key", "own", "partitions",
-           "shared_path", "leading_bits", "most_frequent", "small_set", "stored", "cut_lineage", "checkpoint_dir"]
+           "shared_path", "leading_bits", "most_frequent", "small_set", "let_go", "stored", "cut_lineage", "checkpoint_dir"]

@@ -47,7 +47,7 @@ _SIEVE = 1 << 22
 
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, w in W.batches(batch.column(1), lower=True, marks=True):
+        for i, j, w in W.batches(batch.column(1), lower=True, marks=True, max_bytes=W.SMALL_BYTES):
             values, offsets = W.shingle_sets(w, SIZE)
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.LargeListArray.from_arrays(
                 offsets, values.view(np.int64)).cast(pa.list_(pa.int64()))], names=["item_id", "hashes"])
@@ -130,7 +130,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     def search(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, _, w in W.batches(batch.column(1), lower=True, marks=True):
+                for i, _, w in W.batches(batch.column(1), lower=True, marks=True, max_bytes=W.SMALL_BYTES):
                     if hits := held.value.find(w):
                         t, k, n = zip(*hits, strict=True)
                         yield pa.record_batch([
@@ -154,7 +154,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for i, _, w in W.batches(batch.column(at), lower=True, marks=True):
+                for i, _, w in W.batches(batch.column(at), lower=True, marks=True, max_bytes=W.SMALL_BYTES):
                     for t, _, _ in held.value.find(w):
                         keep[i + t] = False
                 yield batch.filter(pa.array(keep))

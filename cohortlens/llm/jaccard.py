@@ -76,7 +76,7 @@ def _scan(batches: Iterator[pa.RecordBatch], each) -> Iterator[pa.RecordBatch]:
     """``each(ids, values, offsets)`` for the sets of consecutive documents."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        for i, j, w in W.batches(batch.column(1), lower=True):
+        for i, j, w in W.batches(batch.column(1), lower=True, max_bytes=W.SMALL_BYTES):
             yield from each(ids[i:j], *W.shingle_sets(w, SIZE))
 
 
@@ -123,8 +123,10 @@ def _leading(order, buckets: int):
     """Packed leading shingles by bucket; ``listed`` rows are known to be in a list already."""
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         token, doc, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         at = np.lexsort((doc, token))
         token, doc, n = token[at], doc[at], n[at]
+        del at
         run = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         many = np.diff(np.append(run, len(token))) > 1
         rest = np.ones(len(token), bool)
@@ -175,19 +177,21 @@ def _shared(table: pa.Table) -> pa.Table:
     out = []
     for wanted in (False, True):
         part = table.filter(table.column("listed") if wanted else pc.invert(table.column("listed")))
-        cols = [[np.zeros(0, np.int64)] for _ in range(4)]
-        for row in zip(*(part.column(c).to_pylist() for c in ("token", "doc", "n", "many")), strict=True):
-            for k, x in enumerate(row):
-                cols[k].append(packed.unpack(x, k == 0))
-        token, doc, n, many = (np.concatenate(c) for c in cols)
+
+        def column(name: str, part: pa.Table = part) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.int64), *(packed.unpack(x.as_py(), name == "token") for x in part.column(name))])
+
+        # one column at a time: a bucket may hold millions of entries
+        token, at = column("token"), slice(None)
         if not wanted and len(token):
             at = np.argsort(token)
-            token, doc, n, many = token[at], doc[at], n[at], many[at]
+            token = token[at]
             run = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size = np.diff(np.append(run, len(token)))
-            keep = np.repeat((size > 1) | (np.add.reduceat(many, run) > 0), size)
-            token, doc, n = token[keep], doc[keep], n[keep]
-        out.append(pa.table({"token": token, "doc": doc, "n": n}))
+            keep = np.repeat((size > 1) | (np.add.reduceat(column("many")[at], run) > 0), size)
+            token, at = token[keep], at[keep]
+            del run, size, keep
+        out.append(pa.table({"token": token, "doc": column("doc")[at], "n": column("n")[at]}))
     return pa.concat_tables(out)
 
 
@@ -239,7 +243,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, part = (batch.column(k).to_pylist() for k in range(3))
         links = []
-        for i, j, w in W.batches(batch.column(3), lower=True):
+        for i, j, w in W.batches(batch.column(3), lower=True, max_bytes=W.SMALL_BYTES):
             values, offsets = W.shingle_sets(w, SIZE)
             for k in range(i, j):
                 if (a[k], part[k]) != state["key"]:
@@ -398,6 +402,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     lists = C.stored(lists.join(reps, "doc", "left_semi"), "lists")
     members = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     lists = C.stored(lists.join(members, "token"), "lists")
+    C.let_go(spark)
     texts = C.stored(rows.join(C.small_set(lists.select("doc").distinct()), "doc", "left_semi"), "texts")
 
     # representatives that are texts of one document are held together
@@ -406,13 +411,17 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if several.take(1):
         found = extend(None, named.join(several, "doc").select("a", F.col("rep").alias("b")))
     pairs = C.cut_lineage(_with_leaders(_placed(lists, found)))
+    C.let_go(spark)
     found = extend(found, search(pairs, texts))
+    C.let_go(spark)
     tried = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
     rest = C.cut_lineage(_across(_placed(lists, found), spark).groupBy("a", "b").agg(F.max("c").alias("c"))
                          .join(tried, ["a", "b"], "left_anti").withColumn("rank", rank))
+    C.let_go(spark)
     # the likeliest candidates first: they join most of what there is to join
     found = extend(found, search(rest.filter(F.col("rank") <= LIKELIEST).select("a", "b"), texts))
+    C.let_go(spark)
     ends = [found.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b")]
     rest = (rest.filter(F.col("rank") > LIKELIEST).join(ends[0], "a", "left").join(ends[1], "b", "left")
             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 MAX_BYTES = 4 << 20
+SMALL_BYTES = 1 << 20   # for tasks that hold more than the batch
 SLICE = 1 << 19
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)

@@ -25,11 +25,19 @@ def release() -> None:
         trim(0)
 
 
+def begin(kind: str | None) -> None:
+    """Only what tasks of ``kind`` use stays."""
+    for other in kept.keys() - {kind}:
+        del kept[other]
+
+
+# The functions made below travel to the workers by value, and so would ``kept`` if they named it: they
+# call ``begin``, which is found there by name and so has the worker's own tables.
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str | None = None):
     """``run`` for mapInArrow, in a worker that keeps only what tasks of ``kind`` use."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other in kept.keys() - {kind}:
-            del kept[other]
+        begin(kind)
         try:
             yield from run(batches)
         finally:
@@ -38,8 +46,9 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ki
 
 
 def lean_group(run: Callable[[pa.Table], pa.Table]):
-    """``run`` for applyInArrow; memory goes back after each group."""
+    """``run`` for applyInArrow, in a worker that keeps no tables; memory goes back after each group."""
     def group(table: pa.Table) -> pa.Table:
+        begin(None)
         try:
             return run(table)
         finally:

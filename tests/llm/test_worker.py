@@ -6,6 +6,8 @@ import sys
 from pathlib import Path
 
 import pyarrow as pa
+import pytest
+from pyspark import cloudpickle
 
 from cohortlens.llm import worker
 from cohortlens.llm.simple8b import TOKENS, default_tokenizer, tokenizer_of
@@ -21,6 +23,23 @@ def test_tables_are_dropped_by_tasks_of_another_kind():
     assert not worker.kept
 
 
+@pytest.mark.parametrize("task", [worker.lean(lambda x: x), worker.lean_group(lambda x: x)])
+def test_tables_are_dropped_by_tasks_that_came_as_bytes(task):
+    """As Spark sends them: the worker's tables are meant, not a copy of the driver's."""
+    worker.kept["tables"] = {"path": 1}
+    arrived = cloudpickle.loads(cloudpickle.dumps(task))
+    given = pa.Table.from_batches([BATCH])
+    list(arrived(given.to_batches() if task.__name__ == "task" else given))
+    assert not worker.kept
+
+
+def test_tables_stay_for_tasks_of_their_kind_that_came_as_bytes():
+    own = tokenizer_of(default_tokenizer())
+    list(cloudpickle.loads(cloudpickle.dumps(worker.lean(lambda x: x, TOKENS)))(iter([BATCH])))
+    assert tokenizer_of(default_tokenizer()) is own
+    worker.kept.clear()
+
+
 def test_a_task_gives_its_memory_back():
     """Small blocks under a last one that stays: the C library alone would keep them."""
     code = """
