@@ -7,6 +7,8 @@ characters; a null text has none.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session has ``value`` for jobs that run inside, and its own again afterwards."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -121,4 +137,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["WHITE", "SPLIT", "read", "bind", "words", "n_words", "crc", "held_out", "key", "own", "partitions",
-           "shared_path", "leading_bits", "most_frequent", "small_set", "let_go", "stored", "cut_lineage", "checkpoint_dir"]
+           "setting", "shared_path", "leading_bits", "most_frequent", "small_set", "let_go", "stored", "cut_lineage", "checkpoint_dir"]

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ from cohortlens.llm.worker import lean
 END_ID = 2
 BLOCK = 1024
 FRAME = 1 << 18
-CACHE_WORDS = 800_000
+#: words that a worker keeps: with those of one more batch just under two thirds of 2 ** 20, where a dict doubles
+CACHE_WORDS = 600_000
+#: bytes of the Arrow batches that bring texts to the workers; a longer text comes alone
+BATCH_BYTES = 1 << 20
 #: values per word, by selector
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 BITS = 60 // COUNTS
@@ -143,8 +147,8 @@ class WordTokenizer:
     Words are looked up; new ones go through the tokenizers library, many at a
     time, joined by a special token, which parts them for the tokenizer (words that may
     hold one go alone).  Punctuation after an ASCII letter is a piece of its own for the
-    tokenizer, so it is parted from a new word before, which leaves fewer and plainer words.  The table is bounded: past ``limit`` words the later
-    half is forgotten (the frequent words are met early).
+    tokenizer, so it is parted from a new word before, which leaves fewer and plainer words.  The table is bounded: past ``limit`` words those
+    that no later batch has met again are forgotten, and of the others all but the earliest two thirds of ``limit``.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -160,14 +164,18 @@ class WordTokenizer:
         self.mark_id = self.tokenizer.token_to_id(_MARK.decode())
         self.known = _Known()
         self.flat, self.offset = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)      # words that a later batch has met again
 
     def forget(self) -> None:
         if len(self.known) > self.limit:
-            kept = list(self.known)[:self.limit // 2]
+            kept = np.flatnonzero(self.again)[:self.limit * 2 // 3]
+            words = list(compress(self.known, self.again))[:len(kept)]
             self.known = _Known()
-            self.known.update(zip(kept, range(len(kept)), strict=True))
-            self.offset = self.offset[:len(kept) + 1]
-            self.flat = self.flat[:self.offset[-1]]
+            self.known.update(zip(words, range(len(words)), strict=True))
+            start, lens = self.offset[kept], np.diff(self.offset)[kept]
+            self.flat = self.flat[_spread(start, lens)]
+            self.offset = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
+            self.again = np.ones(len(kept), bool)
 
     def learn(self) -> None:
         new, self.known.new = self.known.new, []
@@ -234,9 +242,11 @@ class WordTokenizer:
                 ws = t.encode().lower().split() if t else []
             index.append(np.fromiter(map(get, ws), np.int64, len(ws)))
             n_words.append(len(ws))
+        at = np.concatenate([np.zeros(0, np.int64), *index])
+        self.again[at[at < len(self.again)]] = True
         if self.known.new:
             self.learn()
-        at = np.concatenate([np.zeros(0, np.int64), *index])
+            self.again = np.concatenate([self.again, np.zeros(len(self.known) - len(self.again), bool)])
         start = self.offset[at]
         lens = self.offset[at + 1] - start
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(lens)))
@@ -275,7 +285,7 @@ def _frames(tokenizer: str, end_id: int):
             doc_ids, lens = batch.column(0).to_pylist(), pa.compute.binary_length(batch.column(1)).to_pylist()
             i = 0
             while i < len(doc_ids):
-                j, room = i, 1 << 20
+                j, room = i, BATCH_BYTES
                 while j < len(doc_ids) and (j == i or room > 0):
                     room -= (lens[j] or 0)
                     j += 1
@@ -304,13 +314,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     tie = F.xxhash64("text")
     rows = (rows.withColumn("tie", tie).repartitionByRange(C.partitions(docs.sparkSession), "doc_id", "tie")
             .sortWithinPartitions("doc_id", "tie").drop("tie"))
-    rows.mapInArrow(lean(_frames(tokenizer, end_id), TOKENS), _FRAME).write.parquet(path)
+    # Spark's own batches are 10,000 rows of up to 64 MB, for which the JVM keeps memory outside its heap in every task thread
+    with C.setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b"):
+        rows.mapInArrow(lean(_frames(tokenizer, end_id), TOKENS), _FRAME).write.parquet(path)
 
 
 def _unpack(value: Callable[[np.ndarray], object], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = decode(np.frombuffer(row["words"], _U), np.frombuffer(row["escapes"], _U))
                 ends = np.cumsum(row["n_tokens"])
                 starts = ends - row["n_tokens"]

@@ -1,11 +1,14 @@
 """Token files: exact round trips and equality with the tokenizer run over whole texts."""
 
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlens.llm import common as C
@@ -41,6 +44,21 @@ def test_words_and_their_punctuation_met_before():
         assert w([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_a_full_table_keeps_the_words_met_again():
+    t = Tokenizer.from_file(S.default_tokenizer())
+    w = S.WordTokenizer(S.default_tokenizer(), limit=6)
+    for k in range(40):
+        x = f"once{k} seldom{k // 9}, often, the tokenizer's once-{k}."
+        assert w([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids
+        assert len(w.again) == len(w.known) == len(w.offset) - 1 <= 6 + 6
+        assert {b"often,", b"the"} <= w.known.keys()
+    assert b"once0" not in w.known
+
+
+def test_a_full_table_and_a_batch_of_new_words_fit_before_the_dict_doubles():
+    assert sys.getsizeof(dict.fromkeys(range(S.CACHE_WORDS + 90_000))) < 25 << 20
+
+
 def test_files_hold_all_documents_in_order(spark, tmp_path):
     rows = [(5, "one two three", "x"), (None, "none", "x"), (3, None, "y"), (3, "", "y"), (9, "a b " * 40_000, None),
             (5, "one two three", "x"), (7, "été !", "z")]
@@ -59,6 +77,38 @@ def test_files_hold_all_documents_in_order(spark, tmp_path):
     assert not left
 
 
+def test_texts_come_to_the_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pylist([{"start": b.nbytes}], pa.schema([
+                    ("part", pa.int32()), ("start", pa.int64()), ("doc_id", pa.list_(pa.int64())),
+                    ("n_tokens", pa.list_(pa.int64())), ("words", pa.binary()), ("blocks", pa.binary()),
+                    ("escapes", pa.binary())]))
+        return run
+
+    monkeypatch.setattr(S, "_frames", sizes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("text"))
+    S.write_tokens(docs, str(tmp_path / "t"), S.default_tokenizer())
+    got = [r.start for r in spark.read.parquet(str(tmp_path / "t")).collect()]
+    assert sum(got) >= 2000 * 20_000 and max(got) < 1.5 * (1 << 20)
+    assert spark.conf.get(key) == before
+
+
+def test_settings_go_back(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own in (None, "7m"):
+        if own:
+            spark.conf.set(key, own)
+        with pytest.raises(ZeroDivisionError), C.setting(spark, key, "5b"):
+            assert spark.conf.get(key) == "5b"
+            1 / 0
+        assert spark.conf.get(key, None) == own
+        spark.conf.unset(key)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.token_table(docs, S.default_tokenizer()).collect() == []
