@@ -6,13 +6,18 @@ characters; a null text has none.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm import packed
+from cohortlens.llm.worker import lean
 from cohortlens.session import checkpoint_dir, cut_lineage
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -112,6 +117,8 @@ def most_frequent(table: DataFrame, count: str, limit: int) -> DataFrame:
 
 #: ids up to which a set of them is broadcast
 SMALL_SET = 1_000_000
+#: bits of the bitmap that stands for a larger set
+MAX_BITS = 1 << 27
 
 
 def small_set(ids: DataFrame) -> DataFrame:
@@ -120,12 +127,43 @@ def small_set(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL_SET else ids
 
 
+def _marked(marks, bits: int):
+    """Rows whose first column, an id, has its bit set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = marks.value
+        for batch in batches:
+            at = packed.spark_xxhash64(batch.column(0).to_numpy()) & (bits - 1)
+            yield batch.filter(pa.array((words[at >> 6] >> (at & 63)) & 1 == 1))
+    return run
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose first column, a non-null long, is in the one-column set ``ids``, found without a shuffle of the rows.
+
+    A set counted to be small is broadcast.  Of a larger one a bitmap of hashes is,
+    so that some other rows come along, the more the larger it is; a join leaves them out.
+    """
+    ids = cut_lineage(ids)
+    name, n = ids.columns[0], ids.count()
+    if n <= SMALL_SET:
+        return rows.join(F.broadcast(ids), name, "left_semi")
+    bits = min(MAX_BITS, 1 << (16 * n - 1).bit_length())
+    at = ids.select(F.xxhash64(name).bitwiseAND(bits - 1).alias("at"))
+    table = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("held")).toArrow()
+    words = np.zeros(bits >> 6, np.int64)
+    words[table.column("word").to_numpy()] = table.column("held").to_numpy()
+    return rows.mapInArrow(lean(_marked(rows.sparkSession.sparkContext.broadcast(words), bits)), rows.schema)
+
+
 def let_go(spark: SparkSession) -> None:
     """Shuffle files and broadcasts of finished steps are removed from the executors now.
 
     Spark removes them once the driver's JVM finds that no plan refers to them any more, and
     a driver with memory to spare looks seldom: they would add up over the steps of a query.
+    Plans that Python's own garbage refers to count as in use, so that is collected before.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -137,4 +175,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["WHITE", "SPLIT", "read", "bind", "words", "n_words", "crc", "held_out", "key", "own", "partitions",
-           "setting", "shared_path", "leading_bits", "most_frequent", "small_set", "let_go", "stored", "cut_lineage", "checkpoint_dir"]
+           "setting", "shared_path", "leading_bits", "most_frequent", "small_set", "among", "let_go", "stored", "cut_lineage", "checkpoint_dir"]

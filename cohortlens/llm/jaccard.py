@@ -68,6 +68,7 @@ GROUP = 128             # candidates searched at a time
 LEADERS, BEST = 12, 2    # leaders per list, and those a document is compared with
 LIKELIEST = 4           # candidates per document compared before all others
 BLOCK, POSTINGS = 2048, 2_000_000   # documents in a block of a list; postings counted together in a task
+SENT, AGAIN = 32_000_000, 16    # postings under way at once: so many, or so many times those of all lists
 
 
 # ---- sets ---------------------------------------------------------------------------------
@@ -269,16 +270,19 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def search(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) that link: a is the query, b its candidate; texts: (doc, text)."""
+    """Those of the candidate pairs (a, b) that link: a is the query, b its candidate; texts: (doc, text).
+
+    Texts of documents that are in no pair are left out where they are read, and
+    the others meet their uses in one shuffle.
+    """
     spark = texts.sparkSession
     load = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (8 * GROUP))).cast("long").alias("parts"))
-    given = (pairs.join(texts.withColumnRenamed("doc", "b"), "b").join(load, "a")
-             .select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "text"))
-    asked = (load.join(texts.withColumnRenamed("doc", "a"), "a")
-             .select("a", F.lit(None).cast("long").alias("b"),
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "text"))
-    rows = (asked.unionByName(given).repartition(C.partitions(spark), "a", "part")
-            .sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()))
+    given = pairs.join(load, "a").select(F.col("b").alias("doc"), "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    asked = load.select(F.col("a").alias("doc"), "a", F.lit(None).cast("long").alias("b"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    uses = C.cut_lineage(asked.unionByName(given))
+    rows = (uses.join(C.among(texts, uses.select("doc").distinct()), "doc").select("a", "b", "part", "text")
+            .repartition(C.partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()))
     return C.cut_lineage(rows.mapInArrow(lean(_search), "a long, b long, overlap long"))
 
 
@@ -363,7 +367,8 @@ def _across(placed: DataFrame, spark) -> DataFrame:
     In every list that two such documents share, the first is outside the
     largest component, so its postings count all of them.  Lists travel as blocks
     of postings, and a document's postings are counted together in a task, in as
-    many parts as their number asks for.
+    many parts as their number asks for.  Long lists travel often: the documents take
+    turns, so that what is under way at once stays in proportion to the lists.
     """
     blocks = F.ceil(F.col("m") / BLOCK)
     postings = placed.groupBy("token", F.pmod(F.xxhash64("doc"), blocks).alias("block")).agg(
@@ -371,11 +376,24 @@ def _across(placed: DataFrame, spark) -> DataFrame:
     postings = postings.select("token", *[F.col(f"held.{c}").alias(f"{c}s") for c in ("doc", "n", "comp", "size")])
     few = placed.filter((F.col("size") != F.col("top.size")) | (F.col("comp") != F.col("top.comp"))).select(
         "token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("size").alias("sa"), "m")
-    load = few.groupBy("a").agg(F.ceil(F.sum("m") / POSTINGS).cast("long").alias("parts"))
-    asked = few.join(load, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = (asked.join(postings, "token").select("a", "na", "ca", "sa", "part", "parts", "docs", "ns", "comps", "sizes")
-            .repartition(C.partitions(spark), "a", "part").sortWithinPartitions("a", "part", "na", "ca"))
-    return rows.mapInArrow(lean(_count_lists), "a long, b long, c long")
+
+    def counted(few: DataFrame) -> DataFrame:
+        load = few.groupBy("a").agg(F.ceil(F.sum("m") / POSTINGS).cast("long").alias("parts"))
+        asked = few.join(load, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        rows = (asked.join(postings, "token").select("a", "na", "ca", "sa", "part", "parts", "docs", "ns", "comps", "sizes")
+                .repartition(C.partitions(spark), "a", "part").sortWithinPartitions("a", "part", "na", "ca"))
+        return rows.mapInArrow(lean(_count_lists), "a long, b long, c long")
+
+    sent = few.agg(F.sum("m").alias("n")).first()["n"] or 0
+    turns = -(-sent // max(SENT, AGAIN * placed.count()))
+    if turns <= 1:
+        return counted(few)
+    out = None
+    for k in range(turns):
+        more = C.cut_lineage(counted(few.filter(F.pmod(F.xxhash64("a"), F.lit(turns)) == k)))
+        C.let_go(spark)
+        out = more if out is None else out.unionByName(more)
+    return out
 
 
 # ---- the join --------------------------------------------------------------------------------
@@ -403,7 +421,6 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = lists.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
     lists = C.stored(lists.join(members, "token"), "lists")
     C.let_go(spark)
-    texts = C.stored(rows.join(C.small_set(lists.select("doc").distinct()), "doc", "left_semi"), "texts")
 
     # representatives that are texts of one document are held together
     found = None
@@ -412,7 +429,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         found = extend(None, named.join(several, "doc").select("a", F.col("rep").alias("b")))
     pairs = C.cut_lineage(_with_leaders(_placed(lists, found)))
     C.let_go(spark)
-    found = extend(found, search(pairs, texts))
+    found = extend(found, search(pairs, rows))
     C.let_go(spark)
     tried = pairs.unionByName(pairs.selectExpr("b AS a", "a AS b"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
@@ -420,12 +437,12 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                          .join(tried, ["a", "b"], "left_anti").withColumn("rank", rank))
     C.let_go(spark)
     # the likeliest candidates first: they join most of what there is to join
-    found = extend(found, search(rest.filter(F.col("rank") <= LIKELIEST).select("a", "b"), texts))
+    found = extend(found, search(rest.filter(F.col("rank") <= LIKELIEST).select("a", "b"), rows))
     C.let_go(spark)
     ends = [found.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b")]
     rest = (rest.filter(F.col("rank") > LIKELIEST).join(ends[0], "a", "left").join(ends[1], "b", "left")
             .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    found = extend(found, search(C.cut_lineage(rest), texts))
+    found = extend(found, search(C.cut_lineage(rest), rows))
     out = (named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
            .select("doc", "n", F.coalesce("root", "rep").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

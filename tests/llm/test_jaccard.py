@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from cohortlens.llm import common as C
 from cohortlens.llm import jaccard as J
@@ -94,6 +95,40 @@ def test_messy_rows(messy, nothing):
     assert J.keep_one(nothing).collect() == []
 
 
+def test_documents_take_turns_and_large_id_sets_are_marked(spark, monkeypatch):
+    """As on large tables: long lists in several turns, ids that are too many to be broadcast; the same result."""
+    monkeypatch.setattr(J, "SENT", 2000)
+    monkeypatch.setattr(J, "AGAIN", 0)
+    monkeypatch.setattr(C, "SMALL_SET", 0)
+    turns, let_go = [], C.let_go
+    monkeypatch.setattr(C, "let_go", lambda session: (turns.append(1), let_go(session)))
+    rows = corpus(1)
+    rows += rows[:3] + [(None, rows[0][1]), (rows[5][0], rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert have(J.link_components(docs)) == plain(rows)
+    assert len(turns) > 6       # five without turns
+
+
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_texts_that_are_compared_with_none_stay_where_they_are(spark, monkeypatch, small):
+    """Every document shares a passage with others, few link: no text is stored, and few are shuffled."""
+    stored, read, real_stored, real_among = [], [], C.stored, C.among
+    monkeypatch.setattr(C, "SMALL_SET", small)
+    monkeypatch.setattr(C, "stored", lambda df, name: (stored.append(df.columns), real_stored(df, name))[1])
+    monkeypatch.setattr(C, "among", lambda rows, ids: (read.append(out := real_among(rows, ids)), out)[1])
+    rng = random.Random(4)
+    shared = [sentence(rng, 30) for _ in range(6)]
+    rows = [(k, " ".join(f"{rng.random()}" for _ in range(400)) + " " + shared[k % 6]) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(3)]
+    got = have(J.link_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(d, c) for d, _, c in got if d != c] == [(1000, 0), (1001, 1), (1002, 2)]
+    assert stored and not any("text" in columns for columns in stored)
+    for texts in read:
+        assert texts.count() < 60
+        assert "Exchange hash" not in texts._jdf.queryExecution().executedPlan().toString()
+    assert read
+
+
 def test_search_counts_overlaps():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -108,6 +143,19 @@ def test_search_counts_overlaps():
         assert dict(zip(found.tolist(), overlap.tolist(), strict=True)) == want
 
 
+def test_rows_among_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"t{k}") for k in [J.NO_ID, *range(-50, 3000), 7]], "doc long, text string").repartition(4)
+    ids = spark.createDataFrame([(k,) for k in (J.NO_ID, -50, -1, 0, 7, 2999, 10**15)], "doc long")
+    want = [J.NO_ID, -50, -1, 0, 7, 7, 2999]
+    assert sorted(r.doc for r in C.among(rows, ids).collect()) == want
+    monkeypatch.setattr(C, "SMALL_SET", 2)
+    marked = C.among(rows, ids)
+    assert marked.schema == rows.schema and marked.count() < 500
+    assert sorted(r.doc for r in marked.join(ids, "doc", "left_semi").collect()) == want
+    monkeypatch.setattr(C, "MAX_BITS", 64)      # a bitmap too small for its set lets more through, and leaves none out
+    assert sorted(r.doc for r in C.among(rows, ids).join(ids, "doc", "left_semi").collect()) == want
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
