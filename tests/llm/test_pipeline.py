@@ -49,6 +49,15 @@ def test_near_duplicates(stages):
     assert rows(stages[2]) == [r for r in rows(stages[1]) if r[0] in keep]
 
 
+def test_near_duplicates_leave_no_texts_on_disk(spark, stages, monkeypatch):
+    """The later stages' disk counts with what this one stored; as for a table with too many ids to be broadcast."""
+    stored, real = [], C.stored
+    monkeypatch.setattr(C, "SMALL_SET", 0)
+    monkeypatch.setattr(C, "stored", lambda df, name: (stored.append(df.columns), real(df, name))[1])
+    assert rows(P.near_duplicates(spark, stages[1], SF)) == rows(stages[2])
+    assert stored and not any("text" in columns for columns in stored)
+
+
 def test_benchmark_passages(spark, stages):
     items = [(r.item_id, r.text) for r in C.read(spark, SF, "benchmark").collect()]
     bad = {r[0] for r in test_decontam.plain([r[:2] for r in rows(stages[2])], items)}
